@@ -7,6 +7,7 @@ from importlib import import_module
 _MODULES = {
     "op4_url_filter": "url_filter",
     "op10_mixing": "mixing",
+    "op6_quality": "quality",
     "op9_fingerprints": "fingerprints",
 }
 
