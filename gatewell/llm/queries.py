@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op2_toxicity": "toxicity",
     "op4_url_filter": "url_filter",
     "op10_mixing": "mixing",
     "op6_quality": "quality",
