@@ -6,6 +6,7 @@ from importlib import import_module
 
 _MODULES = {
     "op2_toxicity": "toxicity",
+    "op3_decontamination": "decontamination",
     "op4_url_filter": "url_filter",
     "op10_mixing": "mixing",
     "op6_quality": "quality",
