@@ -9,6 +9,7 @@ _MODULES = {
     "op3_decontamination": "decontamination",
     "op4_url_filter": "url_filter",
     "op10_mixing": "mixing",
+    "op5_secrets": "secrets",
     "op6_quality": "quality",
     "op9_fingerprints": "fingerprints",
 }
