@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_pii": "pii",
     "op2_toxicity": "toxicity",
     "op3_decontamination": "decontamination",
     "op4_url_filter": "url_filter",
