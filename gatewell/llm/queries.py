@@ -12,6 +12,7 @@ _MODULES = {
     "op10_mixing": "mixing",
     "op5_secrets": "secrets",
     "op6_quality": "quality",
+    "op7_ngram_join": "ngram_join",
     "op9_fingerprints": "fingerprints",
 }
 
