@@ -13,6 +13,7 @@ _MODULES = {
     "op5_secrets": "secrets",
     "op6_quality": "quality",
     "op7_ngram_join": "ngram_join",
+    "op8_substring_dedup": "substring_dedup",
     "op9_fingerprints": "fingerprints",
 }
 
