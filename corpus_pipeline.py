@@ -1,13 +1,76 @@
-"""A corpus pipeline of five stages; each is written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline of five stages; each is written as Parquet and read again as the next one's documents.
+
+Stages, in order: the quality classifier drops poor documents, the n-gram join keeps one document of each group of near
+copies, decontamination drops those that hold a benchmark item, PII is replaced by surrogates, and the sources are mixed
+to their target weights. All but the last return the columns of documents; the last adds those of the mix.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gatewell.llm import decontamination, mixing, ngram_join, pii, quality
+from gatewell.llm.common import stored, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6, fitted on the labels of the corpus; documents scored under one half go."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7; of each component the document with the least doc_id stays, and of rows that share it the one with the least text."""
+    groups = ngram_join.link_documents(docs)
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull() & F.col("component_id").isNull())
+    ids = kept.select(F.col("doc_id").alias("__id")).distinct()
+    mine = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
+    # rows that share an id or have none are told apart by their text; with ids of their own, none of this shuffles text
+    odd = docs.select("doc_id").groupBy("doc_id").count().filter("count > 1 or doc_id is null")
+    return mine if odd.isEmpty() else mine.dropDuplicates(["doc_id", "text"])
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3."""
+    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1; n_chars, if there, follows the new text."""
+    out = pii.replace_pii(docs, "gatewell")[0].drop("__n")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: doc_id, source, size, source_size, target and taken, how many of a document's words the mix takes, for each document."""
+    return mixing.mix(docs)[0].drop("row")
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", keep_one_copy),
+    ("benchmark decontamination", drop_benchmark),
+    ("PII surrogates", replace_pii),
+    ("mixing to target weights", mix_sources),
+]
+
+#: Trained scores and similarity joins can't be put in SQL; the tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each stored in the shared folder before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"stage{i}")
+    return docs
 
 
 def queries() -> dict:
-    return {}
+    return {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
