@@ -1,0 +1 @@
+"""Scalar functions of the model, as Columns."""
