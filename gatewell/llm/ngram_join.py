@@ -24,6 +24,7 @@ WORDS, PERCENT = 5, 80
 #: Ratio of the largest to the least size of a band, and shingles a partition for the largest size.
 RATIO, LOAD = 2, 1.5
 CLASSES = 64
+_ODD = tuple(np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(WORDS))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,10 +56,11 @@ class Shingler:
         get = self.memo.get
         h = np.array([x if (x := get(w)) is not None else self._word(w) for w in words], np.uint64)
         n = min(WORDS, len(h))
-        out = np.full(len(h) - n + 1, n, np.uint64)
-        for i in range(n):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
-        return np.unique(out)
+        m = len(h) - n + 1
+        out = h[:m] * _ODD[0] + np.uint64(n)
+        for i in range(1, n):
+            out += h[i : m + i] * _ODD[i]
+        return np.unique(_mix(out))
 
 
 def set_key(s: np.ndarray) -> int:
@@ -179,6 +181,54 @@ def _shared(signed: DataFrame) -> DataFrame:
     return _by_key(signed, "sig", ["u"], run, "sig long, u long, leader long")
 
 
+def _classes(s: np.ndarray) -> np.ndarray:
+    """How many shingles of a set are in each class of the domain."""
+    return np.minimum(np.bincount((s >> np.uint64(64 - CLASSES.bit_length() + 1)).astype(np.int64), minlength=CLASSES), 65535).astype(np.uint16)
+
+
+def _possible(n: np.ndarray, m: np.ndarray, k: np.ndarray, l: np.ndarray) -> np.ndarray:  # noqa: E741
+    """Whether sets of sizes n and m and class counts k and l may be similar: they differ by at least as much as their counts do, and similar ones by (n + m) / 9 at most."""
+    return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & ((100 + PERCENT) * np.abs(k - l).sum(-1) <= (100 - PERCENT) * (n + m))
+
+
+def _counts(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, CLASSES).astype(np.int32)
+
+
+def _plausible(pairs: DataFrame, traits: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and class counts don't rule them out."""
+    both = pairs.join(traits.select(F.col("u").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka")), "a").join(traits.select(F.col("u").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = _possible(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), _counts(batch.column("ka")), _counts(batch.column("kb")))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return both.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long")
+
+
+def _sets_of(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """u and the set's members, for the sets in pairs at least. Which texts are read for it is told by a filter of fixed size over
+    doc_ids, so texts aren't shuffled; what it lets through besides is left out by the join that follows."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct()
+    ids = firsts.join(nodes, "u", "left_semi").select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("bit"))
+    filled = np.zeros(bits // 8, np.uint8)
+    words = ids.groupBy((F.col("bit") / 8).cast("int").alias("byte")).agg(F.expr("bit_or(shiftleft(1, int(bit % 8)))").alias("bits")).toPandas()
+    filled[words["byte"].to_numpy(np.int64)] = words["bits"].to_numpy(np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(filled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            wanted = batch.filter(pa.array(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1))
+            sets = [s for s in map(shingler.shingles, wanted.column("text").to_pylist()) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["u", "s"])
+
+    found = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("bit"), "text").mapInArrow(run, "u long, s binary")
+    return stored(found.dropDuplicates(["u"]), "sets")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets with 100 * intersection >= 80 * union."""
     left = pairs.join(sets.select(F.col("u").alias("a"), F.col("s").alias("sa")), "a")
@@ -197,23 +247,18 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Candidate pairs of sets that share a signature and are not linked yet: rows are sig, u, c (component), n (size), k (counts by class).
-
-    Sets differ by at least as much as their counts of shingles in each class of the domain do; pairs that differ by more than similar sets can are left out here.
-    """
+    """Candidate pairs of sets that share a signature and are not linked yet: rows are sig, u, c (component), n (size), k (counts by class); pairs that those rule out are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, "sig"):
             sig, u, c, n = (group.column(x).to_numpy() for x in ("sig", "u", "c", "n"))
-            k = np.frombuffer(b"".join(group.column("k").to_pylist()), np.uint16).reshape(-1, CLASSES).astype(np.int32)
+            k = _counts(group.column("k"))
             starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             out = []
             for low, high in zip(starts, [*starts[1:], len(sig)], strict=True):
                 for i in range(low, high - 1):
                     j = np.flatnonzero(c[i + 1 : high] != c[i]) + i + 1
-                    total = n[j] + n[i]
-                    near = 9 * np.abs(k[j] - k[i]).sum(1) <= total
-                    j = j[near & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))]
+                    j = j[_possible(n[j], n[i], k[j], k[i])]
                     out.append(np.stack([np.minimum(u[j], u[i]), np.maximum(u[j], u[i])], 1))
             pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -231,7 +276,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def describe(d, text, shingler):
         s = shingler.shingles(text)
-        return [d], [len(s)], [set_key(s) if len(s) else None]
+        return [d], [len(s)], [set_key(s) if len(s) else None], [_classes(s).tobytes()]
 
     common = docs.sparkSession.sparkContext.broadcast(_common(rows))
 
@@ -244,29 +289,22 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         x = signatures(s, *common.value).view(np.int64)
         return x, np.full(len(x), u)
 
-    documents = stored(_sets(rows, "doc_id long, n_shingles long, u long", describe), "documents")
+    documents = stored(_sets(rows, "doc_id long, n_shingles long, u long, k binary", describe), "documents")
     # one row of each set signs; of copies the one with the least id
     firsts = documents.filter("u is not null").groupBy("u").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("doc_id"))
+    traits = documents.filter("u is not null").select("u", F.col("n_shingles").alias("n"), "k").dropDuplicates(["u"])
     shared = stored(_shared(_sets(rows, "sig long, u long", sign)), "shared")
-    nodes = shared.select("u").distinct()
-    wanted = firsts.join(nodes, "u", "left_semi").select(F.col("doc_id").alias("d")).distinct()
-
-    def keep(_, text, shingler):
-        s = shingler.shingles(text)
-        k = np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CLASSES), 65535).astype(np.uint16)
-        return [set_key(s)] if len(s) else [], [len(s)] if len(s) else [], [s.tobytes()] if len(s) else [], [k.tobytes()] if len(s) else []
-
-    sets = stored(_sets(rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["d"]), "left_semi"), "u long, n long, s binary, k binary", keep).dropDuplicates(["u"]), "sets")
     votes = shared.filter("u != leader").groupBy("u", "leader").count()
     best = votes.groupBy("u").agg(F.max_by("leader", F.struct("count", "leader")).alias("a")).select("a", F.col("u").alias("b"))
-    links = stored(_verified(best, sets), "links")
+    best = stored(_plausible(best, traits), "leaders")
+    links = stored(_verified(best, _sets_of(rows, firsts, best)), "links")
     labels = components(links)
     label = F.coalesce("component", "u").alias("c")
     named = shared.join(labels, shared["u"] == labels["node"], "left").select("sig", "u", label)
     mixed = named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("sig")
-    open_ = named.join(mixed, "sig", "left_semi").join(sets.select("u", "n", "k"), "u")
-    pairs = _across(open_.select("sig", "u", "c", "n", "k")).distinct()
-    more = _verified(pairs, sets)
+    open_ = named.join(mixed, "sig", "left_semi").join(traits, "u")
+    pairs = stored(_across(open_.select("sig", "u", "c", "n", "k")).distinct(), "pairs")
+    more = _verified(pairs, _sets_of(rows, firsts, pairs))
     return documents, components(links.unionByName(more))
 
 
