@@ -74,8 +74,8 @@ def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.countDistinct("card").alias("cards"),
         F.countDistinct("merchant").alias("merchants"),
         F.countDistinct("issuer").alias("issuers"),
-        F.min("amount").alias("min_amount"),
-        F.max("amount").alias("max_amount"),
+        F.min("amount").cast("double").alias("min_amount"),
+        F.max("amount").cast("double").alias("max_amount"),
         F.min("day").alias("first_day"),
         F.max("day").alias("last_day"),
     )
@@ -178,7 +178,7 @@ ORACLES = {
     "rederive_mismatch": "SELECT count(*) FILTER (WHERE CAST(ts AS DATE) IS DISTINCT FROM CAST(strptime(strftime(ts, '%Y%m%d'), '%Y%m%d') AS DATE)) AS date, count(*) FILTER (WHERE CAST(value AS DECIMAL(38,10)) IS DISTINCT FROM CAST(CAST(CAST(value AS DECIMAL(38,10)) AS VARCHAR) AS DECIMAL(38,10))) AS amount, count(*) FILTER (WHERE strftime(ts, '%H%M%S') IS DISTINCT FROM lpad(CAST(hour(ts) * 10000 + minute(ts) * 100 + second(ts) AS VARCHAR), 6, '0')) AS time FROM events",
     "calendar_features": "SELECT day, CAST(year(day) AS INTEGER) AS year, CAST(month(day) AS INTEGER) AS month, CAST(isodow(day) AS INTEGER) AS isodow, isodow(day) >= 6 AS weekend, strftime(day, '%Y%m') AS month_id, strftime(day, '%GW%V') AS week FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)",
     "status_vocabularies": "SELECT DISTINCT 'o_orderstatus' AS field, o_orderstatus AS value FROM orders UNION ALL SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders",
-    "domains": f"{_TX} SELECT count(*) FILTER (WHERE pc IS NULL) AS null_pc, count(*) FILTER (WHERE amount <= 0) AS non_positive, count(*) FILTER (WHERE length(tm) <> 6) AS bad_time, count(DISTINCT card) AS cards, count(DISTINCT merchant) AS merchants, count(DISTINCT issuer) AS issuers, min(amount) AS min_amount, max(amount) AS max_amount, min(day) AS first_day, max(day) AS last_day FROM tx_time",
+    "domains": f"{_TX} SELECT count(*) FILTER (WHERE pc IS NULL) AS null_pc, count(*) FILTER (WHERE amount <= 0) AS non_positive, count(*) FILTER (WHERE length(tm) <> 6) AS bad_time, count(DISTINCT card) AS cards, count(DISTINCT merchant) AS merchants, count(DISTINCT issuer) AS issuers, CAST(min(amount) AS DOUBLE) AS min_amount, CAST(max(amount) AS DOUBLE) AS max_amount, min(day) AS first_day, max(day) AS last_day FROM tx_time",
     "postcode_normalise": f"{_TX} SELECT pc_raw, pc, count(*) AS n FROM tx_time GROUP BY pc_raw, pc",
     "postcode_partition": f"{_TX} SELECT count(*) FILTER (WHERE pc_raw IS NULL OR pc_raw = '') AS empty, count(*) FILTER (WHERE length(pc_raw) = 6) AS six, count(*) FILTER (WHERE length(pc_raw) = 5) AS five, count(*) FILTER (WHERE pc_raw <> '' AND length(pc_raw) NOT IN (5, 6)) AS unhandled FROM tx_time",
     "shape_violations": f"{_TX} SELECT count(*) FILTER (WHERE length(pc_raw) = 6 AND NOT regexp_matches(pc_raw, '^[0-9]{{2}}-[0-9]{{3}}$')) AS six, count(*) FILTER (WHERE length(pc_raw) = 5 AND NOT regexp_matches(pc_raw, '^[0-9]{{5}}$')) AS five FROM tx_time",

@@ -103,7 +103,13 @@ def whole_units(amount: Column, largest: Column) -> Column:
 
 
 def _q(f):
-    return lambda spark, sf_dir: f(tx_time(spark, sf_dir))
+    """Money leaves as double, as results of other engines do."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = f(tx_time(spark, sf_dir))
+        return out.withColumn("amount", F.col("amount").cast("double")) if "amount" in out.columns else out
+
+    return query
 
 
 def clamped_rows(tx: DataFrame) -> DataFrame:
@@ -145,10 +151,10 @@ rel AS (SELECT axis.ci, code, coalesce(ok, false) AS released, CASE WHEN ok THEN
 
 ORACLES = {
     "code_axis": f"{_W} SELECT code, ci FROM axis",
-    "cube_cells": f"{_W} SELECT * FROM cells",
-    "cube_dense": f"{_W} SELECT * FROM dense",
+    "cube_cells": f"{_W} SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM cells",
+    "cube_dense": f"{_W} SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM dense",
     "nat_cells": f"{_W} SELECT di, h, CASE issuer WHEN '616' THEN 0 WHEN '276' THEN 1 WHEN '826' THEN 2 WHEN '752' THEN 3 WHEN '578' THEN 4 ELSE 5 END AS bucket, count(*) AS n FROM placed GROUP BY 1, 2, 3",
-    "city_series": f"{_W} SELECT di, h, CAST(sum(n) AS BIGINT) AS n, CAST(sum(amount) AS DECIMAL(18,2)) AS amount FROM cells WHERE ci >= 1 GROUP BY di, h",
+    "city_series": f"{_W} SELECT di, h, CAST(sum(n) AS BIGINT) AS n, CAST(CAST(sum(amount) AS DECIMAL(18,2)) AS DOUBLE) AS amount FROM cells WHERE ci >= 1 GROUP BY di, h",
     "release_gate": f"{_RELEASE} SELECT * FROM rel",
     "reconcile": f"{_RELEASE} SELECT CAST(coalesce(sum(volume), 0) AS BIGINT) AS released, CAST(sum(suppressed) AS BIGINT) AS suppressed, (SELECT count(*) FROM tx_time) AS rows, coalesce(sum(volume), 0) + sum(suppressed) = (SELECT count(*) FROM tx_time) AS agrees FROM rel",
     "clamped_rows": f"{_W} SELECT count(*) FILTER (WHERE clamped) AS clamped, count(*) AS rows FROM placed",
