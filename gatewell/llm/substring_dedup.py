@@ -56,7 +56,7 @@ class Prefixes:
 
 
 def phrases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(trigger hash, phrase hash, first and last start) of the phrases of one text's bytes; none if it has fewer than 100."""
+    """(trigger hash, phrase hash, first and last start: at most 69 apart) of the phrases of one text's bytes; none if it has fewer than 100."""
     none = np.empty(0, np.int64)
     out = [(none, none, none, none)]
     n = len(data)
@@ -78,7 +78,8 @@ def phrases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         t = trigger[low]
         end = high + LENGTH
         key = _mix(first.spans(low, end) + (t - low).astype(np.uint64)) ^ second.spans(low, end) * np.uint64(3)
-        out.append((gram[t].view(np.int64), key.view(np.int64), low + begin, high + begin))
+        # 44 bits of the trigger hash group phrases well enough; which of them are equal is for the other hash
+        out.append(((gram[t] >> np.uint64(20)).view(np.int64), key.view(np.int64), low + begin, high + begin))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -92,23 +93,23 @@ def _parse(docs: DataFrame) -> DataFrame:
             found = [phrases(b) for b in _bytes(batch.column("text"))]
             keys = np.repeat(batch.column("k").to_numpy(zero_copy_only=False), [len(x[0]) for x in found])
             t, p, low, high = (np.concatenate([x[i] for x in found]) if found else np.empty(0, np.int64) for i in range(4))
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(p), pa.array(keys, pa.int64()), pa.array(low.astype(np.int32)), pa.array((high - low).astype(np.int8))], ["t", "p", "k", "low", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(p), pa.array(keys, pa.int64()), pa.array(low << 7 | (high - low))], ["t", "p", "k", "at"])
 
-    return docs.select("k", "text").mapInArrow(run, "t long, p long, k long, low int, more byte")
+    return docs.select("k", "text").mapInArrow(run, "t long, p long, k long, at long")
 
 
 def _compared(parsed: DataFrame) -> DataFrame:
-    """Rows (k, low, more, t) of phrases that matter: t null for a later copy of a phrase, all of whose strings are repeats; else the trigger
+    """Rows (k, at, t) of phrases that matter: t null for a later copy of a phrase, all of whose strings are repeats; else the trigger
     hash, for the first of each phrase where several phrases have it. Rows come sorted, so only the last is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row: t, p, k, low, more, whether it is its trigger's first row, whether that one still waits for another phrase
-        names = ("t", "p", "k", "low", "more")
+        held = None  # the last row: t, p, k, at; and the first row of its trigger if that still waits for another phrase
+        names = ("t", "p", "k", "at")
         for batch in batches:
             cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
             if held is not None:
                 cols = [np.concatenate([[h], c]) for h, c in zip(held[0], cols, strict=True)]
-            t, p, k, low, more = cols
+            t, p, k, at = cols
             if not len(t):
                 continue
             new_t = np.concatenate([[True], t[1:] != t[:-1]])
@@ -125,7 +126,7 @@ def _compared(parsed: DataFrame) -> DataFrame:
                 if several[0] and waiting is not None:
                     extra.append(waiting)
             take = np.flatnonzero(out)
-            rows = [k[take], low[take], more[take], t[take]]
+            rows = [k[take], at[take], t[take]]
             rows = [np.concatenate([r, np.array([x[i] for x in extra], np.int64)]) for i, r in enumerate(rows)]
             copy = np.concatenate([kind[take] == 1, np.zeros(len(extra), bool)])
             last = group[-1]
@@ -133,12 +134,12 @@ def _compared(parsed: DataFrame) -> DataFrame:
             if several[last]:
                 waiting = None
             elif start > 0 or held is None:
-                waiting = (k[start], low[start], more[start], t[start])
+                waiting = (k[start], at[start], t[start])
             held = (tuple(c[-1] for c in cols), waiting)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1].astype(np.int32)), pa.array(rows[2].astype(np.int8)), pa.array(rows[3], mask=copy)], ["k", "low", "more", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2], mask=copy)], ["k", "at", "t"])
 
-    dealt = parsed.repartition(partitions(parsed.sparkSession), "t").sortWithinPartitions("t", "p", "k", "low")
-    return dealt.mapInArrow(run, "k long, low int, more byte, t long")
+    dealt = parsed.repartition(partitions(parsed.sparkSession), "t").sortWithinPartitions("t", "p", "k", "at")
+    return dealt.mapInArrow(run, "k long, at long, t long")
 
 
 def _with_text(texts: DataFrame, flags: DataFrame) -> DataFrame:
@@ -148,11 +149,11 @@ def _with_text(texts: DataFrame, flags: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for k, b, rows in zip(batch.column("k").to_pylist(), _bytes(batch.column("text")), batch.column("rows").to_pylist(), strict=True):
-                out += [(r["t"], k, r["low"], b[r["low"] : r["low"] + r["more"] + LENGTH].tobytes()) for r in rows]
+                out += [(r["t"], k, r["at"] >> 7, b[r["at"] >> 7 : (r["at"] >> 7) + (r["at"] & 127) + LENGTH].tobytes()) for r in rows]
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["t", "k", "low", "e"])
 
-    rows = flags.filter("t is not null").groupBy("k").agg(F.collect_list(F.struct("t", "low", "more")).alias("rows"))
+    rows = flags.filter("t is not null").groupBy("k").agg(F.collect_list(F.struct("t", "at")).alias("rows"))
     return texts.join(rows, "k").select("k", "text", "rows").mapInArrow(run, "t long, k long, low int, e binary")
 
 
@@ -255,7 +256,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # texts are shuffled once; both joins take them from there
     texts = keyed.repartition(partitions(spark), "k")
     flags = _compared(_parse(keyed))
-    runs = _repeats(_with_text(texts, flags)).unionByName(flags.filter("t is null").select("k", "low", F.col("more").cast("int").alias("more")))
+    runs = _repeats(_with_text(texts, flags)).unionByName(flags.filter("t is null").selectExpr("k", "int(shiftright(at, 7)) low", "int(at & 127) more"))
     return _cut(texts, runs)
 
 
