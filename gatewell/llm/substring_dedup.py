@@ -93,7 +93,12 @@ def _parse(docs: DataFrame) -> DataFrame:
             found = [phrases(b) for b in _bytes(batch.column("text"))]
             keys = np.repeat(batch.column("k").to_numpy(zero_copy_only=False), [len(x[0]) for x in found])
             t, p, low, high = (np.concatenate([x[i] for x in found]) if found else np.empty(0, np.int64) for i in range(4))
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(p), pa.array(keys, pa.int64()), pa.array(low << 7 | (high - low))], ["t", "p", "k", "at"])
+            at = low << 7 | (high - low)
+            # of a phrase's places in a batch only the first may be its first place: the others are copies, which no trigger needs to gather
+            order = np.lexsort((at, keys, p, t))
+            copy = np.zeros(len(t), bool)
+            copy[order[1:]] = (t[order][1:] == t[order][:-1]) & (p[order][1:] == p[order][:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(t, mask=copy), pa.array(p), pa.array(keys, pa.int64()), pa.array(at)], ["t", "p", "k", "at"])
 
     return docs.select("k", "text").mapInArrow(run, "t long, p long, k long, at long")
 
@@ -106,6 +111,10 @@ def _compared(parsed: DataFrame) -> DataFrame:
         held = None  # the last row: t, p, k, at; and the first row of its trigger if that still waits for another phrase
         names = ("t", "p", "k", "at")
         for batch in batches:
+            known = batch.filter(batch.column("t").is_null())
+            if known.num_rows:
+                yield known.select(["k", "at", "t"])
+            batch = batch.filter(batch.column("t").is_valid())
             cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
             if held is not None:
                 cols = [np.concatenate([[h], c]) for h, c in zip(held[0], cols, strict=True)]
@@ -138,7 +147,7 @@ def _compared(parsed: DataFrame) -> DataFrame:
             held = (tuple(c[-1] for c in cols), waiting)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2], mask=copy)], ["k", "at", "t"])
 
-    dealt = parsed.repartition(partitions(parsed.sparkSession), "t").sortWithinPartitions("t", "p", "k", "at")
+    dealt = parsed.repartition(partitions(parsed.sparkSession), F.coalesce("t", "k")).sortWithinPartitions("t", "p", "k", "at")
     return dealt.mapInArrow(run, "k long, at long, t long")
 
 
