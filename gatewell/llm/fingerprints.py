@@ -145,7 +145,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def fingerprint_neighbours(docs: DataFrame, per_bucket: int = 5000) -> DataFrame:
+def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints each text and its edited text, whose second half is the start of the next document's text.
 
     The next document has the next smaller doc_id (nulls last, equal ids by text); after the last comes the
@@ -159,7 +159,7 @@ def fingerprint_neighbours(docs: DataFrame, per_bucket: int = 5000) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.filter("doc_id is not null").select("doc_id")
     rows = ids.count()
-    buckets = max(1, -(-rows // per_bucket), min(4 * partitions(spark), rows // 50))
+    buckets = max(1, min(4 * partitions(spark), rows // 50))  # several to a partition, so that partitions are alike
     found = ids.selectExpr(f"percentile_approx(doc_id, array({', '.join(repr((i + 1) / buckets) for i in range(buckets))}), {20 * buckets}) b").first()
     bounds = sorted({*(found.b or [])}, reverse=True)  # the largest id is among them: it heads the first bucket
     if not bounds:
@@ -174,7 +174,7 @@ def fingerprint_neighbours(docs: DataFrame, per_bucket: int = 5000) -> DataFrame
     first = placed.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("bound"))).groupBy("head", "doc_id").agg(F.min("text").alias("text"))
     guests = first.select("doc_id", "text", ((F.col("head") + n - 1) % n).cast("int").alias("bucket"), F.lit(1).alias("guest"))
     both = placed.select("doc_id", "text", "bucket", F.lit(0).alias("guest")).unionByName(guests)
-    dealt = both.repartition(max(partitions(spark), min(n, 4 * partitions(spark))), "bucket")
+    dealt = both.repartition(partitions(spark), "bucket")
     ordered = dealt.sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
     return ordered.select("bucket", "doc_id", "text").mapInArrow(_pairs, _SCHEMA)
 

@@ -128,6 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 2_500, features: int =
     worth = 2 * F.col("np") * F.log(rate_p / rate_u) + 2 * (size[1] - F.col("np")) * F.log((1 - rate_p + 1e-9) / (1 - rate_u + 1e-9))
     told = counts.filter("np >= 2").withColumn("worth", worth).filter(rate_p > 1.5 * rate_u).filter(F.col("worth") > least_worth).orderBy(F.desc("worth"), "f").limit(features).select("f").collect()
     names = [r.f for r in told]
+    if not names:  # nothing tells the classes apart: the prior is all there is
+        return Toxicity({}, float(np.log(prior / (1 - prior))))
     at = {f: i for i, f in enumerate(names)}
     x = {k: [] for k in (0, 1)}
     # of each sampled document the driver gets only which of the `features` features it has
