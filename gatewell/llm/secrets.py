@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewell.llm.common import bounded_sample, small_batches, table
+from gatewell.llm.common import bounded_sample, small_batches, stored, table
 
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -43,7 +45,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _slot(feature: str) -> int:
-    return int.from_bytes(hashlib.blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big") % DIM
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % DIM
 
 
 def shape_features(token: str) -> list[int]:
@@ -107,37 +109,65 @@ class Tagger:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.tables = np.zeros((1024, 3, LABELS))
+        # of each token, nine emissions (shape, next, last by label) and three largest margins over outside
+        self.tables, self.margins = array("d"), array("d")
+        self.words: dict[tuple[int, bool], list[float]] = {}
+        self.rows = self.crf.emit.tolist()
+        self.sides = [[self.rows[_slot(f"{where} alpha {alpha}")] for alpha in (False, True)] for where in ("next", "last")]
 
     def _number(self, token: str) -> int:
-        k = len(self.at)
-        if k >= len(self.tables):
-            self.tables = np.concatenate([self.tables, np.zeros_like(self.tables)])
-        for j, slots in enumerate((shape_features(token), beside_features(token, "next"), beside_features(token, "last"))):
-            self.tables[k, j] = self.crf.emit[slots].sum(0)
+        k, alpha = len(self.at), token.isalpha()
+        if alpha and len(token) < 40:  # most tokens are plain words, of a few shapes
+            kind = min(len(token), 24) // 4, token.isupper()
+            shape = self.words.get(kind)
+            if shape is None:
+                shape = self.words[kind] = self.crf.emit[shape_features(token)].sum(0).tolist()
+        else:
+            shape = self.crf.emit[shape_features(token)].sum(0).tolist()
+        name = token.lower() if len(token) < 12 else "long"
+        a, b, i = shape
+        (c, d, j), (p, q, r) = self.rows[_slot(f"next {name}")], self.sides[0][alpha]
+        (e, f, l), (x, y, z) = self.rows[_slot(f"last {name}")], self.sides[1][alpha]  # noqa: E741
+        c, d, j, e, f, l = c + p, d + q, j + r, e + x, f + y, l + z  # noqa: E741
+        self.tables.extend((a, b, i, c, d, j, e, f, l))
+        self.margins.extend((max(b, i) - a, max(d, j) - c, max(f, l) - e))
         self.at[token] = k
         return k
 
-    def emissions(self, ts: list[str], file: int) -> np.ndarray:
+    def numbers(self, ts: list[str]) -> np.ndarray:
         if len(self.at) + len(ts) > self.room:
             self.clear()
         get = self.at.get
-        ids = np.array([k if (k := get(t)) is not None else self._number(t) for t in ts], np.int64)
-        e = self.tables[ids, 0] + self.crf.emit[file]
+        return np.array([k if (k := get(t)) is not None else self._number(t) for t in ts], np.int64)
+
+    def emissions(self, ts: list[str], file: int) -> np.ndarray:
+        ids = self.numbers(ts)
+        t = np.frombuffer(self.tables).reshape(-1, 3, LABELS)
+        e = t[ids, 0] + self.crf.emit[file]
         # what a token says of the one before it (it is its next) and after it (it is its last)
-        e[:-1] += self.tables[ids[1:], 1]
-        e[1:] += self.tables[ids[:-1], 2]
+        e[:-1] += t[ids[1:], 1]
+        e[1:] += t[ids[:-1], 2]
         return e
 
+    def doubtful(self, ts: list[str], file: int) -> np.ndarray:
+        """The tokens that may be other than outside: the sum of the largest margins of their parts is within what neighbours can make up for."""
+        ids, o = self.numbers(ts), self.crf.emit[file]
+        t = np.frombuffer(self.margins).reshape(-1, 3)
+        m = t[ids, 0] + (max(o[1], o[2]) - o[0])
+        m[:-1] += t[ids[1:], 1]
+        m[1:] += t[ids[:-1], 2]
+        return np.flatnonzero(m >= -self.slack - 1e-9)
+
     def spans(self, text: str) -> list[tuple[int, int]]:
         """The spans of begin and the insides that follow, over all tokens. Tokens that are outside on any best path cut the chain, which leaves the result of Viterbi as it is."""
         ts = _TOKEN.findall(text)
         if not ts:
             return []
-        e = self.emissions(ts, file_features(text))
-        maybe = np.flatnonzero(e[:, 0] - e[:, 1:].max(1) <= self.slack)
+        file = file_features(text)
+        maybe = self.doubtful(ts, file)
         if not len(maybe):
             return []
+        e = self.emissions(ts, file)
         runs = np.split(maybe, np.flatnonzero(np.diff(maybe) > 1) + 1)
         tagged = {}
         for run in runs:
@@ -233,11 +263,13 @@ def fit_crf(windows: list, rounds: int = 60, rate: float = 0.2, ridge: float = 1
 
 
 def train(docs: DataFrame, rows: int = 600) -> CRF:
-    """Fits on at most `rows` texts in which a base pattern is found and as many others, bounded samples by hash of the whole table; equal texts count once."""
+    """Fits on at most `rows` texts that may hold a base pattern and as many others, bounded samples by hash of the whole table; equal texts count once."""
     small_batches(docs.sparkSession)
     text = docs.filter("text is not null").select("text", F.xxhash64("text").alias("h"))
-    likely = F.col("text").rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")
-    hashes = text.withColumn("hit", likely).select("h", "hit").distinct()
+    likely = F.col("text").rlike("[0-9a-f]{24}")
+    for stem in ("AKIA", "password", "passwd", "secret", "token", "api"):
+        likely |= F.col("text").contains(stem)
+    hashes = stored(text.select("h", likely.alias("hit")).distinct(), "hits")
     chosen = bounded_sample(hashes.filter("hit"), ["h"], rows).unionByName(bounded_sample(hashes.filter("not hit"), ["h"], rows))
     # of a long text the driver gets what stands around its first secrets, or its first part
     found = text.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).orderBy("h")
