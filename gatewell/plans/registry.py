@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.gates", "operators.checks", "operators.cube", "operators.baseline", "operators.forecast", "operators.regress", "operators.sample", "operators.panel", "operators.geo", "operators.leaks", "streaming.windows")
+MODULES = ("sources.files", "operators.gates", "operators.checks", "operators.cube", "operators.baseline", "operators.forecast", "operators.regress", "operators.sample", "operators.panel", "operators.geo", "operators.leaks", "streaming.windows")
 
 
 def _modules():
