@@ -82,7 +82,6 @@ def mix(docs: DataFrame, block: int | None = None, seed: int = 10, per_bucket: i
     targets; a table with more sources is refused, as a weight for each is part of the recipe.
     """
     spark = docs.sparkSession
-    # rows that agree in doc_id, source and size are alike to the mix: counted together, each has the same share of what their place gets
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("row"))
     sized = stored(sized, "sizes")  # texts are read once
     by_source = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(max_sources + 1).collect()
