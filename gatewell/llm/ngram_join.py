@@ -23,7 +23,7 @@ from gatewell.llm.graph import components
 WORDS, PERCENT = 5, 80
 #: Ratio of the largest to the least size of a band, and shingles a partition for the largest size.
 RATIO, LOAD = 2, 1.5
-CLASSES = 64
+CLASSES = 128
 _ODD = tuple(np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(WORDS))
 
 
@@ -183,7 +183,7 @@ def _shared(signed: DataFrame) -> DataFrame:
 
 def _classes(s: np.ndarray) -> np.ndarray:
     """How many shingles of a set are in each class of the domain."""
-    return np.minimum(np.bincount((s >> np.uint64(64 - CLASSES.bit_length() + 1)).astype(np.int64), minlength=CLASSES), 65535).astype(np.uint16)
+    return np.minimum(np.bincount((s >> np.uint64(64 - CLASSES.bit_length() + 1)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8)
 
 
 def _possible(n: np.ndarray, m: np.ndarray, k: np.ndarray, l: np.ndarray) -> np.ndarray:  # noqa: E741
@@ -192,7 +192,7 @@ def _possible(n: np.ndarray, m: np.ndarray, k: np.ndarray, l: np.ndarray) -> np.
 
 
 def _counts(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, CLASSES).astype(np.int32)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
 
 
 def _plausible(pairs: DataFrame, traits: DataFrame) -> DataFrame:
