@@ -100,8 +100,8 @@ def _sums(starts: np.ndarray, keys: np.ndarray, weights: np.ndarray, ts: np.ndar
     return np.bincount(keys[at], weights[at], minlength=n)
 
 
-def search(index: Index, text: str | None, threshold: float) -> list[tuple[int, float, int, int]]:
-    """All items that a passage of the text reaches the threshold with: item number, best score, and that passage's first and last token.
+def search(index: Index, text: str | None, threshold: float) -> Iterator[tuple[int, float, int, int]]:
+    """All items and passages of the text that reach the threshold with each other: item number, score, and the passage's first and last token.
 
     Passages are twice as long as the longest item, and begin every item length, so each run of tokens as long as an item is in one.
     """
@@ -111,8 +111,8 @@ def search(index: Index, text: str | None, threshold: float) -> list[tuple[int,
     at = np.flatnonzero(ids >= 0)
     n_blocks = -(-len(index.ids) // index.block)
     if not len(at) or (_sums(index.block_starts, index.blocks, index.block_weights, np.unique(ids[at]), n_blocks) < threshold).all():
-        return []
-    step, found = index.window // 2, {}
+        return
+    step = index.window // 2
     for begin in range(0, max(1, len(ts) - step), step):
         here = at[np.searchsorted(at, begin) : np.searchsorted(at, begin + index.window)]
         if not len(here):
@@ -124,19 +124,28 @@ def search(index: Index, text: str | None, threshold: float) -> list[tuple[int,
         # terms that live in no block left are not looked at
         score = _sums(index.starts, index.items, index.weights, held, len(index.ids))
         for i in np.flatnonzero(score >= threshold):
-            if score[i] > found.get(i, (0.0,))[0]:
-                found[int(i)] = (float(score[i]), begin, min(len(ts), begin + index.window))
-    return [(i, *x) for i, x in sorted(found.items())]
+            yield int(i), float(score[i]), begin, min(len(ts), begin + index.window)
 
 
-def verify(index: Index, item: int, ts: list[str]) -> tuple[float, float]:
-    """The shares of the question's and of the answer's three-word runs that the passage holds."""
+def verify(index: Index, item: int, held: set[tuple[str, ...]]) -> tuple[float, float]:
+    """The shares of the question's and of the answer's three-word runs that a passage holds, given its runs of up to three words."""
     question, answer = index.parts[item]
-    held = {n: {tuple(ts[i : i + n]) for i in range(len(ts) - n + 1)} for n in {len(g) for p in (question, answer) for g in p}}
-    share = lambda p: sum(g in held[len(g)] for g in p) / max(1, len(p))
+    share = lambda p: sum(g in held for g in p) / max(1, len(p))
     return share(question), share(answer)
 
 
+def verified(index: Index, text: str | None, threshold: float, overlap: float) -> Iterator[tuple[int, float, float, float]]:
+    """Item number, score and both overlaps of each passage that reaches the threshold with an item, and `overlap` with its parts."""
+    ts, at, held = None, None, set()
+    for i, score, begin, end in search(index, text, threshold) if index.ids else ():
+        ts = ts or tokens(text)
+        if at != begin:
+            at, held = begin, set().union(*(grams(ts[begin:end], n) for n in (1, 2, 3)))
+        q, a = verify(index, i, held)
+        if min(q, a) >= overlap:
+            yield i, score, q, a
+
+
 def indexes(benchmark: DataFrame, items_each: int = 20_000) -> Iterator[Index]:
     """The benchmark in indexes of at most `items_each` items, each small enough to go to all tasks."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
@@ -149,6 +158,7 @@ def indexes(benchmark: DataFrame, items_each: int = 20_000) -> Iterator[Index]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.5) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) for each document and item where a passage reaches the threshold, and both overlaps `overlap`.
 
+    Every passage that reaches the threshold is verified; of those that pass, the one of the best score, then overlaps, is reported.
     Null and empty texts hold nothing; repeated rows are found each; with an empty benchmark or no documents there
     are no rows. A large benchmark is searched in shards of bounded size, all documents against each.
     """
@@ -165,21 +175,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, ov
 
 def _searcher(shared, threshold: float, overlap: float, keep_clean: bool):
     def leaks(index: Index, text: str | None) -> list[tuple]:
-        hits, ts = search(index, text, threshold) if index.ids else [], None
-        out = []
-        for i, score, begin, end in hits:
-            ts = ts or tokens(text)
-            q, a = verify(index, i, ts[begin:end])
-            if min(q, a) >= overlap:
-                out.append((index.ids[i], score, q, a))
-        return out
+        best: dict[int, tuple] = {}
+        for i, score, q, a in verified(index, text, threshold, overlap):
+            best[i] = max(best.get(i, (0.0, 0.0, 0.0, 0.0)), (score, min(q, a), q, a))
+        return [(index.ids[i], score, q, a) for i, (score, _, q, a) in sorted(best.items())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
             if keep_clean:
-                yield batch.filter(pa.array([not leaks(index, t) for t in texts], pa.bool_()))
+                yield batch.filter(pa.array([next(verified(index, t, threshold, overlap), None) is None for t in texts], pa.bool_()))
                 continue
             found = [(d, *x) for d, t in zip(batch.column("doc_id").to_pylist(), texts, strict=True) for x in leaks(index, t)]
             columns = list(zip(*found, strict=True)) or [[]] * 5

@@ -160,6 +160,16 @@ def test_decontamination(spark, texts):
     assert decontamination.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_every_passage_above_the_threshold_is_verified(spark):
+    item = "the cat that sat on the mat saw a dog run home. it was a small grey dog with one ear."
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    scattered = " ".join(sorted(decontamination.tokens(item)))
+    docs = frame(spark, [(1, f"{scattered} {'x ' * 300} {item}"), (2, scattered), (3, f"{item} {'x ' * 300} {scattered}")])
+    found = decontamination.find_leaks(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.question_overlap, r.answer_overlap) for r in found) == [(1, 7, 1.0, 1.0), (3, 7, 1.0, 1.0)]
+    assert {r.doc_id for r in decontamination.drop_leaks(docs, bench).collect()} == {2}
+
+
 def test_block_bounds_never_hide_an_item():
     rng = np.random.default_rng(7)
     words = [f"w{i}" for i in range(60)]
