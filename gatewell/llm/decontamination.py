@@ -23,6 +23,8 @@ from gatewell.llm.common import small_batches, table
 
 _TOKEN = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
+#: One changed word takes three runs of three words, more than half of those of a part of under eight words.
+TELLING = 8
 
 
 def tokens(text: str | None) -> list[str]:
@@ -58,7 +60,7 @@ class Index:
     block_weights: np.ndarray
     block: int
     window: int
-    parts: list[tuple[set, set]]
+    parts: list[tuple[set, set, set, bool, bool]]
     bare: float
 
 
@@ -89,7 +91,8 @@ def build_index(items: list[tuple[int, str]], block: int = 8) -> Index:
     first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (i[1:] // block != i[:-1] // block)])) if len(t) else np.empty(0, int)
     largest = np.maximum.reduceat(w, first) if len(t) else w
     window = 2 * max(map(len, lists), default=1)
-    parts = [tuple(grams(p) for p in question_and_answer(x)) for _, x in items]
+    split = [question_and_answer(x) for _, x in items]
+    parts = [(grams(q), grams(a), grams(ts), len(q) >= TELLING, len(a) >= TELLING) for ts, (q, a) in zip(lists, split, strict=True)]
     return Index(terms, [k for k, _ in items], starts, i, w, np.searchsorted(t[first], np.arange(len(terms) + 1)), i[first] // block, largest, block, window, parts, 0.0)
 
 
@@ -127,22 +130,31 @@ def search(index: Index, text: str | None, threshold: float) -> Iterator[tuple[i
             yield int(i), float(score[i]), begin, min(len(ts), begin + index.window)
 
 
-def verify(index: Index, item: int, held: set[tuple[str, ...]]) -> tuple[float, float]:
-    """The shares of the question's and of the answer's three-word runs that a passage holds, given its runs of up to three words."""
-    question, answer = index.parts[item]
+def verify(index: Index, item: int, held: set[tuple[str, ...]], overlap: float, sure: float = 0.75) -> tuple[float, float, bool]:
+    """The shares of the question's and of the answer's three-word runs that a passage holds, given its runs of up to three words; and whether it holds the item.
+
+    It does if both shares reach `overlap`. Where a part has too few words to tell, as one changed word or its absence
+    may take all its runs, it also does if it holds `overlap` of the whole item's runs and a high share, `sure`, of the
+    other part's; if neither part tells, `sure` of the whole item's.
+    """
+    question, answer, whole, asks, answers = index.parts[item]
     share = lambda p: sum(g in held for g in p) / max(1, len(p))
-    return share(question), share(answer)
+    q, a = share(question), share(answer)
+    if min(q, a) >= overlap or asks and answers:
+        return q, a, min(q, a) >= overlap
+    all_runs = share(whole)
+    return q, a, all_runs >= overlap and (q if asks else a if answers else all_runs) >= sure
 
 
 def verified(index: Index, text: str | None, threshold: float, overlap: float) -> Iterator[tuple[int, float, float, float]]:
-    """Item number, score and both overlaps of each passage that reaches the threshold with an item, and `overlap` with its parts."""
+    """Item number, score and both overlaps of each passage that reaches the threshold with an item and holds it."""
     ts, at, held = None, None, set()
     for i, score, begin, end in search(index, text, threshold) if index.ids else ():
         ts = ts or tokens(text)
         if at != begin:
             at, held = begin, set().union(*(grams(ts[begin:end], n) for n in (1, 2, 3)))
-        q, a = verify(index, i, held)
-        if min(q, a) >= overlap:
+        q, a, holds = verify(index, i, held, overlap)
+        if holds:
             yield i, score, q, a
 
 
@@ -158,6 +170,7 @@ def indexes(benchmark: DataFrame, items_each: int = 20_000) -> Iterator[Index]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.5) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) for each document and item where a passage reaches the threshold, and both overlaps `overlap`.
 
+    An item whose question or answer is too short to tell is found without that part by a high share of the rest (see `verify`).
     Every passage that reaches the threshold is verified; of those that pass, the one of the best score, then overlaps, is reported.
     Null and empty texts hold nothing; repeated rows are found each; with an empty benchmark or no documents there
     are no rows. A large benchmark is searched in shards of bounded size, all documents against each.

@@ -170,6 +170,16 @@ def test_every_passage_above_the_threshold_is_verified(spark):
     assert {r.doc_id for r in decontamination.drop_leaks(docs, bench).collect()} == {2}
 
 
+@pytest.mark.parametrize("answer,edited,telling", [("the long river.", "the short river.", False), ("it is the long river.", "it is a long river.", False), (" ".join(f"w{i}" for i in range(20)), "", True)])
+def test_a_last_sentence_too_short_to_tell_may_be_edited_or_missing(answer, edited, telling):
+    question = "which of the rivers that rise in northern hills carries most water to a sea in spring"
+    index = decontamination.build_index([(0, f"{question}? {answer}"), (1, "an item of quite other words stands here. and so it goes on until its end.")])
+    holds = lambda text: {i for i, *_ in decontamination.verified(index, f"{'x ' * 50} {text} {'y ' * 50}", 0.3, 0.5)}
+    assert holds(f"{question}? {answer}") == {0} and holds(" ".join(question.split()[:9])) == set()
+    for copy in (f"{question}? {edited}", question, f"{question.replace('hills', 'fells')} {edited}"):
+        assert holds(copy) == (set() if telling else {0})
+
+
 def test_block_bounds_never_hide_an_item():
     rng = np.random.default_rng(7)
     words = [f"w{i}" for i in range(60)]
