@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewell.llm.common import small_batches, table
+from gatewell.llm.common import small_batches, stored, table
 
 _TOKEN = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
@@ -64,18 +64,37 @@ class Index:
     bare: float
 
 
-def build_index(items: list[tuple[int, str]], block: int = 8) -> Index:
-    """The index of (item_id, text). Items without tokens can't be found and are left out; equal texts keep their own ids."""
+@dataclass
+class Counts:
+    """What BM25 needs of all items of a benchmark: items with tokens, their tokens and the tokens of the longest; and items by term, of these terms at least that are asked for."""
+
+    items: int
+    tokens: int
+    longest: int
+    df: dict[str, int]
+
+
+def count(lists: Iterable[list[str]]) -> Counts:
+    out = Counts(0, 0, 0, {})
+    for ts in lists:
+        if ts:
+            out.items, out.tokens, out.longest = out.items + 1, out.tokens + len(ts), max(out.longest, len(ts))
+            for t in set(ts):
+                out.df[t] = out.df.get(t, 0) + 1
+    return out
+
+
+def build_index(items: list[tuple[int, str]], block: int = 8, counts: Counts | None = None) -> Index:
+    """The index of (item_id, text). Items without tokens can't be found and are left out; equal texts keep their own ids.
+
+    `counts` are those of the whole benchmark, if the items are only a part of it.
+    """
     items = sorted((i, x) for i, x in ((i, text) for i, text in items if text) if tokens(x))
     lists = [tokens(x) for _, x in items]
-    n = len(lists)
-    mean = sum(map(len, lists)) / max(1, n)
-    df: dict[str, int] = {}
-    for ts in lists:
-        for t in set(ts):
-            df[t] = df.get(t, 0) + 1
-    terms = {t: k for k, t in enumerate(sorted(df))}
-    idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
+    counts = counts or count(lists)
+    n, mean = counts.items, counts.tokens / max(1, counts.items)
+    terms = {t: k for k, t in enumerate(sorted({t for ts in lists for t in ts}))}
+    idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in ((t, counts.df[t]) for t in terms)}
     rows = []
     for i, ts in enumerate(lists):
         tf: dict[str, int] = {}
@@ -90,7 +109,7 @@ def build_index(items: list[tuple[int, str]], block: int = 8) -> Index:
     starts = np.searchsorted(t, np.arange(len(terms) + 1))
     first = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (i[1:] // block != i[:-1] // block)])) if len(t) else np.empty(0, int)
     largest = np.maximum.reduceat(w, first) if len(t) else w
-    window = 2 * max(map(len, lists), default=1)
+    window = 2 * max(1, counts.longest)
     split = [question_and_answer(x) for _, x in items]
     parts = [(grams(q), grams(a), grams(ts), len(q) >= TELLING, len(a) >= TELLING) for ts, (q, a) in zip(lists, split, strict=True)]
     return Index(terms, [k for k, _ in items], starts, i, w, np.searchsorted(t[first], np.arange(len(terms) + 1)), i[first] // block, largest, block, window, parts, 0.0)
@@ -158,29 +177,56 @@ def verified(index: Index, text: str | None, threshold: float, overlap: float) -
             yield i, score, q, a
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """(shard, term, n) over rows (shard, text): items by term, in the shard. The null term of a shard comes with its items, tokens and longest item too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists: dict[int, list] = {}
+            for k, text in zip(batch.column("shard").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                lists.setdefault(k, []).append(tokens(text))
+            out = []
+            for k, c in ((k, count(x)) for k, x in lists.items()):
+                out += [(k, None, c.items, c.tokens, c.longest), *((k, t, m, 0, 0) for t, m in c.df.items())]
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["shard", "term", "n", "tokens", "longest"])
+
+    counted = rows.select("shard", "text").mapInArrow(run, "shard long, term string, n long, tokens long, longest long")
+    return counted.groupBy("shard", "term").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.max("longest").alias("longest"))
+
+
 def indexes(benchmark: DataFrame, items_each: int = 20_000) -> Iterator[Index]:
-    """The benchmark in indexes of at most `items_each` items, each small enough to go to all tasks."""
+    """The benchmark in indexes of at most about `items_each` items, each small enough to go to all tasks. All weigh terms, and cut passages, by the counts of the whole benchmark."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
     shards = max(1, -(-rows.count() // items_each))
+    if shards == 1:
+        yield build_index([(r.item_id, r.text) for r in rows.collect()])
+        return
+    rows = stored(rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))), "items")
+    by_shard = stored(_counted(rows), "terms")
+    whole = by_shard.filter("term is null").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.max("longest").alias("longest")).first()
+    df = stored(by_shard.filter("term is not null").groupBy("term").agg(F.sum("n").alias("n")), "terms")
     for k in range(shards):
-        mine = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        yield build_index([(r.item_id, r.text) for r in mine.collect()])
+        mine = by_shard.filter((F.col("shard") == k) & F.col("term").isNotNull()).select("term").join(df, "term").collect()
+        items = rows.filter(F.col("shard") == k).collect()
+        yield build_index([(r.item_id, r.text) for r in items], counts=Counts(whole.n, whole.tokens, whole.longest, {r.term: r.n for r in mine}))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.5) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.5, items_each: int = 20_000) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) for each document and item where a passage reaches the threshold, and both overlaps `overlap`.
 
     An item whose question or answer is too short to tell is found without that part by a high share of the rest (see `verify`).
     Every passage that reaches the threshold is verified; of those that pass, the one of the best score, then overlaps, is reported.
     Null and empty texts hold nothing; repeated rows are found each; with an empty benchmark or no documents there
-    are no rows. A large benchmark is searched in shards of bounded size, all documents against each.
+    are no rows. A benchmark of more than `items_each` items is searched in shards, all documents against each; the rows are the same.
     """
     spark = docs.sparkSession
     small_batches(spark)
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, items_each):
         found = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(index), threshold, overlap, False), schema)
         out = found if out is None else out.unionByName(found)
     return out

@@ -180,6 +180,17 @@ def test_a_last_sentence_too_short_to_tell_may_be_edited_or_missing(answer, edit
         assert holds(copy) == (set() if telling else {0})
 
 
+def test_shards_of_a_benchmark_give_the_rows_of_the_whole(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(words, int(rng.integers(8, 40)), p=np.arange(1, 301) / 45150))) for i in range(60)] + [(60, "?!")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, [(i, f"{' '.join(rng.choice(words, 60))} {' '.join(x.split()[: int(rng.integers(4, 40))])} {' '.join(rng.choice(words, 60))}") for i, x in items[:60]])
+    whole = sorted(map(tuple, decontamination.find_leaks(docs, bench).collect()))
+    assert 10 < len(whole) < 60
+    assert sorted(map(tuple, decontamination.find_leaks(docs, bench, items_each=10).collect())) == whole
+
+
 def test_block_bounds_never_hide_an_item():
     rng = np.random.default_rng(7)
     words = [f"w{i}" for i in range(60)]
