@@ -48,7 +48,7 @@ def grams(ts: list[str], n: int = 3) -> set[tuple[str, ...]]:
 
 @dataclass
 class Index:
-    """Postings by term, in items' order: items and weights from starts[t] to starts[t + 1]; and the same by block, with the largest weights."""
+    """Postings by term, in items' order: items and weights from starts[t] to starts[t + 1]; and the same by block, with the largest weights, and the first of a block's postings."""
 
     terms: dict[str, int]
     ids: list[int]
@@ -58,6 +58,7 @@ class Index:
     block_starts: np.ndarray
     blocks: np.ndarray
     block_weights: np.ndarray
+    block_firsts: np.ndarray
     block: int
     window: int
     parts: list[tuple[set, set, set, bool, bool]]
@@ -112,14 +113,19 @@ def build_index(items: list[tuple[int, str]], block: int = 8, counts: Counts | N
     window = 2 * max(1, counts.longest)
     split = [question_and_answer(x) for _, x in items]
     parts = [(grams(q), grams(a), grams(ts), len(q) >= TELLING, len(a) >= TELLING) for ts, (q, a) in zip(lists, split, strict=True)]
-    return Index(terms, [k for k, _ in items], starts, i, w, np.searchsorted(t[first], np.arange(len(terms) + 1)), i[first] // block, largest, block, window, parts, 0.0)
+    return Index(terms, [k for k, _ in items], starts, i, w, np.searchsorted(t[first], np.arange(len(terms) + 1)), i[first] // block, largest, np.append(first, len(t)), block, window, parts, 0.0)
 
 
-def _sums(starts: np.ndarray, keys: np.ndarray, weights: np.ndarray, ts: np.ndarray, n: int) -> np.ndarray:
-    """The sum of weights by key over the postings of terms ts."""
-    low, count = starts[ts], starts[ts + 1] - starts[ts]
-    at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    return np.bincount(keys[at], weights[at], minlength=n)
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [low, high), one range after the other."""
+    count = high - low
+    return np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def _bounds(index: Index, ts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The block postings of terms ts, and the sum of their largest weights by block."""
+    at = _ranges(index.block_starts[ts], index.block_starts[ts + 1])
+    return at, np.bincount(index.blocks[at], index.block_weights[at], minlength=-(-len(index.ids) // index.block))
 
 
 def search(index: Index, text: str | None, threshold: float) -> Iterator[tuple[int, float, int, int]]:
@@ -131,8 +137,7 @@ def search(index: Index, text: str | None, threshold: float) -> Iterator[tuple[i
     get = index.terms.get
     ids = np.array([get(t, -1) for t in ts], np.int64)
     at = np.flatnonzero(ids >= 0)
-    n_blocks = -(-len(index.ids) // index.block)
-    if not len(at) or (_sums(index.block_starts, index.blocks, index.block_weights, np.unique(ids[at]), n_blocks) < threshold).all():
+    if not len(at) or (_bounds(index, np.unique(ids[at]))[1] < threshold).all():
         return
     step = index.window // 2
     for begin in range(0, max(1, len(ts) - step), step):
@@ -140,11 +145,13 @@ def search(index: Index, text: str | None, threshold: float) -> Iterator[tuple[i
         if not len(here):
             continue
         held = np.unique(ids[here])
-        bound = _sums(index.block_starts, index.blocks, index.block_weights, held, n_blocks)
-        if (bound < threshold).all():
+        lists, bound = _bounds(index, held)
+        lists = lists[bound[index.blocks[lists]] >= threshold]
+        if not len(lists):
             continue
-        # terms that live in no block left are not looked at
-        score = _sums(index.starts, index.items, index.weights, held, len(index.ids))
+        # only postings in blocks that may reach the threshold are looked at
+        posts = _ranges(index.block_firsts[lists], index.block_firsts[lists + 1])
+        score = np.bincount(index.items[posts], index.weights[posts], minlength=len(index.ids))
         for i in np.flatnonzero(score >= threshold):
             yield int(i), float(score[i]), begin, min(len(ts), begin + index.window)
 

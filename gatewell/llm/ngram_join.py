@@ -1,10 +1,11 @@
-"""N-gram Jaccard self-join by PartEnum signatures (operator 7).
+"""N-gram Jaccard self-join by partition signatures under a prefix filter, in place of PartEnum's subsets (operator 7).
 
 Sizes of sets are cut into bands, and for each band the domain of shingles is cut into partitions. Sets with Jaccard
 of at least t and sizes a and b differ in at most d = (a + b) (1 - t) / (1 + t) shingles, so their projections differ on
-at most d partitions. Of the enumerated subsets of partitions each set signs the d + 1 with the rarest contents that it
-is not empty on, in one order for all sets: the first one in that order on which two such sets agree is among the
-first d + 1 of each. So similar sets of a band, or of neighbouring bands, share a signature, and no link is lost.
+at most d partitions. PartEnum signs with subsets of second-level partitions; here no subsets are enumerated. Each set signs
+with single partitions: of those that it is not empty on, the d + 1 with the rarest contents, in one order for all sets
+(with single shingles besides if there are fewer). The first one in that order on which two such sets agree is among
+the first d + 1 of each. So similar sets of a band, or of neighbouring bands, share a signature, and no link is lost.
 """
 
 from __future__ import annotations

@@ -206,6 +206,12 @@ def test_block_bounds_never_hide_an_item():
         assert {i for i, *_ in decontamination.search(index, text, 0.5)} == set(np.flatnonzero(full >= 0.5).tolist())
 
 
+def test_items_of_blocks_below_the_bound_are_not_scored():
+    index = decontamination.build_index([(i, f"a b c{i} d{i} e{i} f{i}") for i in range(8)], block=4)
+    index.weights[index.items >= 4] = np.inf
+    assert {i for i, *_ in decontamination.search(index, "a b c1 d1 e1 f1", 0.6)} == {1}
+
+
 def test_quality_on_held_out_labels(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = [r for r in quality.op6_quality(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in labels]
