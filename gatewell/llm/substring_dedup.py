@@ -5,7 +5,9 @@ Each text is parsed by triggers of a rolling hash: a 100-byte string belongs to
 bytes, so each 100-byte string is in exactly one. Equal strings have equal triggers at equal places, so they lie in
 phrases of one trigger hash. The dictionary has each distinct phrase once, at its first place in the corpus: strings of
 any later copy of a phrase are repeats. Among distinct phrases of one trigger hash a suffix array, to a depth of 100,
-brings equal strings together, and the parse, that is the phrases' places, puts each group in corpus order.
+brings equal strings together, and the parse, that is the phrases' places, puts each group in corpus order. A trigger with
+many distinct phrases, as at the edges of a passage that many documents share, has a second level: each string goes by its
+own 128-bit hash, and a grouped minimum finds its first place, so no trigger's texts meet in one task.
 Phrases whose trigger hash is nowhere else, which in most text are nearly all, are done with without their text.
 """
 
@@ -19,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewell.llm.common import partitions, small_batches, table
+from gatewell.llm.common import partitions, small_batches, stored, table
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
+#: Distinct phrases of one trigger that are compared in one task; the strings of a trigger with more are compared by their own hashes.
+HOT = 4096
 #: Bytes of text that are parsed at a time; 26 bits hold a position within it.
 BLOCK = 1 << 22
 _BASES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1))
@@ -103,9 +107,37 @@ def _parse(docs: DataFrame) -> DataFrame:
     return docs.select("k", "text").mapInArrow(run, "t long, p long, k long, at long")
 
 
-def _compared(parsed: DataFrame) -> DataFrame:
-    """Rows (k, at, t) of phrases that matter: t null for a later copy of a phrase, all of whose strings are repeats; else the trigger
-    hash, for the first of each phrase where several phrases have it. Rows come sorted, so only the last is held."""
+def _marked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (k, at, t), those of a t standing together, with `hot`: whether t has more than `most` rows. At most as many rows wait."""
+    names = ("k", "at", "t")
+    batch_of = lambda k, at, t, hot, known=None: pa.RecordBatch.from_arrays([pa.array(k), pa.array(at), pa.array(t, mask=known), pa.array(hot)], [*names, "hot"])
+    waiting = [np.empty(0, np.int64)] * 3
+    hot_t = None  # the trigger that was last found hot
+    for batch in batches:
+        known = batch.filter(batch.column("t").is_null())
+        if known.num_rows:
+            k, at = (known.column(c).to_numpy() for c in ("k", "at"))
+            yield batch_of(k, at, np.zeros(len(k), np.int64), np.zeros(len(k), bool), np.ones(len(k), bool))
+        batch = batch.filter(batch.column("t").is_valid())
+        k, at, t = (np.concatenate([w, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for w, c in zip(waiting, names, strict=True))
+        if not len(t):
+            continue
+        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        count = np.diff(np.append(start, len(t)))
+        hot = np.repeat((count > most) | (t[start] == hot_t if hot_t is not None else False), count)
+        if hot[-1]:
+            hot_t, end = t[-1], len(t)
+        else:
+            end = start[-1]
+        yield batch_of(k[:end], at[:end], t[:end], hot[:end])
+        waiting = [k[end:], at[end:], t[end:]]
+    yield batch_of(*waiting, np.zeros(len(waiting[0]), bool))
+
+
+def _compared(parsed: DataFrame, most: int) -> DataFrame:
+    """Rows (k, at, t, hot) of phrases that matter: t null for a later copy of a phrase, all of whose strings are repeats; else the trigger
+    hash, for the first of each phrase where several phrases have it, and whether more than `most` have. Rows come sorted, so only the
+    last, and those of which this isn't known yet, are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row: t, p, k, at; and the first row of its trigger if that still waits for another phrase
@@ -136,8 +168,8 @@ def _compared(parsed: DataFrame) -> DataFrame:
                     extra.append(waiting)
             take = np.flatnonzero(out)
             rows = [k[take], at[take], t[take]]
-            rows = [np.concatenate([r, np.array([x[i] for x in extra], np.int64)]) for i, r in enumerate(rows)]
-            copy = np.concatenate([kind[take] == 1, np.zeros(len(extra), bool)])
+            rows = [np.concatenate([np.array([x[i] for x in extra], np.int64), r]) for i, r in enumerate(rows)]
+            copy = np.concatenate([np.zeros(len(extra), bool), kind[take] == 1])
             last = group[-1]
             start = int(np.flatnonzero(group == last)[0])
             if several[last]:
@@ -148,7 +180,7 @@ def _compared(parsed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2], mask=copy)], ["k", "at", "t"])
 
     dealt = parsed.repartition(partitions(parsed.sparkSession), F.coalesce("t", "k")).sortWithinPartitions("t", "p", "k", "at")
-    return dealt.mapInArrow(run, "k long, at long, t long")
+    return dealt.mapInArrow(lambda batches: _marked(run(batches), most), "k long, at long, t long, hot boolean")
 
 
 def _with_text(texts: DataFrame, flags: DataFrame) -> DataFrame:
@@ -166,6 +198,36 @@ def _with_text(texts: DataFrame, flags: DataFrame) -> DataFrame:
     return texts.join(rows, "k").select("k", "text", "rows").mapInArrow(run, "t long, k long, low int, e binary")
 
 
+def _hot_repeats(texts: DataFrame, flags: DataFrame) -> DataFrame:
+    """(k, low, more) of strings that start earlier as well, among the phrases in flags. Strings are told by 128 bits of their hashes.
+
+    Each string goes by its own hash, in no task with the others of its trigger; of equal strings only a minimum is
+    gathered, aggregated before the shuffle. Keys of the anti join are places, so a common string is no hot key there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, b, rows in zip(batch.column("k").to_pylist(), _bytes(batch.column("text")), batch.column("rows").to_pylist(), strict=True):
+                for begin in range(0, len(rows), 1024):
+                    h, g, low = [], [], []
+                    for r in rows[begin : begin + 1024]:
+                        at, more = r["at"] >> 7, r["at"] & 127
+                        span = b[at : at + more + LENGTH]
+                        here = np.arange(more + 1)
+                        first, second = (Prefixes(span, i).spans(here, here + LENGTH) for i in (0, 1))
+                        h.append(_mix(first))
+                        g.append(_mix(second))
+                        low.append(here + at)
+                    h, g = (np.concatenate(x).view(np.int64) for x in (h, g))
+                    low = np.concatenate(low).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(np.full(len(h), k, np.int64)), pa.array(low)], ["h", "g", "k", "low"])
+
+    rows = flags.groupBy("k").agg(F.collect_list("at").alias("at")).select("k", F.transform("at", lambda x: F.struct(x.alias("at"))).alias("rows"))
+    strings = stored(texts.join(rows, "k").select("k", "text", "rows").mapInArrow(run, "h long, g long, k long, low int"), "strings")
+    firsts = strings.groupBy("h", "g").agg(F.min(F.struct("k", "low")).alias("m")).select("h", "g", "m.k", "m.low")
+    return strings.join(firsts, ["h", "g", "k", "low"], "left_anti").select("k", "low", F.lit(0).alias("more"))
+
+
 def suffix_ranks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Ranks of the 100-byte strings at `starts` in data, equal for equal strings: a suffix array cut at a depth of 100, by prefix doubling."""
     padded = np.concatenate([data, np.zeros(LENGTH, np.uint8)]).astype(np.uint64)
@@ -246,7 +308,7 @@ def _cut(texts: DataFrame, runs: DataFrame) -> DataFrame:
     return whole.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, most: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left) for each row.
 
     A null text counts as empty; texts under 100 bytes stay whole; matches never cross documents. Documents stand in order of doc_id;
@@ -264,9 +326,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         keyed = spark.createDataFrame(placed, "doc_id long, text string, k long")
     # texts are shuffled once; both joins take them from there
     texts = keyed.repartition(partitions(spark), "k")
-    flags = _compared(_parse(keyed))
-    runs = _repeats(_with_text(texts, flags)).unionByName(flags.filter("t is null").selectExpr("k", "int(shiftright(at, 7)) low", "int(at & 127) more"))
-    return _cut(texts, runs)
+    flags = stored(_compared(_parse(keyed), most), "flags")
+    runs = _repeats(_with_text(texts, flags.filter("not hot"))).unionByName(flags.filter("t is null").selectExpr("k", "int(shiftright(at, 7)) low", "int(at & 127) more"))
+    hot = flags.filter("hot")
+    return _cut(texts, runs if hot.isEmpty() else runs.unionByName(_hot_repeats(texts, hot)))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,30 @@ def test_substring_dedup(spark, texts):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in found)
 
 
+def test_hot_triggers_are_settled_by_strings(spark):
+    rng = np.random.default_rng(6)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
+    passage = letters(400)
+    rows = [(i, letters(150) + passage + letters(150)) for i in range(40)] + [(40 + i, letters(300)) for i in range(5)] + [(50, passage[:130]), (51, None), (52, "ab" * 200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    flags = substring_dedup._compared(substring_dedup._parse(docs.selectExpr("doc_id k", "coalesce(text, '') text")), 3).filter("t is not null").collect()
+    by = collections.Counter((r.t, r.hot) for r in flags)
+    assert max(n for (_, hot), n in by.items() if hot) > 30 and all((n > 3) == hot for (_, hot), n in by.items())
+    for most in (3, 1 << 20):
+        found = substring_dedup.remove_repeats(docs, most).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == repeats(rows)
+
+
+def test_marks_hold_over_batches():
+    import pyarrow as pa
+
+    t = [None, 1, 2, 2, None, 2, 2, 2, 3, 3, 4, 4, 4, 4, 5]
+    for size in (1, 2, 3, 7, 20):
+        tab = pa.table({"k": pa.array(range(len(t)), pa.int64()), "at": pa.array([7] * len(t), pa.int64()), "t": pa.array(t, pa.int64())})
+        rows = [r for b in substring_dedup._marked(iter(tab.to_batches(max_chunksize=size)), 3) for r in b.to_pylist()]
+        assert sorted((r["k"], r["t"], r["hot"]) for r in rows) == [(k, x, x in (2, 4)) for k, x in enumerate(t)]
+
+
 def test_suffix_ranks_are_ranks_of_strings():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
