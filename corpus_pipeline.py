@@ -20,14 +20,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7; of each component the document with the least doc_id stays, and of rows that share it the one with the least text."""
-    groups = ngram_join.link_documents(docs)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull() & F.col("component_id").isNull())
-    ids = kept.select(F.col("doc_id").alias("__id")).distinct()
-    mine = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
-    # rows that share an id or have none are told apart by their text; with ids of their own, none of this shuffles text
+    """Operator 7; of each component the row with the least doc_id stays, nulls last, and of rows that share it the one with the least hash; equal rows are one."""
     odd = docs.select("doc_id").groupBy("doc_id").count().filter("count > 1 or doc_id is null")
-    return mine if odd.isEmpty() else mine.dropDuplicates(["doc_id", "text"])
+    if odd.isEmpty():
+        kept = ngram_join.link_documents(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__key"))
+        return docs.join(kept, docs["doc_id"] == kept["__key"], "left_semi")
+    # ids don't tell rows apart: rows are linked by a key of id and text
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    keyed = docs.withColumn("__key", key)
+    groups = ngram_join.link_documents(keyed.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    ids = keyed.select("__key", "doc_id").distinct()
+    least = ids.join(groups, "__key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__key")).alias("row"))
+    return keyed.join(least.select("row.__key"), "__key", "left_semi").drop("__key").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,3 +31,16 @@ def test_stages(spark):
     poor = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 0").collect()}
     assert not poor & {r.doc_id for r in after}
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, after))
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k, tag="w": " ".join([*(w.replace("w", tag) for w in base), f"end{k}"])
+    rows = [(None, near(0)), (None, near(1)), (None, near(1)), (None, "a text of its own stands here")]  # a group of null ids alone
+    rows += [(5, near(0, "x")), (5, near(1, "x")), (3, near(2, "x")), (None, near(3, "x"))]  # 3 is least
+    rows += [(5, "quite another text that shares the id"), (7, near(0, "y")), (7, near(1, "y")), (8, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int")
+    after = corpus_pipeline.keep_one_copy(spark, docs, SF)
+    assert after.columns == docs.columns
+    kept = [(r.doc_id, (r.text or "")[:2]) for r in after.collect()]
+    assert sorted(kept, key=repr) == sorted([(None, "w0"), (None, "a "), (3, "x0"), (5, "qu"), (7, "y0"), (8, ""), (9, "")], key=repr)
