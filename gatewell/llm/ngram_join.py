@@ -25,6 +25,8 @@ WORDS, PERCENT = 5, 80
 #: Ratio of the largest to the least size of a band, and shingles a partition for the largest size.
 RATIO, LOAD = 2, 1.5
 CLASSES = 128
+#: Sets of one signature that meet in one task, and shingles of a family that do; what is more is dealt in blocks.
+MOST, ROOM = 4096, 1 << 22
 _ODD = tuple(np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(WORDS))
 
 
@@ -101,7 +103,7 @@ def signatures(s: np.ndarray, common: np.ndarray, level: np.ndarray) -> np.ndarr
 
 
 def _sets(docs: DataFrame, columns: str, make) -> DataFrame:
-    """mapInArrow over (doc_id, text): make(doc_id, text, shingler) gives rows of `columns`."""
+    """mapInArrow over the columns of docs: make(*values, shingler) gives rows of `columns`."""
     small_batches(docs.sparkSession)
     names = [c.split()[0] for c in columns.split(", ")]
     types = {"long": pa.int64(), "binary": pa.binary()}
@@ -110,7 +112,7 @@ def _sets(docs: DataFrame, columns: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            parts = [make(d, t, shingler) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            parts = [make(*values, shingler) for values in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             join = lambda xs: np.concatenate(xs) if xs and isinstance(xs[0], np.ndarray) else [x for y in xs for x in y]
             columns = [join([p[k] for p in parts]) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
@@ -124,10 +126,10 @@ def _common(docs: DataFrame, most: int = 200_000, share: int = 16) -> tuple[np.n
     At most `most` of the commonest go to all tasks.
     """
 
-    def make(_, text, shingler):
+    def make(text, shingler):
         return (shingler.shingles(text).view(np.int64),)
 
-    sample = docs.filter(F.pmod(F.xxhash64(F.lit("common"), "doc_id"), F.lit(share)) == 0)
+    sample = docs.filter(F.pmod(F.xxhash64(F.lit("common"), "doc_id"), F.lit(share)) == 0).select("text")
     counts = _sets(sample, "s long", make).groupBy("s").count().filter("count >= 3")
     rows = counts.orderBy(F.desc("count"), "s").limit(most).toPandas()
     s = rows["s"].to_numpy(np.int64).view(np.uint64)
@@ -156,10 +158,10 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, n
 
 
 def _shared(signed: DataFrame) -> DataFrame:
-    """(sig, u, leader) for the rows of signatures that several sets share; the leader is the least u. Rows come sorted, so no group is gathered."""
+    """(sig, u) for the rows of signatures that several sets share. Rows come sorted, so no group is gathered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row so far: signature, set, leader, and whether it is given out
+        held = None  # the last row so far: signature, set, and whether it is given out
         for batch in batches:
             sig, u = (batch.column(c).to_numpy() for c in ("sig", "u"))
             if held is not None:
@@ -169,17 +171,14 @@ def _shared(signed: DataFrame) -> DataFrame:
             if not len(sig):
                 continue
             new = np.concatenate([[True], sig[1:] != sig[:-1]])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))
-            leader = u[first]
             out = ~new | np.concatenate([~new[1:], [False]])
             if held is not None:
-                leader[first == 0] = held[2]
-                out[0] &= not held[3]
-            given = held[3] if held is not None and len(sig) == 1 else bool(out[-1])
-            held = sig[-1], u[-1], leader[-1], given
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (sig, u, leader)], ["sig", "u", "leader"])
+                out[0] &= not held[2]
+            given = held[2] if held is not None and len(sig) == 1 else bool(out[-1])
+            held = sig[-1], u[-1], given
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (sig, u)], ["sig", "u"])
 
-    return _by_key(signed, "sig", ["u"], run, "sig long, u long, leader long")
+    return _by_key(signed, "sig", ["u"], run, "sig long, u long")
 
 
 def _classes(s: np.ndarray) -> np.ndarray:
@@ -196,92 +195,169 @@ def _counts(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
 
 
-def _plausible(pairs: DataFrame, traits: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and class counts don't rule them out."""
-    both = pairs.join(traits.select(F.col("u").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka")), "a").join(traits.select(F.col("u").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = _possible(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), _counts(batch.column("ka")), _counts(batch.column("kb")))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return both.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long")
+def _trees(count: int, near) -> np.ndarray:
+    """For each of `count` sets the first set of its connected component, where near(i, others) tells which of the others are i's neighbours.
 
+    Only sets that are in no component yet are asked about, so a group whose members are near its first one takes one question.
+    """
+    first, left = np.arange(count), np.arange(1, count)
+    waiting = [0]
+    while len(left):
+        if not waiting:
+            waiting.append(left[0])
+            left = left[1:]
+            continue
+        i = waiting.pop()
+        met = near(i, left)
+        first[left[met]] = first[i]
+        waiting.extend(left[met])
+        left = left[~met]
+    return first
 
-def _sets_of(rows: DataFrame, firsts: DataFrame, pairs: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """u and the set's members, for the sets in pairs at least. Which texts are read for it is told by a filter of fixed size over
-    doc_ids, so texts aren't shuffled; what it lets through besides is left out by the join that follows."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct()
-    ids = firsts.join(nodes, "u", "left_semi").select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("bit"))
-    filled = np.zeros(bits // 8, np.uint8)
-    words = ids.groupBy((F.col("bit") / 8).cast("int").alias("byte")).agg(F.expr("bit_or(shiftleft(1, int(bit % 8)))").alias("bits")).toPandas()
-    filled[words["byte"].to_numpy(np.int64)] = words["bits"].to_numpy(np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(filled)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for batch in batches:
-            bit = batch.column("bit").to_numpy()
-            wanted = batch.filter(pa.array(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1))
-            sets = [s for s in map(shingler.shingles, wanted.column("text").to_pylist()) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["u", "s"])
+def _distinct_groups(shared: DataFrame) -> DataFrame:
+    """(sig, m): of the signatures that the very same sets share, one, and how many sets it has. Groups are told apart by 128 bits of their members' hashes."""
+    mark = [F.bit_xor(F.xxhash64(F.lit(i), "u")).alias(f"x{i}") for i in range(2)]
+    return shared.groupBy("sig").agg(F.count("*").alias("m"), *mark).groupBy("m", "x0", "x1").agg(F.min("sig").alias("sig")).select("sig", "m")
 
-    found = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("bit"), "text").mapInArrow(run, "u long, s binary")
-    return stored(found.dropDuplicates(["u"]), "sets")
 
+def _families(shared: DataFrame, traits: DataFrame, most: int) -> DataFrame:
+    """Edges (a, b) that connect all sets which share a signature and are not ruled out by size and class counts: at most one for each row, never one for each pair.
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets with 100 * intersection >= 80 * union."""
-    left = pairs.join(sets.select(F.col("u").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("u").alias("b"), F.col("s").alias("sb")), "b")
+    A signature of more than `most` sets is dealt in blocks; each two blocks meet in a task of their own.
+    """
+    groups = shared.join(_distinct_groups(shared), "sig")
+    blocks = F.ceil(F.col("m") / most).cast("int")
+    own = F.pmod(F.xxhash64(F.lit("block"), "u"), blocks).cast("int")
+    cell = lambda x: F.when(blocks == 1, F.col("sig")).otherwise(F.xxhash64("sig", F.least(x, own), F.greatest(x, own)))
+    dealt = groups.select("u", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), cell)).alias("g")).join(traits, "u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "g"):
+            g, u, n = (group.column(x).to_numpy() for x in ("g", "u", "n"))
+            k = _counts(group.column("k"))
+            new = np.concatenate([[True], g[1:] != g[:-1]])
+            head = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
+            near = _possible(n, n[head], k, k[head])
+            first = np.where(near, head, np.arange(len(g)))
+            # where one is not near the first of three or more, the others have to be asked
+            starts = np.flatnonzero(new)
+            size = np.diff(np.append(starts, len(g)))
+            for low in starts[(size > 2) & ~np.logical_and.reduceat(near, starts)]:
+                high = low + size[np.searchsorted(starts, low)]
+                c, x = n[low:high], k[low:high]
+                first[low:high] = low + _trees(high - low, lambda i, others: _possible(c[others], c[i], x[others], x[i]))  # noqa: B023
+            out = first != np.arange(len(g))
+            yield pa.RecordBatch.from_arrays([pa.array(u[first[out]]), pa.array(u[out])], ["a", "b"])
+
+    return _by_key(dealt.select("g", "u", "n", "k"), "g", ["u"], run, "a long, b long")
+
+
+def _linked(sets: list[np.ndarray]) -> np.ndarray:
+    """For each of some sets the first set of its component by links; sets are sorted, and links verified."""
+    size = np.array([len(s) for s in sets])
+    kinds = np.stack([_classes(s) for s in sets]).astype(np.int16)
+    words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)])
+    held = np.zeros(len(words), np.int64)
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        met = _possible(size[others], size[i], kinds[others], kinds[i])
+        held[ids[start[i] : start[i + 1]]] = 1
+        for x in np.flatnonzero(met):
+            j = others[x]
+            both = int(held[ids[start[j] : start[j + 1]]].sum())
+            met[x] = 100 * both >= PERCENT * (size[i] + size[j] - both)
+        held[ids[start[i] : start[i + 1]]] = 0
+        return met
+
+    return _trees(len(sets), near)
+
+
+def _verified(rows: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all linked sets of each group: dealt has u, g (its group) and row (which text has it). Sets are shipped once for each place in dealt."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both_ = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * both_ >= PERCENT * (len(x) + len(y) - both_))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            out = []
+            for text, us, gs in zip(*(batch.column(c).to_pylist() for c in ("text", "us", "gs")), strict=True):
+                s = shingler.shingles(text)
+                key = set_key(s) if len(s) else None
+                for u, g in zip(us, gs, strict=True):
+                    if u == key and (u, g) not in shingler.seen:  # of equal sets in a task one goes
+                        shingler.seen.add((u, g))
+                        out.append((g, u, s.tobytes()))
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["g", "u", "s"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "g"):
+            g, u, s = group.column("g").to_numpy(), group.column("u").to_numpy(), group.column("s").combine_chunks()
+            once = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (u[1:] != u[:-1])]))
+            g, u = g[once], u[once]
+            sets = [np.frombuffer(s[int(i)].as_buffer(), np.uint64) for i in once]
+            starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            first = np.concatenate([low + _linked(sets[low:high]) for low, high in zip(starts, [*starts[1:], len(g)], strict=True)])
+            out = first != np.arange(len(g))
+            yield pa.RecordBatch.from_arrays([pa.array(u[first[out]]), pa.array(u[out])], ["a", "b"])
 
+    places = dealt.groupBy("row").agg(F.collect_list("u").alias("us"), F.collect_list("g").alias("gs"))
+    found = rows.withColumn("row", _row()).join(places, "row").select("text", "us", "gs").mapInArrow(make, "g long, u long, s binary")
+    return _by_key(found, "g", ["u"], run, "a long, b long")
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Candidate pairs of sets that share a signature and are not linked yet: rows are sig, u, c (component), n (size), k (counts by class); pairs that those rule out are left out."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, "sig"):
-            sig, u, c, n = (group.column(x).to_numpy() for x in ("sig", "u", "c", "n"))
-            k = _counts(group.column("k"))
-            starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            out = []
-            for low, high in zip(starts, [*starts[1:], len(sig)], strict=True):
-                for i in range(low, high - 1):
-                    j = np.flatnonzero(c[i + 1 : high] != c[i]) + i + 1
-                    j = j[_possible(n[j], n[i], k[j], k[i])]
-                    out.append(np.stack([np.minimum(u[j], u[i]), np.maximum(u[j], u[i])], 1))
-            pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+def _row():
+    """Which row a text is in; null ids and repeated ones are told by their texts."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
 
-    return _by_key(rows, "sig", [], run, "a long, b long")
 
+def _family_links(rows: DataFrame, members: DataFrame, room: int, seeds: int = 4) -> DataFrame:
+    """Links (a, b) that connect all linked sets of each family: members has u, n, row and f (its family).
 
-def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    A family of more than `room` shingles is dealt in blocks, each with the same few seeds, so that what links to a seed
+    is one component in all of them. Of such a family the sets outside its largest component are then held against every block.
+    """
+    pick = [F.min(F.struct(F.xxhash64(F.lit(i), "u").alias("h"), "u", "row")).alias(f"s{i}") for i in range(seeds)]
+    size = members.groupBy("f").agg(F.ceil(F.sum("n") / room).cast("int").alias("blocks"), *pick)
+    own = F.pmod(F.xxhash64(F.lit("block"), "u"), F.col("blocks")).cast("int")
+    placed = stored(members.join(size.select("f", "blocks"), "f").withColumn("block", own), "members")
+    cell = lambda *x: F.when(F.col("blocks") == 1, F.col("f")).otherwise(F.xxhash64("f", *x))
+    whole = placed.select("row", "u", cell("block").alias("g"))
+    large = stored(size.filter("blocks > 1"), "large")
+    if large.isEmpty():
+        return stored(_verified(rows, whole), "links")
+    spread = large.select("f", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.explode(F.array(*[F.col(f"s{i}") for i in range(seeds)])).alias("s"))
+    sown = whole.unionByName(spread.select("s.row", "s.u", cell("block").alias("g"))).distinct()
+    links = stored(_verified(rows, sown), "links")
+    named = placed.filter("blocks > 1").join(components(links), F.col("u") == F.col("node"), "left").withColumn("c", F.coalesce("component", "u")).drop("node", "component")
+    named = stored(named, "named")
+    main = named.groupBy("f", "c").agg(F.count("*").alias("m")).groupBy("f").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
+    apart = named.join(main, "f").filter("c != main")
+    rounds = apart.groupBy("f").agg(F.ceil(F.sum("n") / room).cast("int").alias("rounds"))
+    turn = F.pmod(F.xxhash64(F.lit("turn"), "u"), F.col("rounds")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    anchors = named.join(rounds, "f").withColumn("turn", every("rounds"))
+    probes = apart.join(rounds, "f").withColumn("turn", turn).drop("block").withColumn("block", every("blocks"))
+    grid = anchors.select("row", "u", cell("block", "turn").alias("g")).unionByName(probes.select("row", "u", cell("block", "turn").alias("g"))).distinct()
+    return links.unionByName(stored(_verified(rows, grid), "links"))
+
+
+def similar_sets(docs: DataFrame, most: int = MOST, room: int = ROOM) -> tuple[DataFrame, DataFrame]:
     """(documents, components): doc_id, n_shingles and u, the key of its set (null if empty), for each row; and (node, component) of the sets that link to others.
 
-    Stages: equal sets are one node, u. Sets sign; signatures that one set alone has are dropped. Each set is verified with one
-    leader; then, in the groups where several components are left, all pairs between them are, except those that counts by class rule out.
+    Stages: equal sets are one node, u. Sets sign; signatures that one set alone has are dropped. Sets that share one and may be
+    similar by size and class counts are connected to families, and each family's sets, shipped once, are verified where they meet.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def describe(d, text, shingler):
+    def describe(d, row, text, shingler):
         s = shingler.shingles(text)
-        return [d], [len(s)], [set_key(s) if len(s) else None], [_classes(s).tobytes()]
+        return [d], [row], [len(s)], [set_key(s) if len(s) else None], [_classes(s).tobytes()]
 
     common = docs.sparkSession.sparkContext.broadcast(_common(rows))
 
-    def sign(_, text, shingler):
+    def sign(text, shingler):
         s = shingler.shingles(text)
         u = set_key(s)
         if not len(s) or u in shingler.seen:  # of equal sets in a task one signs
@@ -290,32 +366,23 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         x = signatures(s, *common.value).view(np.int64)
         return x, np.full(len(x), u)
 
-    documents = stored(_sets(rows, "doc_id long, n_shingles long, u long, k binary", describe), "documents")
-    # one row of each set signs; of copies the one with the least id
-    firsts = documents.filter("u is not null").groupBy("u").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("doc_id"))
-    traits = documents.filter("u is not null").select("u", F.col("n_shingles").alias("n"), "k").dropDuplicates(["u"])
-    shared = stored(_shared(_sets(rows, "sig long, u long", sign)), "shared")
-    votes = shared.filter("u != leader").groupBy("u", "leader").count()
-    best = votes.groupBy("u").agg(F.max_by("leader", F.struct("count", "leader")).alias("a")).select("a", F.col("u").alias("b"))
-    best = stored(_plausible(best, traits), "leaders")
-    links = stored(_verified(best, _sets_of(rows, firsts, best)), "links")
-    labels = components(links)
-    label = F.coalesce("component", "u").alias("c")
-    named = shared.join(labels, shared["u"] == labels["node"], "left").select("sig", "u", label)
-    mixed = named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("sig")
-    open_ = named.join(mixed, "sig", "left_semi").join(traits, "u")
-    pairs = stored(_across(open_.select("sig", "u", "c", "n", "k")).distinct(), "pairs")
-    more = _verified(pairs, _sets_of(rows, firsts, pairs))
-    return documents, components(links.unionByName(more))
-
-
-def link_documents(docs: DataFrame) -> DataFrame:
+    documents = stored(_sets(rows.select("doc_id", _row().alias("row"), "text"), "doc_id long, row long, n_shingles long, u long, k binary", describe), "documents")
+    # one row of each set stands for it
+    traits = documents.filter("u is not null").groupBy("u").agg(F.min(F.struct("row", F.col("n_shingles").alias("n"), "k")).alias("x")).select("u", "x.*")
+    traits = stored(traits, "traits")
+    shared = stored(_shared(_sets(rows.select("text"), "sig long, u long", sign)), "shared")
+    families = components(_families(shared, traits.select("u", "n", "k"), most))
+    members = traits.select("u", "n", "row").join(families.select(F.col("node").alias("u"), F.col("component").alias("f")), "u")
+    return documents, components(_family_links(rows, members, room))
+
+
+def link_documents(docs: DataFrame, most: int = MOST, room: int = ROOM) -> DataFrame:
     """doc_id, n_shingles and component_id, the least doc_id reachable by links, for each row.
 
     Texts that are null, empty or blank have no shingles and link with nothing; repeated rows are nodes with equal sets, and
     link; a null doc_id takes part, and is the component's id only if all are null. Other columns are ignored.
     """
-    documents, parts = similar_sets(docs)
+    documents, parts = similar_sets(docs, most, room)
     whole = documents.join(parts, documents["u"] == parts["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "u").alias("c"))
     least = whole.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return whole.join(least, "c", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
