@@ -1,11 +1,13 @@
-"""N-gram Jaccard self-join by partition signatures under a prefix filter, in place of PartEnum's subsets (operator 7).
-
-Sizes of sets are cut into bands, and for each band the domain of shingles is cut into partitions. Sets with Jaccard
-of at least t and sizes a and b differ in at most d = (a + b) (1 - t) / (1 + t) shingles, so their projections differ on
-at most d partitions. PartEnum signs with subsets of second-level partitions; here no subsets are enumerated. Each set signs
-with single partitions: of those that it is not empty on, the d + 1 with the rarest contents, in one order for all sets
-(with single shingles besides if there are fewer). The first one in that order on which two such sets agree is among
-the first d + 1 of each. So similar sets of a band, or of neighbouring bands, share a signature, and no link is lost.
+"""N-gram Jaccard self-join by PartEnum signatures (operator 7).
+
+Sizes of sets are cut into bands. For each band the domain of shingles is cut into first-level partitions, and each of
+those into three second-level ones, of which all subsets of two are enumerated: a subset's signature is a hash of the
+shingles that the set has in it. Sets with Jaccard of at least t and sizes a and b differ in at most d = (a + b) (1 - t) / (1 + t)
+shingles, and each of these changes two subsets, so of a set's signatures at most 2 d are none of the other's. A set signs with
+the first 2 d + 1 of its subsets that aren't empty, in one order for all sets that depends on what a subset holds (with a
+rare shingle first): the first one that two such sets share is among those of each. A set with too few such subsets, as small
+ones may have, signs by single shingles besides, of which d + 1 do. So similar sets of a band, or of neighbouring bands,
+share a signature, and no link is lost.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from gatewell.llm.common import partitions, small_batches, stored, table
 from gatewell.llm.graph import components
 
 WORDS, PERCENT = 5, 80
-#: Ratio of the largest to the least size of a band, and shingles a partition for the largest size.
-RATIO, LOAD = 2, 1.5
+#: Ratio of the largest to the least size of a band, and shingles a first-level partition for the largest size.
+RATIO, LOAD = 2, 5
 CLASSES = 128
 #: Sets of one signature that meet in one task, and shingles of a family that do; what is more is dealt in blocks.
 MOST, ROOM = 4096, 1 << 22
@@ -82,26 +84,46 @@ def signatures(s: np.ndarray, common: np.ndarray, level: np.ndarray) -> np.ndarr
     n = len(s)
     if not n:
         return np.empty(0, np.uint64)
-    need = n * (100 - PERCENT) // PERCENT + 1  # sizes a <= b <= 5a/4 differ in (a + b) / 9 <= a / 4 at most
+    most = n * (100 - PERCENT) // PERCENT  # sizes a <= b <= 5a/4 differ in (a + b) / 9 <= a / 4 at most
     at = np.searchsorted(common, s)
-    held = np.zeros(n, np.int64)
+    held = np.zeros(n, np.uint64)
     if len(common):
         at[at == len(common)] = 0
-        held = np.where(common[at] == s, level[at], 0)
+        held = np.where(common[at] == s, level[at], 0).astype(np.uint64)
+    mixed = _mix(s)
     out = []
     for band in bands(n):
+        # first-level partitions, of three second-level ones each
         parts = max(1, int((RATIO ** (band + 1) - 1) / LOAD))
-        where = (s >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)  # sorted, as s is
+        where = ((s >> np.uint64(32)) * np.uint64(3 * parts) >> np.uint64(32)).astype(np.int64)  # sorted, as s is
         first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        ways = [(first, where[first], band)]
-        if len(first) < need:  # too few to be sure of one to agree on, if the other set has too few as well: sign by single shingles besides
-            ways.append((np.arange(n), s, band + 1000))
-        for first, where, salt in ways:
-            content = _mix(np.add.reduceat(_mix(s), first) + where * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
-            out.append(content[np.lexsort((content, np.minimum.reduceat(held, first)))[:need]])
+        content, count, rare = np.zeros(3 * parts, np.uint64), np.zeros(3 * parts, np.uint64), np.full(3 * parts, 63, np.uint64)
+        content[where[first]] = np.add.reduceat(mixed, first)
+        count[where[first]] = np.diff(np.append(first, n)).astype(np.uint64)
+        rare[where[first]] = np.minimum.reduceat(held, first)
+        # all subsets of two second-level partitions: each leaves one of the three out
+        content, count, rare = content.reshape(-1, 3), count.reshape(-1, 3), rare.reshape(-1, 3)
+        content = (content.sum(1, keepdims=True) - content).ravel()
+        count = (count.sum(1, keepdims=True) - count).ravel()
+        rare = np.minimum(rare[:, [1, 0, 0]], rare[:, [2, 2, 1]]).ravel()
+        full = np.flatnonzero(count)
+        subsets = _mix(content[full] + full.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band))
+        need = 2 * most + 1  # a shingle is in two of the subsets of its partition
+        # one order for all sets, by what a subset holds: with a rare shingle, then of many shingles, then by hash
+        out.append(_least(subsets, rare[full], np.minimum(count[full], 7), need))
+        if len(full) < need:  # too few to be sure of one to agree on, if the other set has too few as well: sign by single shingles besides
+            out.append(_least(_mix(mixed + np.uint64(band + 1000)), held, np.ones(n, np.uint64), most + 1))
     return np.concatenate(out)
 
 
+def _least(hashes: np.ndarray, rare: np.ndarray, count: np.ndarray, need: int) -> np.ndarray:
+    """The first `need` of hashes in order of rarity, size and hash."""
+    if len(hashes) <= need:
+        return hashes
+    key = np.minimum(rare, np.uint64(63)) << np.uint64(58) | (np.uint64(7) - count) << np.uint64(55) | hashes >> np.uint64(9)
+    return hashes[np.argpartition(key, need - 1)[:need]]
+
+
 def _sets(docs: DataFrame, columns: str, make) -> DataFrame:
     """mapInArrow over the columns of docs: make(*values, shingler) gives rows of `columns`."""
     small_batches(docs.sparkSession)
