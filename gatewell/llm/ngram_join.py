@@ -324,8 +324,8 @@ def _verified(rows: DataFrame, dealt: DataFrame) -> DataFrame:
             out = first != np.arange(len(g))
             yield pa.RecordBatch.from_arrays([pa.array(u[first[out]]), pa.array(u[out])], ["a", "b"])
 
-    # stored, so that its size is known before texts are read: if it is small, Spark sends it to them, and else texts are dealt by row
-    places = stored(dealt.groupBy("row").agg(F.collect_list("u").alias("us"), F.collect_list("g").alias("gs")), "places")
+    # candidates grow with the corpus, so texts are dealt by row at every size
+    places = dealt.groupBy("row").agg(F.collect_list("u").alias("us"), F.collect_list("g").alias("gs")).hint("merge")
     found = rows.withColumn("row", _row()).join(places, "row").select("text", "us", "gs").mapInArrow(make, "g long, u long, s binary")
     return _by_key(found, "g", ["u"], run, "a long, b long")
 
