@@ -2,12 +2,14 @@
 
 Entities are found by patterns; each distinct entity of the corpus gets one surrogate, made from a keyed hash, of the
 same kind and format: digits for digits in the same places, the country code and a valid check digit kept, letters of
-the same script, names of the gender that the title tells. Surrogates that meet each other or an original of the
+the same script, given names of the gender that the title tells, one family name for all its bearers and where it stands
+alone later, one domain for all addresses of a domain. Surrogates that meet each other or an original of the
 corpus are made anew with the next attempt, so distinct entities stay distinct, and equal ones equal across documents.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,14 +17,16 @@ from pyspark.sql import functions as F
 
 from gatewell.llm.common import stored, table
 
-TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Г-н", "Господин", "Κύριος"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Г-жа", "Госпожа", "Κυρία")}
+TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Г-н", "Господин", "Κύριος"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Г-жа", "Госпожа", "Κυρία"), "n": ("Dr", "Prof", "Professor")}
 EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
-PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}-\d{4}(?![\p{L}\p{N}])"
+PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}-\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}]|\d[.-])\d{3}([.-])\d{3}\1\d{4}(?!\p{L}|\p{N}|[.-]\d)"
+#: Country calling codes by their length: of one digit, and of two; all others have three.
+CODES = (r"^\+([17])", r"^\+(2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])", r"^\+(\d{3})")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\p{{L}}|\p{{N}}|\.\d)"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
-CARD = r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7})(?![\p{L}\p{N}])"
-NAME = r"(?<![\p{L}\p{N}])(?:" + "|".join(TITLES["m"] + TITLES["f"]) + r")\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?(?![\p{L}\p{N}])"
+CARD = r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7})(?![\p{L}\p{N}])"
+NAME = r"(?<![\p{L}\p{N}])(?:" + "|".join(TITLES["m"] + TITLES["f"] + TITLES["n"]) + r")\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?(?![\p{L}\p{N}])"
 ANY = "|".join((EMAIL, PHONE, IP, SSN, CARD, NAME))
 _IS = lambda p: rf"^(?:{p})$"
 
@@ -34,13 +38,15 @@ def _digits(x: Column) -> Column:
 def _parts(m: Column) -> Column:
     """A mention's entities, as an array of struct(kind, norm, raw): one, or the names after a title."""
     entity = lambda kind, norm: F.array(F.struct(F.lit(kind).alias("kind"), norm.alias("norm"), m.alias("raw")))
-    bare = F.regexp_replace(m, r"^\S+ ", "")
-    female = m.rlike("^(?:" + "|".join(TITLES["f"]) + r")\.? ")
-    names = F.transform(F.split(bare, " "), lambda n: F.struct(F.when(female, "name_f").otherwise("name_m").alias("kind"), F.lower(n).alias("norm"), n.alias("raw")))
-    phone = F.concat(F.when(m.startswith("+"), F.concat(F.lit("+"), F.regexp_extract(m, r"^\+(\d{1,3})", 1), F.lit(" "))).otherwise(""), _digits(F.regexp_replace(m, r"^\+\d{1,3}", "")))
+    words = F.split(F.regexp_replace(m, r"^\S+ ", ""), " ")
+    titled = lambda g: m.rlike("^(?:" + "|".join(TITLES[g]) + r")\.? ")
+    given = F.when(titled("f"), "name_f").when(titled("n"), "name").otherwise("name_m")
+    # the last word after a title is a family name, whose bearers may be of any gender
+    names = F.transform(words, lambda n, i: F.struct(F.when(i == F.size(words) - 1, "name").otherwise(given).alias("kind"), F.lower(n).alias("norm"), n.alias("raw")))
+    phone = F.concat(F.when(m.startswith("+"), "+").otherwise(""), _digits(m))
     return (
         F.when(m.contains("@"), entity("email", F.lower(m)))
-        .when(m.rlike(r"^[(+]"), entity("phone", phone))
+        .when(m.rlike(r"^[(+]|^\d{3}[.-]\d{3}[.-]\d{4}$") & ~m.rlike(_IS(IP)), entity("phone", phone))
         .when(m.rlike(_IS(IP)), entity("ip", m))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), entity("ssn", _digits(m)))
         .when(m.rlike(r"^\d"), entity("card", _digits(m)))
@@ -66,10 +72,18 @@ def _script(x: Column, choose) -> Column:
     return F.when(x.rlike(r"\p{IsCyrillic}"), choose("cyrillic")).when(x.rlike(r"\p{IsGreek}"), choose("greek")).otherwise(choose("latin"))
 
 
+def _hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA-256, in hexadecimal digits."""
+    secret = key.encode()
+    secret = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ y for x in secret)) for y in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
 def surrogate(kind: Column, norm: Column, attempt: int, key: str) -> Column:
     """The normal form of an entity's surrogate at an attempt. From the fourth on it may be longer than the original, so that room never runs out."""
-    h = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, norm, F.lit(str(attempt))), 256)
-    h = F.concat(h, F.sha2(F.concat(h, F.lit(key)), 256))
+    h = _hmac(key, F.concat_ws("\x1f", kind, norm, F.lit(str(attempt))))
+    h = F.concat(h, _hmac(key, h))
     numerals = F.translate(h, "abcdef", "927481")
     more = F.substring(numerals, 101, attempt) if attempt > 2 else F.lit("")
     n = F.length(norm)
@@ -80,13 +94,15 @@ def surrogate(kind: Column, norm: Column, attempt: int, key: str) -> Column:
     letters = lambda script: F.translate(h, _HEX, _ALPHABETS[script])
     chosen = _script(local, letters)
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"))
-    pick = lambda a, c: F.when(c.rlike("^[0-9]$"), F.substring(numerals, a["i"], F.lit(1))).when(c.rlike(r"^\p{L}$"), F.substring(chosen, a["i"], F.lit(1))).otherwise(c)
-    mapped = F.aggregate(F.split(F.substring(local, 1, 100), ""), start, lambda a, c: F.struct(F.concat(a["s"], pick(a, c)).alias("s"), (a["i"] + 1).alias("i")))["s"]
+    at = lambda a: (a["i"] - 1) % 100 + 1
+    pick = lambda a, c: F.when(c.rlike("^[0-9]$"), F.substring(numerals, at(a), F.lit(1))).when(c.rlike(r"^\p{L}$"), F.substring(chosen, at(a), F.lit(1))).otherwise(c)
+    mapped = F.aggregate(F.split(local, ""), start, lambda a, c: F.struct(F.concat(a["s"], pick(a, c)).alias("s"), (a["i"] + 1).alias("i")))["s"]
     tld = F.substring_index(domain, ".", -1)
-    email = F.concat(mapped, more, F.lit("@mail"), cut(numerals, 110, 4), F.lit(".example."), F.when(tld.isin("com", "net", "org"), tld).otherwise("com"))
+    host = F.translate(cut(_hmac(key, F.concat(F.lit("domain\x1f"), domain)), 1, 4), "abcdef", "927481")  # one for each domain; domains may meet there, addresses don't
+    email = F.concat(mapped, more, F.lit("@mail"), host, F.lit(".example."), F.when(tld.isin("com", "net", "org"), tld).otherwise("com"))
 
-    code = F.regexp_extract(norm, r"^(\+\d+ )", 1)
-    local_digits = F.length(norm) - F.length(code)
+    code = F.when(norm.startswith("+"), F.concat(F.lit("+"), F.coalesce(*[F.nullif(F.regexp_extract(norm, c, 1), F.lit("")) for c in CODES], F.lit("")))).otherwise("")
+    local_digits = n - F.length(code)
     phone = F.concat(code, F.translate(cut(numerals, 1, 1), "01", "23"), F.substring(numerals, F.lit(2), local_digits - 1))
 
     octet = lambda i: (F.conv(cut(h, 2 * i + 1, 2), 16, 10).cast("int") % 254 + 1).cast("string")
@@ -99,7 +115,7 @@ def surrogate(kind: Column, norm: Column, attempt: int, key: str) -> Column:
 
     def name(script: str) -> Column:
         syllable = lambda i: F.concat(F.translate(cut(h, 2 * i + 1, 1), _HEX, _CONSONANTS[script]), F.translate(cut(h, 2 * i + 2, 1), _HEX, _VOWELS[script]))
-        end = F.when(kind == "name_f", _ENDINGS[script][1]).otherwise(_ENDINGS[script][0])
+        end = F.when((kind == "name_f") | (kind == "name") & (F.lit(script == "latin") | norm.rlike("[аα]$")), _ENDINGS[script][1]).otherwise(_ENDINGS[script][0])
         return F.concat(*[syllable(i) for i in range(3 + attempt // 3)], F.translate(cut(h, 20, 1), _HEX, _CONSONANTS[script]), end)
 
     return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", ssn).otherwise(_script(norm, name))
@@ -125,7 +141,8 @@ def _shown(kind: Column, raw: Column, new: Column) -> Column:
     """The surrogate in the mention's own format."""
     digits = F.when(kind == "phone", _put_digits(raw, _digits(new))).when(kind.isin("card", "ssn"), _put_digits(raw, new)).otherwise(new)
     upper = kind.startswith("name") & (raw == F.upper(raw))
-    return F.when(upper, F.upper(new)).when(kind.startswith("name"), F.initcap(new)).otherwise(digits)
+    shouted = (kind == "email") & (raw == F.upper(raw))
+    return F.when(upper | shouted, F.upper(new)).when(kind.startswith("name"), F.initcap(new)).otherwise(digits)
 
 
 def replace_pii(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -147,11 +164,15 @@ def replace_pii(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     whole = named.groupBy("__row", "i", "m").agg(F.array_sort(F.collect_list(F.struct("j", "s"))).alias("js"), F.max(F.col("kind").startswith("name")).alias("titled"))
     whole = whole.withColumn("s", F.concat(F.when(F.col("titled"), title).otherwise(""), F.array_join(F.transform("js", lambda x: x["s"]), " ")))
     news = whole.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("__new"))
+    # names that a document gives with a title stand for the same person where they stand alone
+    bare = named.filter(F.col("kind").startswith("name") & (F.length("raw") > 2)).groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("raw", "s"))).alias("__names"))
+    news = news.join(bare, "__row", "left")
     rest = docs.filter(~held).withColumn("__n", F.lit(0))
     mine = docs.filter(held).withColumn("__row", row)
     joined = mine.join(news, mine["__row"].eqNullSafe(news["__row"]))
     gaps = F.split(F.col("text"), ANY, -1)
-    text = F.array_join(F.zip_with(gaps, F.col("__new"), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+    renamed = lambda g: F.aggregate(F.coalesce("__names", F.array()), g, lambda x, n: F.regexp_replace(x, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), n["raw"], F.lit(r"(?![\p{L}\p{N}])")), n["s"]))
+    text = F.array_join(F.zip_with(gaps, F.col("__new"), lambda g, s: F.concat(renamed(g), F.coalesce(s, F.lit("")))), "")
     renewed = joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], F.size("__new").alias("__n"))
     return renewed.unionByName(rest), mapping
 

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow.dataset as ds
 import pytest
+from pyspark.sql import functions as F
 
 from gatewell.llm import decontamination, fingerprints, mixing, ngram_join, pii, quality, secrets, substring_dedup, toxicity, url_filter
 from gatewell.llm import queries as llm_queries
@@ -402,3 +403,23 @@ def test_odd_rows_go_through_every_operator(spark, rows):
 def test_every_operator_has_one_query():
     names = [re.match(r"op(\d+)_", q)[1] for q in llm_queries.queries()]
     assert sorted(map(int, names)) == list(range(1, 11))
+
+
+def test_surrogates_keep_people_phones_and_domains_together(spark):
+    long = "a" * 150 + "@acme.com"
+    rows = [
+        (1, "Call +1 555-234-5678 or +15552345678, or 555-234-5678."),
+        (2, "Mr. Smith met Mrs. Smith. After Mr. John Smith left, Smith and John wrote; Smithson did not."),
+        (3, "Dr. Alan Turing and Prof. Ada Lovelace"),
+        (4, f"{long} BOB@ACME.COM bob@acme.com ann@other.org"),
+    ]
+    out = {r.doc_id: r.text for r in pii.replace_pii(frame(spark, rows), "key")[0].collect()}
+    a, b, c = re.findall(r"\+1 \d{3}-\d{3}-\d{4}|\+\d{11}|\d{3}-\d{3}-\d{4}", out[1])
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) and b.startswith("+1") and "555-234" not in out[1] and "555234" not in out[1]
+    m = re.fullmatch(r"Mr\. (\w+) met Mrs\. (\w+)\. After Mr\. (\w+) (\w+) left, (\w+) and (\w+) wrote; Smithson did not\.", out[2])
+    family, given = m[1], m[3]
+    assert {m[2], m[4], m[5]} == {family} and m[6] == given and not {"Smith", "John"} & {family, given}
+    assert re.fullmatch(r"Dr\. \w+ \w+ and Prof\. \w+ \w+", out[3]) and not set(re.findall(r"\w+", out[3])) & {"Alan", "Turing", "Ada", "Lovelace"}
+    first, loud, quiet, other = out[4].split(" ")
+    assert len(first.split("@")[0]) == 150 and loud == quiet.upper() and "acme" not in out[4].lower()
+    assert first.split("@")[1] == quiet.split("@")[1] != other.split("@")[1]
