@@ -16,8 +16,14 @@ from pyspark.sql import functions as F
 from gatewell.llm.common import stored, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: floor(2^64 / golden ratio) taken over 2^32, so that i * step modulo 2^32 is exact in 64 bits.
-GOLDEN, CIRCLE = 2_654_435_769, 1 << 32
+#: The golden ratio's part of a circle of 2^32 points.
+GOLDEN, CIRCLE, HALF = 2_654_435_769, 1 << 32, 1 << 16
+
+
+def point(slot: Column) -> Column:
+    """(slot + 1) * GOLDEN modulo CIRCLE, by halves, so that no product leaves 64 bits whatever the slot. Points repeat after a whole circle, which holds each once."""
+    i = (slot + 1) % CIRCLE
+    return (F.floor(i / HALF) * GOLDEN % HALF * HALF + i % HALF * GOLDEN) % CIRCLE
 
 
 def size_of(text: Column) -> Column:
@@ -44,7 +50,7 @@ def schedule(spark: SparkSession, goals: list[tuple[str | None, float]], slots:
     for _, g in goals:
         run += g
         edges.append(round(CIRCLE * (run / total)))
-    points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 1) * GOLDEN % CIRCLE).alias("x"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), point(F.col("id")).alias("x"))
     chosen = points.select("slot", F.aggregate(F.array(*[F.lit(e) for e in edges[:-1]]).cast("array<long>"), F.lit(0), lambda a, e: a + (e <= F.col("x")).cast("int")).alias("source_no"))
     chosen = chosen.withColumn("chunk", F.floor(F.col("slot") / chunk))
     counts = chosen.groupBy("source_no", "chunk").agg(F.count("*").alias("n"))

@@ -423,3 +423,18 @@ def test_surrogates_keep_people_phones_and_domains_together(spark):
     first, loud, quiet, other = out[4].split(" ")
     assert len(first.split("@")[0]) == 150 and loud == quiet.upper() and "acme" not in out[4].lower()
     assert first.split("@")[1] == quiet.split("@")[1] != other.split("@")[1]
+
+
+def test_points_of_far_slots_are_exact(spark):
+    slots = [0, 1, 65535, 65536, 3_472_000_000, 3_600_000_000, 2**32 - 2, 2**32 - 1, 2**32, 2**40 + 12345, 2**55 + 7]
+    found = spark.createDataFrame([(s,) for s in slots], "slot long").select("slot", mixing.point(F.col("slot")).alias("x")).collect()
+    assert [r.x for r in found] == [(r.slot + 1) * mixing.GOLDEN % mixing.CIRCLE for r in found]
+
+
+def test_slots_stay_near_their_shares():
+    # a source's slots are off their share by far fewer than the 64 blocks that mix() leaves room for
+    x = (np.arange(1, 300_001, dtype=np.uint64) * np.uint64(mixing.GOLDEN)) % np.uint64(mixing.CIRCLE)
+    rng = np.random.default_rng(9)
+    for low, high in np.sort(rng.integers(0, mixing.CIRCLE, (200, 2)), 1):
+        held = np.cumsum((x >= low) & (x < high))
+        assert np.abs(held - np.arange(1, len(x) + 1) * ((high - low) / mixing.CIRCLE)).max() < 16
