@@ -186,16 +186,48 @@ class Tagger:
         return [(a, b) for a, b in out]
 
 
+#: What training puts for the word before a value, and the alphabets of the values that it makes up.
+_NAMES = ("auth", "pwd", "key", "credential", "bearer", "access", "private", "client", "signing", "webhook", "session", "login", "conn", "cred", "jwt")
+VARIANTS = 5
+_ALPHABETS = tuple(a + b for a in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for b in ("", "_-", "+/"))
+
+
+def _made_up(rng: np.random.Generator) -> str:
+    """A value of no certain form: random letters and digits, often after a short prefix, at times in parts."""
+    chars = list(_ALPHABETS[rng.integers(len(_ALPHABETS))])
+    some = lambda low, high: "".join(rng.choice(chars, rng.integers(low, high)))
+    kind = rng.random()
+    if kind < 0.4:
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 5))) + rng.choice(["_", "-"]) + (some(4, 8) + "_" if rng.random() < 0.3 else "") + some(20, 44)
+    return ".".join((some(16, 40), some(20, 80), some(20, 48))) if kind < 0.5 else some(20, 56)
+
+
+def _features(tokens: list[str], file: int, low: int, high: int) -> list[list[int]]:
+    out = []
+    for j in range(low, high):
+        f = [*shape_features(tokens[j]), file]
+        f += beside_features(tokens[j + 1], "next") if j + 1 < len(tokens) else []
+        f += beside_features(tokens[j - 1], "last") if j else []
+        out.append(f)
+    return out
+
+
 def _windows(texts: list[str], around: int = 15) -> list[tuple[list[list[int]], list[int]]]:
-    """(features, labels) of token runs around base secrets, and of one run without any for each text."""
+    """(features, labels) of token runs around base secrets, and of one run without any for each text.
+
+    Each run around a secret comes as it is, and VARIANTS times with a made-up value under another name or none, so that the tagger learns shapes and neighbours and not the words and forms of the base patterns. In the runs
+    without secrets, one word gets a name beside it, as a name alone makes no secret.
+    """
     out = []
     for text in texts:
+        rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
         spans = base_spans(text)
         # of an assignment the value is the secret
         values = [(m.start(2), m.end(2)) for m in _ASSIGN.finditer(text) if len(m.group(2)) >= 6] + [(s, e) for s, e, k in spans if k != "assign"]
         found = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
         if not found:
             continue
+        tokens = [t for t, *_ in found]
         file, labels = file_features(text), [0] * len(found)
         for a, b in sorted(values):
             held = [i for i, (_, s, e) in enumerate(found) if s < b and e > a]
@@ -204,13 +236,26 @@ def _windows(texts: list[str], around: int = 15) -> list[tuple[list[list[int]],
         hot = [i for i, y in enumerate(labels) if y == 1][:8]
         for i in [*hot, len(found) * 2 // 3]:
             low, high = max(0, i - around), min(len(found), i + around)
-            fs = []
-            for j in range(low, high):
-                f = [*shape_features(found[j][0]), file]
-                f += beside_features(found[j + 1][0], "next") if j + 1 < len(found) else []
-                f += beside_features(found[j - 1][0], "last") if j else []
-                fs.append(f)
-            out.append((fs, labels[low:high]))
+            out.append((_features(tokens, file, low, high), labels[low:high]))
+        for i in hot * VARIANTS:
+            end = i + 1
+            while end < len(labels) and labels[end] == 2:
+                end += 1
+            low, high = max(0, i - around), min(len(found), end + around)
+            if any(labels[low:i] + labels[end:high]):
+                continue  # another secret is too near to be told apart
+            name, sign = str(rng.choice(_NAMES)), [["="], [":"], ['="'], [":", '"'], ["=", "'"], [], []][rng.integers(7)]
+            before = tokens[low:i]
+            while before and (not before[-1].isalpha() or any(x in before[-1].lower() for x in _STEMS)):
+                before.pop()  # the old name and its signs
+            after = tokens[end:high]
+            run = [*before, *([name] if sign else []), *sign, _made_up(rng), *(['"'] if sign and '"' in sign[-1] else []), *after]
+            at = len(before) + bool(sign) + len(sign)
+            out.append((_features(run, file, 0, len(run)), [int(j == at) for j in range(len(run))]))
+        if not hot and len(tokens) > 4:
+            i = int(rng.integers(0, len(tokens) - 1))
+            run = [*tokens[max(0, i - 8) : i], str(rng.choice(_NAMES)), *([":"] if rng.random() < 0.5 else []), *tokens[i : i + 8]]
+            out.append((_features(run, file, 0, len(run)), [0] * len(run)))
     return out
 
 

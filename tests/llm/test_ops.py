@@ -438,3 +438,23 @@ def test_slots_stay_near_their_shares():
     for low, high in np.sort(rng.integers(0, mixing.CIRCLE, (200, 2)), 1):
         held = np.cumsum((x >= low) & (x < high))
         assert np.abs(held - np.arange(1, len(x) + 1) * ((high - low) / mixing.CIRCLE)).max() < 16
+
+
+def test_tagger_finds_secrets_of_other_forms(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    tagger = secrets.Tagger(secrets.train(docs))
+    plain = [r.text for r in docs.filter("length(text) < 4000").orderBy("doc_id").limit(2000).collect() if not secrets.base_spans(r.text)]
+    assert sum(bool(tagger.spans(t)) for t in plain) <= len(plain) // 200
+    rng = np.random.default_rng(4)
+    some = lambda n, chars="ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789": "".join(rng.choice(list(chars), n))
+    hits = []
+    for t in plain[:300]:
+        value = [f"ghp_{some(36)}", f"sk_live_{some(24)}", f"eyJ{some(17)}.eyJ{some(40)}.{some(43)}", f"xoxb-{some(12, '0123456789')}-{some(24)}", some(40)][rng.integers(5)]
+        lead = ['auth = "%s"', "pwd: %s", 'credential "%s"', "use %s here"][rng.integers(4)] % value
+        words = t.split(" ")
+        at = int(rng.integers(0, len(words) + 1))
+        planted = " ".join([*words[:at], lead, *words[at:]])
+        begin = planted.index(value)
+        assert not any(s <= begin and begin + len(value) <= e for s, e, _ in secrets.base_spans(planted))
+        hits.append(any(a <= begin and begin + len(value) <= b for a, b in tagger.spans(planted)))
+    assert np.mean(hits) >= 0.9
