@@ -2,16 +2,19 @@
 
 G1: at least 30 distinct cards. G2: at least 3 merchants. G3: no merchant above 3/4 of the volume, nor of the cards; shares
 are compared as integers, never divided. G4: the cell without any one merchant must still pass G1 to G3. Cards don't add
-up across cells, so every grain counts its own.
+up across cells, so every grain counts its own. Transactions of an unknown card count for the volume alone; a null key of a
+grain is a cell like any other.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gatewell.session import stored
 from gatewell.sources.adapters import TX_AREA_SQL, tx_area
 
 #: Reason codes, in their canonical order.
@@ -36,24 +39,35 @@ class Rules:
             raise ValueError("max_share is above 0 and at most 1")
 
 
+def by_card(tx: DataFrame, grain: list[str]) -> DataFrame:
+    """(grain, merchant, card, n), from transactions or from such rows of a finer grain: all that the gates of this grain and of coarser ones need."""
+    n = F.sum("n") if "n" in tx.columns else F.count("*")
+    return tx.groupBy(*grain, "merchant", "card").agg(n.alias("n"))
+
+
+def joined(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a with b's columns, by keys of which nulls are equal; without keys b is one row."""
+    mine = {k: f"__{k}" for k in keys}
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(v)) for k, v in mine.items()), F.lit(True))
+    return a.join(b.withColumnsRenamed(mine), same, how).drop(*mine.values())
+
+
 def cell_merchants(tx: DataFrame, grain: list[str]) -> DataFrame:
     """Volume and distinct cards of each merchant in each cell; cards are counted from (cell, merchant, card) rows, so a hot cell is spread over its cards."""
-    by_card = tx.groupBy(*grain, "merchant", "card").agg(F.count("*").alias("n"))
-    return by_card.groupBy(*grain, "merchant").agg(F.sum("n").alias("volume"), F.count("*").alias("cards"))
+    return by_card(tx, grain).groupBy(*grain, "merchant").agg(F.sum("n").alias("volume"), F.count("card").alias("cards"))
 
 
 def exclusive_cards(tx: DataFrame, grain: list[str]) -> DataFrame:
     """Cards that one merchant alone has in a cell, counted by that merchant: cards of the rest = all cards - these."""
-    pairs = tx.select(*grain, "merchant", "card").distinct()
-    lone = pairs.groupBy(*grain, "card").agg(F.count("*").alias("m"), F.min("merchant").alias("merchant")).filter("m = 1")
+    lone = by_card(tx, grain).filter("card is not null").groupBy(*grain, "card").agg(F.count("*").alias("m"), F.min("merchant").alias("merchant")).filter("m = 1")
     return lone.groupBy(*grain, "merchant").agg(F.count("*").alias("exclusive"))
 
 
 def cell_totals(tx: DataFrame, grain: list[str]) -> DataFrame:
     """Transactions, cards and merchants of each cell, and its largest merchant's volume and cards."""
-    cards = tx.groupBy(*grain, "card").agg(F.count("*").alias("n")).groupBy(*grain).agg(F.count("*").alias("n_cards"), F.sum("n").alias("n_tx"))
-    tops = cell_merchants(tx, grain).groupBy(*grain).agg(F.count("*").alias("n_merchants"), F.max("volume").alias("top_volume"), F.max("cards").alias("top_cards"), F.sum("cards").alias("sum_cards"))
-    return cards.join(tops, grain) if grain else cards.crossJoin(tops)  # without a grain each side is one row
+    cards = by_card(tx, grain).groupBy(*grain, "card").agg(F.sum("n").alias("n")).groupBy(*grain).agg(F.count("card").alias("n_cards"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tx"))
+    tops = cell_merchants(tx, grain).groupBy(*grain).agg(F.count("merchant").alias("n_merchants"), F.max("volume").alias("top_volume"), F.max("cards").alias("top_cards"), F.sum("cards").alias("sum_cards"))
+    return joined(cards, tops, grain)
 
 
 def within_share(top: Column, total: Column, rules: Rules) -> Column:
@@ -101,10 +115,10 @@ def residuals(tx: DataFrame, grain: list[str], measured: bool = True) -> DataFra
         F.sum("volume").alias("n_tx"),
         F.count("*").alias("n_merchants"),
     )
-    cards = tx.select(*grain, "card").distinct().groupBy(*grain).agg(F.count("*").alias("n_cards"))
-    out = ranked.join(tops, grain).join(cards, grain)
+    cards = by_card(tx, grain).groupBy(*grain, "card").agg(F.sum("n").alias("n")).groupBy(*grain).agg(F.count("card").alias("n_cards"))
+    out = joined(joined(ranked, tops, grain), cards, grain)
     if measured:
-        out = out.join(exclusive_cards(tx, grain), [*grain, "merchant"], "left").withColumn("gone", F.coalesce("exclusive", F.lit(0)))
+        out = joined(out, exclusive_cards(tx, grain), [*grain, "merchant"], "left").withColumn("gone", F.coalesce("exclusive", F.lit(0)))
     else:
         out = out.withColumn("gone", F.least("volume", "n_cards"))
     rest = F.greatest(F.col("n_cards") - F.col("gone"), F.lit(0))
@@ -118,23 +132,54 @@ def differencing(tx: DataFrame, grain: list[str], rules: Rules = Rules(), measur
     return held.groupBy(*grain).agg(F.bool_and("ok").alias("g4"), F.min(F.when(~F.col("ok"), F.col("merchant"))).alias("g4_merchant"))
 
 
-def gate(tx: DataFrame, grain: list[str], rules: Rules = Rules()) -> DataFrame:
+def gate(tx: DataFrame, grain: list[str], rules: Rules = Rules(), asked: DataFrame | None = None) -> DataFrame:
+    """The cells of a grain with their gates and reasons. `asked` names cells to answer for, those without rows as no_data; its column thin_tx,
+    if there, is how many transactions a cell's base has, and a thin one is refused before any gate. Transactions may come by card already."""
     cells = gate_columns(cell_totals(tx, grain), rules)
     if rules.differencing:
-        cells = cells.join(differencing(tx, grain, rules), grain, "left")
+        cells = joined(cells, differencing(tx, grain, rules), grain, "left")
         cells = cells.withColumn("ok", F.col("ok") & F.coalesce("g4", F.lit(False)))
-    return reason(cells, rules)
+    if asked is not None:
+        cells = joined(asked, cells, grain, "left")
+        none = {c: F.coalesce(c, F.lit(False)) for c in ("g1", "g2", "g3_volume", "g3_cards", "ok")} | {c: F.coalesce(c, F.lit(0)) for c in ("n_cards", "n_tx", "n_merchants")}
+        cells = cells.withColumns(none)
+    out = reason(cells, rules)
+    return out.withColumn("ok", F.col("ok") & (F.col("reason") == "ok"))
 
 
-def cascade(tx: DataFrame, cell: list[str], parent: list[str], rules: Rules = Rules()) -> DataFrame:
-    """For each cell the first level of cell, parent and city that passes, or none; every level counts its own cards."""
-    own = gate(tx, cell, rules).select(*cell, F.col("ok").alias("cell_ok"), F.col("reason").alias("cell_reason"))
-    keys = tx.select(*cell, *parent).distinct()
-    up = gate(tx, parent, rules).select(*parent, F.col("ok").alias("parent_ok"))
-    city = gate_columns(cell_totals(tx, []), rules).select(F.col("ok").alias("city_ok"))
-    out = keys.join(own, cell).join(up, parent).crossJoin(city)  # city is one row
-    level = F.when(F.col("cell_ok"), "cell").when(F.col("parent_ok"), "parent").when(F.col("city_ok"), "city")
-    return out.select(*cell, *parent, "cell_reason", level.alias("level"), (~F.col("cell_ok") & level.isNotNull()).alias("escalated"), F.when(level.isNull(), "all_levels_failed").otherwise("ok").alias("reason"))
+def cascade(tx: DataFrame, cell: list[str], parent: list[str], rules: Rules = Rules(), asked: DataFrame | None = None) -> DataFrame:
+    """For each cell the first level of cell, parent and city that passes all gates of the rules, or none; every level counts its own cards.
+
+    A cell without data or with a thin base is refused at once, whatever its ancestors are. trace has the failures of each level looked
+    at; failures all of them, if none passes; levels_missing the levels that a cell hasn't got, as a parent that isn't known.
+    `asked` has the keys of cells to answer for (and their parents'), and thin_tx at will; else all cells of tx are.
+    """
+    keys = list(dict.fromkeys([*cell, *parent]))
+    base = stored(by_card(tx, keys), "cards")  # one pass over the transactions serves all levels
+    asked = base.select(*keys).distinct() if asked is None else asked
+    own = gate(base, cell, rules, asked.drop(*[k for k in parent if k not in cell]))
+    own = own.select(*cell, F.col("ok").alias("cell_ok"), F.col("reason").alias("cell_reason"), F.col("failures").alias("cell_failures"))
+    level = lambda grain, name: gate(base, grain, rules).select(*grain, F.col("ok").alias(f"{name}_ok"), F.col("failures").alias(f"{name}_failures"))
+    out = joined(joined(joined(asked.select(*keys), own, cell), level(parent, "parent"), parent, "left"), level([], "city"), [], "left")
+    missing = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in parent if k not in cell), F.lit(False)) | F.col("parent_ok").isNull()
+    stopped = F.col("cell_reason").isin("no_data", "thin_base")
+    passes = lambda name: F.coalesce(F.col(f"{name}_ok"), F.lit(False))
+    chosen = F.when(stopped, None).when(F.col("cell_ok"), "cell").when(~missing & passes("parent"), "parent").when(passes("city"), "city")
+    step = lambda name: F.struct(F.lit(name).alias("level"), F.col(f"{name}_failures").alias("failures"))
+    looked = [F.when(~stopped, step("cell")), F.when(~stopped & ~F.col("cell_ok") & ~missing, step("parent")), F.when(~stopped & ~F.col("cell_ok") & (missing | ~passes("parent")), step("city"))]
+    out = out.withColumns({"level": chosen, "trace": F.filter(F.array(*looked), lambda x: x.isNotNull()), "levels_missing": F.when(missing, F.array(F.lit("parent"))).otherwise(F.array().cast("array<string>"))})
+    locked = F.col("level").isNull()
+    every = F.flatten(F.transform("trace", lambda x: x["failures"]))
+    return out.select(
+        *keys,
+        "cell_reason",
+        "level",
+        (~F.col("cell_ok") & ~locked).alias("escalated"),
+        F.when(stopped, F.col("cell_reason")).when(locked, "all_levels_failed").otherwise("ok").alias("reason"),
+        F.when(locked & ~stopped, F.filter(F.array(*[F.lit(r) for r in REASONS]), lambda r: F.array_contains(every, r))).otherwise(F.array().cast("array<string>")).alias("failures"),
+        "trace",
+        "levels_missing",
+    )
 
 
 def with_month(tx: DataFrame) -> DataFrame:
@@ -158,8 +203,16 @@ def violations(cells: DataFrame) -> DataFrame:
 # queries
 
 
+def _by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(by_card(tx_area(spark, sf_dir), ["area"]), "cards")
+
+
+def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(by_card(with_month(tx_area(spark, sf_dir)), ["area", "month"]), "cards")
+
+
 def area_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate(tx_area(spark, sf_dir), ["area"]).drop("failures", "sum_cards")
+    return gate(_by_area(spark, sf_dir), ["area"]).drop("failures", "sum_cards")
 
 
 def area_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +224,7 @@ def area_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def month_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate(with_month(tx_area(spark, sf_dir)), ["area", "month"]).drop("failures", "sum_cards")
+    return gate(_monthly(spark, sf_dir), ["area", "month"]).drop("failures", "sum_cards")
 
 
 def cell_merchant_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +236,7 @@ def exclusive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gates_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate(tx_area(spark, sf_dir), ["area"], Rules(differencing=True)).select("area", "ok", "g4", "g4_merchant", "reason")
+    return gate(_by_area(spark, sf_dir), ["area"], Rules(differencing=True)).select("area", "ok", "g4", "g4_merchant", "reason")
 
 
 def residual_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,20 +250,20 @@ def gate_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many cells, and how much volume, have each reason."""
-    cells = gate(with_month(tx_area(spark, sf_dir)), ["area", "month"])
+    cells = gate(_monthly(spark, sf_dir), ["area", "month"])
     return cells.groupBy("reason").agg(F.count("*").alias("cells"), F.sum("n_tx").alias("volume"))
 
 
 def privacy_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells and volume left after each gate in turn."""
-    cells = gate(with_month(tx_area(spark, sf_dir)), ["area", "month"])
+    cells = gate(_monthly(spark, sf_dir), ["area", "month"])
     steps = [("all", F.lit(True)), ("g1", F.col("g1")), ("g1_g2", F.col("g1") & F.col("g2")), ("g1_g2_g3", F.col("ok"))]
     staged = cells.select("n_tx", F.explode(F.array(*[F.struct(F.lit(k).alias("step"), c.alias("held")) for k, c in steps])).alias("s"))
     return staged.filter("s.held").groupBy(F.col("s.step").alias("step")).agg(F.count("*").alias("cells"), F.sum("n_tx").alias("volume"))
 
 
 def cell_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return violations(cell_totals(with_month(tx_area(spark, sf_dir)), ["area", "month"]))
+    return violations(cell_totals(_monthly(spark, sf_dir), ["area", "month"]))
 
 
 def gated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,37 @@ def test_more_cards_never_hurt_the_first_gates(spark):
     for c in range(27, 33):
         for m in range(1, 5):
             assert ok[f"{c}-{m}"] <= ok[f"{c + 1}-{m}"] and ok[f"{c}-{m}"] <= ok[f"{c}-{m + 1}"]
+
+
+def test_unknown_cards_and_areas(spark):
+    some = tx(spark, [("m1", range(0, 10)), ("m2", range(10, 20)), ("m3", [*range(20, 29), None])])
+    r = gate(some, ["area"]).first()
+    assert (r.n_cards, r.n_tx, r.reason) == (29, 30, "lt_30_cards")
+    nowhere = tx(spark, [("m1", range(0, 14)), ("m2", range(14, 28)), ("m3", range(28, 40))], area=None)
+    r = gate(nowhere, ["area"], Rules(differencing=False)).first()
+    assert r.area is None and r.n_cards == 40 and r.ok
+    assert gate(nowhere, ["area"], Rules(differencing=True)).first().reason == "g4_differencing"
+
+
+def test_asked_cells_without_data_or_with_a_thin_base(spark):
+    rows = tx(spark, [("m1", range(0, 20)), ("m2", range(10, 30)), ("m3", range(20, 40))])
+    asked = spark.createDataFrame([("a", "p", 5), ("x", "p", 50)], "area string, parent string, thin_tx long")
+    assert {r.area: r.reason for r in gate(rows, ["area"], asked=asked.drop("parent")).collect()} == {"a": "thin_base", "x": "no_data"}
+    found = {r.area: r for r in cascade(rows, ["area"], ["parent"], asked=asked).collect()}
+    assert {k: (r.reason, r.level, len(r.trace)) for k, r in found.items()} == {"a": ("thin_base", None, 0), "x": ("no_data", None, 0)}
+
+
+def test_cascade_tells_its_trace_and_missing_levels(spark):
+    rows = tx(spark, [("m1", range(0, 3))], "b", None).unionAll(tx(spark, [("m1", range(0, 40)), ("m2", range(20, 60)), ("m3", range(50, 80))], "a", "p"))
+    r = {x.area: x for x in cascade(rows, ["area"], ["parent"]).collect()}["b"]
+    assert (r.level, r.levels_missing, [t.level for t in r.trace]) == ("city", ["parent"], ["cell", "city"])
+    locked = cascade(tx(spark, [("m", [1])]), ["area"], ["parent"]).first()
+    assert locked.failures == ["lt_30_cards", "lt_3_merchants", "top1_gt_75"] and [t.level for t in locked.trace] == ["cell", "parent", "city"]
+
+
+def test_cascade_honours_differencing_at_every_level(spark):
+    # the city passes the first three gates, but not without its largest merchant
+    rows = tx(spark, [("big", range(0, 25)), ("mid", range(20, 40)), ("small", range(30, 45)), ("tiny", range(40, 48))])
+    assert cascade(rows, ["area"], ["parent"]).first().level == "cell"
+    strict = cascade(rows, ["area"], ["parent"], Rules(differencing=True)).first()
+    assert strict.level is None and strict.failures == ["g4_differencing"]
