@@ -36,11 +36,20 @@ def baseline_table(tx: DataFrame) -> DataFrame:
     return with_weekday(cube_dense(tx), tx).groupBy("ci", "dow", "h").agg(F.round(F.avg("n"), 3).alias("mean"))
 
 
-def d1_gap(tx: DataFrame, least: float = 1.0) -> DataFrame:
-    """How far the blind baseline is off the matched one, by weekday: mean, 5th and 95th percentile, over cells whose matched base is at least `least`."""
-    both = matched_baseline(tx).join(blind_baseline(tx).select("ci", "di", "h", F.col("base").alias("blind")), ["ci", "di", "h"])
-    gap = with_weekday(both.filter(F.col("base") >= least).filter("ci >= 1"), tx).withColumn("gap", F.col("blind") / F.col("base") - 1)
-    return gap.groupBy("dow").agg(F.count("*").alias("cells"), *[F.round(e, 6).alias(k) for k, e in (("mean", F.avg("gap")), ("p05", F.percentile("gap", 0.05)), ("p95", F.percentile("gap", 0.95)))])
+def d1_gap(tx: DataFrame, least: float = 3.0, first: int = 35, sampled: int = 120) -> DataFrame:
+    """How far the blind baseline is off the matched one, by weekday: mean, 5th and 95th percentile, and the worst cell, over cells of areas whose
+    matched base is at least `least`, on about `sampled` days evenly spaced from `first` on. Both baselines come from one pass over the cube."""
+    axis = day_axis(tx).select("start", "days")  # one row
+    dense = cube_dense(tx).select("ci", "di", "h", "n").crossJoin(F.broadcast(axis)).withColumn("dow", F.weekday(F.expr("date_add(start, di)")) + 1)
+    same = Window.partitionBy("ci", "h", "dow").orderBy("di").rowsBetween(-4, -1)
+    any_ = Window.partitionBy("ci", "h").orderBy("di").rangeBetween(-30, -1)
+    both = dense.withColumn("blind", F.avg("n").over(any_)).withColumn("base", F.when(F.count("n").over(same) == 4, F.avg("n").over(same)))
+    step = F.greatest(F.lit(1), F.floor((F.col("days") - first) / sampled).cast("int"))
+    kept = both.filter((F.col("ci") >= 1) & (F.col("base") >= least) & F.col("blind").isNotNull() & (F.col("di") >= first) & ((F.col("di") - first) % step == 0))
+    gap = kept.withColumn("gap", F.col("blind") / F.col("base") - 1)
+    worst = F.max_by(F.struct(F.round("gap", 6).alias("gap"), "ci", "di", "h"), F.struct(F.round(F.abs("gap"), 6), -F.col("ci"), -F.col("di"), -F.col("h")))
+    out = gap.groupBy("dow").agg(F.count("*").alias("cells"), *[F.round(e, 6).alias(k) for k, e in (("mean", F.avg("gap")), ("p05", F.percentile("gap", 0.05)), ("p95", F.percentile("gap", 0.95)))], worst.alias("w"))
+    return out.select("dow", "cells", "mean", "p05", "p95", F.col("w.gap").alias("worst"), F.col("w.ci").alias("worst_ci"), F.col("w.di").alias("worst_di"), F.col("w.h").alias("worst_h"))
 
 
 def weekday_index(tx: DataFrame) -> DataFrame:
@@ -66,12 +75,17 @@ def window3(tx: DataFrame) -> DataFrame:
     return cube_dense(tx).withColumn("at", F.col("di") * 24 + F.col("h")).select("ci", "di", "h", F.sum("n").over(w).alias("n3"))
 
 
+def _d1(tx: DataFrame) -> DataFrame:
+    """Over the tables' thirty days of events, so from the first day with a matched base on."""
+    return d1_gap(tx, least=1.0, first=28)
+
+
 def _q(f):
     return lambda spark, sf_dir: f(tx_time(spark, sf_dir))
 
 
 QUERIES = {k: _q(f) for k, f in {
-    "matched_baseline": matched_baseline, "blind_baseline": blind_baseline, "baseline_table": baseline_table, "d1_gap": d1_gap,
+    "matched_baseline": matched_baseline, "blind_baseline": blind_baseline, "baseline_table": baseline_table, "d1_gap": _d1,
     "weekday_index": weekday_index, "daily_totals": daily_totals, "distinct_hours_hist": distinct_hours_hist, "window3": window3,
 }.items()}
 
@@ -84,7 +98,9 @@ ORACLES = {
     "matched_baseline": f"{_W} SELECT ci, di, h, n, base FROM matched",
     "blind_baseline": f"{_W} SELECT ci, di, h, n, base FROM blind",
     "baseline_table": f"{_W} SELECT ci, dow, h, round(avg(n), 3) AS mean FROM wk GROUP BY ci, dow, h",
-    "d1_gap": f"{_W} SELECT dow, count(*) AS cells, round(avg(gap), 6) AS mean, round(quantile_cont(gap, 0.05), 6) AS p05, round(quantile_cont(gap, 0.95), 6) AS p95 FROM (SELECT m.dow, b.base / m.base - 1 AS gap FROM matched m JOIN blind b USING (ci, di, h) WHERE m.base >= 1 AND ci >= 1) GROUP BY dow",
+    "d1_gap": f"""{_W}, g AS (SELECT m.dow, m.ci, m.di, m.h, b.base / m.base - 1 AS gap FROM matched m JOIN blind b USING (ci, di, h), days WHERE m.base >= 1 AND ci >= 1 AND di >= 28 AND b.base IS NOT NULL AND (di - 28) % greatest(1, (days - 28) // 120) = 0),
+      r AS (SELECT *, row_number() OVER (PARTITION BY dow ORDER BY round(abs(gap), 6) DESC, ci, di, h) AS r FROM g)
+      SELECT dow, count(*) AS cells, round(avg(gap), 6) AS mean, round(quantile_cont(gap, 0.05), 6) AS p05, round(quantile_cont(gap, 0.95), 6) AS p95, max(CASE WHEN r = 1 THEN round(gap, 6) END) AS worst, max(CASE WHEN r = 1 THEN ci END) AS worst_ci, max(CASE WHEN r = 1 THEN di END) AS worst_di, max(CASE WHEN r = 1 THEN h END) AS worst_h FROM r GROUP BY dow""",
     "weekday_index": f"{_W} SELECT CAST(isodow(day) AS INTEGER) AS dow, count(*) AS n, round(count(*) * 7 / CAST((SELECT count(*) FROM tx_time) AS DOUBLE), 6) AS index FROM tx_time GROUP BY 1",
     "daily_totals": f"{_W} SELECT di, CAST(sum(n) AS BIGINT) AS n FROM dense GROUP BY di",
     "distinct_hours_hist": f"{_W} SELECT hours, count(*) AS days FROM (SELECT day, count(DISTINCT substr(tm, 1, 2)) AS hours FROM tx_time GROUP BY day) GROUP BY hours",

@@ -20,6 +20,15 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return axis.join(counts, "day", "left").select(F.datediff("day", "a").alias("di"), "day", F.coalesce("y", F.lit(0)).alias("y"))
 
 
+def daily_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily series with its amount and covariates. The tables have no weather: means of the day's shipments stand for rain, temperature and wind, and their number for listed events."""
+    day = F.col("l_shipdate").cast("date").alias("day")
+    lines = table(spark, sf_dir, "lineitem").groupBy(day).agg(F.avg("l_discount").alias("rain"), F.avg("l_quantity").alias("temp"), F.avg("l_tax").alias("wind"), F.count("*").alias("events"))
+    amount = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("amount"))
+    out = daily_series(spark, sf_dir).join(lines, "day", "left").join(amount, "day", "left")
+    return out.select("di", "day", "y", F.coalesce("amount", F.lit(0.0)).alias("amount"), *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("rain", "temp", "wind")], F.coalesce("events", F.lit(0)).alias("events"))
+
+
 def forecasts(days: DataFrame) -> DataFrame:
     """The four candidates for each day, from earlier days: mean and median of the last four same weekdays, mean of seven days, and the value a week ago."""
     order = Window.orderBy("di")
@@ -79,7 +88,8 @@ def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest(spark, sf_dir).agg(F.min_by("candidate", F.struct("mae", "candidate")).alias("candidate"), F.min("mae").alias("mae"))
+    """The candidate of the least MAPE; of equal ones the first by name."""
+    return backtest(spark, sf_dir).agg(F.min_by("candidate", F.struct("mape", "candidate")).alias("candidate"), F.min("mape").alias("mape"))
 
 
 def candidate_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,19 +106,28 @@ def interval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.agg(F.count("*").alias("n"), F.round(F.avg(F.col("y").between(F.col("lo"), F.col("hi")).cast("double")), 6).alias("picp"), F.round(F.avg(F.col("hi") - F.col("lo")) / F.avg("y"), 4).alias("mpiw"))
 
 
+def tails(days: DataFrame, low: int = 140, high: int = 123) -> DataFrame:
+    """The days of fewest and of most events, ties by date, with `tail`."""
+    r = days.withColumns({"r": F.row_number().over(Window.orderBy("events", "di")), "of": F.count("*").over(Window.partitionBy())})
+    return r.withColumn("tail", F.when(F.col("r") <= low, "low").when(F.col("r") > F.col("of") - high, "high")).filter("tail is not null").drop("r", "of")
+
+
 def event_quantile_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 140 quietest and the 123 busiest days, ties by date."""
-    r = daily_series(spark, sf_dir).withColumn("r", F.row_number().over(Window.orderBy("y", "di"))).crossJoin(daily_series(spark, sf_dir).agg(F.count("*").alias("n")))
-    return r.withColumn("tail", F.when(F.col("r") <= 140, "low").when(F.col("r") > F.col("n") - 123, "high")).filter("tail is not null").select("di", "y", "tail")
+    return tails(daily_covariates(spark, sf_dir)).select("di", "events", "tail")
 
 
 QUERIES = {
-    "daily_series": daily_series, "candidate_forecasts": candidate_forecasts, "backtest": backtest, "best_candidate": best_candidate,
+    "daily_series": daily_series, "daily_covariates": daily_covariates, "candidate_forecasts": candidate_forecasts, "backtest": backtest, "best_candidate": best_candidate,
     "expanding_interval": expanding_interval, "interval_coverage": interval_coverage, "event_quantile_days": event_quantile_days,
 }
 
 DAILY_SQL = """counts AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS y FROM orders GROUP BY 1), ends AS (SELECT min(day) AS a, max(day) AS b FROM counts),
 daily AS (SELECT CAST(i AS INTEGER) AS di, a + CAST(i AS INTEGER) AS day, coalesce(y, 0) AS y FROM (SELECT a, unnest(range(datediff('day', a, b) + 1)) AS i FROM ends) LEFT JOIN counts ON counts.day = a + CAST(i AS INTEGER))"""
+COVARIATES_SQL = f"""{DAILY_SQL},
+ship AS (SELECT CAST(l_shipdate AS DATE) AS day, avg(l_discount) AS rain, avg(l_quantity) AS temp, avg(l_tax) AS wind, count(*) AS events FROM lineitem GROUP BY 1),
+money AS (SELECT CAST(o_orderdate AS DATE) AS day, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM orders GROUP BY 1),
+panel AS (SELECT di, day, y, coalesce(amount, 0.0::DOUBLE) AS amount, round(coalesce(rain, 0.0::DOUBLE), 6) AS rain, round(coalesce(temp, 0.0::DOUBLE), 6) AS temp, round(coalesce(wind, 0.0::DOUBLE), 6) AS wind, coalesce(events, 0) AS events
+  FROM daily LEFT JOIN ship USING (day) LEFT JOIN money USING (day))"""
 _F = f"""WITH {DAILY_SQL},
 lagged AS (SELECT *, lag(y, 7) OVER o AS l1, lag(y, 14) OVER o AS l2, lag(y, 21) OVER o AS l3, lag(y, 28) OVER o AS l4, avg(y) OVER w AS m7, count(y) OVER w AS c7 FROM daily WINDOW o AS (ORDER BY di), w AS (ORDER BY di ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
 f AS (SELECT di, day, y, CASE WHEN l4 IS NOT NULL THEN (l1 + l2 + l3 + l4) / 4.0 END AS mean4sw, CASE WHEN l4 IS NOT NULL THEN (list_sort([l1, l2, l3, l4])[2] + list_sort([l1, l2, l3, l4])[3]) / 2.0 END AS median4sw,
@@ -125,8 +144,9 @@ ORACLES = {
     "daily_series": f"{_F} SELECT di, day, y FROM daily",
     "candidate_forecasts": f"{_F} SELECT di, day, y, CAST(mean4sw AS DOUBLE) AS mean4sw, CAST(median4sw AS DOUBLE) AS median4sw, mean7, snaive FROM f",
     "backtest": f"{_F} SELECT * FROM scored",
-    "best_candidate": f"{_F} SELECT candidate, mae FROM scored ORDER BY mae, candidate LIMIT 1",
+    "daily_covariates": f"WITH {COVARIATES_SQL} SELECT * FROM panel",
+    "best_candidate": f"{_F} SELECT candidate, mape FROM scored ORDER BY mape, candidate LIMIT 1",
     "expanding_interval": f"{_F} SELECT * FROM interval_",
     "interval_coverage": f"{_F} SELECT count(*) AS n, round(avg(CASE WHEN y BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END), 6) AS picp, round(avg(hi - lo) / avg(y), 4) AS mpiw FROM interval_ WHERE di >= 56",
-    "event_quantile_days": f"{_F} SELECT di, y, CASE WHEN r <= 140 THEN 'low' ELSE 'high' END AS tail FROM (SELECT di, y, row_number() OVER (ORDER BY y, di) AS r, count(*) OVER () AS n FROM daily) WHERE r <= 140 OR r > n - 123",
+    "event_quantile_days": f"WITH {COVARIATES_SQL} SELECT di, events, CASE WHEN r <= 140 THEN 'low' ELSE 'high' END AS tail FROM (SELECT di, events, row_number() OVER (ORDER BY events, di) AS r, count(*) OVER () AS n FROM panel) WHERE r <= 140 OR r > n - 123",
 }

@@ -1,26 +1,33 @@
-"""Driver regressions on the daily series: least squares, a negative binomial model, and the control for season.
+"""Driver regressions on the daily series: least squares, a negative binomial model, walk-forward models, and the control for season.
 
 Least squares needs X'X and X'y alone, which Spark sums; the driver solves a system of a few columns. The negative binomial fit
-repeats that by iteratively reweighted steps, each one grouped sum over the series.
+repeats that by iteratively reweighted steps, each one grouped sum over the stored series. A walk-forward model is refitted for each day
+from the days before; each model is a group of its own, as long as the daily series is.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gatewell.operators.forecast import DAILY_SQL, daily_series, forecasts
+from gatewell.operators.forecast import FIRST_ORIGIN, daily_covariates, forecasts, metrics, tails
+from gatewell.session import stored
+
+CALENDAR = (*(f"month_{m}" for m in range(2, 13)), *(f"dow_{w}" for w in range(2, 8)))
+WEATHER, DRIVERS = ("rain", "temp", "wind"), ("rain", "temp", "wind", "events")
 
 
-def design(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The daily series with month and weekday dummies (January and Monday are the base) and a trend per year."""
-    d = daily_series(spark, sf_dir)
+def design(days: DataFrame) -> DataFrame:
+    """The daily series with an intercept and month and weekday dummies, of which January and Monday are the base."""
     dummies = {f"month_{m}": (F.month("day") == m).cast("double") for m in range(2, 13)} | {f"dow_{w}": (F.weekday("day") + 1 == w).cast("double") for w in range(2, 8)}
-    return d.withColumns({"intercept": F.lit(1.0), **dummies, "years": F.col("di") / 365.25})
+    return days.withColumns({"intercept": F.lit(1.0), **dummies})
 
 
-COLUMNS = ("intercept", *(f"month_{m}" for m in range(2, 13)), *(f"dow_{w}" for w in range(2, 8)), "years")
+COLUMNS = ("intercept", *CALENDAR, *DRIVERS)
 
 
 def _moments(df: DataFrame, columns: tuple[str, ...], y: Column, weight: Column) -> tuple[np.ndarray, np.ndarray, int, float, float]:
@@ -35,9 +42,7 @@ def _moments(df: DataFrame, columns: tuple[str, ...], y: Column, weight: Column)
 
 
 def t_quantile(df: int, z: float = 1.959963984540054) -> float:
-    """The two-sided 95 % quantile of Student's t, by the expansion around the normal one; beyond 400 degrees its first terms."""
-    if df > 400:
-        return z + (z**3 + z) / (4 * df)
+    """The two-sided 95 % quantile of Student's t, by the expansion around the normal one (Abramowitz and Stegun 26.7.5)."""
     return z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * df**3)
 
 
@@ -55,69 +60,152 @@ def ols(df: DataFrame, columns: tuple[str, ...], y: Column) -> list[tuple]:
     return [*rows, ("r_squared", float(1 - rest / spread) if spread else None, None, None, None, None, None)]
 
 
-def nb2(df: DataFrame, columns: tuple[str, ...], y: str, rounds: int = 60, tolerance: float = 1e-9) -> tuple[np.ndarray, float]:
-    """Coefficients and dispersion of a negative binomial model with log link. Dispersion starts at 0.05 and is estimated anew by moments each fifth round."""
+@dataclass
+class NB2:
+    beta: np.ndarray
+    se: np.ndarray
+    alpha: float
+    rounds: int
+    deviance: float
+
+
+def nb2_fit(df: DataFrame, columns: tuple[str, ...], y: str, rounds: int = 60, tolerance: float = 1e-9) -> NB2:
+    """A negative binomial model with log link, with variance mu + alpha mu^2. Alpha starts at 0.05 and each fifth round takes its moment estimate,
+    the sum of (y - mu)^2 - mu over that of mu^2; errors are those of the model."""
     mean = df.agg(F.avg(y)).first()[0] or 1.0
-    beta, alpha = np.zeros(len(columns)), 0.05
+    beta, alpha, i = np.zeros(len(columns)), 0.05, 0
     beta[0] = np.log(max(mean, 1e-9))
-    for i in range(rounds):
+
+    def at(beta: np.ndarray) -> DataFrame:
         eta = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, columns, strict=True)), F.lit(0.0))))
-        step = df.select("*", eta.alias("eta"), F.exp(eta).alias("mu"))
+        return df.select("*", eta.alias("eta"), F.exp(eta).alias("mu"))
+
+    for i in range(rounds):
+        step = at(beta)
         xx, xy, *_ = _moments(step, columns, F.col("eta") + (F.col(y) - F.col("mu")) / F.col("mu"), F.col("mu") / (1 + alpha * F.col("mu")))
         new = np.linalg.pinv(xx) @ xy
+        if i % 5 == 0:
+            a = step.agg(F.sum(F.pow(F.col(y) - F.col("mu"), 2) - F.col("mu")), F.sum(F.pow("mu", 2))).first()
+            alpha = max(1e-8, a[0] / a[1]) if a[1] else 1e-8
         done = np.abs(new - beta).max() < tolerance
         beta = new
-        if i % 5 == 0:
-            a = step.agg(F.sum((F.pow(F.col(y) - F.col("mu"), 2) - F.col(y)) / F.pow("mu", 2)), F.count("*")).first()
-            alpha = max(1e-6, (a[0] or 0.0) / max(1, a[1] - len(columns)))
-        elif done:
+        if done:
             break
-    return beta, alpha
+    last = at(beta)
+    xx, *_ = _moments(last, columns, F.lit(0.0), F.col("mu") / (1 + alpha * F.col("mu")))
+    off = F.col(y) * F.ln(F.greatest(F.col(y).cast("double"), F.lit(1e-12)) / F.col("mu")) - (F.col(y) - F.col("mu"))
+    deviance = last.agg(2 * F.sum(off)).first()[0] or 0.0
+    return NB2(beta, np.sqrt(np.maximum(np.diag(np.linalg.pinv(xx)), 0)), alpha, i + 1, deviance)
 
 
-TERMS = "term string, beta double, se double, t double, low double, high double, effect double"
+def nb2(df: DataFrame, columns: tuple[str, ...], y: str) -> tuple[np.ndarray, float]:
+    """Coefficients and dispersion alone."""
+    fit = nb2_fit(df, columns, y)
+    return fit.beta, fit.alpha
+
+
+TERMS = "spec string, term string, beta double, se double, t double, low double, high double, effect double"
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(design(daily_covariates(spark, sf_dir)), "daily")
 
 
 def ols_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of log counts; days without any are left out."""
-    return spark.createDataFrame(ols(design(spark, sf_dir).filter("y > 0").withColumn("ln", F.ln("y")), COLUMNS, F.col("ln")), TERMS)
+    """Three specifications: log counts on calendar and drivers; the same without months; and the log ratio to the four-week mean on drivers alone. Days without orders are left out."""
+    days = _series(spark, sf_dir)
+    logs = days.filter("y > 0").withColumn("ln", F.ln("y"))
+    ratio = days.join(forecasts(days).select("di", "mean4sw"), "di").filter((F.col("di") >= FIRST_ORIGIN) & (F.col("mean4sw") > 0) & (F.col("y") > 0)).withColumn("ln", F.ln(F.col("y") / F.col("mean4sw")))
+    specs = (("primary", logs, COLUMNS), ("no_month", logs, tuple(c for c in COLUMNS if not c.startswith("month_"))), ("uplift", ratio, ("intercept", *DRIVERS)))
+    return spark.createDataFrame([(name, *row) for name, df, columns in specs for row in ols(df, columns, F.col("ln"))], TERMS)
 
 
 def nb2_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    beta, alpha = nb2(design(spark, sf_dir), COLUMNS, "y")
-    return spark.createDataFrame([*((c, float(b)) for c, b in zip(COLUMNS, beta, strict=True)), ("alpha", float(alpha))], "term string, beta double")
+    fit = nb2_fit(_series(spark, sf_dir), COLUMNS, "y")
+    rows = [(c, float(b), float(s), float(b / s) if s else None) for c, b, s in zip(COLUMNS, fit.beta, fit.se, strict=True)]
+    return spark.createDataFrame([*rows, ("alpha", fit.alpha, None, None), ("deviance", float(fit.deviance), None, None), ("rounds", float(fit.rounds), None, None)], "term string, beta double, se double, t double")
+
+
+def walk_forward(rows: DataFrame, first: int = FIRST_ORIGIN, least: int = 1) -> DataFrame:
+    """(model, di, y, f) from `first` on, over rows of model, di, y, t (the target of the fit; null if the day takes no part), x (its regressors), z (those of
+    the forecast) and base: f is base times exp(beta z), with beta fitted on all earlier days of the model; with fewer than `least` of them, base."""
+
+    def fit(days: pd.DataFrame) -> pd.DataFrame:
+        days = days.sort_values("di")
+        x, z = np.array(days["x"].tolist(), float), np.array(days["z"].tolist(), float)
+        t = days["t"].to_numpy(float)
+        held = np.isfinite(t)
+        x, t = np.where(held[:, None], x, 0.0), np.where(held, t, 0.0)
+        before = lambda v: np.cumsum(v, 0) - v
+        xx, xy, n = before(x[:, :, None] * x[:, None, :]), before(x * t[:, None]), before(held.astype(int))
+        out = days[["model", "di", "y"]].copy()
+        out["f"] = [b * (np.exp(p @ np.linalg.pinv(m, rcond=1e-12, hermitian=True) @ v) if k >= least else 1.0) if d >= first else np.nan for b, p, m, v, k, d in zip(days["base"], z, xx, xy, n, days["di"], strict=True)]
+        return out[out["di"] >= first]
+
+    return rows.groupBy("model").applyInPandas(fit, "model string, di int, y long, f double")
+
+
+def models(days: DataFrame) -> DataFrame:
+    """The rows of all walk-forward models: log counts by calendar, with weather, and with events too; and the two naive bases times their drivers."""
+    d = days.join(forecasts(days).select("di", "mean4sw", "snaive"), "di")
+    numbers = lambda columns: F.array(*[F.col(c).cast("double") for c in columns])
+    ln = F.when(F.col("y") > 0, F.ln("y"))
+    out = []
+    for name, extra in (("ols_logcount", ()), ("ols_logcount_weather", WEATHER), ("ols_logcount_weather_events", DRIVERS)):
+        x = numbers(("intercept", *CALENDAR, *extra))
+        out.append(F.struct(F.lit(name).alias("model"), ln.alias("t"), x.alias("x"), x.alias("z"), F.lit(1.0).alias("base")))
+    for base in ("snaive", "mean4sw"):
+        ratio = F.when((F.col("di") >= 28) & (F.col(base) > 0) & (F.col("y") > 0), F.ln(F.col("y") / F.col(base)))
+        for name, extra in (("weather", WEATHER), ("weather_events", DRIVERS)):
+            x = numbers(("intercept", *extra))
+            z = F.concat(F.array(F.lit(0.0)), F.slice(x, 2, len(extra)))  # the intercept takes no part in the forecast
+            out.append(F.struct(F.lit(f"drivers_on_{base}_{name}").alias("model"), ratio.alias("t"), x.alias("x"), z.alias("z"), F.col(base).cast("double").alias("base")))
+    return d.select("di", "y", F.explode(F.array(*out)).alias("m")).select("di", "y", "m.*")
+
+
+def _forecast(days: DataFrame, *names: str) -> DataFrame:
+    rows = models(days)
+    rows = rows.filter(F.col("model").isin(*names)) if names else rows
+    drivers = F.col("model").startswith("drivers")
+    return walk_forward(rows.filter(drivers), least=30).unionByName(walk_forward(rows.filter(~drivers)))
+
+
+def walk_forward_ols_logcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forecast(_series(spark, sf_dir), "ols_logcount_weather_events").select("di", "y", F.round("f", 4).alias("f"))
 
 
-def season_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the quietest and busiest days are off the mean of their weekday, and off the mean of their weekday and month."""
-    d = daily_series(spark, sf_dir).withColumn("dow", F.weekday("day")).withColumn("month", F.month("day"))
-    d = d.withColumn("uplift", F.col("y") / F.avg("y").over(Window.partitionBy("dow")) - 1).withColumn("inside", F.col("y") / F.avg("y").over(Window.partitionBy("dow", "month")) - 1)
-    d = d.withColumn("r", F.row_number().over(Window.orderBy("y", "di"))).crossJoin(d.agg(F.count("*").alias("n")))
-    tail = F.when(F.col("r") <= 140, "low").when(F.col("r") > F.col("n") - 123, "high")
-    return d.withColumn("tail", tail).filter("tail is not null").groupBy("tail").agg(F.count("*").alias("days"), F.round(F.avg("uplift"), 6).alias("uplift"), F.round(F.avg("inside"), 6).alias("residual"))
+def driver_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forecast(_series(spark, sf_dir), "drivers_on_mean4sw_weather_events").select("di", "y", F.round("f", 4).alias("f"))
 
 
-def driver_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walk-forward: the four-week mean times exp(beta x), where beta is fitted on all earlier days' log ratios and x is the weekend. Sums over the past
-    are windows, so every origin is fitted in one pass; with fewer than 30 earlier days the mean stands alone."""
-    f = forecasts(daily_series(spark, sf_dir)).filter("mean4sw is not null").withColumn("x", (F.weekday("day") >= 5).cast("double"))
-    past = Window.orderBy("di").rowsBetween(Window.unboundedPreceding, -1)
-    r = F.when((F.col("y") > 0) & (F.col("mean4sw") > 0), F.ln(F.col("y") / F.col("mean4sw")))
-    f = f.withColumn("r", r)
-    sums = f.withColumns({"n": F.count("r").over(past), "xx": F.sum(F.when(F.col("r").isNotNull(), F.col("x") * F.col("x"))).over(past), "xr": F.sum(F.col("x") * F.col("r")).over(past)})
-    beta = F.when((F.col("n") >= 30) & (F.col("xx") > 0), F.col("xr") / F.col("xx")).otherwise(0.0)
-    return sums.select("di", "y", F.round(F.col("mean4sw") * F.exp(beta * F.col("x")), 6).alias("f"))
-
-
-QUERIES = {"ols_drivers": ols_drivers, "nb2_drivers": nb2_drivers, "season_control": season_control, "driver_multiplier": driver_multiplier}
-
-_D = f"WITH {DAILY_SQL}"
-ORACLES = {
-    "season_control": f"""{_D}, u AS (SELECT *, y / avg(y) OVER (PARTITION BY isodow(day)) - 1 AS uplift, y / avg(y) OVER (PARTITION BY isodow(day), month(day)) - 1 AS inside, row_number() OVER (ORDER BY y, di) AS r, count(*) OVER () AS n FROM daily)
-      SELECT CASE WHEN r <= 140 THEN 'low' ELSE 'high' END AS tail, count(*) AS days, round(avg(uplift), 6) AS uplift, round(avg(inside), 6) AS residual FROM u WHERE r <= 140 OR r > n - 123 GROUP BY 1""",
-    "driver_multiplier": f"""{_D}, l AS (SELECT *, lag(y, 7) OVER o AS l1, lag(y, 14) OVER o AS l2, lag(y, 21) OVER o AS l3, lag(y, 28) OVER o AS l4 FROM daily WINDOW o AS (ORDER BY di)),
-      f AS (SELECT di, y, CAST((l1 + l2 + l3 + l4) / 4.0 AS DOUBLE) AS m, CASE WHEN isodow(day) >= 6 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x FROM l WHERE l4 IS NOT NULL),
-      r AS (SELECT *, CASE WHEN y > 0 AND m > 0 THEN ln(y / m) END AS r FROM f),
-      s AS (SELECT *, count(r) OVER p AS n, sum(CASE WHEN r IS NOT NULL THEN x * x END) OVER p AS xx, sum(x * r) OVER p AS xr FROM r WINDOW p AS (ORDER BY di ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-      SELECT di, y, round(m * exp(CASE WHEN n >= 30 AND xx > 0 THEN xr / xx ELSE 0.0 END * x), 6) AS f FROM s""",
-}
+def weather_events_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether weather and events help: the metrics of each walk-forward model, and how often its 80 % interval holds the day."""
+    days = _series(spark, sf_dir)
+    f = _forecast(days).join(days.select((F.col("di") + 7).alias("di"), F.col("y").alias("naive")), "di")
+    past = Window.partitionBy("model").orderBy("di").rowsBetween(Window.unboundedPreceding, -1)
+    f = f.withColumn("r", F.col("y") / F.greatest("f", F.lit(1e-9)))
+    few = F.count("r").over(past) < 30
+    bound = lambda p, d: F.col("f") * F.when(few, d).otherwise(F.percentile("r", p).over(past))
+    held = f.withColumn("held", F.col("y").between(bound(0.1, 0.5), bound(0.9, 1.5)))
+    return held.groupBy("model").agg(*[e.alias(k) for k, e in metrics(F.col("y"), F.col("f"), F.col("naive")).items()], F.round(F.avg(F.col("held").cast("double")), 4).alias("picp"))
+
+
+def season_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How days of few and of many events are off the mean of their weekday, and off what month and weekday together explain of that; by fixed tails and by deciles."""
+    d = _series(spark, sf_dir).withColumn("uplift", F.col("y") / F.avg("y").over(Window.partitionBy(F.weekday("day"))) - 1)
+    columns = ("intercept", *CALENDAR)
+    xx, xy, n, *_ = _moments(d, columns, F.col("uplift"), F.lit(1.0))
+    beta = np.linalg.pinv(xx) @ xy
+    d = d.withColumn("residual", F.col("uplift") - sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, columns, strict=True)), F.lit(0.0)))
+    tenth = max(1, round(0.1 * n))
+    both = tails(d).withColumn("split", F.lit("tails")).unionByName(tails(d, tenth, tenth).withColumn("split", F.lit("deciles")))
+    return both.groupBy("split", "tail").agg(F.count("*").alias("days"), F.min("events").alias("least_events"), F.max("events").alias("most_events"), F.round(F.avg("uplift"), 6).alias("uplift"), F.round(F.avg("residual"), 6).alias("residual"))
+
+
+QUERIES = {
+    "ols_drivers": ols_drivers, "nb2_drivers": nb2_drivers, "season_control": season_control, "driver_multiplier": driver_multiplier,
+    "walk_forward_ols_logcount": walk_forward_ols_logcount, "weather_events_experiment": weather_events_experiment,
+}
+
+#: Fits of several regressors can't be put in SQL; the tests hold them against plain refits.
+ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gatewell.functions.scalar import format_share, haversine_km
 from gatewell.operators.cube import packed, unpacked, whole_units
 from gatewell.operators.forecast import forecasts, metrics
-from gatewell.operators.regress import nb2, ols, t_quantile
+from gatewell.operators.regress import nb2, nb2_fit, ols, season_control, t_quantile, walk_forward
 
 
 def days(spark, y):
@@ -67,3 +67,58 @@ def test_shares_are_exact(spark):
 def test_distance(spark):
     r = spark.range(1).select(haversine_km(F.lit(54.0), F.lit(18.0), F.lit(55.0), F.lit(18.0)).alias("d")).first()
     assert abs(r.d - 111.19) < 0.02
+
+
+def test_negative_binomial_agrees_with_plain_scoring(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=250)
+    y = rng.negative_binomial(4, 4 / (4 + np.exp(1.5 - 0.3 * x)))
+    a = np.column_stack([np.ones(250), x])
+    beta, alpha = np.array([np.log(y.mean()), 0.0]), 0.05
+    for i in range(60):
+        mu = np.exp(a @ beta)
+        w = mu / (1 + alpha * mu)
+        new = np.linalg.solve(a.T @ (a * w[:, None]), a.T @ (w * (a @ beta + (y - mu) / mu)))
+        if i % 5 == 0:
+            alpha = ((y - mu) ** 2 - mu).sum() / (mu**2).sum()
+        done, beta = np.abs(new - beta).max() < 1e-9, new
+        if done:
+            break
+    mu = np.exp(a @ beta)
+    se = np.sqrt(np.diag(np.linalg.inv(a.T @ (a * (mu / (1 + alpha * mu))[:, None]))))
+    fit = nb2_fit(spark.createDataFrame([(1.0, float(p), int(q)) for p, q in zip(x, y)], "one double, x double, y long"), ("one", "x"), "y")
+    assert np.allclose(fit.beta, beta, atol=1e-6) and np.allclose(fit.se, se, atol=1e-6) and math.isclose(fit.alpha, alpha, abs_tol=1e-6) and fit.rounds == i + 1
+    assert math.isclose(fit.deviance, 2 * (y * np.log(np.maximum(y, 1e-12) / mu) - (y - mu)).sum(), rel_tol=1e-6)
+
+
+def test_walk_forward_agrees_with_refits(spark):
+    rng = np.random.default_rng(4)
+    n = 90
+    x = np.column_stack([np.ones(n), rng.normal(size=n), rng.integers(0, 2, n)])
+    t = x @ [1.0, 0.5, -0.2] + rng.normal(scale=0.1, size=n)
+    t[[5, 40]] = np.nan
+    rows = [(m, i, 7, None if np.isnan(t[i]) else float(t[i]), x[i].tolist(), x[i].tolist(), 2.0) for m in "ab" for i in range(n)]
+    df = spark.createDataFrame(rows, "model string, di int, y long, t double, x array<double>, z array<double>, base double")
+    found = {(r.model, r.di): r.f for r in walk_forward(df, first=30, least=35).collect()}
+    assert set(found) == {(m, i) for m in "ab" for i in range(30, n)}
+    for i in range(30, n):
+        past = np.flatnonzero(np.isfinite(t[:i]))
+        expected = 2 * np.exp(x[i] @ np.linalg.lstsq(x[past], t[past], rcond=None)[0]) if len(past) >= 35 else 2.0
+        assert math.isclose(found["a", i], expected, rel_tol=1e-6) and found["a", i] == found["b", i]
+
+
+def test_season_control_is_the_residual_of_additive_dummies(spark):
+    import pandas as pd
+
+    from gatewell.operators.forecast import daily_covariates
+
+    d = daily_covariates(spark, "/root/testdata/sf0.01").toPandas().sort_values("di")
+    day = pd.to_datetime(d["day"])
+    u = d["y"] / d.groupby(day.dt.weekday.to_numpy())["y"].transform("mean") - 1
+    x = np.column_stack([np.ones(len(d)), *[(day.dt.month == m) for m in range(2, 13)], *[(day.dt.weekday == w) for w in range(1, 7)]]).astype(float)
+    rest = u.to_numpy() - x @ np.linalg.lstsq(x, u.to_numpy(), rcond=None)[0]
+    order = np.argsort(d["events"].to_numpy(), kind="stable")
+    found = {(r.split, r.tail): r for r in season_control(spark, "/root/testdata/sf0.01").collect()}
+    k = round(0.1 * len(d))
+    for key, held in {("tails", "low"): order[:140], ("tails", "high"): order[-123:], ("deciles", "low"): order[:k], ("deciles", "high"): order[-k:]}.items():
+        assert found[key].days == len(held) and abs(found[key].uplift - u.to_numpy()[held].mean()) < 1e-5 and abs(found[key].residual - rest[held].mean()) < 1e-5
