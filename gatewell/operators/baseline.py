@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gatewell.operators.cube import CUBE_SQL, cube_dense, day_axis
+from gatewell.operators.cube import CUBE_SQL, compact, cube_dense, day_axis
+from gatewell.operators.checks import _LOCAL
 from gatewell.sources.adapters import tx_time
 
 
@@ -21,6 +22,7 @@ def with_weekday(cells: DataFrame, tx: DataFrame) -> DataFrame:
 def matched_baseline(tx: DataFrame) -> DataFrame:
     """The mean of the last four same weekdays, null unless all four are there."""
     w = Window.partitionBy("ci", "h", "dow").orderBy("di").rowsBetween(-4, -1)
+    tx = compact(tx)
     dense = with_weekday(cube_dense(tx).select("ci", "di", "h", "n"), tx)
     return dense.select("ci", "di", "h", "n", F.when(F.count("n").over(w) == 4, F.avg("n").over(w)).alias("base"))
 
@@ -33,12 +35,14 @@ def blind_baseline(tx: DataFrame) -> DataFrame:
 
 def baseline_table(tx: DataFrame) -> DataFrame:
     """The mean of each area, weekday and hour over the whole period, zeros included."""
+    tx = compact(tx)
     return with_weekday(cube_dense(tx), tx).groupBy("ci", "dow", "h").agg(F.round(F.avg("n"), 3).alias("mean"))
 
 
 def d1_gap(tx: DataFrame, least: float = 3.0, first: int = 35, sampled: int = 120) -> DataFrame:
     """How far the blind baseline is off the matched one, by weekday: mean, 5th and 95th percentile, and the worst cell, over cells of areas whose
     matched base is at least `least`, on about `sampled` days evenly spaced from `first` on. Both baselines come from one pass over the cube."""
+    tx = compact(tx)
     axis = day_axis(tx).select("start", "days")  # one row
     dense = cube_dense(tx).select("ci", "di", "h", "n").crossJoin(F.broadcast(axis)).withColumn("dow", F.weekday(F.expr("date_add(start, di)")) + 1)
     same = Window.partitionBy("ci", "h", "dow").orderBy("di").rowsBetween(-4, -1)
@@ -59,6 +63,18 @@ def weekday_index(tx: DataFrame) -> DataFrame:
     return days.crossJoin(F.broadcast(total)).select("dow", "n", F.round(F.col("n") * 7 / F.col("total"), 6).alias("index"))
 
 
+def weekday_index_from_cube(tx: DataFrame) -> DataFrame:
+    """The same from the cube's local days, beside that of the facts, and whether they agree within what days held at the axis' ends may shift."""
+    cells = compact(tx)
+    facts = weekday_index(tx).select("dow", F.col("index").alias("of_facts"))
+    days = with_weekday(cube_dense(cells), cells).groupBy("dow").agg(F.sum("n").alias("n"))
+    total = days.agg(F.sum("n").alias("total"))
+    moved = cells.agg(F.sum(F.when(F.col("local_day") != F.col("day"), F.col("n")).otherwise(0)).alias("moved"))
+    x = days.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(moved)).join(facts, "dow", "left")  # one row each
+    index = F.round(F.col("n") * 7 / F.col("total"), 6)
+    return x.select("dow", "n", index.alias("index"), (F.abs(index - F.coalesce("of_facts", F.lit(0.0))) <= 7 * F.col("moved") / F.col("total") + 1e-6).alias("agrees"))
+
+
 def daily_totals(tx: DataFrame) -> DataFrame:
     return cube_dense(tx).groupBy("di").agg(F.sum("n").alias("n"))
 
@@ -86,7 +102,7 @@ def _q(f):
 
 QUERIES = {k: _q(f) for k, f in {
     "matched_baseline": matched_baseline, "blind_baseline": blind_baseline, "baseline_table": baseline_table, "d1_gap": _d1,
-    "weekday_index": weekday_index, "daily_totals": daily_totals, "distinct_hours_hist": distinct_hours_hist, "window3": window3,
+    "weekday_index": weekday_index, "weekday_index_from_cube": weekday_index_from_cube, "daily_totals": daily_totals, "distinct_hours_hist": distinct_hours_hist, "window3": window3,
 }.items()}
 
 DAYS_SQL = f"""{CUBE_SQL}, wk AS (SELECT dense.*, CAST(isodow(start + CAST(di AS INTEGER)) AS INTEGER) AS dow FROM dense, days),
@@ -102,6 +118,9 @@ ORACLES = {
       r AS (SELECT *, row_number() OVER (PARTITION BY dow ORDER BY round(abs(gap), 6) DESC, ci, di, h) AS r FROM g)
       SELECT dow, count(*) AS cells, round(avg(gap), 6) AS mean, round(quantile_cont(gap, 0.05), 6) AS p05, round(quantile_cont(gap, 0.95), 6) AS p95, max(CASE WHEN r = 1 THEN round(gap, 6) END) AS worst, max(CASE WHEN r = 1 THEN ci END) AS worst_ci, max(CASE WHEN r = 1 THEN di END) AS worst_di, max(CASE WHEN r = 1 THEN h END) AS worst_h FROM r GROUP BY dow""",
     "weekday_index": f"{_W} SELECT CAST(isodow(day) AS INTEGER) AS dow, count(*) AS n, round(count(*) * 7 / CAST((SELECT count(*) FROM tx_time) AS DOUBLE), 6) AS index FROM tx_time GROUP BY 1",
+    "weekday_index_from_cube": f"""{_W}, d AS (SELECT dow, CAST(sum(n) AS BIGINT) AS n FROM wk GROUP BY dow), f AS (SELECT CAST(isodow(day) AS INTEGER) AS dow, count(*) AS k FROM tx_time GROUP BY 1),
+      t AS (SELECT count(*)::DOUBLE AS total, count(*) FILTER (WHERE CAST({_LOCAL} AS DATE) <> day) AS moved FROM tx_time)
+      SELECT d.dow, d.n, round(d.n * 7 / total, 6) AS index, abs(round(d.n * 7 / total, 6) - round(coalesce(k, 0) * 7 / total, 6)) <= 7 * moved / total + 1e-6 AS agrees FROM d LEFT JOIN f ON f.dow = d.dow, t""",
     "daily_totals": f"{_W} SELECT di, CAST(sum(n) AS BIGINT) AS n FROM dense GROUP BY di",
     "distinct_hours_hist": f"{_W} SELECT hours, count(*) AS days FROM (SELECT day, count(DISTINCT substr(tm, 1, 2)) AS hours FROM tx_time GROUP BY day) GROUP BY hours",
     "window3": f"{_W} SELECT ci, di, h, CAST(sum(n) OVER (PARTITION BY ci ORDER BY di * 24 + h ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS n3 FROM dense",

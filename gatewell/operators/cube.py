@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from gatewell.functions.scalar import day_index, local_time
 from gatewell.operators.checks import _LOCAL, excluded
 from gatewell.operators.gates import _cells, cell_totals, gate_columns
+from gatewell.session import stored
 from gatewell.sources.adapters import TX_TIME_SQL, tx_time
 
 #: The dashboard's issuer buckets; the last is every other country.
 ISSUERS = ("616", "276", "826", "752", "578")
 
 
+def compact(tx: DataFrame) -> DataFrame:
+    """Rows and amounts by area (null: excluded), local day, hour and UTC day, stored: all that a cube and its axes need, from one pass over the transactions. Compact rows stay as they are."""
+    if "local_day" in tx.columns:
+        return tx
+    at = local_time(F.col("day"), F.col("tm"))
+    rows = tx.select(F.when(~excluded(), F.col("pc")).alias("own"), at.cast("date").alias("local_day"), F.hour(at).alias("h"), "day", "amount")
+    return stored(rows.groupBy("own", "local_day", "h", "day").agg(F.count("*").alias("n"), F.sum("amount").alias("amount")), "compact")
+
+
 def code_axis(tx: DataFrame) -> DataFrame:
     """code, ci: the sorted area codes from 1 on; 0 is the bucket of excluded rows. Areas are a dimension, so one task orders them."""
-    codes = tx.filter(~excluded()).select(F.col("pc").alias("code")).distinct()
-    numbered = codes.withColumn("ci", F.row_number().over(Window.orderBy("code")))
+    codes = tx.filter("own is not null").select(F.col("own").alias("code")) if "own" in tx.columns else tx.filter(~excluded()).select(F.col("pc").alias("code"))
+    numbered = codes.distinct().withColumn("ci", F.row_number().over(Window.orderBy("code")))
     return numbered.unionAll(tx.sparkSession.createDataFrame([("—", 0)], "code string, ci int"))
 
 
@@ -38,13 +48,17 @@ def placed(tx: DataFrame) -> DataFrame:
 
 
 def cube_cells(tx: DataFrame) -> DataFrame:
-    return placed(tx).groupBy("ci", "di", "h").agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(18,2)").alias("amount"))
+    rows = compact(tx)
+    placed_ = rows.join(F.broadcast(code_axis(rows)), F.col("own") == F.col("code"), "left").crossJoin(F.broadcast(day_axis(rows)))  # a few areas, and one row
+    keys = [F.coalesce("ci", F.lit(0)).alias("ci"), day_index(F.col("local_day"), F.col("start"), F.col("days")).alias("di"), "h"]
+    return placed_.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("amount").cast("decimal(18,2)").alias("amount"))
 
 
 def cube_dense(tx: DataFrame) -> DataFrame:
     """A row for each area, day and hour, zero where nothing happened."""
-    axes = code_axis(tx).select("ci").crossJoin(day_axis(tx).select(F.explode(F.sequence(F.lit(0), F.col("days") - 1)).alias("di"))).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    return axes.join(cube_cells(tx), ["ci", "di", "h"], "left").select("ci", "di", "h", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("amount", F.lit(0).cast("decimal(18,2)")).alias("amount"))
+    rows = compact(tx)
+    axes = code_axis(rows).select("ci").crossJoin(day_axis(rows).select(F.explode(F.sequence(F.lit(0), F.col("days") - 1)).alias("di"))).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    return axes.join(cube_cells(rows), ["ci", "di", "h"], "left").select("ci", "di", "h", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("amount", F.lit(0).cast("decimal(18,2)")).alias("amount"))
 
 
 def nat_cells(tx: DataFrame) -> DataFrame:

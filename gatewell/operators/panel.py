@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gatewell.operators.baseline import DAYS_SQL, matched_baseline, window3
 from gatewell.operators.cube import ISSUERS, cube_cells, nat_cells
+from gatewell.operators.gates import _cells, by_card, gate, joined
+from gatewell.session import stored
 from gatewell.sources.adapters import tx_time
 
 THIN = 12
@@ -16,8 +18,9 @@ def win_stats(tx: DataFrame) -> DataFrame:
     """For each area, day and hour: three-hour activity and its base; where the base is thin, the city's instead; how far it is off, with a band, and the excess over the city."""
     at = Window.partitionBy("ci").orderBy("t").rowsBetween(-1, 1)
     both = matched_baseline(tx).withColumn("t", F.col("di") * 24 + F.col("h")).withColumns({"n3": F.sum("n").over(at), "b3": F.when(F.count("base").over(at) == F.count("n").over(at), F.sum("base").over(at))})
-    city = both.filter("ci >= 1").groupBy("di", "h").agg(F.sum("n3").alias("city_n"), F.when(F.count("b3") == F.count("*"), F.sum("b3")).alias("city_b"))
-    x = both.filter("ci >= 1 and b3 is not null").join(city, ["di", "h"]).filter("city_b > 0")
+    hour = Window.partitionBy("di", "h")  # an hour has as many rows as there are areas
+    city = {"city_n": F.sum("n3").over(hour), "city_b": F.when(F.count("b3").over(hour) == F.count("*").over(hour), F.sum("b3").over(hour))}
+    x = both.filter("ci >= 1").withColumns(city).filter("b3 is not null and city_b > 0")
     own = F.col("b3") >= THIN
     n, b = F.when(own, F.col("n3")).otherwise(F.col("city_n")), F.when(own, F.col("b3")).otherwise(F.col("city_b"))
     rel, city_rel = n / b - 1, F.col("city_n") / F.col("city_b") - 1
@@ -58,6 +61,34 @@ def hierarchy_rollup(tx: DataFrame) -> DataFrame:
     return out.select(F.when(F.col("g") == 0, "area").when(F.col("g") == 2, "tens").otherwise("city").alias("level"), F.coalesce("pc", "tens", F.lit("all")).alias("unit"), "n", "cards")
 
 
+def readable_source(tx: DataFrame) -> DataFrame:
+    """For each area the nearest level that may be shown, of area, tens and city, and its volume shared out over the codes it stands for; null if none may be."""
+    t = tx.filter(F.col("pc").startswith("81-")).withColumn("tens", F.substring("pc", 1, 5))
+    base = stored(by_card(t, ["pc", "tens"]), "cards")
+    level = lambda grain, name: gate(base, grain).select(*grain, F.col("ok").alias(f"{name}_ok"), F.col("n_tx").alias(f"{name}_n"))
+    codes = base.select("pc", "tens").distinct()
+    sizes = codes.groupBy("tens").agg(F.count("*").alias("tens_codes"))
+    city = joined(level([], "city"), codes.agg(F.count("*").alias("city_codes")), [])
+    x = joined(codes.join(level(["pc"], "area"), "pc").join(level(["tens"], "tens"), "tens").join(sizes, "tens"), city, [])
+    pick = lambda a, b, c: F.when(F.col("area_ok"), a).when(F.col("tens_ok"), b).when(F.col("city_ok"), c)
+    share = pick(F.col("area_n").cast("double"), F.col("tens_n") / F.col("tens_codes"), F.col("city_n") / F.col("city_codes"))
+    return x.select("pc", pick(F.lit("area"), F.lit("tens"), F.lit("city")).alias("source"), F.round(share, 6).alias("volume"))
+
+
+def attribute_share(tx: DataFrame, least: float = 0.3) -> DataFrame:
+    """Each day's share of volume in areas whose attribute, as the share of their shore that is beach, is at least `least`; here tenths of the code's number stand for it."""
+    days = cube_cells(tx).filter("ci >= 1").groupBy("di").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("ci") % 10 / 10 >= least, F.col("n")).otherwise(0)).alias("held"))
+    return days.select("di", "n", F.round(F.col("held") / F.col("n"), 6).alias("share"))
+
+
+def area_uplift(tx: DataFrame) -> DataFrame:
+    """How far each area's day is off its base, less how far the city is off its own; days of areas whose every hour has a base count."""
+    days = matched_baseline(tx).filter("ci >= 1").groupBy("ci", "di").agg(F.sum("n").alias("n"), F.when(F.count("base") == F.count("*"), F.sum("base")).alias("base")).filter("base > 0")
+    city = Window.partitionBy("di")
+    rel = lambda n, b: n / b - 1
+    return days.select("ci", "di", F.round(rel(F.col("n"), F.col("base")), 6).alias("rel"), F.round(rel(F.col("n"), F.col("base")) - rel(F.sum("n").over(city), F.sum("base").over(city)), 6).alias("over_city"))
+
+
 def event_uplift(tx: DataFrame) -> DataFrame:
     """Activity over base within events' windows, from an hour before the start to the end; events are ranges, joined by day and then by hour."""
     events = tx.sparkSession.createDataFrame([("opening", 28, 12, 15), ("concert", 28, 18, 22), ("market", 29, 8, 13)], "event string, di int, start int, end int")
@@ -78,7 +109,7 @@ def _q(f):
 
 QUERIES = {k: _q(f) for k, f in {
     "win_stats": win_stats, "hourly_profile": hourly_profile, "top_area": top_area, "day_strip": day_strip, "issuer_mix": issuer_mix,
-    "hierarchy_rollup": hierarchy_rollup, "event_uplift": event_uplift, "interpolated": interpolated,
+    "hierarchy_rollup": hierarchy_rollup, "readable_source": readable_source, "attribute_share": attribute_share, "area_uplift": area_uplift, "event_uplift": event_uplift, "interpolated": interpolated,
 }.items()}
 
 _W = f"WITH {DAYS_SQL}"
@@ -89,6 +120,14 @@ ORACLES = {
       s AS (SELECT ci, di, h, CASE WHEN b3 >= 12 THEN 'area' ELSE 'city' END AS source, CAST(CASE WHEN b3 >= 12 THEN n3 ELSE city_n END AS DOUBLE) AS n, CASE WHEN b3 >= 12 THEN b3 ELSE city_b END AS b, CAST(city_n AS DOUBLE) / city_b - 1 AS city_rel
         FROM b JOIN city USING (di, h) WHERE ci >= 1 AND b3 IS NOT NULL AND city_b > 0)
       SELECT ci, di, h, source, round(n / b - 1, 6) AS rel, round(least(1.5, 1.96 / sqrt(b)), 6) AS band, round(greatest(-100.0, least(100.0, (n / b - 1 - city_rel) * 100 * least(1.0, b / 30))), 6) AS force FROM s""",
+    "readable_source": f"""{_W}, tx AS (SELECT *, substr(pc, 1, 5) AS tens FROM tx_time WHERE pc LIKE '81-%'),
+      own AS (SELECT * FROM (WITH {_cells('pc').lstrip()} SELECT pc, ok AS area_ok, n_tx AS area_n FROM g)), up AS (SELECT * FROM (WITH {_cells('tens').lstrip()} SELECT tens, ok AS tens_ok, n_tx AS tens_n FROM g)),
+      top AS (SELECT * FROM (WITH {_cells('').lstrip()} SELECT ok AS city_ok, n_tx AS city_n FROM g)), k AS (SELECT pc, tens, count(*) OVER (PARTITION BY tens) AS tens_codes, count(*) OVER () AS city_codes FROM (SELECT DISTINCT pc, tens FROM tx))
+      SELECT pc, CASE WHEN area_ok THEN 'area' WHEN tens_ok THEN 'tens' WHEN city_ok THEN 'city' END AS source,
+        round(CASE WHEN area_ok THEN area_n::DOUBLE WHEN tens_ok THEN tens_n / tens_codes::DOUBLE WHEN city_ok THEN city_n / city_codes::DOUBLE END, 6) AS volume FROM k JOIN own USING (pc) JOIN up USING (tens), top""",
+    "attribute_share": f"{_W} SELECT di, CAST(sum(n) AS BIGINT) AS n, round(sum(CASE WHEN ci % 10 / 10.0::DOUBLE >= 0.3 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS share FROM cells WHERE ci >= 1 GROUP BY di",
+    "area_uplift": f"""{_W}, d AS (SELECT ci, di, sum(n)::DOUBLE AS n, CASE WHEN count(base) = count(*) THEN sum(base) END AS base FROM matched WHERE ci >= 1 GROUP BY ci, di), e AS (SELECT * FROM d WHERE base > 0)
+      SELECT ci, di, round(n / base - 1, 6) AS rel, round(n / base - sum(n) OVER (PARTITION BY di) / sum(base) OVER (PARTITION BY di), 6) AS over_city FROM e""",
     "hourly_profile": f"{_W}, x AS (SELECT h, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY h) SELECT h, n, round((SELECT sum(n) FROM x WHERE h BETWEEN 11 AND 15) / (SELECT CAST(sum(n) AS DOUBLE) FROM x), 6) AS midday_share, (SELECT h FROM x ORDER BY n DESC, h LIMIT 1) AS peak FROM x",
     "top_area": f"{_W}, x AS (SELECT di, ci, CAST(sum(n) AS BIGINT) AS n FROM cells WHERE ci >= 1 GROUP BY di, ci), r AS (SELECT *, row_number() OVER (PARTITION BY di ORDER BY n DESC, ci) AS r, sum(n) OVER (PARTITION BY di) AS t FROM x) SELECT di, ci, n, round(n / CAST(t AS DOUBLE), 6) AS share FROM r WHERE r = 1",
     "day_strip": f"{_W}, x AS (SELECT ci, di, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY ci, di) SELECT ci, di, n, lag(n) OVER w AS before, lead(n) OVER w AS after FROM x WINDOW w AS (PARTITION BY ci ORDER BY di)",
