@@ -156,8 +156,38 @@ def entity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", entity_key("salt", F.col("s_suppkey")).alias("entity"))
 
 
+def calendar_mismatch(rows: DataFrame, day: str, stored: dict[str, str]) -> DataFrame:
+    """How many rows' stored calendar columns differ from what their day gives; stored names the columns for year, month, isodow, weekend, month_id and week. Null equals null."""
+    d = F.col(day)
+    again = {"year": F.year(d), "month": F.month(d), "isodow": F.weekday(d) + 1, "weekend": F.weekday(d) >= 5, "month_id": F.date_format(d, "yyyyMM"), "week": iso_week(d)}
+    return rows.agg(*[F.count_if(~F.col(c).eqNullSafe(again[k])).alias(k) for k, c in stored.items()])
+
+
+def require(checks: DataFrame, expected: dict | None = None) -> DataFrame:
+    """The one row of checks, if each column has the value expected of it, 0 unless said otherwise; else an error that names the columns."""
+    row = checks.first().asDict()
+    wrong = {k: v for k, v in row.items() if v != (expected or {}).get(k, 0)}
+    if wrong:
+        raise ValueError(f"checks failed: {wrong}")
+    return checks
+
+
+def require_rows(found: DataFrame, key: str, count: str, expected: dict) -> DataFrame:
+    """found, if its keys and counts are those expected, no more and no fewer; they are few, as codes that leaked are."""
+    rows = {r[0]: r[1] for r in found.select(key, count).limit(len(expected) + 1).collect()}
+    if rows != expected:
+        raise ValueError(f"unexpected rows: {sorted(set(rows.items()) ^ set(expected.items()), key=str)}")
+    return found
+
+
+def area_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and distinct cards by area as a report shows them: blank and unknown areas under one label."""
+    label = F.coalesce(F.nullif(F.upper(F.trim("pc")), F.lit("")), F.lit("(none)"))
+    return tx_time(spark, sf_dir).groupBy(label.alias("label")).agg(F.count("*").alias("n"), F.countDistinct("card").alias("cards"))
+
+
 QUERIES = {
-    "scan_union_all": scan_union_all, "overlap_intersect": overlap_intersect, "span": span, "check_schema": check_schema, "rederive_mismatch": rederive_mismatch,
+    "area_report": area_report, "scan_union_all": scan_union_all, "overlap_intersect": overlap_intersect, "span": span, "check_schema": check_schema, "rederive_mismatch": rederive_mismatch,
     "calendar_features": calendar_features, "status_vocabularies": status_vocabularies, "domains": domains, "postcode_normalise": postcode_normalise,
     "postcode_partition": postcode_partition, "shape_violations": shape_violations, "reference_membership": reference_membership, "city_label_filter": city_label_filter,
     "leaked_postcodes": leaked_postcodes, "zero_timecode_stats": zero_timecode_stats, "excluded_counts": excluded_counts, "fd_check": fd_check, "local_time": local_times,
@@ -169,6 +199,7 @@ _FOREIGN = "pc LIKE '00-00_'"
 _LOCAL = "timezone('Europe/Warsaw', (day + CAST(substr(tm,1,2) || ':' || substr(tm,3,2) || ':' || substr(tm,5,2) AS TIME)) AT TIME ZONE 'UTC')"
 
 ORACLES = {
+    "area_report": f"{_TX} SELECT coalesce(nullif(upper(trim(pc)), ''), '(none)') AS label, count(*) AS n, count(DISTINCT card) AS cards FROM tx_time GROUP BY 1",
     "scan_union_all": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 2 = 0 UNION ALL SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 2 = 1",
     "overlap_intersect": """WITH a AS (SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01'), b AS (SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01')
       SELECT 'line' AS key, count(*) AS n FROM (SELECT l_orderkey, l_linenumber FROM a INTERSECT SELECT l_orderkey, l_linenumber FROM b)

@@ -8,7 +8,8 @@ grain is a cell like any other.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,6 +39,23 @@ class Rules:
         if not 0 < self.share_num <= self.share_den:
             raise ValueError("max_share is above 0 and at most 1")
 
+    @classmethod
+    def from_mapping(cls, mapping: dict) -> Rules:
+        """From a JSON document's names; a share is a string `n/d` or a pair of integers, never a float."""
+        share = mapping.get("maxShare", (3, 4))
+        if isinstance(share, str):
+            share = share.split("/") if "/" in share else (share, 1)
+        elif not isinstance(share, (list, tuple)) or any(isinstance(x, float) for x in share):
+            raise TypeError("maxShare is 'n/d' or a pair of integers")
+        num, den = map(int, share)
+        whole = {"min_cards": "minCards", "min_merchants": "minMerchants", "thin_base": "thinBaseTransactions"}
+        given = {k: mapping[v] for k, v in whole.items() if v in mapping}
+        return cls(share_num=num, share_den=den, differencing=bool(mapping.get("requireDifferencing", False)), **given)
+
+    def fingerprint(self) -> str:
+        """Which rules these are: a digest of all their values."""
+        return hashlib.sha256(repr(sorted(asdict(self).items())).encode()).hexdigest()[:16]
+
 
 def by_card(tx: DataFrame, grain: list[str]) -> DataFrame:
     """(grain, merchant, card, n), from transactions or from such rows of a finer grain: all that the gates of this grain and of coarser ones need."""
@@ -182,6 +200,20 @@ def cascade(tx: DataFrame, cell: list[str], parent: list[str], rules: Rules = Ru
     )
 
 
+def release(cells: DataFrame, rules: Rules) -> DataFrame:
+    """The cells that pass, marked with the rules that passed them."""
+    return cells.filter("ok").withColumn("rules", F.lit(rules.fingerprint()))
+
+
+def require_released(cells: DataFrame, rules: Rules) -> DataFrame:
+    """cells, if they come from `release` under these very rules and all pass; else an error."""
+    if "rules" not in cells.columns or "ok" not in cells.columns:
+        raise ValueError("cells that no gate has released")
+    if not cells.filter(~F.col("ok") | F.col("ok").isNull() | ~F.col("rules").eqNullSafe(F.lit(rules.fingerprint()))).isEmpty():
+        raise ValueError("cells that fail, or that other rules released")
+    return cells
+
+
 def with_month(tx: DataFrame) -> DataFrame:
     return tx.withColumn("month", F.date_format("day", "yyyyMM"))
 
@@ -272,8 +304,18 @@ def gated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("area", (F.col("g1") & F.col("g2") & F.col("g3_volume")).alias("volume_only"), F.col("ok").alias("strict"))
 
 
+def codes_between_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas that the volume alone would release and the strict reading holds back."""
+    codes = gated_codes(spark, sf_dir)
+    return codes.filter("volume_only").select("area").exceptAll(codes.filter("strict").select("area"))
+
+
+def released_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return require_released(release(gate(_monthly(spark, sf_dir), ["area", "month"]), Rules()), Rules()).select("area", "month", "n_tx", "n_cards", "n_merchants")
+
+
 QUERIES = {
-    "area_gates": area_gates, "area_stats": area_stats, "area_top1": area_top1, "month_gates": month_gates, "cell_merchants": cell_merchant_rows,
+    "codes_between_readings": codes_between_readings, "released_months": released_months, "area_gates": area_gates, "area_stats": area_stats, "area_top1": area_top1, "month_gates": month_gates, "cell_merchants": cell_merchant_rows,
     "exclusive_cards": exclusive_rows, "gates_differencing": gates_differencing, "residual_bounds": residual_bounds, "gate_cascade": gate_cascade,
     "gate_report": gate_report, "privacy_funnel": privacy_funnel, "cell_violations": cell_violations, "gated_codes": gated_codes,
 }
@@ -306,6 +348,8 @@ r AS (SELECT a.area, a.merchant, t.n_cards - {gone} AS n_cards, t.n_merchants -
 rr AS (SELECT *, least(top_cards0, n_cards) AS top_cards FROM r)"""
 
 ORACLES = {
+    "codes_between_readings": f"{_AREA} {_cells('area')} SELECT area FROM g WHERE g1 AND g2 AND g3_volume EXCEPT SELECT area FROM g WHERE ok",
+    "released_months": f"{_AREA} {_cells('area, month')} SELECT area, month, n_tx, n_cards, n_merchants FROM g WHERE ok",
     "area_gates": f"{_AREA} {_cells('area')} SELECT area, {_GATES} FROM g",
     "area_stats": f"{_AREA} {_cells('area')} SELECT area, n_tx, n_cards, n_merchants FROM t",
     "area_top1": f"{_AREA} {_cells('area')} SELECT area, top_volume, top_cards FROM p",

@@ -1,11 +1,11 @@
-"""Geometry as joins: point in polygon by edges, nearest area, adjacency, and a kernel field over a grid.
+"""Geometry as joins: point in polygon by edges, nearest area, shared and nearest edges, and a kernel field over a grid.
 
 Points meet polygons through a grid of cells that a polygon's box covers, an equi-join; then a point is inside if a ray from it crosses an odd number of edges.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewell.functions.scalar import haversine_km
@@ -48,6 +48,65 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside(points(spark, sf_dir), edges(spark))
 
 
+def shared_edges(sides: DataFrame) -> DataFrame:
+    """(a, b, x1, y1, x2, y2): edges that two areas have in common, whichever way round; areas beside each other are adjacent."""
+    turned = (F.col("x1") > F.col("x2")) | (F.col("x1") == F.col("x2")) & (F.col("y1") > F.col("y2"))
+    ends = [F.when(turned, F.col(t)).otherwise(F.col(o)).alias(o) for o, t in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))]
+    whole = sides.select("area", *ends).groupBy("x1", "y1", "x2", "y2").agg(F.min("area").alias("a"), F.max("area").alias("b"))
+    return whole.filter("a != b").select("a", "b", "x1", "y1", "x2", "y2")
+
+
+def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """From a point to a segment; a segment without length is a point."""
+    dx, dy = x2 - x1, y2 - y1
+    along = F.coalesce(F.try_divide((x - x1) * dx + (y - y1) * dy, dx * dx + dy * dy), F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+    return F.hypot(x - (x1 + t * dx), y - (y1 + t * dy))
+
+
+def boundary_distance(pts: DataFrame, sides: DataFrame) -> DataFrame:
+    """(id, area, distance) of each point of (id, area, x, y) to the nearest edge of its area."""
+    d = segment_distance(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
+    return pts.join(sides, "area").groupBy("id", "area").agg(F.min(d).alias("distance"))
+
+
+def snapped(pts: DataFrame, samples: DataFrame, sides: DataFrame) -> DataFrame:
+    """(id, area, x, y, snapped): points of (id, area, x, y) that lie outside their area are moved to the nearest of its samples (area, x, y) that lie inside; without any they stay."""
+    held = inside(pts.select("id", "x", "y"), sides).withColumn("held", F.lit(True))
+    named = samples.withColumn("id", F.monotonically_increasing_id())
+    good = named.join(inside(named.select("id", "x", "y"), sides), ["id", "area"], "left_semi").select("area", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    near = pts.join(held, ["id", "area"], "left").join(good, "area", "left")  # an area has a few samples
+    gap = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
+    best = near.groupBy("id", "area").agg(F.max("held").alias("held"), F.first("x").alias("x"), F.first("y").alias("y"), F.min_by(F.struct("sx", "sy"), F.struct(gap, "sx", "sy")).alias("s"))
+    moves = F.col("held").isNull() & F.col("s.sx").isNotNull()
+    return best.select("id", "area", F.when(moves, F.col("s.sx")).otherwise(F.col("x")).alias("x"), F.when(moves, F.col("s.sy")).otherwise(F.col("y")).alias("y"), moves.alias("snapped"))
+
+
+def confidence(both_agree: Column, support: Column, addresses: Column) -> Column:
+    """How well a polygon is known, by how many sources agree, what share of it is supported (in percent), and how many addresses it has; unknown figures count as 0."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return F.when((zero(both_agree) >= 3) & (zero(support) >= 75), "observed").when((zero(addresses) >= 1) & (zero(support) >= 40), "inferred").otherwise("extrapolated")
+
+
+def area_label(streets: Column, code: Column) -> Column:
+    """The first of the streets, which semicolons part, after `ul. `; the code if there is none."""
+    first = F.trim(F.substring_index(F.coalesce(streets, F.lit("")), ";", 1))
+    return F.when(first != "", F.concat(F.lit("ul. "), first)).otherwise(code)
+
+
+def edge_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How deep each point lies in its area."""
+    p = points(spark, sf_dir)
+    d = boundary_distance(p.join(inside(p, edges(spark)), "id"), edges(spark))
+    return d.select("id", "area", F.round("distance", 6).alias("distance"))
+
+
+def part_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three-way rule and the label over parts, whose size, price and key stand for the figures of polygons."""
+    k, size, price = F.col("p_partkey"), F.col("p_size"), F.col("p_retailprice")
+    return table(spark, sf_dir, "part").select("p_partkey", confidence(size % 7, price % 100, k % 3).alias("confidence"), area_label(F.when(k % 5 > 0, F.concat("p_brand", F.lit(" ; "), "p_type")), k.cast("string")).alias("label"))
+
+
 def centroids(spark: SparkSession) -> DataFrame:
     rows = [(n, 54.4 + sum(y for r in rings for _, y in r) / sum(map(len, rings)) / 100, 18.5 + sum(x for r in rings for x, _ in r) / sum(map(len, rings)) / 100) for n, rings in POLYGONS.items()]
     return spark.createDataFrame(rows, "area string, lat double, lng double")
@@ -75,13 +134,18 @@ def heat_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy("gx", "gy").agg(F.count("*").alias("n"), F.round(F.sum(F.col("w") * F.col("v")) / F.sum("w"), 4).alias("value"))
 
 
-QUERIES = {"point_in_polygon": point_in_polygon, "nearest_area": nearest_area, "bounding_boxes": bounding_boxes, "heat_field": heat_field}
+QUERIES = {"point_in_polygon": point_in_polygon, "nearest_area": nearest_area, "bounding_boxes": bounding_boxes, "heat_field": heat_field, "edge_distances": edge_distances, "part_confidence": part_confidence}
 
 _E = "e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {x1}::DOUBLE, {y1}::DOUBLE, {x2}::DOUBLE, {y2}::DOUBLE)" for a, x1, y1, x2, y2 in edge_rows()) + ") v(area, x1, y1, x2, y2))"
 _P = "p AS (SELECT c_custkey AS id, (c_custkey * 37 % 1100) / 100.0::DOUBLE + 0.003::DOUBLE AS x, (c_custkey * 91 % 1097) / 100.0::DOUBLE + 0.007::DOUBLE AS y, c_acctbal AS v FROM customer)"
 _C = "c AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {54.4 + sum(y for r in rings for _, y in r) / sum(map(len, rings)) / 100!r}::DOUBLE, {18.5 + sum(x for r in rings for x, _ in r) / sum(map(len, rings)) / 100!r}::DOUBLE)" for n, rings in POLYGONS.items()) + ") v(area, lat, lng))"
 
 ORACLES = {
+    "edge_distances": f"""WITH {_E}, {_P}, i AS (SELECT id, area, x, y FROM (SELECT id, area, x, y, count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) AS k FROM p, e GROUP BY id, area, x, y) WHERE k % 2 = 1),
+      t AS (SELECT id, area, x, y, x1, y1, x2, y2, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM i JOIN e USING (area))
+      SELECT id, area, round(min(sqrt(pow(x - (x1 + t * (x2 - x1)), 2) + pow(y - (y1 + t * (y2 - y1)), 2))), 6) AS distance FROM t GROUP BY id, area""",
+    "part_confidence": """SELECT p_partkey, CASE WHEN p_size % 7 >= 3 AND p_retailprice % 100 >= 75 THEN 'observed' WHEN p_partkey % 3 >= 1 AND p_retailprice % 100 >= 40 THEN 'inferred' ELSE 'extrapolated' END AS confidence,
+      CASE WHEN p_partkey % 5 > 0 THEN 'ul. ' || trim(p_brand) ELSE CAST(p_partkey AS VARCHAR) END AS label FROM part""",
     "point_in_polygon": f"WITH {_E}, {_P} SELECT id, area FROM p, e WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY id, area HAVING count(*) % 2 = 1",
     "nearest_area": f"""WITH {_C}, {_P}, d AS (SELECT id, area, 2 * 6371 * asin(sqrt(pow(sin(radians(lat - (54.4::DOUBLE + y / 100)) / 2), 2) + cos(radians(54.4::DOUBLE + y / 100)) * cos(radians(lat)) * pow(sin(radians(lng - (18.5::DOUBLE + x / 100)) / 2), 2))) AS km FROM p, c),
       r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, area) AS r FROM d) SELECT id, area, round(km, 6) AS km FROM r WHERE r = 1 AND round(km, 6) < 1.5""",

@@ -2,7 +2,7 @@
 
 import pytest
 
-from gatewell.operators.gates import Rules, cascade, differencing, gate, gate_columns, reason, residuals
+from gatewell.operators.gates import Rules, cascade, differencing, gate, gate_columns, reason, release, require_released, residuals
 
 CELLS = "id string, n_cards long, n_merchants long, n_tx long, top_volume long, top_cards long"
 # id, cards, volumes by merchant, largest merchant's cards, reason
@@ -121,3 +121,21 @@ def test_cascade_honours_differencing_at_every_level(spark):
     assert cascade(rows, ["area"], ["parent"]).first().level == "cell"
     strict = cascade(rows, ["area"], ["parent"], Rules(differencing=True)).first()
     assert strict.level is None and strict.failures == ["g4_differencing"]
+
+
+def test_rules_from_a_document():
+    assert Rules.from_mapping({"minCards": 29, "maxShare": "74/100"}) == Rules(min_cards=29, share_num=74, share_den=100)
+    assert Rules.from_mapping({"maxShare": [3, 4], "requireDifferencing": True}) == Rules(differencing=True)
+    for bad in (0.75, [0.75, 1]):
+        with pytest.raises(TypeError):
+            Rules.from_mapping({"maxShare": bad})
+    assert Rules().fingerprint() == Rules.from_mapping({}).fingerprint() != Rules(min_cards=29).fingerprint()
+
+
+def test_only_what_these_rules_released_goes_out(spark):
+    held = gate_columns(cells(spark))
+    out = require_released(release(held, Rules()), Rules())
+    assert {r.id for r in out.collect()} == {g[0] for g in GOLDEN if g[4] == "ok"}
+    for bad in (held, release(held, Rules(min_cards=29)), held.selectExpr("*", f"'{Rules().fingerprint()}' rules")):
+        with pytest.raises(ValueError):
+            require_released(bad, Rules())
