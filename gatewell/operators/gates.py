@@ -58,7 +58,9 @@ class Rules:
 
 
 def by_card(tx: DataFrame, grain: list[str]) -> DataFrame:
-    """(grain, merchant, card, n), from transactions or from such rows of a finer grain: all that the gates of this grain and of coarser ones need."""
+    """(grain, merchant, card, n), from transactions or from such rows of a finer grain: all that the gates of this grain and of coarser ones need. Such rows of this very grain stay as they are."""
+    if set(tx.columns) == {*grain, "merchant", "card", "n"}:
+        return tx
     n = F.sum("n") if "n" in tx.columns else F.count("*")
     return tx.groupBy(*grain, "merchant", "card").agg(n.alias("n"))
 
