@@ -1,4 +1,4 @@
-"""Geometry as joins: point in polygon by edges, nearest area, shared and nearest edges, and a kernel field over a grid.
+"""Geometry as joins: point in polygon by edges, nearest area, shared and nearest edges, spans and points of areas, and a kernel field over a grid with its flow.
 
 Points meet polygons through a grid of cells that a polygon's box covers, an equi-join; then a point is inside if a ray from it crosses an odd number of edges.
 """
@@ -82,6 +82,24 @@ def snapped(pts: DataFrame, samples: DataFrame, sides: DataFrame) -> DataFrame:
     return best.select("id", "area", F.when(moves, F.col("s.sx")).otherwise(F.col("x")).alias("x"), F.when(moves, F.col("s.sy")).otherwise(F.col("y")).alias("y"), moves.alias("snapped"))
 
 
+def spans(sides: DataFrame, lines: int = 8) -> DataFrame:
+    """(area, y, x1, x2): the stretches of each area along `lines` level lines, evenly spaced over its height; holes part them."""
+    box = sides.groupBy("area").agg(F.min(F.least("y1", "y2")).alias("low"), F.max(F.greatest("y1", "y2")).alias("high"))
+    at = box.select("area", "low", "high", F.explode(F.sequence(F.lit(0), F.lit(lines - 1))).alias("k")).select("area", (F.col("low") + (F.col("k") + 0.5) * (F.col("high") - F.col("low")) / lines).alias("y"))
+    met = at.join(sides, "area").filter((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y")))
+    x = F.col("x1") + (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1"))
+    sorted_ = met.groupBy("area", "y").agg(F.array_sort(F.collect_list(x)).alias("xs"))  # as many as a line crosses edges
+    pairs = F.explode(F.expr("transform(sequence(0, size(xs) div 2 - 1), i -> struct(xs[2 * i] AS x1, xs[2 * i + 1] AS x2))"))
+    return sorted_.select("area", "y", pairs.alias("s")).select("area", "y", "s.x1", "s.x2")
+
+
+def representative_points(sides: DataFrame, lines: int = 8) -> DataFrame:
+    """(area, x, y, width): the middle of each area's widest span, so a point inside it; of equal ones the lowest, then the leftmost."""
+    wide = F.col("x2") - F.col("x1")
+    best = F.max_by(F.struct(((F.col("x1") + F.col("x2")) / 2).alias("x"), F.col("y")), F.struct(F.round(wide, 9), -F.col("y"), -F.col("x1")))
+    return spans(sides, lines).groupBy("area").agg(best.alias("p"), F.max(wide).alias("width")).select("area", "p.x", "p.y", "width")
+
+
 def confidence(both_agree: Column, support: Column, addresses: Column) -> Column:
     """How well a polygon is known, by how many sources agree, what share of it is supported (in percent), and how many addresses it has; unknown figures count as 0."""
     zero = lambda c: F.coalesce(c, F.lit(0))
@@ -124,23 +142,76 @@ def bounding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(spark).groupBy("area").agg(F.min("x1").alias("min_x"), F.max("x1").alias("max_x"), F.min("y1").alias("min_y"), F.max("y1").alias("max_y"), F.round(F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))) / 2, 6).alias("ring_area"))
 
 
-def heat_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At each grid cell the Gaussian-weighted mean of customers' balances within two cells; points are bucketed, so the join is by cell."""
-    values = points(spark, sf_dir).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v")), "id")
+def field(values: DataFrame, *columns: str) -> DataFrame:
+    """(gx, gy, n, columns): at each grid cell the Gaussian-weighted means of points within two cells; points are bucketed, so the join is by cell."""
     reach = F.explode(F.sequence(F.lit(-2), F.lit(2)))
-    spread = values.select("x", "y", "v", reach.alias("dx")).select("*", reach.alias("dy")).select("x", "y", "v", (F.floor("x") + F.col("dx")).alias("gx"), (F.floor("y") + F.col("dy")).alias("gy"))
+    spread = values.select("x", "y", *columns, reach.alias("dx")).select("*", reach.alias("dy")).select("x", "y", *columns, (F.floor("x") + F.col("dx")).alias("gx"), (F.floor("y") + F.col("dy")).alias("gy"))
     w = F.exp(-(F.pow(F.col("gx") + 0.5 - F.col("x"), 2) + F.pow(F.col("gy") + 0.5 - F.col("y"), 2)) / 2)
     cells = spread.filter("gx between 0 and 10 and gy between 0 and 10").withColumn("w", w)
-    return cells.groupBy("gx", "gy").agg(F.count("*").alias("n"), F.round(F.sum(F.col("w") * F.col("v")) / F.sum("w"), 4).alias("value"))
+    return cells.groupBy("gx", "gy").agg(F.count("*").alias("n"), *[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in columns])
+
+
+def flow(change: DataFrame, least: float = 0.12) -> DataFrame:
+    """(gx, gy, dx, dy, strength): the gradient of a change over the grid (gx, gy, d) by central differences, where all four neighbours are known; strength is against the largest, and under `least` there is none."""
+    toward = [(1, 0, -0.5, 0.0), (-1, 0, 0.5, 0.0), (0, 1, 0.0, -0.5), (0, -1, 0.0, 0.5)]
+    given = F.explode(F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy"), (F.col("d") * a).alias("dx"), (F.col("d") * b).alias("dy")) for i, j, a, b in toward]))
+    met = change.filter("d is not null").select(given.alias("g")).select("g.*").groupBy("gx", "gy").agg(F.count("*").alias("k"), F.sum("dx").alias("dx"), F.sum("dy").alias("dy"))
+    size = met.filter("k = 4").withColumn("size", F.hypot("dx", "dy")).filter("size > 0")
+    largest = size.agg(F.max("size").alias("largest"))  # one row
+    return size.crossJoin(F.broadcast(largest)).withColumn("strength", F.col("size") / F.col("largest")).filter(F.col("strength") >= least).select("gx", "gy", "dx", "dy", "strength")
+
+
+def _balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' balances, and what stands for those of the hour after."""
+    k = F.col("c_custkey")
+    return points(spark, sf_dir).join(table(spark, sf_dir, "customer").select(k.alias("id"), F.col("c_acctbal").alias("v"), (F.col("c_acctbal") * (k % 5) / 2).alias("later")), "id")
 
 
-QUERIES = {"point_in_polygon": point_in_polygon, "nearest_area": nearest_area, "bounding_boxes": bounding_boxes, "heat_field": heat_field, "edge_distances": edge_distances, "part_confidence": part_confidence}
+def heat_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field(_balances(spark, sf_dir), "v").select("gx", "gy", "n", F.round("v", 4).alias("value"))
+
+
+def heat_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the field will grow from, over the next hour."""
+    change = field(_balances(spark, sf_dir), "v", "later").select("gx", "gy", (F.col("later") - F.col("v")).alias("d"))
+    return flow(change).select("gx", "gy", *[F.round(c, 4).alias(c) for c in ("dx", "dy", "strength")])
+
+
+def area_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representative_points(edges(spark)).select("area", *[F.round(c, 6).alias(c) for c in ("x", "y", "width")])
+
+
+def presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named places with a declared area, for which nations stand: the declaration wins, so a place outside its area is moved to the nearest middle of a span of it."""
+    k = F.col("n_nationkey")
+    names = F.array(*[F.lit(n) for n in sorted(POLYGONS)])
+    places = table(spark, sf_dir, "nation").select(k.alias("id"), F.get(names, k % len(POLYGONS)).alias("area"), (k * 0.43 + 0.1).alias("x"), (k * 7 % 25 * 0.41 + 0.1).alias("y"))
+    samples = spans(edges(spark)).select("area", ((F.col("x1") + F.col("x2")) / 2).alias("x"), "y")
+    return snapped(places, samples, edges(spark)).select("id", "area", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "snapped")
+
+
+QUERIES = {"point_in_polygon": point_in_polygon, "nearest_area": nearest_area, "bounding_boxes": bounding_boxes, "heat_field": heat_field, "heat_flow": heat_flow, "edge_distances": edge_distances, "part_confidence": part_confidence, "area_points": area_points, "presets": presets}
 
 _E = "e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {x1}::DOUBLE, {y1}::DOUBLE, {x2}::DOUBLE, {y2}::DOUBLE)" for a, x1, y1, x2, y2 in edge_rows()) + ") v(area, x1, y1, x2, y2))"
 _P = "p AS (SELECT c_custkey AS id, (c_custkey * 37 % 1100) / 100.0::DOUBLE + 0.003::DOUBLE AS x, (c_custkey * 91 % 1097) / 100.0::DOUBLE + 0.007::DOUBLE AS y, c_acctbal AS v FROM customer)"
 _C = "c AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {54.4 + sum(y for r in rings for _, y in r) / sum(map(len, rings)) / 100!r}::DOUBLE, {18.5 + sum(x for r in rings for x, _ in r) / sum(map(len, rings)) / 100!r}::DOUBLE)" for n, rings in POLYGONS.items()) + ") v(area, lat, lng))"
 
+_S = """box AS (SELECT area, min(least(y1, y2)) AS low, max(greatest(y1, y2)) AS high FROM e GROUP BY area),
+      ln AS (SELECT area, low + (k + 0.5::DOUBLE) * (high - low) / 8 AS y FROM box, (SELECT unnest(range(8)) AS k)),
+      cr AS (SELECT ln.area, y, x1 + (x2 - x1) * (y - y1) / (y2 - y1) AS x FROM ln JOIN e USING (area) WHERE (y1 > y) <> (y2 > y)),
+      nr AS (SELECT *, row_number() OVER (PARTITION BY area, y ORDER BY x) - 1 AS r FROM cr),
+      sp AS (SELECT area, y, min(x) AS x1, max(x) AS x2 FROM nr GROUP BY area, y, r // 2)"""
+
 ORACLES = {
+    "area_points": f"WITH {_E}, {_S} SELECT area, round((x1 + x2) / 2, 6) AS x, round(y, 6) AS y, round(x2 - x1, 6) AS width FROM sp QUALIFY row_number() OVER (PARTITION BY area ORDER BY round(x2 - x1, 9) DESC, y, x1) = 1",
+    "presets": f"""WITH {_E}, {_S}, n AS (SELECT n_nationkey AS id, ['c', 'holed', 'parts', 'square'][n_nationkey % 4 + 1] AS area, n_nationkey * 0.43::DOUBLE + 0.1::DOUBLE AS x, n_nationkey * 7 % 25 * 0.41::DOUBLE + 0.1::DOUBLE AS y FROM nation),
+      i AS (SELECT id FROM n JOIN e USING (area) WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY id HAVING count(*) % 2 = 1),
+      m AS (SELECT id, (x1 + x2) / 2 AS sx, sp.y AS sy FROM n JOIN sp USING (area) QUALIFY row_number() OVER (PARTITION BY id ORDER BY sqrt(pow(x - (x1 + x2) / 2, 2) + pow(n.y - sp.y, 2)), (x1 + x2) / 2, sp.y) = 1)
+      SELECT id, area, round(CASE WHEN i.id IS NULL THEN sx ELSE x END, 6) AS x, round(CASE WHEN i.id IS NULL THEN sy ELSE y END, 6) AS y, i.id IS NULL AS snapped FROM n JOIN m USING (id) LEFT JOIN i USING (id)""",
+    "heat_flow": f"""WITH {_P}, s AS (SELECT x, y, v, v * (id % 5) / 2 AS l, CAST(floor(x) AS BIGINT) + dx AS gx, CAST(floor(y) AS BIGINT) + dy AS gy FROM p, (SELECT unnest(range(-2, 3)) AS dx) a, (SELECT unnest(range(-2, 3)) AS dy) b),
+      w AS (SELECT *, exp(-(pow(gx + 0.5 - x, 2) + pow(gy + 0.5 - y, 2)) / 2) AS w FROM s WHERE gx BETWEEN 0 AND 10 AND gy BETWEEN 0 AND 10), d AS (SELECT gx, gy, sum(w * l) / sum(w) - sum(w * v) / sum(w) AS d FROM w GROUP BY gx, gy),
+      g AS (SELECT c.gx, c.gy, (r.d - l.d) / 2 AS dx, (b.d - t.d) / 2 AS dy FROM d c JOIN d r ON r.gx = c.gx + 1 AND r.gy = c.gy JOIN d l ON l.gx = c.gx - 1 AND l.gy = c.gy JOIN d b ON b.gx = c.gx AND b.gy = c.gy + 1 JOIN d t ON t.gx = c.gx AND t.gy = c.gy - 1),
+      z AS (SELECT *, sqrt(dx * dx + dy * dy) AS size, max(sqrt(dx * dx + dy * dy)) OVER () AS largest FROM g) SELECT gx, gy, round(dx, 4) AS dx, round(dy, 4) AS dy, round(size / largest, 4) AS strength FROM z WHERE size > 0 AND size / largest >= 0.12""",
     "edge_distances": f"""WITH {_E}, {_P}, i AS (SELECT id, area, x, y FROM (SELECT id, area, x, y, count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) AS k FROM p, e GROUP BY id, area, x, y) WHERE k % 2 = 1),
       t AS (SELECT id, area, x, y, x1, y1, x2, y2, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM i JOIN e USING (area))
       SELECT id, area, round(min(sqrt(pow(x - (x1 + t * (x2 - x1)), 2) + pow(y - (y1 + t * (y2 - y1)), 2))), 6) AS distance FROM t GROUP BY id, area""",
