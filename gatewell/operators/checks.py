@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,19 +39,29 @@ EXPECTED = ("event_id", "ts", "user_id", "event_type", "value", "props")
 
 def check_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns in their pinned order against what the file has; a row for each that is missing, extra or moved."""
-    found, odd = table(spark, sf_dir, "events").columns, []
-    for i in range(max(len(found), len(EXPECTED))):
-        a, b = (x[i] if i < len(x) else None for x in (EXPECTED, found))
-        odd += [(i, a, b)] if a != b else []
-    return spark.createDataFrame(odd, "position int, expected string, found string").agg(F.count("*").alias("drifted"))
+    return drift(spark, list(EXPECTED), table(spark, sf_dir, "events").columns).agg(F.count("*").alias("drifted"))
+
+
+def drift(spark: SparkSession, expected: list[str], found: list[str]) -> DataFrame:
+    """(position, expected, found) of each column that isn't where it should be."""
+    pairs = enumerate(zip_longest(expected, found))
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in pairs if a != b], "position int, expected string, found string")
+
+
+def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers' columns against the customers', prefixes aside: two layouts that do differ."""
+    bare = lambda name: [c.split("_", 1)[1] for c in table(spark, sf_dir, name).columns]
+    return drift(spark, bare("customer"), bare("supplier"))
 
 
 def rederive_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored values against what is derived again from their text; null equals null."""
+    """Stored values against what is derived again from their text; null equals null. `chars` holds the documents' stored lengths against their texts."""
     e = table(spark, sf_dir, "events")
     stored = e.select(F.col("ts").cast("date").alias("d"), F.col("value").cast("decimal(38,10)").alias("v"), F.date_format("ts", "HHmmss").alias("t"), "ts")
     again = stored.select("*", F.to_date(F.date_format("ts", "yyyyMMdd"), "yyyyMMdd").alias("d2"), F.col("v").cast("string").cast("decimal(38,10)").alias("v2"), F.lpad((F.hour("ts") * 10000 + F.minute("ts") * 100 + F.second("ts")).cast("string"), 6, "0").alias("t2"))
-    return again.agg(*[F.count_if(~F.col(c).eqNullSafe(F.col(c + "2"))).alias(n) for c, n in (("d", "date"), ("v", "amount"), ("t", "time"))])
+    out = again.agg(*[F.count_if(~F.col(c).eqNullSafe(F.col(c + "2"))).alias(n) for c, n in (("d", "date"), ("v", "amount"), ("t", "time"))])
+    docs = table(spark, sf_dir, "documents").agg(F.count_if(~F.col("n_chars").eqNullSafe(F.length("text"))).alias("chars"), F.sum(F.length("text")).alias("all_chars"))
+    return out.crossJoin(docs)  # one row each
 
 
 def calendar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +199,7 @@ def area_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "area_report": area_report, "scan_union_all": scan_union_all, "overlap_intersect": overlap_intersect, "span": span, "check_schema": check_schema, "rederive_mismatch": rederive_mismatch,
+    "area_report": area_report, "scan_union_all": scan_union_all, "overlap_intersect": overlap_intersect, "span": span, "check_schema": check_schema, "schema_drift": schema_drift, "rederive_mismatch": rederive_mismatch,
     "calendar_features": calendar_features, "status_vocabularies": status_vocabularies, "domains": domains, "postcode_normalise": postcode_normalise,
     "postcode_partition": postcode_partition, "shape_violations": shape_violations, "reference_membership": reference_membership, "city_label_filter": city_label_filter,
     "leaked_postcodes": leaked_postcodes, "zero_timecode_stats": zero_timecode_stats, "excluded_counts": excluded_counts, "fd_check": fd_check, "local_time": local_times,
@@ -205,8 +217,9 @@ ORACLES = {
       SELECT 'line' AS key, count(*) AS n FROM (SELECT l_orderkey, l_linenumber FROM a INTERSECT SELECT l_orderkey, l_linenumber FROM b)
       UNION ALL SELECT 'order', count(*) FROM (SELECT l_orderkey FROM a INTERSECT SELECT l_orderkey FROM b)""",
     "span": "SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS ids, min(o_orderkey) AS min_id, max(o_orderkey) AS max_id, min(CAST(o_orderdate AS DATE)) AS first_day, max(CAST(o_orderdate AS DATE)) AS last_day, count(DISTINCT CAST(o_orderdate AS DATE)) AS days FROM orders",
-    "check_schema": "SELECT CAST(0 AS BIGINT) AS drifted",
-    "rederive_mismatch": "SELECT count(*) FILTER (WHERE CAST(ts AS DATE) IS DISTINCT FROM CAST(strptime(strftime(ts, '%Y%m%d'), '%Y%m%d') AS DATE)) AS date, count(*) FILTER (WHERE CAST(value AS DECIMAL(38,10)) IS DISTINCT FROM CAST(CAST(CAST(value AS DECIMAL(38,10)) AS VARCHAR) AS DECIMAL(38,10))) AS amount, count(*) FILTER (WHERE strftime(ts, '%H%M%S') IS DISTINCT FROM lpad(CAST(hour(ts) * 10000 + minute(ts) * 100 + second(ts) AS VARCHAR), 6, '0')) AS time FROM events",
+    "check_schema": f"WITH e AS (SELECT row_number() OVER () - 1 AS i, n FROM (SELECT unnest([{', '.join(repr(c) for c in EXPECTED)}]) AS n)), f AS (SELECT row_number() OVER (ORDER BY column_index) - 1 AS i, column_name AS n FROM duckdb_columns() WHERE table_name = 'events') SELECT count(*) FILTER (WHERE e.n IS DISTINCT FROM f.n) AS drifted FROM e FULL JOIN f USING (i)",
+    "schema_drift": "WITH c AS (SELECT table_name AS t, row_number() OVER (PARTITION BY table_name ORDER BY column_index) - 1 AS i, substr(column_name, 3) AS n FROM duckdb_columns() WHERE table_name IN ('customer', 'supplier')) SELECT CAST(i AS INTEGER) AS position, a.n AS expected, b.n AS found FROM (SELECT i, n FROM c WHERE t = 'customer') a FULL JOIN (SELECT i, n FROM c WHERE t = 'supplier') b USING (i) WHERE a.n IS DISTINCT FROM b.n",
+    "rederive_mismatch": "SELECT count(*) FILTER (WHERE CAST(ts AS DATE) IS DISTINCT FROM CAST(strptime(strftime(ts, '%Y%m%d'), '%Y%m%d') AS DATE)) AS date, count(*) FILTER (WHERE CAST(value AS DECIMAL(38,10)) IS DISTINCT FROM CAST(CAST(CAST(value AS DECIMAL(38,10)) AS VARCHAR) AS DECIMAL(38,10))) AS amount, count(*) FILTER (WHERE strftime(ts, '%H%M%S') IS DISTINCT FROM lpad(CAST(hour(ts) * 10000 + minute(ts) * 100 + second(ts) AS VARCHAR), 6, '0')) AS time, (SELECT count(*) FILTER (WHERE n_chars IS DISTINCT FROM length(text)) FROM documents) AS chars, (SELECT CAST(sum(length(text)) AS BIGINT) FROM documents) AS all_chars FROM events",
     "calendar_features": "SELECT day, CAST(year(day) AS INTEGER) AS year, CAST(month(day) AS INTEGER) AS month, CAST(isodow(day) AS INTEGER) AS isodow, isodow(day) >= 6 AS weekend, strftime(day, '%Y%m') AS month_id, strftime(day, '%GW%V') AS week FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)",
     "status_vocabularies": "SELECT DISTINCT 'o_orderstatus' AS field, o_orderstatus AS value FROM orders UNION ALL SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders",
     "domains": f"{_TX} SELECT count(*) FILTER (WHERE pc IS NULL) AS null_pc, count(*) FILTER (WHERE amount <= 0) AS non_positive, count(*) FILTER (WHERE length(tm) <> 6) AS bad_time, count(DISTINCT card) AS cards, count(DISTINCT merchant) AS merchants, count(DISTINCT issuer) AS issuers, CAST(min(amount) AS DOUBLE) AS min_amount, CAST(max(amount) AS DOUBLE) AS max_amount, min(day) AS first_day, max(day) AS last_day FROM tx_time",

@@ -99,12 +99,22 @@ def packed(cells: DataFrame, key: str, order: str, value: Column) -> DataFrame:
     return rows.select(key, F.when(F.col("largest") < 65535, F.regexp_replace(F.base64(F.unhex(F.array_join(F.transform("xs", lambda x: x["x"]), ""))), r"[\r\n]", "")).alias("image"))
 
 
-def unpacked(rows: DataFrame, key: str) -> DataFrame:
+def unpacked(rows: DataFrame, key: str, order: str = "LE") -> DataFrame:
+    """(key, i, n) of packed images, read in byte order LE or BE."""
     digits = F.hex(F.unbase64("image"))
     at = F.explode(F.sequence(F.lit(0), (F.length(digits) / 4).cast("int") - 1))
     x = rows.select(key, digits.alias("d"), at.alias("i"))
     part = lambda k: F.expr(f"substring(d, i * 4 + {k}, 2)")
-    return x.select(key, "i", F.conv(F.concat(part(3), part(1)), 16, 10).cast("long").alias("n"))
+    return x.select(key, "i", F.conv(F.concat(*(part(k) for k in ((3, 1) if order == "LE" else (1, 3)))), 16, 10).cast("long").alias("n"))
+
+
+def byte_order(rows: DataFrame, key: str, expected: DataFrame, band: float = 0.35) -> DataFrame:
+    """One row (order, total, expected): images are read as LE, unless their sum is off the expected one (one row, one column) by more than the band, and that of BE is nearer."""
+    total = lambda order: unpacked(rows, key, order).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(order))
+    x = total("LE").crossJoin(total("BE")).crossJoin(expected.toDF("expected"))  # one row each
+    off = lambda c: F.abs(F.col(c) - F.col("expected"))
+    turned = (off("LE") > band * F.col("expected")) & (off("BE") < off("LE"))
+    return x.select(F.when(turned, "BE").otherwise("LE").alias("order"), F.when(turned, F.col("BE")).otherwise(F.col("LE")).alias("total"), "expected")
 
 
 def whole_units(amount: Column, largest: Column) -> Column:
@@ -139,6 +149,10 @@ def packed_roundtrip(tx: DataFrame) -> DataFrame:
     return unpacked(packed_series(tx), "ci").select("ci", F.col("i").alias("di"), "n")
 
 
+def packed_order(tx: DataFrame) -> DataFrame:
+    return byte_order(packed_series(tx), "ci", tx.agg(F.count("*")))
+
+
 def scaled_amounts(tx: DataFrame) -> DataFrame:
     cells = cube_cells(tx)
     return cells.crossJoin(cells.agg(F.max("amount").alias("largest"))).select("ci", "di", "h", whole_units(F.col("amount"), F.col("largest")).alias("units"))
@@ -146,7 +160,7 @@ def scaled_amounts(tx: DataFrame) -> DataFrame:
 
 QUERIES = {k: _q(f) for k, f in {
     "code_axis": code_axis, "cube_cells": cube_cells, "cube_dense": cube_dense, "nat_cells": nat_cells, "city_series": city_series, "release_gate": release_gate,
-    "reconcile": reconcile, "clamped_rows": clamped_rows, "packed_series": packed_series, "packed_roundtrip": packed_roundtrip, "scaled_amounts": scaled_amounts,
+    "reconcile": reconcile, "clamped_rows": clamped_rows, "packed_series": packed_series, "packed_roundtrip": packed_roundtrip, "packed_order": packed_order, "scaled_amounts": scaled_amounts,
 }.items()}
 
 _EXCLUDED = "(pc IS NULL OR pc LIKE '00-00_' OR tm = '000000')"
@@ -174,5 +188,6 @@ ORACLES = {
     "clamped_rows": f"{_W} SELECT count(*) FILTER (WHERE clamped) AS clamped, count(*) AS rows FROM placed",
     "packed_series": f"{_W}, s AS (SELECT ci, di, CAST(sum(n) AS BIGINT) AS n FROM dense GROUP BY ci, di) SELECT ci, base64(unhex(string_agg(printf('%02X%02X', n % 256, n // 256), '' ORDER BY di))) AS image FROM s GROUP BY ci",
     "packed_roundtrip": f"{_W} SELECT ci, di, CAST(sum(n) AS BIGINT) AS n FROM dense GROUP BY ci, di",
+    "packed_order": f"{_W} SELECT 'LE' AS \"order\", CAST(sum(n) AS BIGINT) AS total, (SELECT count(*) FROM tx_time) AS expected FROM dense",
     "scaled_amounts": f"{_W}, x AS (SELECT pow(10, greatest(0, ceil(log10(greatest(CAST(max(amount) AS DOUBLE), 1.0) / 65534.5)))) AS scale FROM cells) SELECT ci, di, h, CAST(round_even(CAST(amount AS DOUBLE) / scale, 0) AS BIGINT) AS units FROM cells, x",
 }

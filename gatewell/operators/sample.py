@@ -31,6 +31,16 @@ def pair_counts(tx: DataFrame, k: int = 3) -> DataFrame:
     return marked.groupBy(fate.alias("fate")).agg(F.count("*").alias("pairs"), F.sum("transactions").alias("transactions"))
 
 
+def sample_manifest(tx: DataFrame, k: int = 3) -> DataFrame:
+    """One row of what a published sample says of itself: areas by both readings of the share gate, and pairs published and held back."""
+    cells = gate_columns(cell_totals(tx.filter("pc is not null"), ["pc"]))
+    loose = F.col("g1") & F.col("g2") & F.col("g3_volume")
+    areas = cells.agg(F.count("*").alias("areas"), F.count_if(loose).alias("passed_volume_only"), F.count_if("ok").alias("passed_volume_and_cards"), F.count_if(loose & ~F.col("ok")).alias("held_by_card_share"))
+    of = lambda *fates: F.coalesce(F.sum(F.when(F.col("fate").isin(*fates), F.col("pairs"))), F.lit(0))
+    pairs = pair_counts(tx, k).agg(of("kept", "small").alias("pairs_in_released"), of("kept").alias("published"), of("small").alias("below_k"), of("area").alias("pairs_elsewhere"))
+    return areas.crossJoin(pairs)  # one row each
+
+
 def _tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     tm = F.when(F.col("l_orderkey") % 10 == 0, SENTINEL).otherwise("120000")
     return tx_area(spark, sf_dir).select(F.col("area").cast("string").alias("pc"), "day", "merchant", "card", "amount", tm.alias("tm"))
@@ -40,11 +50,14 @@ def _q(f):
     return lambda spark, sf_dir: f(_tx(spark, sf_dir))
 
 
-QUERIES = {"sample_rows": _q(sample_rows), "sample_pair_counts": _q(pair_counts)}
+QUERIES = {"sample_rows": _q(sample_rows), "sample_pair_counts": _q(pair_counts), "sample_manifest": _q(sample_manifest)}
 
 _W = f"""WITH {TX_AREA_SQL}, tx AS (SELECT CAST(area AS VARCHAR) AS pc, day, merchant, card, amount, CASE WHEN l_orderkey % 10 = 0 THEN '000000' ELSE '120000' END AS tm FROM tx_area), {_cells('pc').lstrip()},
 pairs AS (SELECT pc, day, count(*) AS transactions, count(*) FILTER (WHERE tm <> '000000') AS transactions_dated, CAST(sum(amount) AS DOUBLE) AS amount, count(DISTINCT merchant) AS merchants FROM tx GROUP BY pc, day)"""
 ORACLES = {
     "sample_rows": f"{_W} SELECT pairs.*, CAST(isodow(day) AS INTEGER) AS weekday_iso, CAST(month(day) AS INTEGER) AS month FROM pairs JOIN (SELECT pc FROM g WHERE ok) USING (pc) WHERE transactions >= 3 AND merchants >= 3",
     "sample_pair_counts": f"{_W} SELECT CASE WHEN NOT ok THEN 'area' WHEN transactions < 3 OR merchants < 3 THEN 'small' ELSE 'kept' END AS fate, count(*) AS pairs, CAST(sum(transactions) AS BIGINT) AS transactions FROM pairs JOIN g USING (pc) GROUP BY 1",
+    "sample_manifest": f"""{_W}, f AS (SELECT CASE WHEN NOT ok THEN 'area' WHEN transactions < 3 OR merchants < 3 THEN 'small' ELSE 'kept' END AS fate FROM pairs JOIN g USING (pc))
+      SELECT count(*) AS areas, count(*) FILTER (WHERE g1 AND g2 AND g3_volume) AS passed_volume_only, count(*) FILTER (WHERE ok) AS passed_volume_and_cards, count(*) FILTER (WHERE g1 AND g2 AND g3_volume AND NOT ok) AS held_by_card_share,
+        (SELECT count(*) FROM f WHERE fate <> 'area') AS pairs_in_released, (SELECT count(*) FROM f WHERE fate = 'kept') AS published, (SELECT count(*) FROM f WHERE fate = 'small') AS below_k, (SELECT count(*) FROM f WHERE fate = 'area') AS pairs_elsewhere FROM g""",
 }

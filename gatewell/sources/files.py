@@ -1,12 +1,15 @@
-"""File sources and sinks: part files, digests, GeoJSON, CSV and JSON documents."""
+"""File sources and sinks: part files, digests, GeoJSON, CSV and JSON documents, and the reader of packed cubes."""
 
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatewell.operators.cube import byte_order, unpacked
 from gatewell.session import table
 
 
@@ -64,6 +67,65 @@ def document(df: DataFrame, order: list[str], most: int = 100_000) -> str:
     return json.dumps([json.loads(r.j) for r in rows], sort_keys=True, ensure_ascii=False, indent=2) + "\n"
 
 
+_TYPES = {"object": dict, "array": list, "string": str, "integer": int, "number": (int, float), "boolean": bool}
+#: Keywords of a schema, and when a value breaks each.
+_BROKEN = {
+    "const": lambda v, x: v != x,
+    "enum": lambda v, x: v not in x,
+    "pattern": lambda v, x: isinstance(v, str) and not re.search(x, v),
+    "minItems": lambda v, x: isinstance(v, list) and len(v) < x,
+    "maxItems": lambda v, x: isinstance(v, list) and len(v) > x,
+    "minimum": lambda v, x: isinstance(v, (int, float)) and v < x,
+    "exclusiveMinimum": lambda v, x: isinstance(v, (int, float)) and v <= x,
+    "maximum": lambda v, x: isinstance(v, (int, float)) and v > x,
+}
+
+
+def broken_rules(value: object, schema: dict, at: str = "$") -> Iterator[str]:
+    """Where a small document breaks a JSON schema (the keywords of `_BROKEN`, type, required, properties, additionalProperties and items), as `place: keyword`. A value of the wrong type is told of that alone."""
+    kind = schema.get("type")
+    if kind and (not isinstance(value, _TYPES[kind]) or isinstance(value, bool) and kind != "boolean"):
+        yield f"{at}: type"
+        return
+    yield from (f"{at}: {k}" for k, broken in _BROKEN.items() if k in schema and broken(value, schema[k]))
+    if isinstance(value, dict):
+        known, rest = schema.get("properties", {}), schema.get("additionalProperties", {})
+        yield from (f"{at}.{k}: required" for k in schema.get("required", []) if k not in value)
+        for k, v in value.items():
+            if k not in known and rest is False:
+                yield f"{at}.{k}: unexpected"
+            else:
+                yield from broken_rules(v, known.get(k, rest if isinstance(rest, dict) else {}), f"{at}.{k}")
+    elif isinstance(value, list):
+        for i, v in enumerate(value):
+            yield from broken_rules(v, schema.get("items", {}), f"{at}[{i}]")
+
+
+#: What a packed cube's document must hold.
+CUBE_SCHEMA = {
+    "type": "object", "required": ["version", "rows", "days", "series"],
+    "properties": {
+        "version": {"const": 1}, "rows": {"type": "integer", "minimum": 0}, "days": {"type": "integer", "exclusiveMinimum": 0},
+        "series": {"type": "array", "items": {"type": "object", "required": ["ci", "image"], "properties": {"ci": {"type": "integer", "minimum": 0}, "image": {"type": "string"}}}},
+    },
+}
+
+
+def load_cube(spark: SparkSession, path: str, schema: dict | None = None) -> DataFrame:
+    """(ci, i, n) of a packed cube's document: checked against the schema, the length of each series and the sum of all; anything amiss is an error, and nothing takes its place."""
+    [text] = [r.value for r in spark.read.text(path, wholetext=True).collect()]  # one document, small by its nature
+    found = json.loads(text)
+    if odd := list(broken_rules(found, schema or CUBE_SCHEMA)):
+        raise ValueError(f"{path}: {len(odd)} rules broken: {'; '.join(odd[:4])}")
+    images = spark.createDataFrame([(s["ci"], s["image"]) for s in found["series"]], "ci int, image string")
+    if short := images.filter(F.length(F.unbase64("image")) != 2 * found["days"]).count():
+        raise ValueError(f"{path}: {short} series are not of {found['days']} days")
+    order = byte_order(images, "ci", spark.range(1).select(F.lit(found["rows"]).cast("long"))).first()
+    if order.total != order.expected:
+        raise ValueError(f"{path}: holds {order.total} rows, {order.expected} expected")
+    return unpacked(images, "ci", order.order)
+
+
 def digest(df: DataFrame) -> tuple[int, int]:
     """Rows and an order-free sum of their hashes: equal for two runs of a deterministic job."""
     r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).alias("h")).first()

@@ -1,8 +1,9 @@
 """Checks that raise, and geometry by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from gatewell.operators import checks, geo
+from gatewell.operators import checks, geo, leaks, summary
 
 
 def test_calendar_columns_are_compared(spark):
@@ -33,3 +34,30 @@ def test_points_are_moved_into_their_area(spark):
     pts = spark.createDataFrame([(1, "square", 1.5, 1.5), (2, "square", 5.0, 5.0), (3, "holed", 0.0, 0.0)], "id long, area string, x double, y double")
     assert {r.id: (r.x, r.y, r.snapped) for r in geo.snapped(pts, samples, sides).collect()} == {1: (1.5, 1.5, False), 2: (3.5, 3.5, True), 3: (0.0, 0.0, False)}
     assert {r.id: round(r.distance, 6) for r in geo.boundary_distance(pts.filter("id < 3"), sides).collect()} == {1: 0.5, 2: round(2**0.5, 6)}
+
+
+def test_card_shaped_tokens_are_found_across_line_breaks(spark):
+    card, own = "Ab1" * 15, "f" * 64
+    texts = [f"a {card[:20]}\n{card[20:]} b", f"{own}", "a1" * 22, "x" * 45, "merchant_name: ACME", "merchant_name: acme", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert sorted(map(tuple, leaks.scan(rows).collect())) == [(0, 1, card, 0, 0), (2, 1, "a1" * 22, 0, 0), (4, 0, None, 0, 1)]
+
+
+def test_points_of_areas_lie_inside_them(spark):
+    sides = geo.edges(spark)
+    found = geo.representative_points(sides)
+    assert sorted(map(tuple, geo.inside(found.select(F.col("area").alias("id"), "x", "y"), sides).collect())) == sorted((a, a) for a in geo.POLYGONS)
+
+
+def test_a_level_change_has_no_flow_and_a_slope_has_one(spark):
+    grid = [(x, y) for x in range(4) for y in range(4)]
+    frame = lambda f: spark.createDataFrame([(x, y, float(f(x, y))) for x, y in grid], "gx int, gy int, d double")
+    assert geo.flow(frame(lambda x, y: 5)).count() == 0
+    slope = [tuple(r) for r in geo.flow(frame(lambda x, y: 3 * x + 4 * y)).orderBy("gx", "gy").collect()]
+    assert slope == [(x, y, 3.0, 4.0, 1.0) for x in (1, 2) for y in (1, 2)]
+
+
+def test_an_event_past_midnight_spills_into_the_next_day(spark):
+    events = spark.createDataFrame([("a", 3, 4, 22, 26, -1), ("b", 3, 3, 0, 2, -1)], "event string, first int, last int, start int, end int, ci int")
+    assert sorted(map(tuple, summary.event_days(events).collect())) == [(3, "a", False), (3, "b", False), (4, "a", False), (5, "a", True)]
+    assert sorted((r.event, r.di, r.h) for r in summary.event_hours(events).collect()) == [("a", 3, 21), ("a", 3, 22), ("a", 3, 23), ("a", 4, 0), ("a", 4, 1), ("a", 4, 2), ("b", 3, 0), ("b", 3, 1), ("b", 3, 2)]

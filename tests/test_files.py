@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import json
 
@@ -46,3 +47,28 @@ def test_documents_and_csv_are_the_same_each_time(spark, tmp_path):
     assert part.read_text().splitlines() == ["id,name,x", "1,ą,0.5", "2,b,"]
     with pytest.raises(ValueError):
         files.document(df, ["id"], most=1)
+
+
+def image(values, order):
+    return base64.b64encode(b"".join(v.to_bytes(2, order) for v in values)).decode()
+
+
+@pytest.mark.parametrize("order", ["little", "big"])
+def test_a_packed_cube_is_read_in_either_byte_order(spark, tmp_path, order):
+    path = tmp_path / "cube.json"
+    series = {0: [3, 0, 7], 1: [1, 300, 2]}
+    found = {"version": 1, "rows": 313, "days": 3, "series": [{"ci": k, "image": image(v, order)} for k, v in series.items()]}
+    path.write_text(json.dumps(found))
+    assert sorted(map(tuple, files.load_cube(spark, str(path)).collect())) == [(k, i, n) for k, v in series.items() for i, n in enumerate(v)]
+    for change, word in (({"version": 2}, "version: const"), ({"rows": 320}, "313 rows"), ({"days": 4}, "2 series")):
+        path.write_text(json.dumps(found | change))
+        with pytest.raises(ValueError, match=word):
+            files.load_cube(spark, str(path))
+
+
+def test_a_schema_tells_where_it_is_broken():
+    schema = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"type": "array", "maxItems": 2, "items": {"type": "string", "pattern": "^x"}}}}
+    assert list(files.broken_rules({"a": 1, "b": ["x"]}, schema)) == []
+    assert list(files.broken_rules({"a": 0, "b": ["y", "x", 1], "c": 1}, schema)) == ["$.a: minimum", "$.b: maxItems", "$.b[0]: pattern", "$.b[2]: type", "$.c: unexpected"]
+    assert list(files.broken_rules({}, schema)) == ["$.a: required"]
+    assert list(files.broken_rules({"a": True}, schema)) == ["$.a: type"]
