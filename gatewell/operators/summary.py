@@ -21,7 +21,7 @@ def city_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event, first and last day, start and end hour (24 and more: past midnight), and the area it is asked for (`CITY`: all). Nations stand for events."""
     k = F.col("n_nationkey")
     start, end = 10 + k * 5 % 13, (12 + k * 5 % 13 + k % 5) % 24
-    out = table(spark, sf_dir, "nation").select(F.col("n_name").alias("event"), (20 + k % 9).alias("first"), (20 + k % 9 + k % 3).alias("last"), start.alias("start"), end.alias("end"), F.when(k % 2 == 0, CITY).otherwise(1 + k % 30).alias("ci"))
+    out = table(spark, sf_dir, "nation").select(F.col("n_name").alias("event"), (25 + k % 5).alias("first"), (25 + k % 5 + k % 3).alias("last"), start.alias("start"), end.alias("end"), F.when(k % 2 == 0, CITY).otherwise(1 + k % 30).alias("ci"))
     return out.withColumn("end", F.when(F.col("end") <= F.col("start"), F.col("end") + 24).otherwise(F.col("end")))
 
 
@@ -175,7 +175,7 @@ QUERIES = {"events_on_day": events_on_day, "event_summary": event_summaries, "ev
 
 _W = f"WITH {DAYS_SQL}"
 _BUCKET = "CASE issuer " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(ISSUERS)) + " ELSE 5 END"
-_EV = """ev AS (SELECT event, first, last, start, CASE WHEN stop <= start THEN stop + 24 ELSE stop END AS stop, ci FROM (SELECT n_name AS event, 20 + n_nationkey % 9 AS first, 20 + n_nationkey % 9 + n_nationkey % 3 AS last,
+_EV = """ev AS (SELECT event, first, last, start, CASE WHEN stop <= start THEN stop + 24 ELSE stop END AS stop, ci FROM (SELECT n_name AS event, 25 + n_nationkey % 5 AS first, 25 + n_nationkey % 5 + n_nationkey % 3 AS last,
   10 + n_nationkey * 5 % 13 AS start, (12 + n_nationkey * 5 % 13 + n_nationkey % 5) % 24 AS stop, CASE WHEN n_nationkey % 2 = 0 THEN -1 ELSE 1 + n_nationkey % 30 END AS ci FROM nation)),
 eh AS (SELECT event, ci, first, CAST(first + hr // 24 AS INTEGER) AS di, CAST(hr % 24 AS INTEGER) AS h FROM (SELECT event, ci, first, unnest(range(greatest(0, start - 1), stop + 1)) AS hr FROM ev))"""
 _KEYS = "k AS (SELECT code, substr(code, 1, 5) || 'x' AS tens, substr(code, 1, 5) || CASE WHEN CAST(substr(code, 6, 1) AS INTEGER) < 5 THEN 'a' ELSE 'b' END AS fives FROM axis WHERE ci >= 1)"

@@ -1,5 +1,8 @@
 """Checks that raise, and geometry by hand."""
 
+import datetime
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +64,16 @@ def test_an_event_past_midnight_spills_into_the_next_day(spark):
     events = spark.createDataFrame([("a", 3, 4, 22, 26, -1), ("b", 3, 3, 0, 2, -1)], "event string, first int, last int, start int, end int, ci int")
     assert sorted(map(tuple, summary.event_days(events).collect())) == [(3, "a", False), (3, "b", False), (4, "a", False), (5, "a", True)]
     assert sorted((r.event, r.di, r.h) for r in summary.event_hours(events).collect()) == [("a", 3, 21), ("a", 3, 22), ("a", 3, 23), ("a", 4, 0), ("a", 4, 1), ("a", 4, 2), ("b", 3, 0), ("b", 3, 1), ("b", 3, 2)]
+
+
+def test_only_areas_that_may_be_shown_have_a_summary(spark):
+    row = lambda pc, i, tm: (datetime.date(2024, 1, 10), tm, pc, Decimal(2), i, f"m{i % 4}")
+    rows = [row("81-701", i, "120000") for i in range(40)] + [row("81-701", i, "130000") for i in range(10)] + [row("81-702", i, "120000") for i in range(5)]
+    tx = spark.createDataFrame(rows, "day date, tm string, pc string, amount decimal(18,2), card int, merchant string")
+    events = spark.createDataFrame([("open", 0, 0, 13, 15, 1), ("thin", 0, 0, 13, 15, 2), ("city", 0, 0, 13, 15, -1), ("none", 0, 0, 13, 15, 9)], "event string, first int, last int, start int, end int, ci int")
+    found = {r.event: r for r in summary.event_summary(tx, events).collect()}
+    shown = found["open"]
+    assert (shown.blocked, shown.reason, shown.hours, shown.n, shown.amount, shown.ticket, shown.base, shown.uplift) == (False, None, 4, 50, 100.0, 2.0, None, None)
+    assert (shown.peak_di, shown.peak_h, shown.day_before, shown.day, shown.day_after, shown.hot, shown.hot_share) == (0, 13, None, 50, None, "81-70", 1.0)
+    assert (found["city"].blocked, found["city"].n) == (False, 55)
+    assert [(found[k].blocked, found[k].reason, found[k].n, found[k].hot) for k in ("thin", "none")] == [(True, "lt_30_cards", None, None), (True, "no_data", None, None)]
