@@ -15,6 +15,7 @@ _MODULES = {
     "op7_ngram_join": "ngram_join",
     "op8_substring_dedup": "substring_dedup",
     "op9_fingerprints": "fingerprints",
+    "op11_periodic_runs": "periodic_runs",
 }
 
 
