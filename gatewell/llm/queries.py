@@ -16,6 +16,7 @@ _MODULES = {
     "op8_substring_dedup": "substring_dedup",
     "op9_fingerprints": "fingerprints",
     "op11_periodic_runs": "periodic_runs",
+    "op12_simhash": "simhash",
 }
 
 
