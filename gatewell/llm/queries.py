@@ -17,6 +17,7 @@ _MODULES = {
     "op9_fingerprints": "fingerprints",
     "op11_periodic_runs": "periodic_runs",
     "op12_simhash": "simhash",
+    "op13_spelling": "spelling",
 }
 
 
