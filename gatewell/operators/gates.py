@@ -83,11 +83,68 @@ def exclusive_cards(tx: DataFrame, grain: list[str]) -> DataFrame:
     return lone.groupBy(*grain, "merchant").agg(F.count("*").alias("exclusive"))
 
 
+def by_card_at(tx: DataFrame, levels: dict[str, list[str]], asked: list[str] | None = None) -> DataFrame:
+    """`by_card` of several grains from one pass over the transactions: (level, keys of all levels, merchant, card, n).
+
+    One Expand over the grouping sets, combined before it is shuffled; keys that a level hasn't got are null there. `asked` adds
+    a level of that name with the distinct values of these keys; no merchant or card is told apart in it.
+    """
+    if len({frozenset(v) for v in levels.values()}) < len(levels) or "asked" in levels:
+        raise ValueError("levels have different keys, and none is named `asked`")
+    keys = list(dict.fromkeys(k for v in [*levels.values(), asked or []] for k in v))
+    columns = [*keys, "merchant", "card"]
+    sets = {name: [*v, "merchant", "card"] for name, v in levels.items()} | ({"asked": asked} if asked else {})
+    # bit by column, the first one highest: set where the column is left out
+    number = {sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in v): name for name, v in sets.items()}
+    name = F.coalesce(*[F.when(F.grouping_id() == k, v) for k, v in number.items()])
+    n = F.sum("n") if "n" in tx.columns else F.count("*")
+    out = tx.groupingSets([[F.col(c) for c in v] for v in sets.values()], *columns).agg(name.alias("level"), n.alias("n"))
+    return out.select("level", *keys, "merchant", "card", "n")
+
+
+def halves(tx: DataFrame, grain: list[str]) -> DataFrame:
+    """Each cell's rows by merchant and by card, from one pass over its (merchant, card) rows: n; by merchant cards; by card rows (its merchants) and lone (the least of them)."""
+    each = by_card(tx, grain).select(*grain, "n", F.col("merchant").alias("m"), F.col("card").alias("c"), F.explode(F.array(F.lit(False), F.lit(True))).alias("by_card"))
+    each = each.withColumns({"merchant": F.when(~F.col("by_card"), F.col("m")), "card": F.when(F.col("by_card"), F.col("c"))})
+    return each.groupBy(*grain, "by_card", "merchant", "card").agg(F.sum("n").alias("n"), F.count("c").alias("cards"), F.count("*").alias("rows"), F.min("m").alias("lone"))
+
+
 def cell_totals(tx: DataFrame, grain: list[str]) -> DataFrame:
-    """Transactions, cards and merchants of each cell, and its largest merchant's volume and cards."""
-    cards = by_card(tx, grain).groupBy(*grain, "card").agg(F.sum("n").alias("n")).groupBy(*grain).agg(F.count("card").alias("n_cards"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tx"))
-    tops = cell_merchants(tx, grain).groupBy(*grain).agg(F.count("merchant").alias("n_merchants"), F.max("volume").alias("top_volume"), F.max("cards").alias("top_cards"), F.sum("cards").alias("sum_cards"))
-    return joined(cards, tops, grain)
+    """Transactions, cards and merchants of each cell, and its largest merchant's volume and cards; no join, and cards counted by themselves at this grain."""
+    card, merchant = F.col("by_card"), ~F.col("by_card")
+    return halves(tx, grain).groupBy(*grain).agg(
+        F.count_if(card & F.col("card").isNotNull()).alias("n_cards"),
+        F.coalesce(F.sum(F.when(card, F.col("n"))), F.lit(0)).alias("n_tx"),
+        F.count_if(merchant & F.col("merchant").isNotNull()).alias("n_merchants"),
+        F.max(F.when(merchant, F.col("n"))).alias("top_volume"),
+        F.max(F.when(merchant, F.col("cards"))).alias("top_cards"),
+        F.sum(F.when(merchant, F.col("cards"))).alias("sum_cards"),
+    )
+
+
+def merchant_profile(tx: DataFrame, grain: list[str]) -> DataFrame:
+    """A row for each cell and merchant (volume, cards, exclusive: cards that it alone has there) and one for each cell (whole: n_cards, n_tx). It is as small as the cells' merchants are few; what needs it more than once stores it."""
+    none = F.lit(0).cast("long")
+    slot = lambda whole, merchant, **have: F.struct(F.lit(whole).alias("whole"), merchant.alias("merchant"), *[have.get(c, none).alias(c) for c in ("volume", "cards", "exclusive", "n_cards", "n_tx")])
+    both = halves(tx, grain)
+    no_one = F.when(F.lit(False), F.col("lone"))
+    known = F.col("card").isNotNull()
+    by_card_slots = F.array(slot(True, no_one, n_cards=known.cast("long"), n_tx=F.col("n")), F.when(known & (F.col("rows") == 1), slot(False, F.col("lone"), exclusive=none + 1)))
+    slots = F.when(F.col("by_card"), by_card_slots).otherwise(F.array(slot(False, F.col("merchant"), volume=F.col("n"), cards=F.col("cards"))))
+    each = both.select(*grain, F.explode(slots).alias("s")).filter("s is not null").select(*grain, "s.*")
+    return each.groupBy(*grain, "whole", "merchant").agg(*[F.sum(c).alias(c) for c in ("volume", "cards", "exclusive", "n_cards", "n_tx")])
+
+
+def totals_of(profile: DataFrame, grain: list[str]) -> DataFrame:
+    """`cell_totals` from a merchant_profile."""
+    one = ~F.col("whole")
+    return profile.groupBy(*grain).agg(
+        F.sum("n_cards").alias("n_cards"),
+        F.sum("n_tx").alias("n_tx"),
+        F.count_if(one & F.col("merchant").isNotNull()).alias("n_merchants"),
+        *[F.max(F.when(one, F.col(c))).alias(a) for c, a in (("volume", "top_volume"), ("cards", "top_cards"))],
+        F.sum("cards").alias("sum_cards"),
+    )
 
 
 def within_share(top: Column, total: Column, rules: Rules) -> Column:
@@ -126,39 +183,47 @@ def residuals(tx: DataFrame, grain: list[str], measured: bool = True) -> DataFra
     Measured: cards left are all cards less those that this merchant alone has. Bound: less min(volume, all cards).
     The largest remaining merchant is the cell's second if the first is taken out, and else the first.
     """
-    merchants = cell_merchants(tx, grain)
+    return residuals_of(stored(merchant_profile(tx, grain), "profile"), grain, measured)
+
+
+def residuals_of(profile: DataFrame, grain: list[str], measured: bool = True) -> DataFrame:
+    """`residuals` from a merchant_profile. A cell's merchants, not its transactions, meet in a task here."""
     w = Window.partitionBy(*grain)
-    # a cell's merchants, not its transactions, meet in a task here
-    ranked = merchants.withColumn("by_volume", F.row_number().over(w.orderBy(F.desc("volume"), "merchant"))).withColumn("by_cards", F.row_number().over(w.orderBy(F.desc("cards"), "merchant")))
-    tops = ranked.groupBy(*grain).agg(
-        *[F.max(F.when(F.col(f"by_{c}") == k, F.col(c))).alias(f"{c}{k}") for c in ("volume", "cards") for k in (1, 2)],
-        F.sum("volume").alias("n_tx"),
-        F.count("*").alias("n_merchants"),
+    ranked = profile.withColumns(
+        {f"by_{c}": F.row_number().over(w.orderBy("whole", F.desc(c), "merchant")) for c in ("volume", "cards")}
+        | {f"{c}_all": F.max(F.when(F.col("whole"), F.col(c))).over(w) for c in ("n_cards", "n_tx")}
+        | {"n_all": F.count_if(~F.col("whole")).over(w)}
     )
-    cards = by_card(tx, grain).groupBy(*grain, "card").agg(F.sum("n").alias("n")).groupBy(*grain).agg(F.count("card").alias("n_cards"))
-    out = joined(joined(ranked, tops, grain), cards, grain)
-    if measured:
-        out = joined(out, exclusive_cards(tx, grain), [*grain, "merchant"], "left").withColumn("gone", F.coalesce("exclusive", F.lit(0)))
-    else:
-        out = out.withColumn("gone", F.least("volume", "n_cards"))
-    rest = F.greatest(F.col("n_cards") - F.col("gone"), F.lit(0))
+    tops = {f"{c}{k}": F.max(F.when(~F.col("whole") & (F.col(f"by_{c}") == k), F.col(c))).over(w) for c in ("volume", "cards") for k in (1, 2)}
+    out = ranked.withColumns(tops).filter("not whole")
+    gone = F.col("exclusive") if measured else F.least("volume", "n_cards_all")
+    rest = F.greatest(F.col("n_cards_all") - gone, F.lit(0))
     top = lambda c: F.coalesce(F.when(F.col(f"by_{c}") == 1, F.col(f"{c}2")).otherwise(F.col(f"{c}1")), F.lit(0))
-    return out.select(*grain, "merchant", rest.alias("n_cards"), (F.col("n_merchants") - 1).alias("n_merchants"), (F.col("n_tx") - F.col("volume")).alias("n_tx"), top("volume").alias("top_volume"), F.least(top("cards"), rest).alias("top_cards"))
+    return out.select(*grain, "merchant", rest.alias("n_cards"), (F.col("n_all") - 1).alias("n_merchants"), (F.col("n_tx_all") - F.col("volume")).alias("n_tx"), top("volume").alias("top_volume"), F.least(top("cards"), rest).alias("top_cards"))
+
+
+def fails_without_one(residual: DataFrame, grain: list[str], rules: Rules) -> DataFrame:
+    held = gate_columns(residual, rules)
+    return held.groupBy(*grain).agg(F.bool_and("ok").alias("g4"), F.min(F.when(~F.col("ok"), F.col("merchant"))).alias("g4_merchant"))
 
 
 def differencing(tx: DataFrame, grain: list[str], rules: Rules = Rules(), measured: bool = True) -> DataFrame:
     """g4 of each cell: whether all its residuals pass; and the first merchant, by id, whose residual fails."""
-    held = gate_columns(residuals(tx, grain, measured), rules)
-    return held.groupBy(*grain).agg(F.bool_and("ok").alias("g4"), F.min(F.when(~F.col("ok"), F.col("merchant"))).alias("g4_merchant"))
+    return fails_without_one(residuals(tx, grain, measured), grain, rules)
 
 
-def gate(tx: DataFrame, grain: list[str], rules: Rules = Rules(), asked: DataFrame | None = None) -> DataFrame:
-    """The cells of a grain with their gates and reasons. `asked` names cells to answer for, those without rows as no_data; its column thin_tx,
-    if there, is how many transactions a cell's base has, and a thin one is refused before any gate. Transactions may come by card already."""
-    cells = gate_columns(cell_totals(tx, grain), rules)
-    if rules.differencing:
-        cells = joined(cells, differencing(tx, grain, rules), grain, "left")
-        cells = cells.withColumn("ok", F.col("ok") & F.coalesce("g4", F.lit(False)))
+def gated(tx: DataFrame, grain: list[str], rules: Rules = Rules()) -> DataFrame:
+    """The cells of a grain with their gates; ok takes in g4 if the rules ask for it. Transactions may come by card already."""
+    if not rules.differencing:
+        return gate_columns(cell_totals(tx, grain), rules)
+    profile = stored(merchant_profile(tx, grain), "profile")
+    cells = joined(gate_columns(totals_of(profile, grain), rules), fails_without_one(residuals_of(profile, grain), grain, rules), grain, "left")
+    return cells.withColumns({"ok3": F.col("ok"), "ok": F.col("ok") & F.coalesce("g4", F.lit(False))})
+
+
+def answered(cells: DataFrame, grain: list[str], rules: Rules, asked: DataFrame | None = None) -> DataFrame:
+    """Cells of `gated` with their reasons; see `gate` for `asked`."""
+    cells = cells.drop("ok3")
     if asked is not None:
         cells = joined(asked, cells, grain, "left")
         none = {c: F.coalesce(c, F.lit(False)) for c in ("g1", "g2", "g3_volume", "g3_cards", "ok")} | {c: F.coalesce(c, F.lit(0)) for c in ("n_cards", "n_tx", "n_merchants")}
@@ -167,6 +232,18 @@ def gate(tx: DataFrame, grain: list[str], rules: Rules = Rules(), asked: DataFra
     return out.withColumn("ok", F.col("ok") & (F.col("reason") == "ok"))
 
 
+def gate(tx: DataFrame, grain: list[str], rules: Rules = Rules(), asked: DataFrame | None = None) -> DataFrame:
+    """The cells of a grain with their gates and reasons. `asked` names cells to answer for, those without rows as no_data; its column thin_tx,
+    if there, is how many transactions a cell's base has, and a thin one is refused before any gate. Transactions may come by card already."""
+    return answered(gated(tx, grain, rules), grain, rules, asked)
+
+
+def gates_at(tx: DataFrame, levels: dict[str, list[str]], rules: Rules = Rules(), asked: list[str] | None = None) -> DataFrame:
+    """`gated` of several grains from one pass: level, the keys of all levels (null where a level hasn't got them) and the gates. Every level counts its own cards."""
+    rows = by_card_at(tx, levels, asked)
+    return gated(rows, [c for c in rows.columns if c not in ("merchant", "card", "n")], rules)
+
+
 def cascade(tx: DataFrame, cell: list[str], parent: list[str], rules: Rules = Rules(), asked: DataFrame | None = None) -> DataFrame:
     """For each cell the first level of cell, parent and city that passes all gates of the rules, or none; every level counts its own cards.
 
@@ -175,11 +252,13 @@ def cascade(tx: DataFrame, cell: list[str], parent: list[str], rules: Rules = Ru
     `asked` has the keys of cells to answer for (and their parents'), and thin_tx at will; else all cells of tx are.
     """
     keys = list(dict.fromkeys([*cell, *parent]))
-    base = stored(by_card(tx, keys), "cards")  # one pass over the transactions serves all levels
-    asked = base.select(*keys).distinct() if asked is None else asked
-    own = gate(base, cell, rules, asked.drop(*[k for k in parent if k not in cell]))
+    # one pass over the transactions serves all levels; what is stored are cells
+    cells = stored(gates_at(tx, {"cell": cell, "parent": parent, "city": []}, rules, keys if asked is None else None), "cells")
+    of = lambda name, grain: cells.filter(F.col("level") == name).drop("level", *[k for k in keys if k not in grain])
+    asked = of("asked", keys).select(*keys) if asked is None else asked
+    own = answered(of("cell", cell), cell, rules, asked.drop(*[k for k in parent if k not in cell]))
     own = own.select(*cell, F.col("ok").alias("cell_ok"), F.col("reason").alias("cell_reason"), F.col("failures").alias("cell_failures"))
-    level = lambda grain, name: gate(base, grain, rules).select(*grain, F.col("ok").alias(f"{name}_ok"), F.col("failures").alias(f"{name}_failures"))
+    level = lambda grain, name: answered(of(name, grain), grain, rules).select(*grain, F.col("ok").alias(f"{name}_ok"), F.col("failures").alias(f"{name}_failures"))
     out = joined(joined(joined(asked.select(*keys), own, cell), level(parent, "parent"), parent, "left"), level([], "city"), [], "left")
     missing = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in parent if k not in cell), F.lit(False)) | F.col("parent_ok").isNull()
     stopped = F.col("cell_reason").isin("no_data", "thin_base")
@@ -237,16 +316,12 @@ def violations(cells: DataFrame) -> DataFrame:
 # queries
 
 
-def _by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(by_card(tx_area(spark, sf_dir), ["area"]), "cards")
-
-
 def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(by_card(with_month(tx_area(spark, sf_dir)), ["area", "month"]), "cards")
+    return with_month(tx_area(spark, sf_dir))
 
 
 def area_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate(_by_area(spark, sf_dir), ["area"]).drop("failures", "sum_cards")
+    return gate(tx_area(spark, sf_dir), ["area"]).drop("failures", "sum_cards")
 
 
 def area_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +345,7 @@ def exclusive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gates_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate(_by_area(spark, sf_dir), ["area"], Rules(differencing=True)).select("area", "ok", "g4", "g4_merchant", "reason")
+    return gate(tx_area(spark, sf_dir), ["area"], Rules(differencing=True)).select("area", "ok", "g4", "g4_merchant", "reason")
 
 
 def residual_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:

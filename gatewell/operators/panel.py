@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gatewell.operators.baseline import DAYS_SQL, matched_baseline, window3
 from gatewell.operators.cube import ISSUERS, cube_cells, nat_cells
-from gatewell.operators.gates import _cells, by_card, gate, joined
+from gatewell.operators.gates import _cells, gates_at, joined
 from gatewell.session import stored
 from gatewell.sources.adapters import tx_time
 
@@ -64,9 +64,10 @@ def hierarchy_rollup(tx: DataFrame) -> DataFrame:
 def readable_source(tx: DataFrame) -> DataFrame:
     """For each area the nearest level that may be shown, of area, tens and city, and its volume shared out over the codes it stands for; null if none may be."""
     t = tx.filter(F.col("pc").startswith("81-")).withColumn("tens", F.substring("pc", 1, 5))
-    base = stored(by_card(t, ["pc", "tens"]), "cards")
-    level = lambda grain, name: gate(base, grain).select(*grain, F.col("ok").alias(f"{name}_ok"), F.col("n_tx").alias(f"{name}_n"))
-    codes = base.select("pc", "tens").distinct()
+    # one pass for the three levels; what is stored are cells
+    cells = stored(gates_at(t, {"area": ["pc"], "tens": ["tens"], "city": []}, asked=["pc", "tens"]), "cells")
+    level = lambda grain, name: cells.filter(F.col("level") == name).select(*grain, F.col("ok").alias(f"{name}_ok"), F.col("n_tx").alias(f"{name}_n"))
+    codes = cells.filter("level = 'asked'").select("pc", "tens")
     sizes = codes.groupBy("tens").agg(F.count("*").alias("tens_codes"))
     city = joined(level([], "city"), codes.agg(F.count("*").alias("city_codes")), [])
     x = joined(codes.join(level(["pc"], "area"), "pc").join(level(["tens"], "tens"), "tens").join(sizes, "tens"), city, [])
