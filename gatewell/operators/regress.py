@@ -2,15 +2,16 @@
 
 Least squares needs X'X and X'y alone, which Spark sums; the driver solves a system of a few columns. The negative binomial fit
 repeats that by iteratively reweighted steps, each one grouped sum over the stored series. A walk-forward model is refitted for each day
-from the days before; each model is a group of its own, as long as the daily series is.
+from the sums of the days before, each of them a running window of its own; the small systems are solved in batches of days.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -126,23 +127,47 @@ def nb2_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([*rows, ("alpha", fit.alpha, None, None), ("deviance", float(fit.deviance), None, None), ("rounds", float(fit.rounds), None, None)], "term string, beta double, se double, t double")
 
 
+def running_moments(rows: DataFrame) -> DataFrame:
+    """rows of (model, di, t, x) with what all earlier days of the model add up to: n, and moments, the upper triangle of X'X by rows and then X'y.
+
+    Each moment of each model is a sum by itself over an expanding window, so no task needs a whole model; days without a target add nothing.
+    """
+    k = F.size("x")
+    line = lambda i: F.transform(F.slice("x", i + 1, k - i), lambda v: v * F.get("x", i))
+    products = F.concat(F.flatten(F.transform(F.sequence(F.lit(0), k - 1), line)), F.transform("x", lambda v: v * F.col("t")))
+    none = F.transform(products, lambda _: F.lit(0.0))
+    held = F.col("t").isNotNull() & ~F.isnan("t")
+    each = rows.select("model", "di", held.cast("long").alias("one"), F.posexplode(F.when(held, products).otherwise(none)).alias("pos", "v"))
+    w = Window.partitionBy("model", "pos").orderBy("di").rowsBetween(Window.unboundedPreceding, -1)
+    before = each.select("model", "di", "pos", F.coalesce(F.sum("v").over(w), F.lit(0.0)).alias("v"), F.coalesce(F.sum("one").over(w), F.lit(0)).alias("n"))
+    sums = before.groupBy("model", "di").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda m: m["v"]).alias("moments"))
+    return rows.join(sums, ["model", "di"])
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """moments, z and whether there are enough days -> the growth exp(beta z), 1 if there are not."""
+    for batch in batches:
+        growth = []
+        for moments, z, enough in zip(*(batch.column(c).to_pylist() for c in ("moments", "z", "enough")), strict=True):
+            k = len(z)
+            upper = np.triu_indices(k)
+            xx = np.zeros((k, k))
+            xx[upper] = moments[: len(upper[0])]
+            beta = np.linalg.pinv(xx + np.triu(xx, 1).T, rcond=1e-12, hermitian=True) @ moments[len(upper[0]) :] if enough else np.zeros(k)
+            growth.append(float(np.exp(np.dot(z, beta))))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("model", "di", "y", "base")), pa.array(growth, pa.float64())], ["model", "di", "y", "base", "growth"])
+
+
 def walk_forward(rows: DataFrame, first: int = FIRST_ORIGIN, least: int = 1) -> DataFrame:
     """(model, di, y, f) from `first` on, over rows of model, di, y, t (the target of the fit; null if the day takes no part), x (its regressors), z (those of
-    the forecast) and base: f is base times exp(beta z), with beta fitted on all earlier days of the model; with fewer than `least` of them, base."""
-
-    def fit(days: pd.DataFrame) -> pd.DataFrame:
-        days = days.sort_values("di")
-        x, z = np.array(days["x"].tolist(), float), np.array(days["z"].tolist(), float)
-        t = days["t"].to_numpy(float)
-        held = np.isfinite(t)
-        x, t = np.where(held[:, None], x, 0.0), np.where(held, t, 0.0)
-        before = lambda v: np.cumsum(v, 0) - v
-        xx, xy, n = before(x[:, :, None] * x[:, None, :]), before(x * t[:, None]), before(held.astype(int))
-        out = days[["model", "di", "y"]].copy()
-        out["f"] = [b * (np.exp(p @ np.linalg.pinv(m, rcond=1e-12, hermitian=True) @ v) if k >= least else 1.0) if d >= first else np.nan for b, p, m, v, k, d in zip(days["base"], z, xx, xy, n, days["di"], strict=True)]
-        return out[out["di"] >= first]
-
-    return rows.groupBy("model").applyInPandas(fit, "model string, di int, y long, f double")
+    the forecast) and base: f is base times exp(beta z), with beta fitted on all earlier days of the model; with fewer than `least` of them, base.
+
+    (model, di) is one row. The systems are solved in batches of days, wherever these are.
+    """
+    days = running_moments(rows).filter(F.col("di") >= first)
+    ready = days.select("model", F.col("di").cast("int").alias("di"), F.col("y").cast("long").alias("y"), "base", "z", "moments", (F.col("n") >= least).alias("enough"))
+    solved = ready.mapInArrow(_solve, "model string, di int, y long, base double, growth double")
+    return solved.select("model", "di", "y", (F.col("base") * F.col("growth")).alias("f"))
 
 
 def models(days: DataFrame) -> DataFrame:
