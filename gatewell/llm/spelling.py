@@ -4,20 +4,26 @@ Each word of the vocabulary emits all distinct words that one deletion, replacem
 makes of it. Those that the vocabulary holds, found by a hash join, are its near words: no distance is computed. A word's form
 is its near word of largest count, if that count is large enough beside its own; following forms to the last gives its root.
 
-Everything is a DataFrame expression. A word of L characters emits L deletions, and over an alphabet of A characters L (A - 1)
-replacements and (L + 1) A insertions; no word is emitted by more than that many others, so no key of the join is hot.
+A word of L characters emits L deletions, and over an alphabet of A characters L (A - 1) replacements and (L + 1) A
+insertions, less those that repeat others: about a thousand. Their hashes are made in numpy from prefix hashes; a filter of
+the vocabulary's hashes, of a bounded size, drops nearly all that can't be words before they are spelt out and shuffled to the
+join, which settles the rest by their letters. No word is emitted by more than some thousand others, so no key of the join is hot.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewell.llm.common import partitions, stored, table
 
 #: A word has at least so many code points and occurrences, and a form so many times the word's occurrences.
 LENGTH, OCCURRENCES, TIMES = 7, 2, 10
-#: The characters of words: 116 of them, of which two are no letters. Only A-Z are lower-cased.
+#: The characters of words: 116, and 90 once A-Z are lower-cased.
 CHARACTERS = "A-Za-z\\u00C0-\\u00FF"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One word in so many loses a character, when errors are planted.
@@ -38,22 +44,122 @@ def occurrences(docs: DataFrame, planted: bool = False) -> DataFrame:
     return found.select("word").filter(F.length("word") >= LENGTH)
 
 
-def neighbourhood(word: Column, alphabet: list[str]) -> Column:
-    """All distinct words that one deletion, replacement or insertion makes of the word, without itself."""
-    letters = F.array(*[F.lit(c) for c in alphabet])
-    places = F.sequence(F.lit(0), F.length(word))
-    inner = F.sequence(F.lit(0), F.length(word) - 1)
-
-    def head(i: Column) -> Column:
-        return F.substring(word, F.lit(1), i)
-
-    def tail(i: Column) -> Column:
-        return F.substring(word, i + 1, F.length(word))
-
-    deleted = F.transform(inner, lambda i: F.concat(head(i), tail(i + 1)))
-    replaced = F.flatten(F.transform(inner, lambda i: F.transform(letters, lambda c: F.concat(head(i), c, tail(i + 1)))))
-    inserted = F.flatten(F.transform(places, lambda i: F.transform(letters, lambda c: F.concat(head(i), c, tail(i)))))
-    return F.array_remove(F.array_distinct(F.concat(deleted, replaced, inserted)), word)
+#: Slots of 64 bits of the filter: half as many as words, but not more than these (64 MB), and the slots of a part of it.
+SLOTS, PART = 1 << 23, 1 << 13
+_BASE = 0x9E3779B97F4A7C15 | 1
+
+
+def _powers(n: int) -> np.ndarray:
+    out = np.full(n, _BASE, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _bit(mixed: np.ndarray, i: int) -> np.ndarray:
+    return np.uint64(1) << (mixed >> np.uint64(58 - 6 * i) & np.uint64(63))
+
+
+def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The words of each length, in pieces of a bounded size: their places, and their code points as rows."""
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    lengths = np.array([len(w) for w in words], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    for n in np.unique(lengths[lengths > 0]).tolist():
+        mine = np.flatnonzero(lengths == n)
+        step = max(1, (1 << 16) // n)
+        for i in range(0, len(mine), step):
+            part = mine[i : i + step]
+            yield part, points[starts[part][:, None] + np.arange(n)]
+
+
+def _filter(words: DataFrame, slots: int) -> np.ndarray:
+    """Of each word, four bits of one slot by its hash. Parts of the filter are made in tasks, and only they come to the driver: 64 MB at most."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, points in _by_length(batch.column("word").to_pylist()):
+                mixed = _mixed((points * _powers(points.shape[1])).sum(axis=1, dtype=np.uint64))
+                slot = (mixed & np.uint64(slots - 1)).astype(np.int64)
+                mask = _bit(mixed, 0) | _bit(mixed, 1) | _bit(mixed, 2) | _bit(mixed, 3)
+                yield pa.RecordBatch.from_arrays([pa.array(slot // PART), pa.array(slot % PART), pa.array(mask.view(np.int64))], ["part", "slot", "mask"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, slot, mask = (batch.column(c).to_numpy() for c in ("part", "slot", "mask"))
+            for k in np.unique(part).tolist():
+                np.bitwise_or.at(made.setdefault(k, np.zeros(PART, np.uint64)), slot[part == k], mask[part == k].view(np.uint64))
+        for k, v in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([v.tobytes()])], ["part", "bits"])
+
+    n = partitions(words.sparkSession)
+    out = np.zeros(max(slots, PART), np.uint64)
+    for r in words.select("word").mapInArrow(bits, "part long, slot long, mask long").repartition(n, "part").mapInArrow(parts, "part long, bits binary").toLocalIterator():
+        out[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.bits, np.uint64)
+    return out[:slots]
+
+
+def neighbours(words: list[str], alphabet: list[str], known: np.ndarray) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """All distinct words one edit away of each of the words, but those that the filter `known` rules out: (places of the words, what they emit)."""
+    last = np.uint64(len(known) - 1)
+
+    def held(hashes: np.ndarray, emits: np.ndarray | bool) -> tuple[np.ndarray, np.ndarray]:
+        mixed = _mixed(hashes)
+        slots = known[mixed & last]
+        row, at = np.nonzero((slots & _bit(mixed, 0) != 0) & emits)  # most end at the first bit
+        mixed, slots = mixed[row, at], slots[row, at]
+        mask = _bit(mixed, 1) | _bit(mixed, 2) | _bit(mixed, 3)
+        good = slots & mask == mask
+        return row[good], at[good]
+
+    base = np.uint64(_BASE)
+    for place, points in _by_length(words):
+        n = points.shape[1]
+        power = _powers(n + 1)
+        terms = points * power[:n]
+        before = np.concatenate([np.zeros((len(points), 1), np.uint64), np.cumsum(terms, axis=1, dtype=np.uint64)], axis=1)
+        whole = before[:, -1:]
+        # of equal characters side by side only the first is deleted
+        first = np.concatenate([np.ones((len(points), 1), bool), points[:, 1:] != points[:, :-1]], axis=1)
+        down = np.uint64(pow(_BASE, -1, 1 << 64))
+        row, at = held(before[:, :-1] + (whole - before[:, 1:]) * down, first)
+        if len(row):
+            yield place[row], [words[p][:i] + words[p][i + 1 :] for p, i in zip(place[row].tolist(), at.tolist(), strict=True)]
+        rest, shifted = whole - terms, before + (whole - before) * base
+        for c in alphabet:
+            letter = np.uint64(ord(c))
+            row, at = held(rest + letter * power[:n], points != letter)
+            if len(row):
+                yield place[row], [words[p][:i] + c + words[p][i + 1 :] for p, i in zip(place[row].tolist(), at.tolist(), strict=True)]
+            # after the same character an insertion repeats the one before it
+            emits = np.concatenate([np.ones((len(points), 1), bool), points != letter], axis=1)
+            row, at = held(shifted + letter * power, emits)
+            if len(row):
+                yield place[row], [words[p][:i] + c + words[p][i:] for p, i in zip(place[row].tolist(), at.tolist(), strict=True)]
+
+
+def emitted(words: DataFrame, alphabet: list[str]) -> DataFrame:
+    """(word, near): all distinct neighbours of each word, less those that the filter of the vocabulary rules out; some of these are no words."""
+    spark = words.sparkSession
+    slots = 1
+    while slots < min(SLOTS, words.count() // 2):
+        slots *= 2
+    known = spark.sparkContext.broadcast(_filter(words, slots))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine = batch.column("word").to_pylist()
+            for place, near in neighbours(mine, alphabet, known.value):
+                yield pa.RecordBatch.from_arrays([pa.array([mine[p] for p in place.tolist()]), pa.array(near)], ["word", "near"])
+
+    # a word is a thousand hashes: the small table is dealt out first
+    return words.select("word").repartition(partitions(spark), "word").mapInArrow(emit, "word string, near string")
 
 
 def variants(words: DataFrame) -> DataFrame:
@@ -67,10 +173,8 @@ def variants(words: DataFrame) -> DataFrame:
     alphabet = sorted(r.c for r in words.select(F.explode(F.split("word", "")).alias("c")).filter("c != ''").distinct().collect())
     if not alphabet:
         return words.selectExpr("word", "word form", "word root", "n", "n n_near", "n form_n")
-    # a word becomes a thousand rows: the small table is dealt out first
-    emitted = words.select("word").repartition(partitions(words.sparkSession), "word").select("word", F.explode(neighbourhood(F.col("word"), alphabet)).alias("near"))
     known = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
-    best = emitted.join(known, "near").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form"))).alias("best"))
+    best = emitted(words, alphabet).join(known, "near").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form"))).alias("best"))
     n = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"))
     enough = F.col("form_n") >= TIMES * F.col("n")
     formed = stored(n.select("word", "n", "n_near", F.when(enough, F.col("form")).alias("form"), F.when(enough, F.col("form_n")).alias("form_n")), "forms")

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from gatewell.llm import spelling
@@ -76,11 +77,23 @@ def test_a_long_chain_of_forms(spark):
     assert set(found.values()) == {"a" * 24}
 
 
-def test_neighbourhood_is_whole_and_distinct(spark):
-    got = spark.createDataFrame([("aab",)], "w string").select(spelling.neighbourhood(spelling.F.col("w"), ["a", "b", "é"])).first()[0]
-    letters = "abé"
-    want = {"ab", "aa"} | {"aab"[:i] + c + "aab"[i + 1 :] for i in range(3) for c in letters} | {"aab"[:i] + c + "aab"[i:] for i in range(4) for c in letters}
-    assert sorted(got) == sorted(want - {"aab"})
+def test_neighbourhood_is_whole_and_distinct():
+    everything = np.full(4, ~np.uint64(0))  # a filter that rules nothing out
+    for word, letters in (("aab", "abé"), ("a", "ab"), ("ééé", "é"), ("abcabca", "abc中")):
+        got = [w for _, near in spelling.neighbours([word], list(letters), everything) for w in near]
+        n = len(word)
+        want = {word[:i] + word[i + 1 :] for i in range(n)} | {word[:i] + c + word[i + 1 :] for i in range(n) for c in letters} | {word[:i] + c + word[i:] for i in range(n + 1) for c in letters}
+        assert sorted(got) == sorted(want - {word})
+
+
+def test_filter_keeps_all_words_and_drops_most_others(spark):
+    r = random.Random(1)
+    words = sorted({"".join(r.choice("abcdeé") for _ in range(r.randint(7, 9))) for _ in range(4000)})
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    made = {(x.word, x.near) for x in spelling.emitted(df, list("abcdeé")).collect()}
+    some = words[:150]
+    assert {(a, b) for a in some for b in words if near(a, b)} <= made
+    assert len(made) < 1.3 * sum(b in set(words) for _, b in made) + 4000
 
 
 def test_odd_rows(spark):
