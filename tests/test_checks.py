@@ -48,7 +48,7 @@ def test_card_shaped_tokens_are_found_across_line_breaks(spark):
 
 def test_points_of_areas_lie_inside_them(spark):
     sides = geo.edges(spark)
-    found = geo.representative_points(sides)
+    found = geo.interior_points(sides)
     assert sorted(map(tuple, geo.inside(found.select(F.col("area").alias("id"), "x", "y"), sides).collect())) == sorted((a, a) for a in geo.POLYGONS)
 
 
