@@ -5,6 +5,8 @@ The daily series is a few thousand rows whatever the number of facts, so its win
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,26 +31,67 @@ def daily_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("di", "day", "y", F.coalesce("amount", F.lit(0.0)).alias("amount"), *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("rain", "temp", "wind")], F.coalesce("events", F.lit(0)).alias("events"))
 
 
-def forecasts(days: DataFrame) -> DataFrame:
-    """The four candidates for each day, from earlier days: mean and median of the last four same weekdays, mean of seven days, and the value a week ago."""
-    order = Window.orderBy("di")
-    lags = [F.lag("y", 7 * k).over(order) for k in range(1, 5)]
-    out = days.withColumns({f"l{k}": x for k, x in enumerate(lags, 1)})
-    four = F.array_sort(F.array(*[F.col(f"l{k}") for k in range(1, 5)]))
-    whole = F.col("l4").isNotNull()
-    week = order.rowsBetween(-7, -1)
-    return out.select(
-        "di",
-        "day",
-        "y",
-        F.when(whole, (F.col("l1") + F.col("l2") + F.col("l3") + F.col("l4")) / 4).alias("mean4sw"),
-        F.when(whole, (four[1] + four[2]) / 2).alias("median4sw"),
-        F.when(F.count("y").over(week) == 7, F.avg("y").over(week)).alias("mean7"),
-        F.col("l1").cast("double").alias("snaive"),
-    )
+class Past:
+    """What a candidate may look at on a day: the days before it."""
+
+    def __init__(self):
+        self._order = Window.orderBy("di")
+
+    def lag(self, k: int) -> Column:
+        """y of k days before; null before the first day."""
+        if k < 1:
+            raise ValueError("a forecast looks at earlier days alone")
+        return F.lag("y", k).over(self._order)
+
+    def over(self, f, n: int) -> Column:
+        """f of y over the n days before; null unless all of them are there."""
+        if n < 1:
+            raise ValueError("a forecast looks at earlier days alone")
+        w = self._order.rowsBetween(-n, -1)
+        return F.when(F.count("y").over(w) == n, f("y").over(w))
+
+
+def _same_weekdays(past: Past) -> list[Column]:
+    return [past.lag(7 * k) for k in range(1, 5)]
+
+
+def mean4sw(past: Past) -> Column:
+    a, b, c, d = _same_weekdays(past)
+    return F.when(d.isNotNull(), (a + b + c + d) / 4)
+
+
+def median4sw(past: Past) -> Column:
+    four = F.array_sort(F.array(*_same_weekdays(past)))
+    return F.when(past.lag(28).isNotNull(), (four[1] + four[2]) / 2)
+
+
+def mean7(past: Past) -> Column:
+    return past.over(F.avg, 7)
+
+
+def snaive(past: Past) -> Column:
+    return past.lag(7).cast("double")
+
+
+Candidate = Callable[[Past], Column]
+#: Forecasts of a day by name. More may be given to `forecasts`, `backtest_of` and the experiment of `regress`.
+CANDIDATES: dict[str, Candidate] = {"mean4sw": mean4sw, "median4sw": median4sw, "mean7": mean7, "snaive": snaive}
+
+
+def forecasts(days: DataFrame, candidates: dict[str, Candidate] = CANDIDATES) -> DataFrame:
+    """di, day, y and each candidate's forecast: mean and median of the last four same weekdays, mean of seven days, and the value a week ago, or what is given instead."""
+    past = Past()
+    return days.select("di", "day", "y", *[f(past).alias(k) for k, f in candidates.items()])
 
 
-CANDIDATES = ("mean4sw", "median4sw", "mean7", "snaive")
+def require_past_only(days: DataFrame, candidates: dict[str, Candidate], origin: int = FIRST_ORIGIN) -> dict[str, Candidate]:
+    """The candidates, if none of their forecasts up to the origin changes when the days from it on do; else an error with their names."""
+    other = days.withColumn("y", F.when(F.col("di") >= origin, -7 * F.col("y") - 1).otherwise(F.col("y")))
+    a, b = (forecasts(d, candidates).filter(F.col("di") <= origin).select("di", *[F.col(k).alias(f"{k}_{s}") for k in candidates]) for d, s in ((days, "a"), (other, "b")))
+    off = a.join(b, "di").agg(*[F.count_if(~F.col(f"{k}_a").eqNullSafe(F.col(f"{k}_b"))).alias(k) for k in candidates]).first()
+    if early := sorted(k for k in candidates if off[k]):
+        raise ValueError(f"candidates that look ahead: {', '.join(early)}")
+    return candidates
 
 
 def metrics(y: Column, f: Column, naive: Column) -> dict[str, Column]:
@@ -65,13 +108,14 @@ def metrics(y: Column, f: Column, naive: Column) -> dict[str, Column]:
     }
 
 
-def _long(days: DataFrame) -> DataFrame:
-    f = forecasts(days).filter(F.col("di") >= FIRST_ORIGIN)
-    return f.select("di", "y", "snaive", F.explode(F.array(*[F.struct(F.lit(c).alias("candidate"), F.col(c).alias("f")) for c in CANDIDATES])).alias("c")).select("di", "y", "snaive", "c.*")
+def _long(days: DataFrame, candidates: dict[str, Candidate]) -> DataFrame:
+    f = forecasts(days, {"__naive": snaive, **candidates}).filter(F.col("di") >= FIRST_ORIGIN)
+    return f.select("di", "y", "__naive", F.explode(F.array(*[F.struct(F.lit(c).alias("candidate"), F.col(c).alias("f")) for c in candidates])).alias("c")).select("di", "y", "__naive", "c.*")
 
 
-def backtest_of(days: DataFrame) -> DataFrame:
-    return _long(days).groupBy("candidate").agg(*[e.alias(k) for k, e in metrics(F.col("y"), F.col("f"), F.col("snaive")).items()])
+def backtest_of(days: DataFrame, candidates: dict[str, Candidate] = CANDIDATES) -> DataFrame:
+    """The metrics of each candidate, against the seasonal naive forecast."""
+    return _long(days, candidates).groupBy("candidate").agg(*[e.alias(k) for k, e in metrics(F.col("y"), F.col("f"), F.col("__naive")).items()])
 
 
 def expanding_interval_of(days: DataFrame) -> DataFrame:

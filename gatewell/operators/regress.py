@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gatewell.operators.forecast import FIRST_ORIGIN, daily_covariates, forecasts, metrics, tails
+from gatewell.operators.forecast import COVARIATES_SQL, FIRST_ORIGIN, Candidate, daily_covariates, forecasts, mean4sw, metrics, snaive, tails
 from gatewell.session import stored
 
 CALENDAR = (*(f"month_{m}" for m in range(2, 13)), *(f"dow_{w}" for w in range(2, 8)))
@@ -170,16 +170,20 @@ def walk_forward(rows: DataFrame, first: int = FIRST_ORIGIN, least: int = 1) ->
     return solved.select("model", "di", "y", (F.col("base") * F.col("growth")).alias("f"))
 
 
-def models(days: DataFrame) -> DataFrame:
-    """The rows of all walk-forward models: log counts by calendar, with weather, and with events too; and the two naive bases times their drivers."""
-    d = days.join(forecasts(days).select("di", "mean4sw", "snaive"), "di")
+#: The forecasts that drivers are put on.
+BASES: dict[str, Candidate] = {"snaive": snaive, "mean4sw": mean4sw}
+
+
+def models(days: DataFrame, bases: dict[str, Candidate] = BASES) -> DataFrame:
+    """The rows of all walk-forward models: log counts by calendar, with weather, and with events too; and each base times its drivers."""
+    d = days.join(forecasts(days, bases).select("di", *bases), "di")
     numbers = lambda columns: F.array(*[F.col(c).cast("double") for c in columns])
     ln = F.when(F.col("y") > 0, F.ln("y"))
     out = []
     for name, extra in (("ols_logcount", ()), ("ols_logcount_weather", WEATHER), ("ols_logcount_weather_events", DRIVERS)):
         x = numbers(("intercept", *CALENDAR, *extra))
         out.append(F.struct(F.lit(name).alias("model"), ln.alias("t"), x.alias("x"), x.alias("z"), F.lit(1.0).alias("base")))
-    for base in ("snaive", "mean4sw"):
+    for base in bases:
         ratio = F.when((F.col("di") >= 28) & (F.col(base) > 0) & (F.col("y") > 0), F.ln(F.col("y") / F.col(base)))
         for name, extra in (("weather", WEATHER), ("weather_events", DRIVERS)):
             x = numbers(("intercept", *extra))
@@ -188,8 +192,8 @@ def models(days: DataFrame) -> DataFrame:
     return d.select("di", "y", F.explode(F.array(*out)).alias("m")).select("di", "y", "m.*")
 
 
-def _forecast(days: DataFrame, *names: str) -> DataFrame:
-    rows = models(days)
+def _forecast(days: DataFrame, *names: str, bases: dict[str, Candidate] = BASES) -> DataFrame:
+    rows = models(days, bases)
     rows = rows.filter(F.col("model").isin(*names)) if names else rows
     drivers = F.col("model").startswith("drivers")
     return walk_forward(rows.filter(drivers), least=30).unionByName(walk_forward(rows.filter(~drivers)))
@@ -204,9 +208,12 @@ def driver_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather_events_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether weather and events help: the metrics of each walk-forward model, and how often its 80 % interval holds the day."""
-    days = _series(spark, sf_dir)
-    f = _forecast(days).join(days.select((F.col("di") + 7).alias("di"), F.col("y").alias("naive")), "di")
+    return experiment(_series(spark, sf_dir))
+
+
+def experiment(days: DataFrame, bases: dict[str, Candidate] = BASES) -> DataFrame:
+    """Whether weather and events help: the metrics of each walk-forward model, and how often its 80 % interval holds the day. days are those of `design`."""
+    f = _forecast(days, bases=bases).join(days.select((F.col("di") + 7).alias("di"), F.col("y").alias("naive")), "di")
     past = Window.partitionBy("model").orderBy("di").rowsBetween(Window.unboundedPreceding, -1)
     f = f.withColumn("r", F.col("y") / F.greatest("f", F.lit(1e-9)))
     few = F.count("r").over(past) < 30
@@ -227,10 +234,20 @@ def season_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("split", "tail").agg(F.count("*").alias("days"), F.min("events").alias("least_events"), F.max("events").alias("most_events"), F.round(F.avg("uplift"), 6).alias("uplift"), F.round(F.avg("residual"), 6).alias("residual"))
 
 
+def season_uplift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of `season_control` that is no fit: how far days of few and of many events are off the mean of their weekday."""
+    d = daily_covariates(spark, sf_dir).withColumn("uplift", F.col("y") / F.avg("y").over(Window.partitionBy(F.weekday("day"))) - 1)
+    return tails(d).groupBy("tail").agg(F.count("*").alias("days"), F.min("events").alias("least_events"), F.max("events").alias("most_events"), F.round(F.avg("uplift"), 6).alias("uplift"))
+
+
 QUERIES = {
+    "season_uplift": season_uplift,
     "ols_drivers": ols_drivers, "nb2_drivers": nb2_drivers, "season_control": season_control, "driver_multiplier": driver_multiplier,
     "walk_forward_ols_logcount": walk_forward_ols_logcount, "weather_events_experiment": weather_events_experiment,
 }
 
 #: Fits of several regressors can't be put in SQL; the tests hold them against plain refits.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "season_uplift": f"""WITH {COVARIATES_SQL}, u AS (SELECT *, y / avg(y) OVER (PARTITION BY isodow(day)) - 1 AS uplift, row_number() OVER (ORDER BY events, di) AS r, count(*) OVER () AS n FROM panel)
+      SELECT CASE WHEN r <= 140 THEN 'low' ELSE 'high' END AS tail, count(*) AS days, min(events) AS least_events, max(events) AS most_events, round(avg(uplift), 6) AS uplift FROM u WHERE r <= 140 OR r > n - 123 GROUP BY 1"""
+}

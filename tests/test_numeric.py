@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gatewell.functions.scalar import format_share, haversine_km
@@ -122,3 +123,24 @@ def test_season_control_is_the_residual_of_additive_dummies(spark):
     k = round(0.1 * len(d))
     for key, held in {("tails", "low"): order[:140], ("tails", "high"): order[-123:], ("deciles", "low"): order[:k], ("deciles", "high"): order[-k:]}.items():
         assert found[key].days == len(held) and abs(found[key].uplift - u.to_numpy()[held].mean()) < 1e-5 and abs(found[key].residual - rest[held].mean()) < 1e-5
+
+
+def test_candidates_of_ones_own(spark):
+    from gatewell.operators.forecast import CANDIDATES, backtest_of, daily_covariates, require_past_only
+    from gatewell.operators.regress import BASES, design, experiment
+
+    days = daily_covariates(spark, "/root/testdata/sf0.001").filter("di < 200")
+    mine = {"yesterday": lambda past: past.lag(1).cast("double"), "mean14": lambda past: past.over(F.avg, 14)}
+    found = {r.candidate: r for r in backtest_of(days, require_past_only(days, CANDIDATES | mine)).collect()}
+    assert set(found) == {*CANDIDATES, *mine}
+    y = [r.y for r in days.orderBy("di").collect()]
+    off = [abs(y[i] - y[i - 1]) for i in range(56, len(y))]
+    assert math.isclose(found["yesterday"].mae, sum(off) / len(off), abs_tol=1e-4)
+    ahead = {"tomorrow": lambda past: F.lead("y", 1).over(past._order).cast("double"), "today": lambda past: F.col("y").cast("double")}
+    with pytest.raises(ValueError, match="today, tomorrow"):
+        require_past_only(days, CANDIDATES | ahead)
+    for bad in (lambda past: past.lag(0), lambda past: past.over(F.avg, 0)):
+        with pytest.raises(ValueError):
+            backtest_of(days, {"bad": bad})
+    names = {r.model for r in experiment(design(days), BASES | {"mean14": mine["mean14"]}).collect()}
+    assert {"drivers_on_mean14_weather", "drivers_on_mean14_weather_events", "drivers_on_snaive_weather"} <= names
