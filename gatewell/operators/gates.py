@@ -153,18 +153,32 @@ def within_share(top: Column, total: Column, rules: Rules) -> Column:
 
 
 def gate_columns(cells: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """cells with g1, g2, g3_volume, g3_cards and ok (all of them)."""
+    """cells with g1, g2, g3_volume, g3_cards and ok (all of them). If merchants' cards aren't known (top_cards is null), the share is judged by volume alone."""
     out = cells.withColumns(
         {
             "g1": F.col("n_cards") >= rules.min_cards,
             "g2": F.col("n_merchants") >= rules.min_merchants,
             "g3_volume": within_share(F.col("top_volume"), F.col("n_tx"), rules),
-            "g3_cards": within_share(F.col("top_cards"), F.col("n_cards"), rules),
+            "g3_cards": F.col("top_cards").isNull() | within_share(F.col("top_cards"), F.col("n_cards"), rules),
         }
     )
     return out.withColumn("ok", F.col("g1") & F.col("g2") & F.col("g3_volume") & F.col("g3_cards"))
 
 
+#: The gates' names in blocks of other documents.
+BLOCK_CODES = {"lt_30_cards": "G1_CARDS", "lt_3_merchants": "G2_ENTITIES", "top1_gt_75": "G3_SHARE", "g4_differencing": "G4_DIFFERENCING"}
+
+
+def gate_block(cells: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """cells (n_cards, n_merchants, n_tx, top_volume, top_cards) with gates, a struct of g1_cards, g2_merchants, g3_share and all; top_cards of 0 means that cards weren't measured."""
+    held = gate_columns(cells.withColumn("top_cards", F.nullif("top_cards", F.lit(0))), rules)
+    share = F.col("g3_volume") & F.col("g3_cards")
+    return held.select(
+        *[F.coalesce("top_cards", F.lit(0)).alias(c) if c == "top_cards" else F.col(c) for c in cells.columns],
+        F.struct(F.col("g1").alias("g1_cards"), F.col("g2").alias("g2_merchants"), share.alias("g3_share"), (F.col("g1") & F.col("g2") & share).alias("all")).alias("gates"),
+    )
+
+
 def reason(cells: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """cells with failures, in canonical order, and reason: ok, no_data, thin_base, the one failure, or multi. A missing g4 counts as passed."""
     g4 = F.coalesce(F.col("g4"), F.lit(True)) if "g4" in cells.columns else F.lit(True)
@@ -295,6 +309,83 @@ def require_released(cells: DataFrame, rules: Rules) -> DataFrame:
     return cells
 
 
+def evaluated(cells: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """cells with codes, the failures of the first three gates by BLOCK_CODES in canonical order, and detail, a line for each and one more if cards weren't measured. No one merchant is named."""
+    held = gate_columns(cells, rules)
+    share = F.col("g3_volume") & F.col("g3_cards")
+    failed = [(~F.col("g1"), REASONS[0]), (~F.col("g2"), REASONS[1]), (~share, REASONS[2])]
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    limit = f" > {rules.share_num}/{rules.share_den}"
+    lines = [
+        F.when(~F.col("g1"), text("n_cards=", F.col("n_cards"), f" < {rules.min_cards}")),
+        F.when(~F.col("g2"), text("n_merchants=", F.col("n_merchants"), f" < {rules.min_merchants}")),
+        F.when(~F.col("g3_volume"), text("share of volume ", F.col("top_volume"), "/", F.col("n_tx"), limit)),
+        F.when(~F.col("g3_cards"), text("share of cards ", F.col("top_cards"), "/", F.col("n_cards"), limit)),
+        F.when(F.col("top_cards").isNull(), F.lit("cards of merchants unknown: share by volume alone")),
+    ]
+    known = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
+    return held.select(*cells.columns, known([F.when(c, BLOCK_CODES[k]) for c, k in failed]).alias("codes"), known(lines).alias("detail"))
+
+
+#: What is impossible in a cell, and in the evidence on its merchants.
+EVIDENCE = (
+    "missing", "negative", "cards_gt_tx", "phantom", "partition", "cards_of_no_merchant", "cards_lt_1", "cards_gt_volume",
+    "residual_of_no_merchant", "residual_out_of_bounds", "merchant_cards_gt_cards", "sum_cards_lt_cards",
+)
+
+
+def evidence_violations(cells: DataFrame, merchants: DataFrame, key: list[str]) -> DataFrame:
+    """(key, checks): which of EVIDENCE each cell breaks, in that order; cells that break none have an empty list.
+
+    cells: key, n_cards, n_tx. merchants: key, merchant, volume, cards and residual; a null volume means that the merchant is in no partition of the cell, null cards or residual that there is no
+    such evidence. A residual lies between all cards less the merchant's volume, at most, and all cards. Cards of merchants must cover the cell's only if all merchants have them.
+    """
+    both = joined(merchants, cells, key, "left")
+    v, c, r, n = (F.col(x) for x in ("volume", "cards", "residual", "n_cards"))
+    member = v.isNotNull()
+    hit = lambda x: F.coalesce(F.bool_or(x), F.lit(False))
+    by = both.groupBy(*key).agg(
+        F.coalesce(F.sum("volume"), F.lit(0)).alias("__volume"),
+        F.coalesce(F.sum(F.when(member, c)), F.lit(0)).alias("__cards"),
+        (F.count_if(member & c.isNull()) == 0).alias("__all"),
+        F.count("cards").alias("__some"),
+        hit(v <= 0).alias("phantom"),
+        hit(~member & c.isNotNull()).alias("cards_of_no_merchant"),
+        hit(c < 1).alias("cards_lt_1"),
+        hit(c > v).alias("cards_gt_volume"),
+        hit(~member & r.isNotNull()).alias("residual_of_no_merchant"),
+        hit(member & ((r < n - F.least(v, n)) | (r > n))).alias("residual_out_of_bounds"),
+        hit(member & (c > n)).alias("merchant_cards_gt_cards"),
+    )
+    x = joined(cells, by, key, "left")
+    no = lambda k: F.coalesce(k, F.lit(False))
+    checks = {
+        "missing": F.col("n_cards").isNull() | F.col("n_tx").isNull(),
+        "negative": no((F.col("n_cards") < 0) | (F.col("n_tx") < 0)),
+        "cards_gt_tx": no(F.col("n_cards") > F.col("n_tx")),
+        "partition": no(F.coalesce("__volume", F.lit(0)) != F.col("n_tx")),
+        "sum_cards_lt_cards": no(F.col("__all") & (F.col("__some") > 0) & (F.col("__cards") < F.col("n_cards"))),
+    }
+    named = [F.when(checks[k] if k in checks else no(F.col(k)), k) for k in EVIDENCE]
+    return x.select(*key, F.filter(F.array(*named), lambda y: y.isNotNull()).alias("checks"))
+
+
+def residual_cards(merchants: DataFrame, key: list[str]) -> DataFrame:
+    """merchants of (key, merchant, volume, cards, n_cards, exclusive) with low and high, the bounds of the cards that are left without each, rest (measured if exclusive is known, else the lower
+    bound), and top_cards, the most that another merchant may have of them; null, so withheld, if there is no other, or if one of them would be left with none."""
+    n = F.col("n_cards")
+    low = F.greatest(F.lit(0), n - F.least("volume", n))
+    rest = F.coalesce(n - F.col("exclusive"), low)
+    w = Window.partitionBy(*key)
+    out = merchants.withColumns({"low": low, "high": n, "rest": rest})
+    first, second = (F.max(F.when(F.col("__r") == k, F.col("cards"))).over(w) for k in (1, 2))
+    least, next_ = (F.max(F.when(F.col("__s") == k, F.col("cards"))).over(w) for k in (1, 2))
+    out = out.withColumns({"__r": F.row_number().over(w.orderBy(F.desc("cards"), "merchant")), "__s": F.row_number().over(w.orderBy("cards", "merchant"))})
+    out = out.withColumns({"__top": F.when(F.col("__r") == 1, second).otherwise(first), "__min": F.when(F.col("__s") == 1, next_).otherwise(least), "__known": F.count("cards").over(w) == F.count("*").over(w)})
+    fits = F.col("__known") & (F.least("__min", "rest") >= 1)
+    return out.withColumn("top_cards", F.when(fits, F.least("__top", "rest"))).drop("__r", "__s", "__top", "__min", "__known")
+
+
 def with_month(tx: DataFrame) -> DataFrame:
     return tx.withColumn("month", F.date_format("day", "yyyyMM"))
 
@@ -391,7 +482,50 @@ def released_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return require_released(release(gate(_monthly(spark, sf_dir), ["area", "month"]), Rules()), Rules()).select("area", "month", "n_tx", "n_cards", "n_merchants")
 
 
+def gate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks and codes of each area; of every other one the cards of merchants count as unmeasured."""
+    cells = cell_totals(tx_area(spark, sf_dir), ["area"]).withColumn("top_cards", F.when(F.col("area") % 2 == 1, F.col("top_cards")).otherwise(0))
+    out = evaluated(gate_block(cells).withColumn("top_cards", F.nullif("top_cards", F.lit(0))))
+    return out.select("area", "gates.*", F.array_join("codes", ",").alias("codes"), F.array_join("detail", "; ").alias("detail"))
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cells of area and month and their merchants, as measured but for errors that are planted by the cell's number, so that each check has something to find."""
+    key = ["area", "month"]
+    profile = stored(merchant_profile(_monthly(spark, sf_dir), key), "profile")
+    k = F.col("area") * 7 + F.col("month").cast("int") % 100
+    plant = lambda i, of=29: k % of == i
+    cells = profile.filter("whole").select(*key, F.when(plant(1), -1).when(~plant(0), F.col("n_cards")).alias("n_cards"), F.when(plant(2), 0).when(plant(3), F.col("n_tx") + 1).otherwise(F.col("n_tx")).alias("n_tx"))
+    n = profile.filter("whole").select(*key, F.col("n_cards").alias("n"))
+    m = joined(profile.filter("not whole").select(*key, "merchant", "volume", "cards", "exclusive"), n, key)
+    first = F.col("merchant") % 2 == 0
+    parts = m.select(
+        *key, "merchant",
+        F.when(plant(4) & first, 0).when(plant(5) & first, None).when(plant(6) & first, None).otherwise(F.col("volume")).alias("volume"),
+        F.when(plant(7) & first, 0).when(plant(8) & first, F.col("volume") + 1).when(plant(9), F.col("n") + 1).when(plant(10), 1).when(plant(6) & first, None).otherwise(F.col("cards")).alias("cards"),
+        F.when(plant(11) & first, F.col("n") + 1).when(plant(12), -1).when(plant(5) & first, None).otherwise(F.col("n") - F.col("exclusive")).alias("residual"),
+    )
+    return cells, parts
+
+
+def evidence_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cells break each check."""
+    cells, parts = _evidence(spark, sf_dir)
+    broken = evidence_violations(cells, parts, ["area", "month"])
+    return broken.select(F.explode_outer("checks").alias("check")).groupBy(F.coalesce("check", F.lit("none")).alias("check")).agg(F.count("*").alias("cells"))
+
+
+def residual_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each month of an area without each merchant, by the lower bound alone, and whether the cards of the others may be told."""
+    key = ["area", "month"]
+    profile = stored(merchant_profile(_monthly(spark, sf_dir), key), "profile")
+    n = profile.filter("whole").select(*key, "n_cards")
+    m = joined(profile.filter("not whole").select(*key, "merchant", "volume", "cards", F.lit(None).cast("long").alias("exclusive")), n, key)
+    return residual_cards(m, key).select(*key, "merchant", "low", "high", "rest", "top_cards")
+
+
 QUERIES = {
+    "gate_blocks": gate_blocks, "evidence_checks": evidence_checks, "residual_maps": residual_maps,
     "codes_between_readings": codes_between_readings, "released_months": released_months, "area_gates": area_gates, "area_stats": area_stats, "area_top1": area_top1, "month_gates": month_gates, "cell_merchants": cell_merchant_rows,
     "exclusive_cards": exclusive_rows, "gates_differencing": gates_differencing, "residual_bounds": residual_bounds, "gate_cascade": gate_cascade,
     "gate_report": gate_report, "privacy_funnel": privacy_funnel, "cell_violations": cell_violations, "gated_codes": gated_codes,
@@ -424,7 +558,25 @@ r AS (SELECT a.area, a.merchant, t.n_cards - {gone} AS n_cards, t.n_merchants -
       FROM m a JOIN t USING (area) LEFT JOIN x USING (area, merchant)),
 rr AS (SELECT *, least(top_cards0, n_cards) AS top_cards FROM r)"""
 
+_K = "(area * 7 + CAST(month AS INTEGER) % 100) % 29"
+_MONTHS = f"""{_AREA} {_cells('area, month')}, x AS (SELECT area, month, merchant, count(*) AS exclusive FROM (SELECT area, month, card, min(merchant) AS merchant FROM tx GROUP BY area, month, card HAVING count(DISTINCT merchant) = 1) GROUP BY ALL),
+a AS (SELECT m.*, coalesce(exclusive, 0) AS exclusive, n_cards AS n, {_K} AS k, merchant % 2 = 0 AS f FROM m JOIN t USING (area, month) LEFT JOIN x USING (area, month, merchant))"""
+
 ORACLES = {
+    "gate_blocks": f"""{_AREA} {_cells('area')}, k AS (SELECT *, area % 2 = 1 AS cards FROM g), h AS (SELECT *, g3_volume AND (NOT cards OR g3_cards) AS g3 FROM k)
+      SELECT area, g1 AS g1_cards, g2 AS g2_merchants, g3 AS g3_share, g1 AND g2 AND g3 AS "all", concat_ws(',', CASE WHEN NOT g1 THEN 'G1_CARDS' END, CASE WHEN NOT g2 THEN 'G2_ENTITIES' END, CASE WHEN NOT g3 THEN 'G3_SHARE' END) AS codes,
+        concat_ws('; ', CASE WHEN NOT g1 THEN 'n_cards=' || n_cards || ' < 30' END, CASE WHEN NOT g2 THEN 'n_merchants=' || n_merchants || ' < 3' END, CASE WHEN NOT g3_volume THEN 'share of volume ' || top_volume || '/' || n_tx || ' > 3/4' END,
+          CASE WHEN cards AND NOT g3_cards THEN 'share of cards ' || top_cards || '/' || n_cards || ' > 3/4' END, CASE WHEN NOT cards THEN 'cards of merchants unknown: share by volume alone' END) AS detail FROM h""",
+    "evidence_checks": f"""{_MONTHS}, cc AS (SELECT area, month, CASE WHEN {_K} = 1 THEN -1 WHEN {_K} <> 0 THEN n_cards END AS nc, CASE {_K} WHEN 2 THEN 0 WHEN 3 THEN n_tx + 1 ELSE n_tx END AS nt FROM t),
+      q AS (SELECT area, month, merchant, CASE WHEN f AND k = 4 THEN 0 WHEN f AND k IN (5, 6) THEN NULL ELSE volume END AS v, CASE WHEN f AND k = 7 THEN 0 WHEN f AND k = 8 THEN volume + 1 WHEN k = 9 THEN n + 1 WHEN k = 10 THEN 1 WHEN f AND k = 6 THEN NULL ELSE cards END AS c,
+        CASE WHEN f AND k = 11 THEN n + 1 WHEN k = 12 THEN -1 WHEN f AND k = 5 THEN NULL ELSE n - exclusive END AS r FROM a),
+      z AS (SELECT area, month, nc, nt, list_filter([CASE WHEN nc IS NULL OR nt IS NULL THEN 'missing' END, CASE WHEN nc < 0 OR nt < 0 THEN 'negative' END, CASE WHEN nc > nt THEN 'cards_gt_tx' END, CASE WHEN coalesce(sum(v), 0) <> nt THEN 'partition' END,
+          CASE WHEN bool_or(v <= 0) THEN 'phantom' END, CASE WHEN bool_or(v IS NULL AND c IS NOT NULL) THEN 'cards_of_no_merchant' END, CASE WHEN bool_or(c < 1) THEN 'cards_lt_1' END, CASE WHEN bool_or(c > v) THEN 'cards_gt_volume' END,
+          CASE WHEN bool_or(v IS NULL AND r IS NOT NULL) THEN 'residual_of_no_merchant' END, CASE WHEN bool_or(r < nc - least(v, nc) OR r > nc AND v IS NOT NULL) THEN 'residual_out_of_bounds' END, CASE WHEN bool_or(v IS NOT NULL AND c > nc) THEN 'merchant_cards_gt_cards' END,
+          CASE WHEN count(*) FILTER (WHERE v IS NOT NULL AND c IS NULL) = 0 AND count(c) > 0 AND coalesce(sum(c) FILTER (WHERE v IS NOT NULL), 0) < nc THEN 'sum_cards_lt_cards' END], lambda y: y IS NOT NULL) AS l FROM cc JOIN q USING (area, month) GROUP BY area, month, nc, nt)
+      SELECT "check", count(*) AS cells FROM (SELECT unnest(CASE WHEN len(l) = 0 THEN ['none'] ELSE l END) AS "check" FROM z) GROUP BY 1""",
+    "residual_maps": f"""{_MONTHS}, o AS (SELECT a.area, a.month, a.merchant, a.n, greatest(0, a.n - least(a.volume, a.n)) AS low, max(b.cards) AS top, min(b.cards) AS least_ FROM a LEFT JOIN a b ON b.area = a.area AND b.month = a.month AND b.merchant <> a.merchant GROUP BY a.area, a.month, a.merchant, a.n, a.volume)
+      SELECT area, month, merchant, low, n AS high, low AS rest, CASE WHEN least(least_, low) >= 1 AND least_ IS NOT NULL THEN least(top, low) END AS top_cards FROM o""",
     "codes_between_readings": f"{_AREA} {_cells('area')} SELECT area FROM g WHERE g1 AND g2 AND g3_volume EXCEPT SELECT area FROM g WHERE ok",
     "released_months": f"{_AREA} {_cells('area, month')} SELECT area, month, n_tx, n_cards, n_merchants FROM g WHERE ok",
     "area_gates": f"{_AREA} {_cells('area')} SELECT area, {_GATES} FROM g",

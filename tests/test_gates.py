@@ -139,3 +139,61 @@ def test_only_what_these_rules_released_goes_out(spark):
     for bad in (held, release(held, Rules(min_cards=29)), held.selectExpr("*", f"'{Rules().fingerprint()}' rules")):
         with pytest.raises(ValueError):
             require_released(bad, Rules())
+
+
+EVIDENCE_CASES = {
+    # n_cards, n_tx, merchants (volume, cards, residual)
+    "sound": (5, 9, [(4, 3, 2), (3, 2, 3), (2, 1, 4)], []),
+    "no evidence": (5, 9, [(4, None, None), (5, None, None)], []),
+    "some cards known": (9, 9, [(4, 1, None), (5, None, None)], []),
+    "no count": (None, 9, [(9, None, None)], ["missing"]),
+    "below zero": (-1, 9, [(9, None, None)], ["negative"]),
+    "more cards than rows": (10, 9, [(9, None, None)], ["cards_gt_tx"]),
+    "a merchant without rows": (5, 9, [(9, None, None), (0, None, None)], ["phantom"]),
+    "parts that don't add up": (5, 9, [(4, None, None), (4, None, None)], ["partition"]),
+    "cards of a stranger": (5, 9, [(9, 5, None), (None, 1, None)], ["cards_of_no_merchant"]),
+    "a merchant with no card": (5, 9, [(4, 0, None), (5, 5, None)], ["cards_lt_1"]),
+    "more cards than its rows": (5, 9, [(1, 2, None), (8, 5, None)], ["cards_gt_volume"]),
+    "rest of a stranger": (5, 9, [(9, None, None), (None, None, 2)], ["residual_of_no_merchant"]),
+    "rest too small": (5, 9, [(2, None, 2), (7, None, 0)], ["residual_out_of_bounds"]),
+    "rest at its bound": (5, 9, [(2, None, 3), (7, None, 0)], []),
+    "rest too large": (5, 9, [(2, None, 6), (7, None, 5)], ["residual_out_of_bounds"]),
+    "more cards than the cell": (5, 9, [(8, 6, None), (1, 1, None)], ["merchant_cards_gt_cards"]),
+    "cards that don't cover the cell": (5, 9, [(4, 2, None), (5, 2, None)], ["sum_cards_lt_cards"]),
+    "an empty cell": (0, 0, [], []),
+    "nobody in it": (3, 3, [], ["partition"]),
+}
+
+
+def test_evidence_by_name(spark):
+    from gatewell.operators.gates import EVIDENCE, evidence_violations
+
+    cells = spark.createDataFrame([(k, c, n) for k, (c, n, _, _) in EVIDENCE_CASES.items()], "id string, n_cards long, n_tx long")
+    parts = spark.createDataFrame([(k, str(i), *m) for k, (_, _, ms, _) in EVIDENCE_CASES.items() for i, m in enumerate(ms)], "id string, merchant string, volume long, cards long, residual long")
+    found = {r.id: r.checks for r in evidence_violations(cells, parts, ["id"]).collect()}
+    assert found == {k: v[3] for k, v in EVIDENCE_CASES.items()}
+    assert {x for v in found.values() for x in v} == set(EVIDENCE)
+
+
+def test_cards_of_the_rest_are_told_or_withheld(spark):
+    from gatewell.operators.gates import residual_cards
+
+    rows = [("a", "x", 6, 4, 9, None), ("a", "y", 5, 5, 9, 3), ("a", "z", 2, 2, 9, None), ("b", "x", 9, 9, 9, None), ("c", "x", 3, 2, 4, None), ("c", "y", 4, 0, 4, None), ("d", "x", 4, 1, 4, 1), ("d", "y", 2, None, 4, None)]
+    df = spark.createDataFrame(rows, "id string, merchant string, volume long, cards long, n_cards long, exclusive long")
+    found = {(r.id, r.merchant): (r.low, r.high, r.rest, r.top_cards) for r in residual_cards(df, ["id"]).collect()}
+    assert found == {
+        ("a", "x"): (3, 9, 3, 3), ("a", "y"): (4, 9, 6, 4), ("a", "z"): (7, 9, 7, 5), ("b", "x"): (0, 9, 0, None),
+        ("c", "x"): (1, 4, 1, None), ("c", "y"): (0, 4, 0, None), ("d", "x"): (0, 4, 3, None), ("d", "y"): (2, 4, 2, None),
+    }
+
+
+def test_unknown_cards_of_merchants_leave_the_volume(spark):
+    from gatewell.operators.gates import evaluated, gate_block
+
+    df = spark.createDataFrame([("m", 40, 3, 100, 60, 35), ("u", 40, 3, 100, 60, None), ("v", 29, 2, 100, 76, None), ("z", 0, 0, 0, 0, 0)], CELLS.replace("n_tx long, top_volume", "n_tx long, top_volume"))
+    assert {r.id: (r.reason, r.ok) for r in reason(gate_columns(df)).collect()} == {"m": ("top1_gt_75", False), "u": ("ok", True), "v": ("multi", False), "z": ("no_data", False)}
+    told = {r.id: (r.codes, r.detail) for r in evaluated(df).collect()}
+    assert told["m"] == (["G3_SHARE"], ["share of cards 35/40 > 3/4"]) and told["u"] == ([], ["cards of merchants unknown: share by volume alone"])
+    assert told["v"][0] == ["G1_CARDS", "G2_ENTITIES", "G3_SHARE"] and len(told["v"][1]) == 4
+    blocks = {r.id: tuple(r.gates) for r in gate_block(df.na.fill(0)).collect()}
+    assert blocks == {"m": (True, True, False, False), "u": (True, True, True, True), "v": (False, False, False, False), "z": (False, False, False, False)}
