@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatewell.operators.baseline import DAYS_SQL, matched_baseline, window3
-from gatewell.operators.cube import ISSUERS, cube_cells, nat_cells
+from gatewell.operators.cube import ISSUERS, code_axis, compact, cube_cells, nat_cells
 from gatewell.operators.gates import _cells, gates_at, joined
 from gatewell.session import stored
 from gatewell.sources.adapters import tx_time
@@ -15,17 +15,23 @@ THIN = 12
 
 
 def win_stats(tx: DataFrame) -> DataFrame:
-    """For each area, day and hour: three-hour activity and its base; where the base is thin, the city's instead; how far it is off, with a band, and the excess over the city."""
+    """For each area, day and hour: three-hour activity and its base, of the area, or while the base is thin of its five codes, its ten, and at last the city; the parents climbed to
+    (hops; the city is no parent), how far activity is off, with a band, and the excess over the city."""
+    rows = compact(tx)
     at = Window.partitionBy("ci").orderBy("t").rowsBetween(-1, 1)
-    both = matched_baseline(tx).withColumn("t", F.col("di") * 24 + F.col("h")).withColumns({"n3": F.sum("n").over(at), "b3": F.when(F.count("base").over(at) == F.count("n").over(at), F.sum("base").over(at))})
-    hour = Window.partitionBy("di", "h")  # an hour has as many rows as there are areas
-    city = {"city_n": F.sum("n3").over(hour), "city_b": F.when(F.count("b3").over(hour) == F.count("*").over(hour), F.sum("b3").over(hour))}
-    x = both.filter("ci >= 1").withColumns(city).filter("b3 is not null and city_b > 0")
-    own = F.col("b3") >= THIN
-    n, b = F.when(own, F.col("n3")).otherwise(F.col("city_n")), F.when(own, F.col("b3")).otherwise(F.col("city_b"))
+    both = matched_baseline(rows).withColumn("t", F.col("di") * 24 + F.col("h")).withColumns({"n3": F.sum("n").over(at), "b3": F.when(F.count("base").over(at) == F.count("n").over(at), F.sum("base").over(at))})
+    tens = F.substring("code", 1, 5)
+    axis = code_axis(rows).filter("ci >= 1").select("ci", tens.alias("tens"), F.concat(tens, F.when(F.substring("code", 6, 1).cast("int") < 5, "a").otherwise("b")).alias("fives"))
+    x = both.join(axis, "ci")
+    for level, keys in (("fives", ["fives"]), ("tens", ["tens"]), ("city", [])):
+        w = Window.partitionBy("di", "h", *keys)  # an hour has as many rows as there are areas
+        x = x.withColumns({f"{level}_n": F.sum("n3").over(w), f"{level}_b": F.when(F.count("b3").over(w) == F.count("*").over(w), F.sum("b3").over(w))})
+    x = x.filter("b3 is not null and city_b > 0")
+    enough = [(F.col("b3") >= THIN, "area", 0, "n3", "b3"), (F.col("fives_b") >= THIN, "fives", 1, "fives_n", "fives_b"), (F.col("tens_b") >= THIN, "tens", 2, "tens_n", "tens_b"), (F.lit(True), "city", 2, "city_n", "city_b")]
+    source, hops, n, b = (F.coalesce(*[F.when(e[0], F.col(e[i]) if i > 2 else F.lit(e[i])) for e in enough]) for i in range(1, 5))
     rel, city_rel = n / b - 1, F.col("city_n") / F.col("city_b") - 1
     force = F.greatest(F.lit(-100.0), F.least(F.lit(100.0), (rel - city_rel) * 100 * F.least(F.lit(1.0), b / 30)))
-    return x.select("ci", "di", "h", F.when(own, "area").otherwise("city").alias("source"), F.round(rel, 6).alias("rel"), F.round(F.least(F.lit(1.5), 1.96 / F.sqrt(b)), 6).alias("band"), F.round(force, 6).alias("force"))
+    return x.select("ci", "di", "h", source.alias("source"), hops.alias("hops"), F.round(rel, 6).alias("rel"), F.round(F.least(F.lit(1.5), 1.96 / F.sqrt(b)), 6).alias("band"), F.round(force, 6).alias("force"))
 
 
 def hourly_profile(tx: DataFrame) -> DataFrame:
@@ -117,10 +123,12 @@ _W = f"WITH {DAYS_SQL}"
 _BUCKET = "CASE issuer " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(ISSUERS)) + " ELSE 5 END"
 ORACLES = {
     "win_stats": f"""{_W}, b AS (SELECT ci, di, h, sum(n) OVER t AS n3, CASE WHEN count(base) OVER t = count(*) OVER t THEN sum(base) OVER t END AS b3 FROM matched WINDOW t AS (PARTITION BY ci ORDER BY di * 24 + h ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
-      city AS (SELECT di, h, sum(n3) AS city_n, CASE WHEN count(b3) = count(*) THEN sum(b3) END AS city_b FROM b WHERE ci >= 1 GROUP BY di, h),
-      s AS (SELECT ci, di, h, CASE WHEN b3 >= 12 THEN 'area' ELSE 'city' END AS source, CAST(CASE WHEN b3 >= 12 THEN n3 ELSE city_n END AS DOUBLE) AS n, CASE WHEN b3 >= 12 THEN b3 ELSE city_b END AS b, CAST(city_n AS DOUBLE) / city_b - 1 AS city_rel
-        FROM b JOIN city USING (di, h) WHERE ci >= 1 AND b3 IS NOT NULL AND city_b > 0)
-      SELECT ci, di, h, source, round(n / b - 1, 6) AS rel, round(least(1.5, 1.96 / sqrt(b)), 6) AS band, round(greatest(-100.0, least(100.0, (n / b - 1 - city_rel) * 100 * least(1.0, b / 30))), 6) AS force FROM s""",
+      k AS (SELECT b.*, substr(code, 1, 5) AS tens, substr(code, 1, 5) || CASE WHEN substr(code, 6, 1)::INT < 5 THEN 'a' ELSE 'b' END AS fives FROM b JOIN axis USING (ci) WHERE ci >= 1),
+      u AS (SELECT *, sum(n3) OVER f AS fn, CASE WHEN count(b3) OVER f = count(*) OVER f THEN sum(b3) OVER f END AS fb, sum(n3) OVER t AS tn, CASE WHEN count(b3) OVER t = count(*) OVER t THEN sum(b3) OVER t END AS tb, sum(n3) OVER c AS cn, CASE WHEN count(b3) OVER c = count(*) OVER c THEN sum(b3) OVER c END AS cb
+        FROM k WINDOW f AS (PARTITION BY di, h, fives), t AS (PARTITION BY di, h, tens), c AS (PARTITION BY di, h)),
+      s AS (SELECT ci, di, h, CASE WHEN b3 >= 12 THEN 'area' WHEN fb >= 12 THEN 'fives' WHEN tb >= 12 THEN 'tens' ELSE 'city' END AS source, CAST(CASE WHEN b3 >= 12 THEN 0 WHEN fb >= 12 THEN 1 ELSE 2 END AS INTEGER) AS hops,
+        CAST(CASE WHEN b3 >= 12 THEN n3 WHEN fb >= 12 THEN fn WHEN tb >= 12 THEN tn ELSE cn END AS DOUBLE) AS n, CASE WHEN b3 >= 12 THEN b3 WHEN fb >= 12 THEN fb WHEN tb >= 12 THEN tb ELSE cb END AS b, CAST(cn AS DOUBLE) / cb - 1 AS city_rel FROM u WHERE b3 IS NOT NULL AND cb > 0)
+      SELECT ci, di, h, source, hops, round(n / b - 1, 6) AS rel, round(least(1.5, 1.96 / sqrt(b)), 6) AS band, round(greatest(-100.0, least(100.0, (n / b - 1 - city_rel) * 100 * least(1.0, b / 30))), 6) AS force FROM s""",
     "readable_source": f"""{_W}, tx AS (SELECT *, substr(pc, 1, 5) AS tens FROM tx_time WHERE pc LIKE '81-%'),
       own AS (SELECT * FROM (WITH {_cells('pc').lstrip()} SELECT pc, ok AS area_ok, n_tx AS area_n FROM g)), up AS (SELECT * FROM (WITH {_cells('tens').lstrip()} SELECT tens, ok AS tens_ok, n_tx AS tens_n FROM g)),
       top AS (SELECT * FROM (WITH {_cells('').lstrip()} SELECT ok AS city_ok, n_tx AS city_n FROM g)), k AS (SELECT pc, tens, count(*) OVER (PARTITION BY tens) AS tens_codes, count(*) OVER () AS city_codes FROM (SELECT DISTINCT pc, tens FROM tx))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sources.files", "operators.gates", "operators.report", "operators.checks", "operators.cube", "operators.baseline", "operators.forecast", "operators.regress", "operators.sample", "operators.panel", "operators.summary", "operators.geo", "operators.hierarchy", "operators.leaks", "streaming.windows")
+MODULES = ("sources.files", "sources.publish", "operators.gates", "operators.report", "operators.checks", "operators.cube", "operators.baseline", "operators.forecast", "operators.regress", "operators.sample", "operators.panel", "operators.summary", "operators.geo", "operators.hierarchy", "operators.leaks", "streaming.windows")
 
 
 def _modules():
