@@ -32,10 +32,13 @@ def daypart(hour: Column) -> Column:
     return F.when(hour.between(0, 5), "night").when(hour.between(6, 11), "morning").when(hour.between(12, 17), "afternoon").otherwise("evening")
 
 
-def format_share(num: Column, den: Column) -> Column:
-    """num / den as a percentage with two decimals, rounded half up, in integers alone."""
-    scaled = F.floor((num.cast("decimal(38,0)") * 20000 + den) / (den * 2)).cast("long")
-    return F.concat(F.floor(scaled / 100).cast("long").cast("string"), F.lit("."), F.lpad((scaled % 100).cast("string"), 2, "0"), F.lit("%"))
+def format_share(num: Column, den: Column, decimals: int = 2) -> Column:
+    """num / den as a percentage with so many decimals (none to 9), rounded half up, in integers alone; null if den is 0."""
+    unit = 10**decimals
+    top, twice = num.cast("decimal(20,0)") * (200 * unit) + den.cast("decimal(20,0)"), den.cast("decimal(20,0)") * 2
+    scaled = F.when(den != 0, F.call_function("div", top, twice)).cast("long")
+    whole = F.call_function("div", scaled, F.lit(unit)).cast("string")
+    return F.concat(whole, *([F.lit("."), F.lpad((scaled % unit).cast("string"), decimals, "0")] if decimals else []), F.lit("%"))
 
 
 def entity_key(salt: str, value: Column) -> Column:

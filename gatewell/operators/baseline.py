@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gatewell.operators.cube import CUBE_SQL, compact, cube_dense, day_axis
 from gatewell.operators.checks import _LOCAL
+from gatewell.functions.scalar import local_time
 from gatewell.sources.adapters import tx_time
 
 
@@ -20,11 +21,11 @@ def with_weekday(cells: DataFrame, tx: DataFrame) -> DataFrame:
 
 
 def matched_baseline(tx: DataFrame) -> DataFrame:
-    """The mean of the last four same weekdays, null unless all four are there."""
+    """The mean of the last four same weekdays, null unless all four are there, and its support, how many of them are."""
     w = Window.partitionBy("ci", "h", "dow").orderBy("di").rowsBetween(-4, -1)
     tx = compact(tx)
     dense = with_weekday(cube_dense(tx).select("ci", "di", "h", "n"), tx)
-    return dense.select("ci", "di", "h", "n", F.when(F.count("n").over(w) == 4, F.avg("n").over(w)).alias("base"))
+    return dense.select("ci", "di", "h", "n", F.when(F.count("n").over(w) == 4, F.avg("n").over(w)).alias("base"), F.count("n").over(w).alias("support"))
 
 
 def blind_baseline(tx: DataFrame) -> DataFrame:
@@ -80,8 +81,9 @@ def daily_totals(tx: DataFrame) -> DataFrame:
 
 
 def distinct_hours_hist(tx: DataFrame) -> DataFrame:
-    """How many days have how many distinct hours."""
-    days = tx.select("day", F.substring("tm", 1, 2).alias("h")).distinct().groupBy("day").agg(F.count("*").alias("hours"))
+    """How many local days have how many distinct local hours, rows of the unknown time included."""
+    at = local_time(F.col("day"), F.col("tm"))
+    days = tx.select(at.cast("date").alias("day"), F.hour(at).alias("h")).distinct().groupBy("day").agg(F.count("*").alias("hours"))
     return days.groupBy("hours").agg(F.count("*").alias("days"))
 
 
@@ -106,12 +108,12 @@ QUERIES = {k: _q(f) for k, f in {
 }.items()}
 
 DAYS_SQL = f"""{CUBE_SQL}, wk AS (SELECT dense.*, CAST(isodow(start + CAST(di AS INTEGER)) AS INTEGER) AS dow FROM dense, days),
-matched AS (SELECT ci, di, h, n, dow, CASE WHEN count(n) OVER w = 4 THEN avg(n) OVER w END AS base FROM wk WINDOW w AS (PARTITION BY ci, h, dow ORDER BY di ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)),
+matched AS (SELECT ci, di, h, n, dow, CASE WHEN count(n) OVER w = 4 THEN avg(n) OVER w END AS base, count(n) OVER w AS support FROM wk WINDOW w AS (PARTITION BY ci, h, dow ORDER BY di ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)),
 blind AS (SELECT ci, di, h, n, avg(n) OVER (PARTITION BY ci, h ORDER BY di RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING) AS base FROM dense)"""
 _W = f"WITH {DAYS_SQL}"
 
 ORACLES = {
-    "matched_baseline": f"{_W} SELECT ci, di, h, n, base FROM matched",
+    "matched_baseline": f"{_W} SELECT ci, di, h, n, base, support FROM matched",
     "blind_baseline": f"{_W} SELECT ci, di, h, n, base FROM blind",
     "baseline_table": f"{_W} SELECT ci, dow, h, round(avg(n), 3) AS mean FROM wk GROUP BY ci, dow, h",
     "d1_gap": f"""{_W}, g AS (SELECT m.dow, m.ci, m.di, m.h, b.base / m.base - 1 AS gap FROM matched m JOIN blind b USING (ci, di, h), days WHERE m.base >= 1 AND ci >= 1 AND di >= 28 AND b.base IS NOT NULL AND (di - 28) % greatest(1, (days - 28) // 120) = 0),
@@ -122,6 +124,6 @@ ORACLES = {
       t AS (SELECT count(*)::DOUBLE AS total, count(*) FILTER (WHERE CAST({_LOCAL} AS DATE) <> day) AS moved FROM tx_time)
       SELECT d.dow, d.n, round(d.n * 7 / total, 6) AS index, abs(round(d.n * 7 / total, 6) - round(coalesce(k, 0) * 7 / total, 6)) <= 7 * moved / total + 1e-6 AS agrees FROM d LEFT JOIN f ON f.dow = d.dow, t""",
     "daily_totals": f"{_W} SELECT di, CAST(sum(n) AS BIGINT) AS n FROM dense GROUP BY di",
-    "distinct_hours_hist": f"{_W} SELECT hours, count(*) AS days FROM (SELECT day, count(DISTINCT substr(tm, 1, 2)) AS hours FROM tx_time GROUP BY day) GROUP BY hours",
+    "distinct_hours_hist": f"{_W} SELECT hours, count(*) AS days FROM (SELECT CAST({_LOCAL} AS DATE) AS day, count(DISTINCT hour({_LOCAL})) AS hours FROM tx_time GROUP BY 1) GROUP BY hours",
     "window3": f"{_W} SELECT ci, di, h, CAST(sum(n) OVER (PARTITION BY ci ORDER BY di * 24 + h ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS n3 FROM dense",
 }

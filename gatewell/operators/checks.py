@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gatewell.functions.scalar import daypart, entity_key, format_share, iso_week, local_time
 from gatewell.session import table
-from gatewell.sources.adapters import SENTINEL, TX_TIME_SQL, tx_time
+from gatewell.sources.adapters import ZONE, SENTINEL, TX_TIME_SQL, tx_time
 
 FOREIGN = tuple(f"00-00{i}" for i in range(10))
 
@@ -80,6 +80,11 @@ def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain figures of the facts in one pass."""
     tx = tx_time(spark, sf_dir)
     return tx.agg(
+        F.count("*").alias("rows"),
+        F.countDistinct("day").alias("days"),
+        F.count_if(F.col("day").isNull()).alias("null_day"),
+        F.countDistinct("pc").alias("codes"),
+        F.countDistinct("pc_raw").alias("raw_codes"),
         F.count_if(F.col("pc").isNull()).alias("null_pc"),
         F.count_if(F.col("amount") <= 0).alias("non_positive"),
         F.count_if(F.length("tm") != 6).alias("bad_time"),
@@ -126,9 +131,10 @@ def leaked_postcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zero_timecode_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unknown time: its rows and their share, how many of them a status flags (errors stand for a status that isn't valid), and the real rows of the hours around it."""
     tx, sentinel = tx_time(spark, sf_dir), F.col("tm") == SENTINEL
-    out = tx.agg(F.count_if(sentinel).alias("sentinel"), F.count("*").alias("rows"), F.count_if(~sentinel & F.col("tm").startswith("00")).alias("hour0"), F.count_if(F.col("tm").startswith("01")).alias("hour1"))
-    return out.withColumn("share", format_share(F.col("sentinel"), F.col("rows")))
+    out = tx.agg(F.count_if(sentinel).alias("sentinel"), F.count_if(sentinel & (F.col("merchant") == "error")).alias("flagged"), F.count("*").alias("rows"), F.count_if(~sentinel & F.col("tm").startswith("00")).alias("hour0"), F.count_if(F.col("tm").startswith("01")).alias("hour1"))
+    return out.withColumns({"share": format_share(F.col("sentinel"), F.col("rows")), "sentinel_share": F.round(F.try_divide("sentinel", "rows"), 6)})
 
 
 def excluded(pc="pc", tm="tm"):
@@ -158,10 +164,12 @@ def daypart_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dst_transition_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours of each local day around the changes of clocks: 23 and 25 instead of 24."""
-    hours = spark.sql("SELECT explode(sequence(timestamp_ntz '2024-03-30 00:00:00', timestamp_ntz '2024-04-01 23:00:00', interval 1 hour)) t UNION ALL SELECT explode(sequence(timestamp_ntz '2024-10-26 00:00:00', timestamp_ntz '2024-10-28 23:00:00', interval 1 hour)) t")
-    at = F.convert_timezone(F.lit("UTC"), F.lit("Europe/Warsaw"), F.col("t"))
-    return hours.groupBy(at.cast("date").alias("day")).agg(F.count("*").alias("hours"), F.count_if(F.hour(at) == 2).alias("at_two"))
+    """Of the years that orders span, the local days that haven't 24 hours, because clocks change: how many they have, and how often it is two o'clock."""
+    ends = table(spark, sf_dir, "orders").agg(F.date_trunc("year", F.min("o_orderdate")).cast("timestamp_ntz").alias("a"), F.date_trunc("year", F.max("o_orderdate")).cast("timestamp_ntz").alias("b"))  # one row
+    hours = ends.select(F.explode(F.expr("sequence(a, b, interval 1 hour)")).alias("t"))
+    at = F.convert_timezone(F.lit("UTC"), F.lit(ZONE), F.col("t"))
+    days = hours.groupBy(at.cast("date").alias("day")).agg(F.count("*").alias("hours"), F.count_if(F.hour(at) == 2).alias("at_two"))
+    return days.filter("hours between 23 and 25 and hours != 24")
 
 
 def entity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,18 +230,18 @@ ORACLES = {
     "rederive_mismatch": "SELECT count(*) FILTER (WHERE CAST(ts AS DATE) IS DISTINCT FROM CAST(strptime(strftime(ts, '%Y%m%d'), '%Y%m%d') AS DATE)) AS date, count(*) FILTER (WHERE CAST(value AS DECIMAL(38,10)) IS DISTINCT FROM CAST(CAST(CAST(value AS DECIMAL(38,10)) AS VARCHAR) AS DECIMAL(38,10))) AS amount, count(*) FILTER (WHERE strftime(ts, '%H%M%S') IS DISTINCT FROM lpad(CAST(hour(ts) * 10000 + minute(ts) * 100 + second(ts) AS VARCHAR), 6, '0')) AS time, (SELECT count(*) FILTER (WHERE n_chars IS DISTINCT FROM length(text)) FROM documents) AS chars, (SELECT CAST(sum(length(text)) AS BIGINT) FROM documents) AS all_chars FROM events",
     "calendar_features": "SELECT day, CAST(year(day) AS INTEGER) AS year, CAST(month(day) AS INTEGER) AS month, CAST(isodow(day) AS INTEGER) AS isodow, isodow(day) >= 6 AS weekend, strftime(day, '%Y%m') AS month_id, strftime(day, '%GW%V') AS week FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)",
     "status_vocabularies": "SELECT DISTINCT 'o_orderstatus' AS field, o_orderstatus AS value FROM orders UNION ALL SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders",
-    "domains": f"{_TX} SELECT count(*) FILTER (WHERE pc IS NULL) AS null_pc, count(*) FILTER (WHERE amount <= 0) AS non_positive, count(*) FILTER (WHERE length(tm) <> 6) AS bad_time, count(DISTINCT card) AS cards, count(DISTINCT merchant) AS merchants, count(DISTINCT issuer) AS issuers, CAST(min(amount) AS DOUBLE) AS min_amount, CAST(max(amount) AS DOUBLE) AS max_amount, min(day) AS first_day, max(day) AS last_day FROM tx_time",
+    "domains": f"{_TX} SELECT count(*) AS rows, count(DISTINCT day) AS days, count(*) FILTER (WHERE day IS NULL) AS null_day, count(DISTINCT pc) AS codes, count(DISTINCT pc_raw) AS raw_codes, count(*) FILTER (WHERE pc IS NULL) AS null_pc, count(*) FILTER (WHERE amount <= 0) AS non_positive, count(*) FILTER (WHERE length(tm) <> 6) AS bad_time, count(DISTINCT card) AS cards, count(DISTINCT merchant) AS merchants, count(DISTINCT issuer) AS issuers, CAST(min(amount) AS DOUBLE) AS min_amount, CAST(max(amount) AS DOUBLE) AS max_amount, min(day) AS first_day, max(day) AS last_day FROM tx_time",
     "postcode_normalise": f"{_TX} SELECT pc_raw, pc, count(*) AS n FROM tx_time GROUP BY pc_raw, pc",
     "postcode_partition": f"{_TX} SELECT count(*) FILTER (WHERE pc_raw IS NULL OR pc_raw = '') AS empty, count(*) FILTER (WHERE length(pc_raw) = 6) AS six, count(*) FILTER (WHERE length(pc_raw) = 5) AS five, count(*) FILTER (WHERE pc_raw <> '' AND length(pc_raw) NOT IN (5, 6)) AS unhandled FROM tx_time",
     "shape_violations": f"{_TX} SELECT count(*) FILTER (WHERE length(pc_raw) = 6 AND NOT regexp_matches(pc_raw, '^[0-9]{{2}}-[0-9]{{3}}$')) AS six, count(*) FILTER (WHERE length(pc_raw) = 5 AND NOT regexp_matches(pc_raw, '^[0-9]{{5}}$')) AS five FROM tx_time",
     "reference_membership": f"{_TX} SELECT 'raw_to_pc' AS direction, count(*) AS n FROM (SELECT pc_raw FROM tx_time WHERE pc_raw IS NOT NULL GROUP BY pc_raw HAVING count(DISTINCT pc) > 1) UNION ALL SELECT 'pc_to_raw', count(*) FROM (SELECT pc FROM tx_time WHERE pc IS NOT NULL GROUP BY pc HAVING count(DISTINCT pc_raw) > 1)",
     "city_label_filter": "SELECT count(*) FILTER (WHERE starts_with(upper(trim(n_name)), 'N')) AS matched, count(*) AS \"all\" FROM nation",
     "leaked_postcodes": f"{_TX} SELECT pc, count(*) AS n FROM tx_time WHERE pc NOT LIKE '81-%' GROUP BY pc",
-    "zero_timecode_stats": f"{_TX}, s AS (SELECT count(*) FILTER (WHERE tm = '000000') AS sentinel, count(*) AS rows, count(*) FILTER (WHERE tm <> '000000' AND tm LIKE '00%') AS hour0, count(*) FILTER (WHERE tm LIKE '01%') AS hour1 FROM tx_time) SELECT *, printf('%d.%02d%%', (sentinel * 20000 + rows) // (2 * rows) // 100, (sentinel * 20000 + rows) // (2 * rows) % 100) AS share FROM s",
+    "zero_timecode_stats": f"{_TX}, s AS (SELECT count(*) FILTER (WHERE tm = '000000') AS sentinel, count(*) FILTER (WHERE tm = '000000' AND merchant = 'error') AS flagged, count(*) AS rows, count(*) FILTER (WHERE tm <> '000000' AND tm LIKE '00%') AS hour0, count(*) FILTER (WHERE tm LIKE '01%') AS hour1 FROM tx_time) SELECT *, printf('%d.%02d%%', (sentinel * 20000 + rows) // (2 * rows) // 100, (sentinel * 20000 + rows) // (2 * rows) % 100) AS share, round(sentinel / CAST(rows AS DOUBLE), 6) AS sentinel_share FROM s",
     "excluded_counts": f"{_TX} SELECT count(*) FILTER (WHERE pc IS NULL) AS no_pc, count(*) FILTER (WHERE {_FOREIGN}) AS \"foreign\", count(*) FILTER (WHERE tm = '000000') AS sentinel, count(*) FILTER (WHERE tm = '000000' AND (pc IS NULL OR {_FOREIGN})) AS overlap, count(*) FILTER (WHERE pc IS NULL OR {_FOREIGN} OR tm = '000000') AS bucket FROM tx_time",
     "fd_check": f"{_TX} SELECT count(*) FILTER (WHERE k > 1) AS broken, count(*) AS keys FROM (SELECT card, count(DISTINCT issuer) AS k FROM tx_time GROUP BY card)",
     "local_time": f"{_TX} SELECT event_id, CAST({_LOCAL} AS DATE) AS local_day, CAST(hour({_LOCAL}) AS INTEGER) AS local_hour FROM tx_time WHERE tm <> '000000'",
     "daypart_counts": f"{_TX}, h AS (SELECT hour({_LOCAL}) AS h FROM tx_time WHERE tm <> '000000') SELECT CASE WHEN h <= 5 THEN 'night' WHEN h <= 11 THEN 'morning' WHEN h <= 17 THEN 'afternoon' ELSE 'evening' END AS daypart, count(*) AS n FROM h GROUP BY 1",
-    "dst_transition_hours": "WITH t AS (SELECT unnest(generate_series(TIMESTAMP '2024-03-30 00:00:00', TIMESTAMP '2024-04-01 23:00:00', INTERVAL 1 HOUR)) AS t UNION ALL SELECT unnest(generate_series(TIMESTAMP '2024-10-26 00:00:00', TIMESTAMP '2024-10-28 23:00:00', INTERVAL 1 HOUR))), l AS (SELECT timezone('Europe/Warsaw', t AT TIME ZONE 'UTC') AS l FROM t) SELECT CAST(l AS DATE) AS day, count(*) AS hours, count(*) FILTER (WHERE hour(l) = 2) AS at_two FROM l GROUP BY 1",
+    "dst_transition_hours": "WITH e AS (SELECT date_trunc('year', min(o_orderdate))::TIMESTAMP AS a, date_trunc('year', max(o_orderdate))::TIMESTAMP AS b FROM orders), t AS (SELECT unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS t FROM e), l AS (SELECT timezone('Europe/Warsaw', t AT TIME ZONE 'UTC') AS l FROM t) SELECT CAST(l AS DATE) AS day, count(*) AS hours, count(*) FILTER (WHERE hour(l) = 2) AS at_two FROM l GROUP BY 1 HAVING count(*) BETWEEN 23 AND 25 AND count(*) <> 24",
     "entity_keys": "SELECT s_suppkey, substr(sha256('salt' || CAST(s_suppkey AS VARCHAR)), 1, 20) AS entity FROM supplier",
 }

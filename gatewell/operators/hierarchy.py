@@ -24,18 +24,18 @@ def with_units(rows: DataFrame, code: str = "code") -> DataFrame:
     return rows.select("*", pairs.alias("__u")).select("*", "__u.level", "__u.unit").drop("__u")
 
 
-def sectors(addresses: DataFrame) -> DataFrame:
-    """Of addresses (code, x, y, street, shore) each code's number of them, middle, box and its area, and mean nearness to the shore. Everything above is merged from these rows."""
-    box = addresses.groupBy("code").agg(
+def sectors(places: DataFrame) -> DataFrame:
+    """Of places (code, x, y, street, shore) each code's number of them, middle, box and its area, and mean nearness to the shore. Everything above is merged from these rows."""
+    box = places.groupBy("code").agg(
         F.count("*").alias("addresses"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("shore").alias("shore"),
         *[f(c).alias(f"{k}_{c}") for k, f in (("min", F.min), ("max", F.max)) for c in "xy"],
     )
     return box.withColumn("area", (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y")))
 
 
-def street_weights(addresses: DataFrame) -> DataFrame:
+def street_weights(places: DataFrame) -> DataFrame:
     """(level, unit, street, weight, rank): addresses of each street by unit, largest first, then by name. Counts of codes add up to those of their units."""
-    of_code = addresses.filter("street is not null and street != ''").groupBy("code", "street").agg(F.count("*").alias("weight"))
+    of_code = places.filter("street is not null and street != ''").groupBy("code", "street").agg(F.count("*").alias("weight"))
     merged = with_units(of_code).groupBy("level", "unit", "street").agg(F.sum("weight").alias("weight"))
     streets = merged.groupBy("level", "unit").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("less"), "street"))).alias("s"))  # a city has some hundred streets
     return streets.select("level", "unit", F.posexplode("s").alias("rank", "s")).select("level", "unit", "s.street", (-F.col("s.less")).alias("weight"), (F.col("rank") + 1).alias("rank"))
@@ -74,7 +74,7 @@ def answered_by(rows: DataFrame, dimension: DataFrame, chain: list[str]) -> Data
 # queries
 
 
-def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers stand for addresses: the nation is the code, the market segment the street, and the balance tells how near the shore is."""
     k = F.col("c_custkey")
     own = table(spark, sf_dir, "customer").select(k.alias("id"), F.concat(F.lit("81-7"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("code"), F.when(k % 13 > 0, F.concat("c_mktsegment", F.lit(" "), (k % 4).cast("string"))).alias("street"), F.greatest(F.lit(0.0), 1 - F.abs("c_acctbal") / 9000).alias("shore"))
@@ -82,13 +82,13 @@ def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hierarchy_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _addresses(spark, sf_dir)
+    a = addresses(spark, sf_dir)
     out = unit_names(unit_geometry(stored(sectors(a), "sectors")), street_weights(a))
     return out.select("level", "unit", "name", "codes", "addresses", *[F.round(c, 6).alias(c) for c in ("area", "x", "y", "shore", "min_x", "min_y", "max_x", "max_y", "label_x", "label_y")])
 
 
 def street_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return street_weights(_addresses(spark, sf_dir))
+    return street_weights(addresses(spark, sf_dir))
 
 
 def part_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ def area_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of what is known of an area: name, whether it may be shown and why not, its largest merchant's share, and the middle and number of its addresses. An area that may not be shown keeps its place alone."""
     cells = answered(gates_at(tx_area(spark, sf_dir), {"area": ["area"]}), ["area"], Rules())
     code = F.concat(F.lit("81-7"), F.lpad(F.col("area").cast("string"), 2, "0"))
-    a = _addresses(spark, sf_dir)
+    a = addresses(spark, sf_dir)
     places = unit_names(unit_geometry(sectors(a)), street_weights(a)).filter("level = 'code'")
     show = lambda c: F.when(F.col("ok"), c)
     return cells.withColumn("code", code).join(places, F.col("code") == F.col("unit"), "left").select(

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from gatewell.operators.baseline import DAYS_SQL, matched_baseline, window3
 from gatewell.operators.cube import ISSUERS, code_axis, compact, cube_cells, nat_cells
 from gatewell.operators.gates import _cells, gates_at, joined
+from gatewell.functions.scalar import local_time
+from gatewell.operators.hierarchy import _A, addresses, sectors
+from gatewell.operators.summary import _EV, city_events, event_hours
 from gatewell.session import stored
-from gatewell.sources.adapters import tx_time
+from gatewell.sources.adapters import SENTINEL, tx_time
 
 THIN = 12
 
@@ -35,10 +38,10 @@ def win_stats(tx: DataFrame) -> DataFrame:
 
 
 def hourly_profile(tx: DataFrame) -> DataFrame:
-    """Hours by volume, with the share of 11 to 15, and the peak."""
-    hours = cube_cells(tx).groupBy("h").agg(F.sum("n").alias("n"))
-    s = hours.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("h").between(11, 15), F.col("n"))).alias("mid"), F.max_by("h", F.struct("n", -F.col("h"))).alias("peak"))
-    return hours.crossJoin(F.broadcast(s)).select("h", "n", F.round(F.col("mid") / F.col("total"), 6).alias("midday_share"), "peak")
+    """Local hours by volume, with the share of 11 to 15 and the peak (of equal ones the first); all of it again (known) without the rows of the unknown time, which fall into one hour of each day."""
+    hours = tx.groupBy(F.hour(local_time(F.col("day"), F.col("tm"))).alias("h")).agg(F.count("*").alias("n"), F.count_if(F.col("tm") != SENTINEL).alias("known"))
+    of = lambda c: [F.round(F.try_divide(F.sum(F.when(F.col("h").between(11, 15), F.col(c))), F.sum(c)), 6).alias(f"{c}_share"), F.max_by("h", F.struct(c, -F.col("h"))).alias(f"{c}_peak")]
+    return hours.crossJoin(F.broadcast(hours.agg(*of("n"), *of("known"))))  # one row
 
 
 def top_area(tx: DataFrame) -> DataFrame:
@@ -82,10 +85,13 @@ def readable_source(tx: DataFrame) -> DataFrame:
     return x.select("pc", pick(F.lit("area"), F.lit("tens"), F.lit("city")).alias("source"), F.round(share, 6).alias("volume"))
 
 
-def attribute_share(tx: DataFrame, least: float = 0.3) -> DataFrame:
-    """Each day's share of volume in areas whose attribute, as the share of their shore that is beach, is at least `least`; here tenths of the code's number stand for it."""
-    days = cube_cells(tx).filter("ci >= 1").groupBy("di").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("ci") % 10 / 10 >= least, F.col("n")).otherwise(0)).alias("held"))
-    return days.select("di", "n", F.round(F.col("held") / F.col("n"), 6).alias("share"))
+def attribute_share(tx: DataFrame, attributes: DataFrame, least: float = 0.3) -> DataFrame:
+    """Each day's share of volume in areas whose attribute of (code, value), as the share of their shore that is beach, is at least `least`, and that share of the base, on days that have one; an area without the attribute doesn't count."""
+    rows = compact(tx)
+    held = code_axis(rows).join(attributes.filter(F.col("value") >= least), "code", "left_semi").select("ci", F.lit(True).alias("held"))
+    cells = matched_baseline(rows).filter("ci >= 1").join(held, "ci", "left")
+    share = lambda c: F.try_divide(F.sum(F.when(F.col("held"), F.col(c)).otherwise(0)), F.sum(c))
+    return cells.groupBy("di").agg(F.sum("n").alias("n"), F.round(share("n"), 6).alias("share"), F.round(F.when(F.count("base") == F.count("*"), share("base")), 6).alias("base_share"))
 
 
 def area_uplift(tx: DataFrame) -> DataFrame:
@@ -96,12 +102,17 @@ def area_uplift(tx: DataFrame) -> DataFrame:
     return days.select("ci", "di", F.round(rel(F.col("n"), F.col("base")), 6).alias("rel"), F.round(rel(F.col("n"), F.col("base")) - rel(F.sum("n").over(city), F.sum("base").over(city)), 6).alias("over_city"))
 
 
-def event_uplift(tx: DataFrame) -> DataFrame:
-    """Activity over base within events' windows, from an hour before the start to the end; events are ranges, joined by day and then by hour."""
-    events = tx.sparkSession.createDataFrame([("opening", 28, 12, 15), ("concert", 28, 18, 22), ("market", 29, 8, 13)], "event string, di int, start int, end int")
-    cells = matched_baseline(tx).filter("ci >= 1 and base is not null")
-    held = cells.join(F.broadcast(events), "di").filter(F.col("h").between(F.col("start") - 1, F.col("end")))
-    return held.groupBy("event").agg(F.sum("n").alias("n"), F.round(F.sum("base"), 6).alias("base"), F.round(F.sum("n") / F.sum("base") - 1, 6).alias("uplift"))
+def event_uplift(tx: DataFrame, events: DataFrame) -> DataFrame:
+    """The city's activity over its base within each event's window, from an hour before the start to the end, as a ratio and in whole percents; 0 without a base."""
+    city = matched_baseline(tx).filter("ci >= 1").groupBy("di", "h").agg(F.sum("n").alias("n"), F.when(F.count("base") == F.count("*"), F.sum("base")).alias("base"))
+    held = event_hours(events).select("event", "di", "h").join(city, ["di", "h"], "left").groupBy("event").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("base"), F.lit(0.0)).alias("base"))
+    uplift = F.coalesce(F.try_divide("n", "base") - 1, F.lit(0.0))
+    return held.select("event", "n", F.round("base", 6).alias("base"), F.round(uplift, 6).alias("uplift"), F.floor(F.round(uplift, 9) * 100 + 0.5).cast("long").alias("percent"))
+
+
+def events_for(uplifts: DataFrame, least: int) -> DataFrame:
+    """The events whose uplift is at least so many percents."""
+    return uplifts.filter(F.col("percent") >= least)
 
 
 def interpolated(tx: DataFrame) -> DataFrame:
@@ -116,11 +127,24 @@ def _q(f):
 
 QUERIES = {k: _q(f) for k, f in {
     "win_stats": win_stats, "hourly_profile": hourly_profile, "top_area": top_area, "day_strip": day_strip, "issuer_mix": issuer_mix,
-    "hierarchy_rollup": hierarchy_rollup, "readable_source": readable_source, "attribute_share": attribute_share, "area_uplift": area_uplift, "event_uplift": event_uplift, "interpolated": interpolated,
+    "hierarchy_rollup": hierarchy_rollup, "readable_source": readable_source, "area_uplift": area_uplift, "interpolated": interpolated,
 }.items()}
 
+
+def _shore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sectors(addresses(spark, sf_dir)).select("code", F.col("shore").alias("value"))
+
+
+QUERIES |= {
+    "attribute_share": lambda spark, sf_dir: attribute_share(tx_time(spark, sf_dir), _shore(spark, sf_dir), 0.5),
+    "event_uplift": lambda spark, sf_dir: event_uplift(tx_time(spark, sf_dir), city_events(spark, sf_dir)),
+    "events_for": lambda spark, sf_dir: events_for(event_uplift(tx_time(spark, sf_dir), city_events(spark, sf_dir)), 2),
+}
+
 _W = f"WITH {DAYS_SQL}"
 _BUCKET = "CASE issuer " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(ISSUERS)) + " ELSE 5 END"
+_UP = f"""{_W}, {_EV}, c AS (SELECT di, h, sum(n) AS n, CASE WHEN count(base) = count(*) THEN sum(base) END AS base FROM matched WHERE ci >= 1 GROUP BY di, h), f AS (SELECT event, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, coalesce(sum(base), 0) AS base FROM eh LEFT JOIN c USING (di, h) GROUP BY event),
+      up AS (SELECT event, n, round(base, 6) AS base, round(CASE WHEN base > 0 THEN n / base - 1 ELSE 0 END, 6) AS uplift, CAST(floor(round(CASE WHEN base > 0 THEN n / base - 1 ELSE 0 END, 9) * 100 + 0.5) AS BIGINT) AS percent FROM f)"""
 ORACLES = {
     "win_stats": f"""{_W}, b AS (SELECT ci, di, h, sum(n) OVER t AS n3, CASE WHEN count(base) OVER t = count(*) OVER t THEN sum(base) OVER t END AS b3 FROM matched WINDOW t AS (PARTITION BY ci ORDER BY di * 24 + h ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
       k AS (SELECT b.*, substr(code, 1, 5) AS tens, substr(code, 1, 5) || CASE WHEN substr(code, 6, 1)::INT < 5 THEN 'a' ELSE 'b' END AS fives FROM b JOIN axis USING (ci) WHERE ci >= 1),
@@ -134,14 +158,18 @@ ORACLES = {
       top AS (SELECT * FROM (WITH {_cells('').lstrip()} SELECT ok AS city_ok, n_tx AS city_n FROM g)), k AS (SELECT pc, tens, count(*) OVER (PARTITION BY tens) AS tens_codes, count(*) OVER () AS city_codes FROM (SELECT DISTINCT pc, tens FROM tx))
       SELECT pc, CASE WHEN area_ok THEN 'area' WHEN tens_ok THEN 'tens' WHEN city_ok THEN 'city' END AS source,
         round(CASE WHEN area_ok THEN area_n::DOUBLE WHEN tens_ok THEN tens_n / tens_codes::DOUBLE WHEN city_ok THEN city_n / city_codes::DOUBLE END, 6) AS volume FROM k JOIN own USING (pc) JOIN up USING (tens), top""",
-    "attribute_share": f"{_W} SELECT di, CAST(sum(n) AS BIGINT) AS n, round(sum(CASE WHEN ci % 10 / 10.0::DOUBLE >= 0.3 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS share FROM cells WHERE ci >= 1 GROUP BY di",
+    "attribute_share": f"""{_A}, {_W[5:]}, b AS (SELECT m.di, m.n, m.base, coalesce(shore >= 0.5, false) AS held FROM matched m JOIN axis USING (ci) LEFT JOIN s USING (code) WHERE ci >= 1)
+      SELECT di, CAST(sum(n) AS BIGINT) AS n, round(coalesce(sum(n) FILTER (WHERE held), 0) / CAST(sum(n) AS DOUBLE), 6) AS share, CASE WHEN count(base) = count(*) AND sum(base) <> 0 THEN round(coalesce(sum(base) FILTER (WHERE held), 0) / sum(base), 6) END AS base_share FROM b GROUP BY di""",
     "area_uplift": f"""{_W}, d AS (SELECT ci, di, sum(n)::DOUBLE AS n, CASE WHEN count(base) = count(*) THEN sum(base) END AS base FROM matched WHERE ci >= 1 GROUP BY ci, di), e AS (SELECT * FROM d WHERE base > 0)
       SELECT ci, di, round(n / base - 1, 6) AS rel, round(n / base - sum(n) OVER (PARTITION BY di) / sum(base) OVER (PARTITION BY di), 6) AS over_city FROM e""",
-    "hourly_profile": f"{_W}, x AS (SELECT h, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY h) SELECT h, n, round((SELECT sum(n) FROM x WHERE h BETWEEN 11 AND 15) / (SELECT CAST(sum(n) AS DOUBLE) FROM x), 6) AS midday_share, (SELECT h FROM x ORDER BY n DESC, h LIMIT 1) AS peak FROM x",
+    "hourly_profile": f"""{_W}, x AS (SELECT h, count(*) AS n, count(*) FILTER (WHERE tm <> '000000') AS known FROM placed GROUP BY h)
+      SELECT h, n, known, round((SELECT sum(n) FROM x WHERE h BETWEEN 11 AND 15) / (SELECT CAST(sum(n) AS DOUBLE) FROM x), 6) AS n_share, (SELECT h FROM x ORDER BY n DESC, h LIMIT 1) AS n_peak,
+        round((SELECT sum(known) FROM x WHERE h BETWEEN 11 AND 15) / (SELECT CAST(sum(known) AS DOUBLE) FROM x), 6) AS known_share, (SELECT h FROM x ORDER BY known DESC, h LIMIT 1) AS known_peak FROM x""",
     "top_area": f"{_W}, x AS (SELECT di, ci, CAST(sum(n) AS BIGINT) AS n FROM cells WHERE ci >= 1 GROUP BY di, ci), r AS (SELECT *, row_number() OVER (PARTITION BY di ORDER BY n DESC, ci) AS r, sum(n) OVER (PARTITION BY di) AS t FROM x) SELECT di, ci, n, round(n / CAST(t AS DOUBLE), 6) AS share FROM r WHERE r = 1",
     "day_strip": f"{_W}, x AS (SELECT ci, di, CAST(sum(n) AS BIGINT) AS n FROM cells GROUP BY ci, di) SELECT ci, di, n, lag(n) OVER w AS before, lead(n) OVER w AS after FROM x WINDOW w AS (PARTITION BY ci ORDER BY di)",
     "issuer_mix": f"{_W}, x AS (SELECT di, {_BUCKET} AS bucket, count(*) AS n FROM placed GROUP BY 1, 2) SELECT di, bucket, n, CAST(n * 10000 // sum(n) OVER (PARTITION BY di) AS BIGINT) AS basis_points FROM x",
     "hierarchy_rollup": f"{_W}, t AS (SELECT *, substr(pc, 1, 5) AS tens FROM tx_time WHERE pc LIKE '81-%') SELECT 'area' AS level, pc AS unit, count(*) AS n, count(DISTINCT card) AS cards FROM t GROUP BY pc UNION ALL SELECT 'tens', tens, count(*), count(DISTINCT card) FROM t GROUP BY tens UNION ALL SELECT 'city', 'all', count(*), count(DISTINCT card) FROM t",
-    "event_uplift": f"{_W}, e AS (SELECT * FROM (VALUES ('opening', 28, 12, 15), ('concert', 28, 18, 22), ('market', 29, 8, 13)) v(event, di, s, e)) SELECT event, CAST(sum(n) AS BIGINT) AS n, round(sum(base), 6) AS base, round(sum(n) / sum(base) - 1, 6) AS uplift FROM matched JOIN e USING (di) WHERE ci >= 1 AND base IS NOT NULL AND h BETWEEN s - 1 AND e GROUP BY event",
+    "event_uplift": f"{_UP} SELECT * FROM up",
+    "events_for": f"{_UP} SELECT * FROM up WHERE percent >= 2",
     "interpolated": f"{_W}, x AS (SELECT ci, di, h, sum(n) OVER (PARTITION BY ci ORDER BY di * 24 + h ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n3 FROM dense) SELECT ci, di, h, CAST((n3 + coalesce(lead(n3) OVER (PARTITION BY ci ORDER BY di * 24 + h), n3)) / 2.0 AS DOUBLE) AS half FROM x",
 }

@@ -158,8 +158,8 @@ def premises_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 600 orders stand for hours of weather."""
-    weather = table(spark, sf_dir, "orders").filter("o_orderkey <= 600").select((F.col("o_orderkey") - 1).alias("i"), (F.col("o_custkey") % 35).alias("temp"), (F.col("o_orderkey") % 3).alias("cond"))
+    """Orders stand for hours of weather, by their number."""
+    weather = table(spark, sf_dir, "orders").select((F.col("o_orderkey") - 1).alias("i"), (F.col("o_custkey") % 35).alias("temp"), (F.col("o_orderkey") % 3).alias("cond"))
     return activity_by_weather(tx_time(spark, sf_dir), weather)
 
 
@@ -202,7 +202,7 @@ ORACLES = {
       x AS (SELECT event, bucket, CAST(coalesce(sum(n) FILTER (WHERE w = 0), 0) AS BIGINT) AS n, CAST(coalesce(sum(n) FILTER (WHERE w > 0), 0) AS BIGINT) AS before FROM w JOIN nat USING (di, h) GROUP BY event, bucket)
       SELECT event, bucket, n, before, round(coalesce(n / nullif(CAST(sum(n) OVER e AS DOUBLE), 0), 0), 6) AS share, round(coalesce(before / nullif(CAST(sum(before) OVER e AS DOUBLE), 0), 0), 6) AS share_before FROM x WINDOW e AS (PARTITION BY event)""",
     "premises_join": f"{_W}, p AS (SELECT '81-7' || lpad(CAST(c_custkey % 24 AS VARCHAR), 2, '0') AS code FROM customer UNION ALL SELECT '81-7' || lpad(CAST(c_custkey * 7 % 30 AS VARCHAR), 2, '0') FROM customer), c AS (SELECT code, count(*) AS n FROM p GROUP BY code) SELECT code, coalesce(n, 0) AS premises FROM axis LEFT JOIN c USING (code) WHERE ci >= 1",
-    "weather_lookup": f"""{_W}, c AS (SELECT di, h, sum(n) AS n FROM dense WHERE ci >= 1 GROUP BY di, h), o AS (SELECT o_orderkey - 1 AS i, o_custkey % 35 AS temp, o_orderkey % 3 AS cond FROM orders WHERE o_orderkey <= 600)
+    "weather_lookup": f"""{_W}, c AS (SELECT di, h, sum(n) AS n FROM dense WHERE ci >= 1 GROUP BY di, h), o AS (SELECT o_orderkey - 1 AS i, o_custkey % 35 AS temp, o_orderkey % 3 AS cond FROM orders)
       SELECT CASE cond WHEN 2 THEN 'rain' WHEN 0 THEN 'sun' WHEN 1 THEN 'cloud' END AS icon, count(*) AS hours, CAST(sum(n) AS BIGINT) AS n, round(avg(temp), 6) AS temp FROM c LEFT JOIN o ON i = di * 24 + h GROUP BY 1""",
     "hierarchy_units": f"""{_W}, {_KEYS} SELECT 'city' AS level, 'city' AS unit, CAST(NULL AS VARCHAR) AS parent, count(*) AS codes, count(DISTINCT tens) AS children, 'city' AS label FROM k HAVING count(*) > 0
       UNION ALL SELECT 'tens', tens, 'city', count(*), count(DISTINCT fives), tens FROM k GROUP BY tens

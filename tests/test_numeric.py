@@ -63,6 +63,10 @@ def test_amounts_round_half_to_even(spark):
 def test_shares_are_exact(spark):
     df = spark.createDataFrame([(1, 3), (2, 3), (1, 200_00), (0, 7)], "n long, d long")
     assert [r[0] for r in df.select(format_share(F.col("n"), F.col("d"))).collect()] == ["33.33%", "66.67%", "0.01%", "0.00%"]
+    assert [r[0] for r in df.select(format_share(F.col("n"), F.col("d"), 1)).collect()] == ["33.3%", "66.7%", "0.0%", "0.0%"]
+    assert [r[0] for r in df.select(format_share(F.col("n"), F.col("d"), 0)).collect()] == ["33%", "67%", "0%", "0%"]
+    big = spark.createDataFrame([(10**15 - 1, 10**15), (1, 0), (7, 7)], "n long, d long")
+    assert [r[0] for r in big.select(format_share(F.col("n"), F.col("d"), 6)).collect()] == ["100.000000%", None, "100.000000%"]
 
 
 def test_distance(spark):
