@@ -1,13 +1,14 @@
 """Mixing sources to target weights by a low-discrepancy schedule (operator 10).
 
 Slot i of the schedule is the point frac(i * golden ratio), mapped through the cumulative targets to a
-source. Each source's documents stand in a keyed random order as one stream of tokens, cut into blocks of
-equal size; the r-th slot of a source takes the r-th block of its stream, which starts anew at its end.
+source, by how many blocks each needs. Each source's documents stand in a keyed random order as one stream of tokens, cut into
+blocks that are equal within the source; the r-th slot of a source takes the r-th block of its stream, which starts anew at its end.
 So any stretch of the schedule holds the sources in their proportions, and the whole is deterministic.
 """
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -72,10 +73,9 @@ def _streams(docs: DataFrame, dims: DataFrame, seed: int, per_bucket: int, rows:
     return placed.join(F.broadcast(dims), placed["source"].eqNullSafe(dims["source"])).drop(dims["source"])
 
 
-def block_size(goal: dict, most: int = 64, slots: int = 1_000_000) -> int:
-    """Tokens a block: `most`, or fewer where a small source's target would be only a few blocks, as long as the schedule stays within `slots`."""
-    least = min((int(g) for g in goal.values() if g >= 1), default=1)
-    return max(1, min(most, max(least // 200, int(sum(goal.values())) // slots)))
+def block_size(target: Fraction, most: int = 64, least: int = 1000) -> int:
+    """Words of a source's blocks: `most`, or fewer where its target would be under `least` blocks. It rests on the source alone, however large the others are."""
+    return max(1, min(most, int(target) // least))
 
 
 def mix(docs: DataFrame, block: int | None = None, seed: int = 10, per_bucket: int = 4096, max_sources: int = 100_000) -> tuple[DataFrame, DataFrame]:
@@ -95,19 +95,20 @@ def mix(docs: DataFrame, block: int | None = None, seed: int = 10, per_bucket: i
         raise ValueError(f"more than {max_sources} sources")
     goal = targets([(r.source, r.n) for r in by_source])
     order = [r for r in sorted(by_source, key=lambda r: (r.source is None, r.source or ""))]
-    block = block or block_size(goal)
-    slots = -(-int(sum(goal.values())) // block)
-    dims = spark.createDataFrame([(r.source, i, r.n, float(goal[r.source])) for i, r in enumerate(order)], "source string, source_no int, source_size long, target double")
+    sizes = {s: block or block_size(g) for s, g in goal.items()}
+    turns = [(r.source, goal[r.source] / sizes[r.source]) for r in order]  # how many slots a source needs
+    slots = math.ceil(sum(n for _, n in turns))
+    dims = spark.createDataFrame([(r.source, i, r.n, float(goal[r.source]), sizes[r.source]) for i, r in enumerate(order)], "source string, source_no int, source_size long, target double, block long")
     placed = _streams(sized, dims, seed, per_bucket, sum(r.rows for r in order))
-    plan = schedule(spark, [(r.source, float(goal[r.source])) for r in order], slots) if slots else spark.createDataFrame([], "slot long, source_no int, rank long")
+    plan = schedule(spark, [(s, float(n)) for s, n in turns], slots) if slots else spark.createDataFrame([], "slot long, source_no int, rank long")
     # a slot's block is [rank * block, rank * block + block) of the source's stream repeated twice; beyond two rounds there is nothing to take
     lap = F.explode(F.array(F.lit(0), F.lit(1)))
-    rounds = placed.filter("size > 0").select("doc_id", "row", "source_no", "size", lap.alias("lap"), "start", "source_size", "target")
-    rounds = rounds.withColumn("from", F.col("start") + F.col("lap") * F.col("source_size")).filter(F.col("from") < F.col("target") + 64 * block)
-    blocks = rounds.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("from") + F.col("size") - 1) / block))))
+    rounds = placed.filter("size > 0").select("doc_id", "row", "source_no", "size", lap.alias("lap"), "start", "source_size", "target", "block")
+    rounds = rounds.withColumn("from", F.col("start") + F.col("lap") * F.col("source_size")).filter(F.col("from") < F.col("target") + 64 * F.col("block"))
+    blocks = rounds.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / F.col("block")), F.floor((F.col("from") + F.col("size") - 1) / F.col("block")))))
     taken = blocks.join(plan, ["source_no", "rank"])
-    low = F.greatest(F.col("from"), F.col("rank") * block)
-    high = F.least(F.col("from") + F.col("size"), (F.col("rank") + 1) * block)
+    low = F.greatest(F.col("from"), F.col("rank") * F.col("block"))
+    high = F.least(F.col("from") + F.col("size"), (F.col("rank") + 1) * F.col("block"))
     pieces = taken.select("slot", "doc_id", "row", "source_no", "start", (low - F.col("from")).alias("from_word"), (high - low).alias("words"))
     words = pieces.groupBy("source_no", "start").agg(F.sum("words").alias("taken"))
     documents = placed.join(words, (placed["source_no"] == words["source_no"]) & (placed["start"] == words["start"]) & (placed["size"] > 0), "left")
