@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gatewell.operators.baseline import DAYS_SQL, with_weekday
 from gatewell.operators.cube import ISSUERS, code_axis, compact, cube_dense, nat_cells
 from gatewell.operators.gates import _cells, gate
-from gatewell.session import table
+from gatewell.session import stored, table
 from gatewell.sources.adapters import tx_time
 
 CITY = -1
@@ -60,7 +60,7 @@ def event_summary(tx: DataFrame, events: DataFrame) -> DataFrame:
     Hours past the axis count as nothing; a base is null if one of the hours has none.
     """
     rows = compact(tx)
-    cells, axis = with_bases(rows), code_axis(rows)
+    cells, axis = stored(with_bases(rows), "bases"), stored(code_axis(rows), "axis")  # read by all that follows
     shown = gate(tx.filter("pc is not null"), ["pc"]).select(F.col("pc").alias("code"), "ok", "reason").join(axis, "code").select("ci", "ok", "reason")
     scope = events.join(F.broadcast(shown), "ci", "left")  # a few areas
     open_ = (F.col("ci") == CITY) | F.coalesce("ok", F.lit(False))
