@@ -200,6 +200,49 @@ def require_rows(found: DataFrame, key: str, count: str, expected: dict) -> Data
     return found
 
 
+#: Counts that must be 0 in a table that is valid, and in one whose postcodes are normalised.
+VALID, NORMALISED = ("null_day", "non_positive", "bad_time"), ("unhandled", "bad_six", "bad_five", "raw_to_several", "several_to_code")
+
+
+def validation(tx: DataFrame, pins: dict[str, int] | None = None) -> DataFrame:
+    """(check, found, expected, ok): each of VALID and NORMALISED, of which none is expected, and rows, days, merchants, cards and raw_codes, expected as pinned (null: not pinned, and ok).
+
+    One pass over the transactions, besides their distinct pairs of raw and normalised postcodes: a raw code has one normal form, and a normal form one raw code with a hyphen and one without, at most.
+    """
+    raw, n = F.col("pc_raw"), F.length("pc_raw")
+    shape = lambda k, x: F.count_if((n == k) & ~raw.rlike(x))
+    one = tx.agg(
+        F.count("*").alias("rows"), *[F.countDistinct(c).alias(k) for c, k in (("day", "days"), ("merchant", "merchants"), ("card", "cards"), ("pc_raw", "raw_codes"))],
+        F.count_if(F.col("day").isNull()).alias("null_day"), F.count_if(F.col("amount") <= 0).alias("non_positive"), F.count_if(F.coalesce(F.length("tm") != 6, F.lit(True))).alias("bad_time"),
+        F.count_if((raw != "") & ~n.isin(5, 6)).alias("unhandled"), shape(6, r"^\d{2}-\d{3}$").alias("bad_six"), shape(5, r"^\d{5}$").alias("bad_five"),
+    )
+    pairs = tx.filter("pc_raw is not null and pc is not null").select("pc_raw", "pc").distinct()
+    several = lambda key, of, name: pairs.groupBy(key).agg(of.alias("n")).agg(F.count_if(F.col("n") > 1).alias(name))
+    hyphens = F.greatest(F.count_if(F.col("pc_raw").contains("-")), F.count_if(~F.col("pc_raw").contains("-")))
+    row = one.crossJoin(several("pc_raw", F.count("*"), "raw_to_several")).crossJoin(several("pc", hyphens, "several_to_code"))  # one row each
+    expected = dict.fromkeys((*VALID, *NORMALISED), 0) | (pins or {})
+    checks = F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).cast("long").alias("found"), F.lit(expected.get(c)).cast("long").alias("expected")) for c in row.columns])
+    return row.select(F.explode(checks).alias("c")).select("c.*", (F.col("c.expected").isNull() | (F.col("c.found") == F.col("c.expected"))).alias("ok"))
+
+
+def require_valid(tx: DataFrame, pins: dict[str, int] | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+    """The report of `validation`, if all of its checks (or `only` these) hold; else an error that tells each that doesn't."""
+    report = validation(tx, pins)
+    wrong = [r for r in report.filter("not ok").collect() if only is None or r.check in only]  # a dozen rows
+    if wrong:
+        raise ValueError("; ".join(f"{r.check}: {r.found}, {r.expected} expected" for r in sorted(wrong)))
+    return report
+
+
+def require_normalised(tx: DataFrame) -> DataFrame:
+    """`require_valid` of postcodes alone."""
+    return require_valid(tx, only=NORMALISED)
+
+
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation(tx_time(spark, sf_dir), {"merchants": 4})
+
+
 def area_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and distinct cards by area as a report shows them: blank and unknown areas under one label."""
     label = F.coalesce(F.nullif(F.upper(F.trim("pc")), F.lit("")), F.lit("(none)"))
@@ -207,7 +250,7 @@ def area_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "area_report": area_report, "scan_union_all": scan_union_all, "overlap_intersect": overlap_intersect, "span": span, "check_schema": check_schema, "schema_drift": schema_drift, "rederive_mismatch": rederive_mismatch,
+    "validation_report": validation_report, "area_report": area_report, "scan_union_all": scan_union_all, "overlap_intersect": overlap_intersect, "span": span, "check_schema": check_schema, "schema_drift": schema_drift, "rederive_mismatch": rederive_mismatch,
     "calendar_features": calendar_features, "status_vocabularies": status_vocabularies, "domains": domains, "postcode_normalise": postcode_normalise,
     "postcode_partition": postcode_partition, "shape_violations": shape_violations, "reference_membership": reference_membership, "city_label_filter": city_label_filter,
     "leaked_postcodes": leaked_postcodes, "zero_timecode_stats": zero_timecode_stats, "excluded_counts": excluded_counts, "fd_check": fd_check, "local_time": local_times,
@@ -219,6 +262,13 @@ _FOREIGN = "pc LIKE '00-00_'"
 _LOCAL = "timezone('Europe/Warsaw', (day + CAST(substr(tm,1,2) || ':' || substr(tm,3,2) || ':' || substr(tm,5,2) AS TIME)) AT TIME ZONE 'UTC')"
 
 ORACLES = {
+    "validation_report": rf"""{_TX}, d AS (SELECT DISTINCT pc_raw, pc FROM tx_time WHERE pc_raw IS NOT NULL AND pc IS NOT NULL), c AS (
+        SELECT 'rows' AS "check", count(*) AS found, NULL AS expected FROM tx_time UNION ALL SELECT 'days', count(DISTINCT day), NULL FROM tx_time UNION ALL SELECT 'merchants', count(DISTINCT merchant), 4 FROM tx_time UNION ALL SELECT 'cards', count(DISTINCT card), NULL FROM tx_time
+        UNION ALL SELECT 'raw_codes', count(DISTINCT pc_raw), NULL FROM tx_time UNION ALL SELECT 'null_day', count(*) FILTER (WHERE day IS NULL), 0 FROM tx_time UNION ALL SELECT 'non_positive', count(*) FILTER (WHERE amount <= 0), 0 FROM tx_time
+        UNION ALL SELECT 'bad_time', count(*) FILTER (WHERE coalesce(length(tm) <> 6, true)), 0 FROM tx_time UNION ALL SELECT 'unhandled', count(*) FILTER (WHERE pc_raw <> '' AND length(pc_raw) NOT IN (5, 6)), 0 FROM tx_time
+        UNION ALL SELECT 'bad_six', count(*) FILTER (WHERE length(pc_raw) = 6 AND NOT regexp_matches(pc_raw, '^\d{{2}}-\d{{3}}$')), 0 FROM tx_time UNION ALL SELECT 'bad_five', count(*) FILTER (WHERE length(pc_raw) = 5 AND NOT regexp_matches(pc_raw, '^\d{{5}}$')), 0 FROM tx_time
+        UNION ALL SELECT 'raw_to_several', count(*) FILTER (WHERE n > 1), 0 FROM (SELECT count(*) AS n FROM d GROUP BY pc_raw) UNION ALL SELECT 'several_to_code', count(*) FILTER (WHERE n > 1), 0 FROM (SELECT greatest(count(*) FILTER (WHERE pc_raw LIKE '%-%'), count(*) FILTER (WHERE pc_raw NOT LIKE '%-%')) AS n FROM d GROUP BY pc))
+      SELECT "check", found, CAST(expected AS BIGINT) AS expected, expected IS NULL OR found = expected AS ok FROM c""",
     "area_report": f"{_TX} SELECT coalesce(nullif(upper(trim(pc)), ''), '(none)') AS label, count(*) AS n, count(DISTINCT card) AS cards FROM tx_time GROUP BY 1",
     "scan_union_all": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 2 = 0 UNION ALL SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 2 = 1",
     "overlap_intersect": """WITH a AS (SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01'), b AS (SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01')

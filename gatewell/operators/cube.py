@@ -76,9 +76,10 @@ def city_series(tx: DataFrame) -> DataFrame:
 
 def release_gate(tx: DataFrame) -> DataFrame:
     """Each area's released volume and statistics: of an area that fails, all of them are null, and its volume is only counted as held back."""
-    volume = cube_cells(tx).groupBy("ci").agg(F.sum("n").alias("volume"))
+    rows = compact(tx)
+    volume = cube_cells(rows).groupBy("ci").agg(F.sum("n").alias("volume"))
     stats = gate_columns(cell_totals(tx.filter(F.col("pc").isNotNull()), ["pc"])).select(F.col("pc").alias("code"), "n_cards", "n_merchants", "ok")
-    out = code_axis(tx).join(volume, "ci", "left").join(stats, "code", "left")
+    out = code_axis(rows).join(volume, "ci", "left").join(stats, "code", "left")
     open_ = F.coalesce("ok", F.lit(False))
     show = lambda c: F.when(open_, F.col(c))
     held = F.when(open_, 0).otherwise(F.coalesce("volume", F.lit(0)))

@@ -84,16 +84,25 @@ def boundary_distance(pts: DataFrame, sides: DataFrame) -> DataFrame:
     return pts.join(sides, "area").groupBy("id", "area").agg(F.min(d).alias("distance"))
 
 
-def snapped(pts: DataFrame, samples: DataFrame, sides: DataFrame) -> DataFrame:
-    """(id, area, x, y, snapped): points of (id, area, x, y) that lie outside their area are moved to the nearest of its samples (area, x, y) that lie inside; without any they stay."""
+def snapped(pts: DataFrame, samples: DataFrame, sides: DataFrame, distance=None, labels: DataFrame | None = None) -> DataFrame:
+    """(id, area, x, y, snapped, moved): points of (id, area, x, y) that lie outside their area are moved to the nearest of its samples (area, x, y) that lie inside, or, if none does, to the area's label (area, x, y)
+    if that lies inside; without any they stay. moved is how far, by `distance` of two points' x and y, which is the plain one unless another is given, as `degrees_km` is for longitudes and latitudes."""
     held = inside(pts.select("id", "x", "y"), sides).withColumn("held", F.lit(True))
-    named = samples.withColumn("id", F.monotonically_increasing_id())
-    good = named.join(inside(named.select("id", "x", "y"), sides), ["id", "area"], "left_semi").select("area", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    places = samples.select("area", "x", "y", F.lit(0).alias("rank"))
+    if labels is not None:
+        places = places.unionByName(labels.select("area", "x", "y", F.lit(1).alias("rank")))
+    places = places.distinct().withColumn("id", F.struct("area", "rank", "x", "y"))
+    good = places.join(inside(places.select("id", "x", "y").distinct(), sides), ["id", "area"], "left_semi").select("area", "rank", F.col("x").alias("sx"), F.col("y").alias("sy"))
     near = pts.join(held, ["id", "area"], "left").join(good, "area", "left")  # an area has a few samples
-    gap = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
-    best = near.groupBy("id", "area").agg(F.max("held").alias("held"), F.first("x").alias("x"), F.first("y").alias("y"), F.min_by(F.struct("sx", "sy"), F.struct(gap, "sx", "sy")).alias("s"))
+    gap = (distance or (lambda a, b, c, d: F.hypot(a - c, b - d)))(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))
+    best = near.groupBy("id", "area").agg(F.max("held").alias("held"), F.first("x").alias("x"), F.first("y").alias("y"), F.min_by(F.struct("sx", "sy", gap.alias("gap")), F.struct("rank", gap, "sx", "sy")).alias("s"))
     moves = F.col("held").isNull() & F.col("s.sx").isNotNull()
-    return best.select("id", "area", F.when(moves, F.col("s.sx")).otherwise(F.col("x")).alias("x"), F.when(moves, F.col("s.sy")).otherwise(F.col("y")).alias("y"), moves.alias("snapped"))
+    return best.select("id", "area", F.when(moves, F.col("s.sx")).otherwise(F.col("x")).alias("x"), F.when(moves, F.col("s.sy")).otherwise(F.col("y")).alias("y"), moves.alias("snapped"), F.when(moves, F.col("s.gap")).otherwise(0.0).alias("moved"))
+
+
+def degrees_km(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Kilometres between points of longitude x and latitude y."""
+    return haversine_km(y1, x1, y2, x2)
 
 
 def spans(sides: DataFrame, lines: int = 8) -> DataFrame:
@@ -126,10 +135,11 @@ def interior_points(sides: DataFrame, k: int = 1, apart: float = 0.0, lines: int
     return best.select("area", F.posexplode("p").alias("rank", "p")).select("area", (F.col("rank") + 1).alias("rank"), "p.x", "p.y", "p.depth")
 
 
-def confidence(both_agree: Column, support: Column, addresses: Column) -> Column:
-    """How well a polygon is known, by how many sources agree, what share of it is supported (in percent), and how many addresses it has; unknown figures count as 0."""
+def confidence(both_agree: Column, support: Column, addresses: Column, polygon: Column | None = None) -> Column:
+    """`none` for an area without a polygon, if it is told which have one; else how well a polygon is known, by how many sources agree, what share of it is supported (in percent), and how many addresses it has; unknown figures count as 0."""
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return F.when((zero(both_agree) >= 3) & (zero(support) >= 75), "observed").when((zero(addresses) >= 1) & (zero(support) >= 40), "inferred").otherwise("extrapolated")
+    rest = F.when(~polygon, "none") if polygon is not None else F
+    return rest.when((zero(both_agree) >= 3) & (zero(support) >= 75), "observed").when((zero(addresses) >= 1) & (zero(support) >= 40), "inferred").otherwise("extrapolated")
 
 
 def area_label(streets: Column, code: Column) -> Column:
@@ -148,7 +158,7 @@ def edge_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three-way rule and the label over parts, whose size, price and key stand for the figures of polygons."""
     k, size, price = F.col("p_partkey"), F.col("p_size"), F.col("p_retailprice")
-    return table(spark, sf_dir, "part").select("p_partkey", confidence(size % 7, price % 100, k % 3).alias("confidence"), area_label(F.when(k % 5 > 0, F.concat("p_brand", F.lit(" ; "), "p_type")), k.cast("string")).alias("label"))
+    return table(spark, sf_dir, "part").select("p_partkey", confidence(size % 7, price % 100, k % 3, k % 11 > 0).alias("confidence"), area_label(F.when(k % 5 > 0, F.concat("p_brand", F.lit(" ; "), "p_type")), k.cast("string")).alias("label"))
 
 
 def centroids(spark: SparkSession) -> DataFrame:
@@ -256,10 +266,19 @@ def presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(n) for n in sorted(POLYGONS)])
     places = table(spark, sf_dir, "nation").select(k.alias("id"), F.get(names, k % len(POLYGONS)).alias("area"), (k * 0.43 + 0.1).alias("x"), (k * 7 % 25 * 0.41 + 0.1).alias("y"))
     samples = spans(edges(spark)).select("area", ((F.col("x1") + F.col("x2")) / 2).alias("x"), "y")
-    return snapped(places, samples, edges(spark)).select("id", "area", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "snapped")
+    return snapped(places, samples, edges(spark)).select("id", "area", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "snapped", F.round("moved", 6).alias("moved"))
+
+
+def adjacent_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations stand for unit squares, five to a row: the sides that two of them share."""
+    k = F.col("n_nationkey")
+    corner = {"x": k % 5, "y": F.floor(k / 5)}
+    side = lambda a, b, c, d: F.struct(*[(corner[n[0]] + v).cast("double").alias(n) for n, v in (("x1", a), ("y1", b), ("x2", c), ("y2", d))])
+    squares = table(spark, sf_dir, "nation").select(F.col("n_name").alias("area"), F.explode(F.array(side(0, 0, 1, 0), side(1, 0, 1, 1), side(1, 1, 0, 1), side(0, 1, 0, 0))).alias("s")).select("area", "s.*")
+    return shared_edges(squares)
 
 
-QUERIES = {"point_in_polygon": point_in_polygon, "nearest_area": nearest_area, "bounding_boxes": bounding_boxes, "heat_field": heat_field, "heat_flow": heat_flow, "edge_distances": edge_distances, "part_confidence": part_confidence, "area_points": area_points, "presets": presets, "gated_heat": gated_heat}
+QUERIES = {"point_in_polygon": point_in_polygon, "nearest_area": nearest_area, "bounding_boxes": bounding_boxes, "heat_field": heat_field, "heat_flow": heat_flow, "edge_distances": edge_distances, "part_confidence": part_confidence, "area_points": area_points, "presets": presets, "gated_heat": gated_heat, "adjacent_nations": adjacent_nations}
 
 _E = "e AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {x1}::DOUBLE, {y1}::DOUBLE, {x2}::DOUBLE, {y2}::DOUBLE)" for a, x1, y1, x2, y2 in edge_rows()) + ") v(area, x1, y1, x2, y2))"
 _P = "p AS (SELECT c_custkey AS id, (c_custkey * 37 % 1100) / 100.0::DOUBLE + 0.003::DOUBLE AS x, (c_custkey * 91 % 1097) / 100.0::DOUBLE + 0.007::DOUBLE AS y, c_acctbal AS v FROM customer)"
@@ -274,6 +293,8 @@ _S = """box AS (SELECT area, min(least(y1, y2)) AS low, max(greatest(y1, y2)) AS
       sp AS (SELECT area, y, min(x) AS x1, max(x) AS x2 FROM nr GROUP BY area, y, r // 2)"""
 
 ORACLES = {
+    "adjacent_nations": """WITH s AS (SELECT n_name AS n, n_nationkey % 5 AS x, n_nationkey // 5 AS y FROM nation), t AS (SELECT a.n AS p, b.n AS q, b.x, b.y, b.x::DOUBLE AS x1, b.y::DOUBLE AS y1, b.x::DOUBLE AS x2, (b.y + 1)::DOUBLE AS y2 FROM s a JOIN s b ON b.x = a.x + 1 AND b.y = a.y
+      UNION ALL SELECT a.n, b.n, b.x, b.y, b.x, b.y, b.x + 1, b.y FROM s a JOIN s b ON b.y = a.y + 1 AND b.x = a.x) SELECT least(p, q) AS a, greatest(p, q) AS b, x1, y1, x2, y2 FROM t""",
     "area_points": f"""WITH {_Q}, {_S.format(n=201)}, m AS (SELECT area, y, (x1 + x2) / 2 AS x FROM sp WHERE x2 > x1),
       t AS (SELECT m.area, m.x, m.y, x1, y1, x2, y2, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM m JOIN e USING (area)),
       d AS (SELECT area, x, y, min(sqrt(pow(x - (x1 + t * (x2 - x1)), 2) + pow(y - (y1 + t * (y2 - y1)), 2))) AS depth FROM t GROUP BY area, x, y),
@@ -293,7 +314,7 @@ ORACLES = {
     "presets": f"""WITH {_E}, {_S.format(n=9)}, n AS (SELECT n_nationkey AS id, ['c', 'holed', 'parts', 'square'][n_nationkey % 4 + 1] AS area, n_nationkey * 0.43::DOUBLE + 0.1::DOUBLE AS x, n_nationkey * 7 % 25 * 0.41::DOUBLE + 0.1::DOUBLE AS y FROM nation),
       i AS (SELECT id FROM n JOIN e USING (area) WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY id HAVING count(*) % 2 = 1),
       m AS (SELECT id, (x1 + x2) / 2 AS sx, sp.y AS sy FROM n JOIN sp USING (area) QUALIFY row_number() OVER (PARTITION BY id ORDER BY sqrt(pow(x - (x1 + x2) / 2, 2) + pow(n.y - sp.y, 2)), (x1 + x2) / 2, sp.y) = 1)
-      SELECT id, area, round(CASE WHEN i.id IS NULL THEN sx ELSE x END, 6) AS x, round(CASE WHEN i.id IS NULL THEN sy ELSE y END, 6) AS y, i.id IS NULL AS snapped FROM n JOIN m USING (id) LEFT JOIN i USING (id)""",
+      SELECT id, area, round(CASE WHEN i.id IS NULL THEN sx ELSE x END, 6) AS x, round(CASE WHEN i.id IS NULL THEN sy ELSE y END, 6) AS y, i.id IS NULL AS snapped, CASE WHEN i.id IS NULL THEN round(sqrt(pow(x - sx, 2) + pow(y - sy, 2)), 6) ELSE 0.0::DOUBLE END AS moved FROM n JOIN m USING (id) LEFT JOIN i USING (id)""",
     "heat_flow": f"""WITH {_P}, s AS (SELECT x, y, v, v * (id % 5) / 2 AS l, CAST(floor(x) AS BIGINT) + dx AS gx, CAST(floor(y) AS BIGINT) + dy AS gy FROM p, (SELECT unnest(range(-2, 3)) AS dx) a, (SELECT unnest(range(-2, 3)) AS dy) b),
       w AS (SELECT *, exp(-(pow(gx + 0.5 - x, 2) + pow(gy + 0.5 - y, 2)) / 2) AS w FROM s WHERE gx BETWEEN 0 AND 10 AND gy BETWEEN 0 AND 10), d AS (SELECT gx, gy, sum(w * l) / sum(w) - sum(w * v) / sum(w) AS d FROM w GROUP BY gx, gy),
       g AS (SELECT c.gx, c.gy, (r.d - l.d) / 2 AS dx, (b.d - t.d) / 2 AS dy FROM d c JOIN d r ON r.gx = c.gx + 1 AND r.gy = c.gy JOIN d l ON l.gx = c.gx - 1 AND l.gy = c.gy JOIN d b ON b.gx = c.gx AND b.gy = c.gy + 1 JOIN d t ON t.gx = c.gx AND t.gy = c.gy - 1),
@@ -301,7 +322,7 @@ ORACLES = {
     "edge_distances": f"""WITH {_E}, {_P}, i AS (SELECT id, area, x, y FROM (SELECT id, area, x, y, count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) AS k FROM p, e GROUP BY id, area, x, y) WHERE k % 2 = 1),
       t AS (SELECT id, area, x, y, x1, y1, x2, y2, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM i JOIN e USING (area))
       SELECT id, area, round(min(sqrt(pow(x - (x1 + t * (x2 - x1)), 2) + pow(y - (y1 + t * (y2 - y1)), 2))), 6) AS distance FROM t GROUP BY id, area""",
-    "part_confidence": """SELECT p_partkey, CASE WHEN p_size % 7 >= 3 AND p_retailprice % 100 >= 75 THEN 'observed' WHEN p_partkey % 3 >= 1 AND p_retailprice % 100 >= 40 THEN 'inferred' ELSE 'extrapolated' END AS confidence,
+    "part_confidence": """SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'none' WHEN p_size % 7 >= 3 AND p_retailprice % 100 >= 75 THEN 'observed' WHEN p_partkey % 3 >= 1 AND p_retailprice % 100 >= 40 THEN 'inferred' ELSE 'extrapolated' END AS confidence,
       CASE WHEN p_partkey % 5 > 0 THEN 'ul. ' || trim(p_brand) ELSE CAST(p_partkey AS VARCHAR) END AS label FROM part""",
     "point_in_polygon": f"WITH {_E}, {_P} SELECT id, area FROM p, e WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY id, area HAVING count(*) % 2 = 1",
     "nearest_area": f"""WITH {_C}, {_P}, d AS (SELECT id, area, 2 * 6371 * asin(sqrt(pow(sin(radians(lat - (54.4::DOUBLE + y / 100)) / 2), 2) + cos(radians(54.4::DOUBLE + y / 100)) * cos(radians(lat)) * pow(sin(radians(lng - (18.5::DOUBLE + x / 100)) / 2), 2))) AS km FROM p, c),

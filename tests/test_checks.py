@@ -77,3 +77,30 @@ def test_only_areas_that_may_be_shown_have_a_summary(spark):
     assert (shown.peak_di, shown.peak_h, shown.day_before, shown.day, shown.day_after, shown.hot, shown.hot_share) == (0, 13, None, 50, None, "81-70", 1.0)
     assert (found["city"].blocked, found["city"].n) == (False, 55)
     assert [(found[k].blocked, found[k].reason, found[k].n, found[k].hot) for k in ("thin", "none")] == [(True, "lt_30_cards", None, None), (True, "no_data", None, None)]
+
+
+def test_validation_tells_all_that_is_wrong(spark):
+    import datetime
+
+    day = datetime.date(2024, 5, 1)
+    good = [(day, 5.0, "101500", "m1", 1, "81-701", "81-701"), (day, 2.0, "000000", "m2", 2, "81701", "81-701"), (day, 2.0, "235959", "m2", 2, None, None), (day, 1.0, "235959", "m2", 2, "", None)]
+    schema = "day date, amount double, tm string, merchant string, card long, pc_raw string, pc string"
+    tx = spark.createDataFrame(good, schema)
+    report = {r.check: (r.found, r.ok) for r in checks.require_valid(tx, {"rows": 4, "cards": 2}).collect()}
+    assert report["rows"] == (4, True) and report["merchants"] == (2, True) and report["unhandled"] == (0, True)
+    bad = [(None, 0.0, "1015", "m1", 1, "8170", None), (day, 1.0, None, "m1", 1, "81 701", "81-701"), (day, 1.0, "101500", "m1", 1, "8170A", "81-70A"), (day, 1.0, "101500", "m3", 1, "81-701", "81-702")]
+    with pytest.raises(ValueError) as e:
+        checks.require_valid(tx.unionAll(spark.createDataFrame(bad, schema)), {"merchants": 2})
+    assert str(e.value) == "bad_five: 1, 0 expected; bad_six: 1, 0 expected; bad_time: 2, 0 expected; merchants: 3, 2 expected; non_positive: 1, 0 expected; null_day: 1, 0 expected; raw_to_several: 1, 0 expected; several_to_code: 1, 0 expected; unhandled: 1, 0 expected"
+    checks.require_normalised(spark.createDataFrame([(None, -1.0, "1", "m", 1, "81-701", "81-701")], schema))
+    with pytest.raises(ValueError, match="unhandled"):
+        checks.require_normalised(spark.createDataFrame(bad, schema))
+
+
+def test_a_pin_without_a_sample_inside_goes_to_the_label(spark):
+    sides = geo.edges(spark)
+    pts = spark.createDataFrame([(1, "square", 0.0, 0.0), (2, "square", 2.0, 2.0), (3, "holed", 0.0, 0.0)], "id int, area string, x double, y double")
+    none = spark.createDataFrame([("square", 9.0, 9.0)], "area string, x double, y double")
+    labels = spark.createDataFrame([("square", 3.0, 3.0), ("holed", 7.0, 3.0)], "area string, x double, y double")
+    found = {r.id: (r.x, r.y, r.snapped, round(r.moved)) for r in geo.snapped(pts, none, sides, geo.degrees_km, labels).collect()}
+    assert found == {1: (3.0, 3.0, True, 472), 2: (2.0, 2.0, False, 0), 3: (0.0, 0.0, False, 0)}
