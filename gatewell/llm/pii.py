@@ -2,8 +2,8 @@
 
 Entities are found by patterns; each distinct entity of the corpus gets one surrogate, made from a keyed hash, of the
 same kind and format: digits for digits in the same places, the country code and a valid check digit kept, letters of
-the same script, given names of the gender that the title tells, one family name for all its bearers and where it stands
-alone later, one domain for all addresses of a domain. Surrogates that meet each other or an original of the
+the same script, a given name of the gender that its titles tell, one family name for all its bearers and where it stands
+alone later, one domain for all addresses of a domain, and no other's. Surrogates that meet each other or an original of the
 corpus are made anew with the next attempt, so distinct entities stay distinct, and equal ones equal across documents.
 """
 
@@ -26,7 +26,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\p{{L}}|\p{{N}}|\.\d)"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
 CARD = r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7})(?![\p{L}\p{N}])"
-NAME = r"(?<![\p{L}\p{N}])(?:" + "|".join(TITLES["m"] + TITLES["f"] + TITLES["n"]) + r")\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?(?![\p{L}\p{N}])"
+NAME = r"(?<![\p{L}\p{N}])(?:" + "|".join(TITLES["m"] + TITLES["f"] + TITLES["n"]) + r")\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+){0,3}(?![\p{L}\p{N}])"
 ANY = "|".join((EMAIL, PHONE, IP, SSN, CARD, NAME))
 _IS = lambda p: rf"^(?:{p})$"
 
@@ -40,8 +40,8 @@ def _parts(m: Column) -> Column:
     entity = lambda kind, norm: F.array(F.struct(F.lit(kind).alias("kind"), norm.alias("norm"), m.alias("raw")))
     words = F.split(F.regexp_replace(m, r"^\S+ ", ""), " ")
     titled = lambda g: m.rlike("^(?:" + "|".join(TITLES[g]) + r")\.? ")
-    given = F.when(titled("f"), "name_f").when(titled("n"), "name").otherwise("name_m")
-    # the last word after a title is a family name, whose bearers may be of any gender
+    given = F.when(titled("f"), "given_f").when(titled("n"), "given_n").otherwise("given_m")
+    # the last word after a title is a family name, whose bearers may be of any gender; the others are given names
     names = F.transform(words, lambda n, i: F.struct(F.when(i == F.size(words) - 1, "name").otherwise(given).alias("kind"), F.lower(n).alias("norm"), n.alias("raw")))
     phone = F.concat(F.when(m.startswith("+"), "+").otherwise(""), _digits(m))
     return (
@@ -80,8 +80,8 @@ def _hmac(key: str, message: Column) -> Column:
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
 
 
-def surrogate(kind: Column, norm: Column, attempt: int, key: str) -> Column:
-    """The normal form of an entity's surrogate at an attempt. From the fourth on it may be longer than the original, so that room never runs out."""
+def surrogate(kind: Column, norm: Column, attempt: int, key: str, host: Column) -> Column:
+    """The normal form of an entity's surrogate at an attempt; host is that of an address' domain. From the fourth on it may be longer than the original, so that room never runs out."""
     h = _hmac(key, F.concat_ws("\x1f", kind, norm, F.lit(str(attempt))))
     h = F.concat(h, _hmac(key, h))
     numerals = F.translate(h, "abcdef", "927481")
@@ -90,16 +90,16 @@ def surrogate(kind: Column, norm: Column, attempt: int, key: str) -> Column:
     cut = lambda s, start, size: F.substring(s, start, size)
 
     # email: letters for letters of the script, digits for digits, marks kept; a domain of the reserved ones
-    local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
+    local = F.substring_index(norm, "@", 1)
     letters = lambda script: F.translate(h, _HEX, _ALPHABETS[script])
     chosen = _script(local, letters)
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"))
     at = lambda a: (a["i"] - 1) % 100 + 1
     pick = lambda a, c: F.when(c.rlike("^[0-9]$"), F.substring(numerals, at(a), F.lit(1))).when(c.rlike(r"^\p{L}$"), F.substring(chosen, at(a), F.lit(1))).otherwise(c)
     mapped = F.aggregate(F.split(local, ""), start, lambda a, c: F.struct(F.concat(a["s"], pick(a, c)).alias("s"), (a["i"] + 1).alias("i")))["s"]
-    tld = F.substring_index(domain, ".", -1)
-    host = F.translate(cut(_hmac(key, F.concat(F.lit("domain\x1f"), domain)), 1, 4), "abcdef", "927481")  # one for each domain; domains may meet there, addresses don't
-    email = F.concat(mapped, more, F.lit("@mail"), host, F.lit(".example."), F.when(tld.isin("com", "net", "org"), tld).otherwise("com"))
+    tld = F.substring_index(norm, ".", -1)
+    email = F.concat(mapped, more, F.lit("@"), host)
+    domain = F.concat(F.lit("mail"), cut(numerals, 1, 4 + 2 * attempt), F.lit(".example."), F.when(tld.isin("com", "net", "org"), tld).otherwise("com"))
 
     code = F.when(norm.startswith("+"), F.concat(F.lit("+"), F.coalesce(*[F.nullif(F.regexp_extract(norm, c, 1), F.lit("")) for c in CODES], F.lit("")))).otherwise("")
     local_digits = n - F.length(code)
@@ -115,57 +115,86 @@ def surrogate(kind: Column, norm: Column, attempt: int, key: str) -> Column:
 
     def name(script: str) -> Column:
         syllable = lambda i: F.concat(F.translate(cut(h, 2 * i + 1, 1), _HEX, _CONSONANTS[script]), F.translate(cut(h, 2 * i + 2, 1), _HEX, _VOWELS[script]))
-        end = F.when((kind == "name_f") | (kind == "name") & (F.lit(script == "latin") | norm.rlike("[аα]$")), _ENDINGS[script][1]).otherwise(_ENDINGS[script][0])
+        end = F.when((kind == "given_f") | kind.isin("name", "given_n") & (F.lit(script == "latin") | norm.rlike("[аα]$")), _ENDINGS[script][1]).otherwise(_ENDINGS[script][0])
         return F.concat(*[syllable(i) for i in range(3 + attempt // 3)], F.translate(cut(h, 20, 1), _HEX, _CONSONANTS[script]), end)
 
-    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", ssn).otherwise(_script(norm, name))
+    return F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", ssn).otherwise(_script(norm, name))
 
 
-def assign(entities: DataFrame, key: str, attempts: int = 40) -> DataFrame:
-    """(kind, norm, new): one surrogate for each entity, no two alike within a kind, and none that is an entity itself."""
-    originals = entities.select("kind", F.col("norm").alias("new"))
+def _is_name(kind: Column) -> Column:
+    return kind.rlike("^(name|given)")
+
+
+def assign(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, norm, new): one surrogate for each entity of (kind, norm, n), where n is how often it is met, no two alike within a kind (names of any kind count as one), and none that is an entity itself.
+
+    Domains of addresses are entities of their own, so two domains never become one. A given name has one surrogate, of the gender that most of its titles tell; those of none follow.
+    """
+    name = F.col("kind").startswith("given")
+    told = F.when(F.sum(F.when(F.col("kind") == "given_f", F.col("n"))) > F.coalesce(F.sum(F.when(F.col("kind") == "given_m", F.col("n"))), F.lit(0)), "given_f").when(F.count_if(F.col("kind") == "given_m") > 0, "given_m").otherwise("given_n")
+    people = entities.filter(name).groupBy("norm").agg(told.alias("kind"))
+    domain = F.substring_index("norm", "@", -1)
+    mails = entities.filter("kind = 'email'").select("kind", "norm", domain.alias("domain"))
+    nothing = F.lit(None).cast("string").alias("host")
+    domains = _settle(mails.select(F.lit("domain").alias("kind"), F.col("domain").alias("norm")).distinct().select("kind", "norm", nothing), key)
+    hosted = mails.join(domains.select(F.col("norm").alias("domain"), F.col("new").alias("host")), "domain").select("kind", "norm", "host")
+    rest = entities.filter(~name & (F.col("kind") != "email")).select("kind", "norm", nothing)
+    found = _settle(rest.unionByName(hosted).unionByName(people.select("kind", "norm", nothing)), key)
+    # each kind of a given name leads to its one surrogate
+    given = entities.filter(name).select("kind", "norm").join(found.filter(name).select("norm", "new"), "norm").select("kind", "norm", "new")
+    return stored(found.filter(~name).unionByName(given), "mapping")
+
+
+def _settle(entities: DataFrame, key: str, attempts: int = 40) -> DataFrame:
+    """(kind, norm, new) of distinct entities (kind, norm, host)."""
+    space = F.when(_is_name(F.col("kind")), "name").otherwise(F.col("kind")).alias("space")
+    entities = stored(entities, "entities")
+    originals = entities.select(space, F.col("norm").alias("new"))
     left, done = entities, []
     for attempt in range(attempts):
-        tried = left.withColumn("new", surrogate(F.col("kind"), F.col("norm"), attempt, key))
-        first = tried.groupBy("kind", "new").agg(F.min("norm").alias("norm")).join(originals, ["kind", "new"], "left_anti")
+        tried = left.select("kind", "norm", space, surrogate(F.col("kind"), F.col("norm"), attempt, key, F.col("host")).alias("new"))
+        first = tried.groupBy("space", "new").agg(F.min(F.struct("kind", "norm")).alias("e")).join(originals, ["space", "new"], "left_anti")
         if done:
-            first = first.join(reduce(DataFrame.unionByName, done), ["kind", "new"], "left_anti")
-        done.append(stored(first.select("kind", "norm", "new"), "surrogates"))
+            first = first.join(reduce(DataFrame.unionByName, done), ["space", "new"], "left_anti")
+        done.append(stored(first.select("e.kind", "e.norm", "space", "new"), "surrogates"))
         left = stored(left.join(done[-1], ["kind", "norm"], "left_anti"), "collided")
         if left.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+            return reduce(DataFrame.unionByName, done).select("kind", "norm", "new")
     raise ValueError("surrogates collide at every attempt")
 
 
 def _shown(kind: Column, raw: Column, new: Column) -> Column:
     """The surrogate in the mention's own format."""
     digits = F.when(kind == "phone", _put_digits(raw, _digits(new))).when(kind.isin("card", "ssn"), _put_digits(raw, new)).otherwise(new)
-    upper = kind.startswith("name") & (raw == F.upper(raw))
+    upper = _is_name(kind) & (raw == F.upper(raw))
     shouted = (kind == "email") & (raw == F.upper(raw))
-    return F.when(upper | shouted, F.upper(new)).when(kind.startswith("name"), F.initcap(new)).otherwise(digits)
+    return F.when(upper | shouted, F.upper(new)).when(_is_name(kind), F.initcap(new)).otherwise(digits)
 
 
 def replace_pii(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(docs with surrogates in `text` and a column __n of how many entities were replaced, the mapping of entities).
 
     Null and empty texts hold nothing and stay. Rows are told apart by doc_id and text, so repeated rows and null ids are
-    treated alike; all other columns stay as they are. Only documents with entities are shuffled, by row, and an entity
+    treated alike; all other columns stay as they are, whatever their names, but for one named __n. Only documents with entities are shuffled, by row, and an entity
     that many of them name is joined like any skewed key.
     """
+    columns = [c for c in docs.columns if c != "__n"]
+    own = {c: c if c in ("doc_id", "text") else f"__own_{i}" for i, c in enumerate(columns)}
+    docs = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in own.items()])
     held = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
     row = F.struct(F.col("doc_id").alias("d"), F.sha2(F.col("text"), 256).alias("t"))
     found = docs.filter(held).select(row.alias("__row"), F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("i", "m")).distinct()
     parts = found.select("__row", "i", "m", F.posexplode(_parts(F.col("m"))).alias("j", "p")).select("__row", "i", "j", "m", "p.kind", "p.norm", "p.raw")
     parts = stored(parts, "mentions")
-    mapping = assign(parts.select("kind", "norm").distinct(), key)
+    mapping = assign(parts.groupBy("kind", "norm").agg(F.count("*").alias("n")), key)
     named = parts.join(mapping, ["kind", "norm"]).withColumn("s", _shown(F.col("kind"), F.col("raw"), F.col("new")))
     title = F.concat(F.substring_index(F.col("m"), " ", 1), F.lit(" "))
     # a mention anew: its parts in order, after its title if it has one; a document holds as many as its text, no more
-    whole = named.groupBy("__row", "i", "m").agg(F.array_sort(F.collect_list(F.struct("j", "s"))).alias("js"), F.max(F.col("kind").startswith("name")).alias("titled"))
+    whole = named.groupBy("__row", "i", "m").agg(F.array_sort(F.collect_list(F.struct("j", "s"))).alias("js"), F.max(_is_name(F.col("kind"))).alias("titled"))
     whole = whole.withColumn("s", F.concat(F.when(F.col("titled"), title).otherwise(""), F.array_join(F.transform("js", lambda x: x["s"]), " ")))
     news = whole.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("__new"))
     # names that a document gives with a title stand for the same person where they stand alone
-    bare = named.filter(F.col("kind").startswith("name") & (F.length("raw") > 2)).groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("raw", "s"))).alias("__names"))
+    bare = named.filter(_is_name(F.col("kind")) & (F.length("raw") > 2)).groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("raw", "s"))).alias("__names"))
     news = news.join(bare, "__row", "left")
     rest = docs.filter(~held).withColumn("__n", F.lit(0))
     mine = docs.filter(held).withColumn("__row", row)
@@ -174,7 +203,7 @@ def replace_pii(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     renamed = lambda g: F.aggregate(F.coalesce("__names", F.array()), g, lambda x, n: F.regexp_replace(x, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), n["raw"], F.lit(r"(?![\p{L}\p{N}])")), n["s"]))
     text = F.array_join(F.zip_with(gaps, F.col("__new"), lambda g, s: F.concat(renamed(g), F.coalesce(s, F.lit("")))), "")
     renewed = joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], F.size("__new").alias("__n"))
-    return renewed.unionByName(rest), mapping
+    return renewed.unionByName(rest).select(*[F.col(k).alias(c) for c, k in own.items()], "__n"), mapping
 
 
 def op1_pii(spark: SparkSession, sf_dir: str, key: str = "gatewell") -> DataFrame:
