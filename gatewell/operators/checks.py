@@ -1,4 +1,4 @@
-"""Ingest and validation checks: each gives counts as rows, and raises nothing."""
+"""Ingest and validation checks: each gives counts as rows; what is named `require` raises where they are not as they should be."""
 
 from __future__ import annotations
 
