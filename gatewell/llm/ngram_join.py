@@ -27,7 +27,7 @@ WORDS, PERCENT = 5, 80
 #: Ratio of the largest to the least size of a band, and shingles a first-level partition for the largest size.
 RATIO, LOAD = 2, 5
 CLASSES = 128
-#: Sets of one signature that meet in one task, and shingles of a family that do; what is more is dealt in blocks.
+#: Sets of one signature that meet in one task (sets of larger ones sign again), and shingles of a family that do; what is more is dealt in blocks.
 MOST, ROOM = 4096, 1 << 22
 _ODD = tuple(np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(WORDS))
 
@@ -85,11 +85,7 @@ def signatures(s: np.ndarray, common: np.ndarray, level: np.ndarray) -> np.ndarr
     if not n:
         return np.empty(0, np.uint64)
     most = n * (100 - PERCENT) // PERCENT  # sizes a <= b <= 5a/4 differ in (a + b) / 9 <= a / 4 at most
-    at = np.searchsorted(common, s)
-    held = np.zeros(n, np.uint64)
-    if len(common):
-        at[at == len(common)] = 0
-        held = np.where(common[at] == s, level[at], 0).astype(np.uint64)
+    held = _levels(s, common, level)
     mixed = _mix(s)
     out = []
     for band in bands(n):
@@ -116,6 +112,21 @@ def signatures(s: np.ndarray, common: np.ndarray, level: np.ndarray) -> np.ndarr
     return np.concatenate(out)
 
 
+def single_signatures(s: np.ndarray, common: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """A set's rarest shingles, one more than a similar set may lack: the first that two similar sets share, in one order for all, is among those of each."""
+    mixed = _mix(s)
+    return _least(mixed, _levels(s, common, level), np.ones(len(s), np.uint64), len(s) * (100 - PERCENT) // 100 + 1)
+
+
+def _levels(s: np.ndarray, common: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """How common each shingle of s is known to be; 0 if it isn't known."""
+    if not len(common):
+        return np.zeros(len(s), np.uint64)
+    at = np.searchsorted(common, s)
+    at[at == len(common)] = 0
+    return np.where(common[at] == s, level[at], 0).astype(np.uint64)
+
+
 def _least(hashes: np.ndarray, rare: np.ndarray, count: np.ndarray, need: int) -> np.ndarray:
     """The first `need` of hashes in order of rarity, size and hash."""
     if len(hashes) <= need:
@@ -243,36 +254,88 @@ def _distinct_groups(shared: DataFrame) -> DataFrame:
     return shared.groupBy("sig").agg(F.count("*").alias("m"), *mark).groupBy("m", "x0", "x1").agg(F.min("sig").alias("sig")).select("sig", "m")
 
 
-def _families(shared: DataFrame, traits: DataFrame, most: int) -> DataFrame:
-    """Edges (a, b) that connect all sets which share a signature and are not ruled out by size and class counts: at most one for each row, never one for each pair.
-
-    A signature of more than `most` sets is dealt in blocks; each two blocks meet in a task of their own.
-    """
-    groups = shared.join(_distinct_groups(shared), "sig")
-    blocks = F.ceil(F.col("m") / most).cast("int")
-    own = F.pmod(F.xxhash64(F.lit("block"), "u"), blocks).cast("int")
-    cell = lambda x: F.when(blocks == 1, F.col("sig")).otherwise(F.xxhash64("sig", F.least(x, own), F.greatest(x, own)))
-    dealt = groups.select("u", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), cell)).alias("g")).join(traits, "u")
+def _forest(rows: DataFrame, near=None, key: str = "g") -> DataFrame:
+    """Edges (key, a, b) from the first set of each connected component of a group to its others: rows are key, u, n and k; near tells who may be similar."""
+    near = near or _possible
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, "g"):
-            g, u, n = (group.column(x).to_numpy() for x in ("g", "u", "n"))
+        for group in _groups(batches, key):
+            g, u, n = (group.column(x).to_numpy() for x in (key, "u", "n"))
             k = _counts(group.column("k"))
             new = np.concatenate([[True], g[1:] != g[:-1]])
             head = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
-            near = _possible(n, n[head], k, k[head])
-            first = np.where(near, head, np.arange(len(g)))
+            met = near(n, n[head], k, k[head])
+            first = np.where(met, head, np.arange(len(g)))
             # where one is not near the first of three or more, the others have to be asked
             starts = np.flatnonzero(new)
             size = np.diff(np.append(starts, len(g)))
-            for low in starts[(size > 2) & ~np.logical_and.reduceat(near, starts)]:
+            for low in starts[(size > 2) & ~np.logical_and.reduceat(met, starts)]:
                 high = low + size[np.searchsorted(starts, low)]
                 c, x = n[low:high], k[low:high]
-                first[low:high] = low + _trees(high - low, lambda i, others: _possible(c[others], c[i], x[others], x[i]))  # noqa: B023
+                first[low:high] = low + _trees(high - low, lambda i, others: near(c[others], c[i], x[others], x[i]))  # noqa: B023
             out = first != np.arange(len(g))
-            yield pa.RecordBatch.from_arrays([pa.array(u[first[out]]), pa.array(u[out])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g[out], u[first[out]], u[out])], [key, "a", "b"])
+
+    return _by_key(rows.select(key, "u", "n", "k"), key, ["u"], run, f"{key} long, a long, b long")
+
 
-    return _by_key(dealt.select("g", "u", "n", "k"), "g", ["u"], run, "a long, b long")
+def _stars(rows: DataFrame) -> DataFrame:
+    """(sig, a, b): for each set b of a block a centre a that may be similar to it; a centre is its own. rows are g (the block), sig, u, n and k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "g"):
+            g, sig, u, n = (group.column(x).to_numpy() for x in ("g", "sig", "u", "n"))
+            k = _counts(group.column("k"))
+            centre = np.arange(len(g))
+            starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            for low, high in zip(starts, [*starts[1:], len(g)], strict=True):
+                left = np.arange(low, high)
+                while len(left):
+                    i, left = left[0], left[1:]
+                    met = _possible(n[left], n[i], k[left], k[i])
+                    centre[left[met]] = i
+                    left = left[~met]
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(u[centre]), pa.array(u)], ["sig", "a", "b"])
+
+    return _by_key(rows.select("g", "sig", "u", "n", "k"), "g", ["u"], run, "sig long, a long, b long")
+
+
+def _near_centres(n: np.ndarray, m: np.ndarray, k: np.ndarray, l: np.ndarray) -> np.ndarray:  # noqa: E741
+    """Whether two centres may have sets around them that are similar: the steps centre, set, set, centre each keep sizes within 4/5 and counts within (size + size) / 9."""
+    return (1000 * np.minimum(n, m) >= 512 * np.maximum(n, m)) & (18 * np.abs(k - l).sum(-1) <= 7 * (n + m))
+
+
+def _hot_families(shared: DataFrame, traits: DataFrame, most: int) -> DataFrame:
+    """Edges (a, b) that connect the sets of signatures of more than `most` sets, with at most three for each row of shared.
+
+    A set meets its block of the signature once: there it gets a centre. The centres of a signature then meet, and are connected
+    if sets around them may be similar; where there are more than `most` centres all are. So families may hold more than
+    they must, and nothing is dealt once for each two blocks.
+    """
+    block = F.pmod(F.xxhash64(F.lit("block"), "u"), F.ceil(F.col("m") / most).cast("int"))
+    stars = stored(_stars(shared.join(traits, "u").withColumn("g", F.xxhash64("sig", block))), "stars")
+    heads = stars.filter("a = b").select("sig", F.col("a").alias("u"))
+    count = stored(heads.groupBy("sig").agg(F.count("*").alias("m"), F.min("u").alias("a")), "heads")
+    few = heads.join(count.filter(F.col("m") <= most), "sig").join(traits, "u")
+    many = heads.join(count.filter(F.col("m") > most), "sig").select("a", F.col("u").alias("b"))
+    return stars.select("a", "b").filter("a != b").unionByName(_forest(few, _near_centres, "sig").select("a", "b")).unionByName(many.filter("a != b"))
+
+
+def _families(shared: DataFrame, traits: DataFrame, most: int, singles) -> DataFrame:
+    """Edges (a, b) that connect all sets which share a signature and are not ruled out by size and class counts: at most a few for each row, never one for each pair.
+
+    Sets that share a signature of more than `most` sets sign once more, by the rarest of their single shingles (`singles`
+    gives sig and u for some u): similar ones share one of these too. So what sets have in common with many others no longer brings them together.
+    """
+    sizes = stored(_distinct_groups(shared), "groups")
+    edges = _forest(shared.join(sizes.filter(F.col("m") <= most), "sig").join(traits, "u"), key="sig").select("a", "b")
+    hot = sizes.filter(F.col("m") > most)
+    if hot.isEmpty():
+        return edges
+    again = stored(_shared(singles(stored(shared.join(hot, "sig").select("u").distinct(), "hot"))), "again")
+    sizes = stored(_distinct_groups(again), "groups")
+    rest = again.join(sizes.filter(F.col("m") <= most), "sig").join(traits, "u")
+    return edges.unionByName(_forest(rest, key="sig").select("a", "b")).unionByName(_hot_families(again.join(sizes.filter(F.col("m") > most), "sig"), traits, most))
 
 
 def _linked(sets: list[np.ndarray]) -> np.ndarray:
@@ -370,7 +433,7 @@ def similar_sets(docs: DataFrame, most: int = MOST, room: int = ROOM) -> tuple[D
     """(documents, components): doc_id, n_shingles and u, the key of its set (null if empty), for each row; and (node, component) of the sets that link to others.
 
     Stages: equal sets are one node, u. Sets sign; signatures that one set alone has are dropped. Sets that share one and may be
-    similar by size and class counts are connected to families, and each family's sets, shipped once, are verified where they meet.
+    similar by size and class counts are connected to families (those of a hot signature by a second one), and each family's sets, shipped once, are verified where they meet.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -380,21 +443,28 @@ def similar_sets(docs: DataFrame, most: int = MOST, room: int = ROOM) -> tuple[D
 
     common = docs.sparkSession.sparkContext.broadcast(_common(rows))
 
-    def sign(text, shingler):
-        s = shingler.shingles(text)
-        u = set_key(s)
-        if not len(s) or u in shingler.seen:  # of equal sets in a task one signs
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        shingler.seen.add(u)
-        x = signatures(s, *common.value).view(np.int64)
-        return x, np.full(len(x), u)
+    def signed(texts: DataFrame, make) -> DataFrame:
+        def sign(text, shingler):
+            s = shingler.shingles(text)
+            u = set_key(s)
+            if not len(s) or u in shingler.seen:  # of equal sets in a task one signs
+                return np.empty(0, np.int64), np.empty(0, np.int64)
+            shingler.seen.add(u)
+            x = make(s, *common.value).view(np.int64)
+            return x, np.full(len(x), u)
+
+        return _sets(texts.select("text"), "sig long, u long", sign)
 
     documents = stored(_sets(rows.select("doc_id", _row().alias("row"), "text"), "doc_id long, row long, n_shingles long, u long, k binary", describe), "documents")
     # one row of each set stands for it
     traits = documents.filter("u is not null").groupBy("u").agg(F.min(F.struct("row", F.col("n_shingles").alias("n"), "k")).alias("x")).select("u", "x.*")
     traits = stored(traits, "traits")
-    shared = stored(_shared(_sets(rows.select("text"), "sig long, u long", sign)), "shared")
-    families = components(_families(shared, traits.select("u", "n", "k"), most))
+    shared = stored(_shared(signed(rows, signatures)), "shared")
+
+    def singles(some: DataFrame) -> DataFrame:
+        return signed(rows.withColumn("row", _row()).join(traits.join(some, "u").select("row"), "row"), single_signatures)
+
+    families = components(_families(shared, traits.select("u", "n", "k"), most, singles))
     members = traits.select("u", "n", "row").join(families.select(F.col("node").alias("u"), F.col("component").alias("f")), "u")
     return documents, components(_family_links(rows, members, room))
 
