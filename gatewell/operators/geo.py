@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gatewell.functions.scalar import haversine_km
 from gatewell.operators.gates import _AREA, _cells, gate
-from gatewell.session import table
+from gatewell.session import dealt, table
 from gatewell.sources.adapters import tx_area
 
 #: Areas as rings of (x, y): a square, one with a hole, one of two parts, and a C.
@@ -120,8 +120,10 @@ def interior_points(sides: DataFrame, k: int = 1, apart: float = 0.0, lines: int
     """(area, rank, x, y, depth): up to k points inside each area, the deepest first, each at least `apart` from those before it.
 
     The candidates are the middles of all spans on `lines` level lines, and depth is the distance to the nearest edge, of holes too; of
-    equally deep ones the lowest, then the leftmost is taken. An area that no line meets has no row.
+    equally deep ones the lowest, then the leftmost is taken. An area that no line meets has no row. Edges are dealt by area once and joins merge:
+    a planner takes an area's lines for as small as the area, and would send them whole through the driver.
     """
+    sides = dealt(sides, "area").hint("merge")
     middles = spans(sides, lines).select("area", ((F.col("x1") + F.col("x2")) / 2).alias("x"), "y").withColumn("id", F.struct("x", "y"))
     depths = boundary_distance(middles, sides).select("area", "id.x", "id.y", F.col("distance").alias("depth"))
     order = F.array_sort(F.collect_list(F.struct((-F.round("depth", 9)).alias("less"), "y", "x", "depth")))  # lines and few spans on each, whatever the area

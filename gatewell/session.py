@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str, times: int = 1) -> DataFrame:
+    """df by keys in as many partitions as the session shuffles to, or so many times that. Spark would merge small ones by their compressed bytes, of which groups and what rows grow to take many times as much in memory."""
+    spark = df.sparkSession
+    return df.repartition(times * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share: spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -112,3 +112,12 @@ def test_gates_of_several_grains_are_those_of_each(spark):
         by_card_at(tx, {"a": ["area"], "b": ["area"]})
     asked = by_card_at(tx, {"city": []}, ["area", "parent"]).filter("level = 'asked'")
     assert {(r.area, r.parent) for r in asked.collect()} == {(a, p) for a, p, _, _ in rows}
+
+
+def test_interior_points_are_never_broadcast(spark):
+    """The lines of many areas were taken for a small side of a join, and sent whole through the driver."""
+    many = sides(spark, [(f"{a}{k}", *e) for k in range(300) for a, *e in edge_rows()])
+    points = interior_points(many, 2, 0.5)
+    assert points.count() == 2 * 4 * 300
+    assert "BroadcastHashJoin" not in points._jdf.queryExecution().executedPlan().toString()
+    assert {(r.x, r.y) for r in points.filter("area like 'square%' and rank = 1").collect()} == {(r.x, r.y) for r in interior_points(sides(spark), 1).filter("area = 'square'").collect()}
