@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gatewell.session import stored
+from gatewell.session import dealt, stored
 from gatewell.sources.adapters import TX_AREA_SQL, tx_area
 
 #: Reason codes, in their canonical order.
@@ -62,7 +62,9 @@ def by_card(tx: DataFrame, grain: list[str]) -> DataFrame:
     if set(tx.columns) == {*grain, "merchant", "card", "n"}:
         return tx
     n = F.sum("n") if "n" in tx.columns else F.count("*")
-    return tx.groupBy(*grain, "merchant", "card").agg(n.alias("n"))
+    # cards hardly repeat within a merchant, so combining before the shuffle would only fill memory
+    keys = [*grain, "merchant", "card"]
+    return dealt(tx.select(*keys, *(["n"] if "n" in tx.columns else [])), *keys).groupBy(*keys).agg(n.alias("n"))
 
 
 def joined(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -86,20 +88,21 @@ def exclusive_cards(tx: DataFrame, grain: list[str]) -> DataFrame:
 def by_card_at(tx: DataFrame, levels: dict[str, list[str]], asked: list[str] | None = None) -> DataFrame:
     """`by_card` of several grains from one pass over the transactions: (level, keys of all levels, merchant, card, n).
 
-    One Expand over the grouping sets, combined before it is shuffled; keys that a level hasn't got are null there. `asked` adds
-    a level of that name with the distinct values of these keys; no merchant or card is told apart in it.
+    Transactions are dealt by merchant and card once, so that every level's groups are whole where its rows are told apart, without another shuffle; keys that a level hasn't got are null there. `asked` adds
+    a level of that name with the values of these keys, which may repeat; its merchants and cards are null.
     """
     if len({frozenset(v) for v in levels.values()}) < len(levels) or "asked" in levels:
         raise ValueError("levels have different keys, and none is named `asked`")
-    keys = list(dict.fromkeys(k for v in [*levels.values(), asked or []] for k in v))
-    columns = [*keys, "merchant", "card"]
-    sets = {name: [*v, "merchant", "card"] for name, v in levels.items()} | ({"asked": asked} if asked else {})
-    # bit by column, the first one highest: set where the column is left out
-    number = {sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in v): name for name, v in sets.items()}
-    name = F.coalesce(*[F.when(F.grouping_id() == k, v) for k, v in number.items()])
+    sets = levels | ({"asked": asked} if asked else {})
+    keys = list(dict.fromkeys(k for v in sets.values() for k in v))
+    types = dict(tx.select(*keys).dtypes)
+    of = lambda name, v: F.struct(F.lit(name).alias("level"), *[(F.col(k) if k in v else F.lit(None).cast(types[k])).alias(k) for k in keys])
+    rows = dealt(tx.select(*keys, "merchant", "card", *(["n"] if "n" in tx.columns else [])), "merchant", "card", times=len(sets))
     n = F.sum("n") if "n" in tx.columns else F.count("*")
-    out = tx.groupingSets([[F.col(c) for c in v] for v in sets.values()], *columns).agg(name.alias("level"), n.alias("n"))
-    return out.select("level", *keys, "merchant", "card", "n")
+    each = rows.select("merchant", "card", *(["n"] if "n" in tx.columns else []), F.explode(F.array(*[of(k, v) for k, v in sets.items()])).alias("s")).select("s.*", "merchant", "card", *(["n"] if "n" in tx.columns else []))
+    out = each.groupBy("level", *keys, "merchant", "card").agg(n.alias("n"))
+    told = lambda c: F.when(F.col("level") != "asked", F.col(c)).alias(c)
+    return out.select("level", *keys, told("merchant"), told("card"), "n")
 
 
 def halves(tx: DataFrame, grain: list[str]) -> DataFrame:
