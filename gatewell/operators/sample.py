@@ -14,13 +14,13 @@ from gatewell.sources.adapters import SENTINEL, TX_AREA_SQL, tx_area
 def cells_and_pairs(tx: DataFrame) -> DataFrame:
     """A row for each area (paired is false, day null: what its gates need) and one for each area and day (paired), from one pass over the transactions; stored, and no larger than areas times days.
 
-    Each transaction goes once to its (area, merchant, card) and once to its (area, day, merchant), which hardly repeat, so nothing is combined before they are dealt; cards are counted by themselves for the area.
+    Transactions are dealt once, by (area, merchant, card), and counted there by (area, merchant, card) and by (area, merchant, card, day); the latter are merged to (area, day, merchant) where those are counted.
+    Nothing is combined or doubled before it is dealt, as cards hardly repeat within a merchant; cards are counted by themselves for the area.
     """
-    known, n = F.count_if(F.col("tm") != SENTINEL), F.count("*")
-    keys = ["pc", "paired", "merchant", "card", "day"]
-    twice = tx.filter("pc is not null").select("pc", "merchant", F.col("card").alias("c"), F.col("day").alias("d"), "tm", "amount", F.explode(F.array(F.lit(False), F.lit(True))).alias("paired"))
-    twice = twice.select("pc", "paired", "merchant", F.when(~F.col("paired"), F.col("c")).alias("card"), F.when(F.col("paired"), F.col("d")).alias("day"), "tm", "amount")
-    rows = dealt(twice, *keys, times=2).groupBy(*keys).agg(n.alias("n"), known.alias("d"), F.sum("amount").alias("a"))
+    keys = ["pc", "merchant", "card"]
+    rows = dealt(tx.filter("pc is not null").select(*keys, F.col("day").alias("each_day"), (F.col("tm") != SENTINEL).alias("known"), "amount"), *keys, times=2)
+    twice = rows.withColumn("paired", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("day", F.when(F.col("paired"), F.col("each_day")))
+    rows = twice.groupBy(*keys, "paired", "day").agg(F.count("*").alias("n"), F.count_if("known").alias("d"), F.sum("amount").alias("a"))
     kind = F.explode(F.when(F.col("paired"), F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1))))
     each = rows.select("pc", "paired", "day", "n", "d", "a", F.col("merchant").alias("m"), F.col("card").alias("c"), kind.alias("kind"))
     each = each.withColumns({"merchant": F.when(F.col("kind") != 1, F.col("m")), "card": F.when(F.col("kind") == 1, F.col("c"))})

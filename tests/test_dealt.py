@@ -1,8 +1,15 @@
-"""Groups of the facts are spread over all parts that the session shuffles to, however few bytes they take."""
+"""Groups of the facts are spread over all parts that the session shuffles to, however few bytes they take, and no transaction is shuffled twice for the sample."""
+
+import datetime
+import random
+from collections import defaultdict
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from gatewell.operators import sample
 from gatewell.operators.gates import by_card, halves
+from gatewell.session import dealt
 
 
 def _largest_share(df):
@@ -18,3 +25,38 @@ def test_by_card_rows_are_not_merged_by_their_bytes(spark):
     assert found.count() == tx.distinct().count() and found.agg(F.sum("n")).first()[0] == 4000
     assert _largest_share(found) < 1 / 4  # 8 parts; one part before they were dealt
     assert halves(tx, grain).filter("by_card").agg(F.sum("n")).first()[0] == 4000
+
+
+def test_a_sample_deals_each_transaction_once(spark, monkeypatch):
+    draw = random.Random(5)
+    days = [datetime.date(2024, 3, 1) + datetime.timedelta(k) for k in range(4)]
+    of = lambda *xs: draw.choice(xs)
+    rows = [(of("a", "b", None), of(*days, None), of(1, 2, 3, None), of(*range(60), None), Decimal(draw.randrange(9999)) / 100, of("000000", "120000", None)) for _ in range(3000)]
+    tx = spark.createDataFrame(rows, "pc string, day date, merchant long, card long, amount decimal(18,2), tm string")
+    seen = []
+
+    def watched(df, *keys, **how):
+        seen.append((df, dealt(df, *keys, **how)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(sample, "dealt", watched)
+    both = sample.cells_and_pairs(tx).collect()
+    known = [r for r in rows if r[0] is not None]
+    assert [x.count() for x, _ in seen] == [len(known)]
+    assert _largest_share(seen[0][1]) < 1 / 4
+
+    cells, pairs = defaultdict(list), defaultdict(list)
+    for r in known:
+        cells[r[0]].append(r)
+        pairs[r[0], r[1]].append(r)
+    assert len(both) == len(cells) + len(pairs)
+    for x in both:
+        if x.paired:
+            mine = pairs[x.pc, x.day]
+            assert (x.transactions, x.transactions_dated) == (len(mine), sum(r[5] == "120000" for r in mine))
+            assert x.merchants == len({r[2] for r in mine}) and x.amount == float(sum(r[4] for r in mine))
+        else:
+            mine = cells[x.pc]
+            by = {m: [r for r in mine if r[2] == m] for m in (1, 2, 3, None)}
+            assert (x.n_tx, x.n_cards, x.n_merchants) == (len(mine), len({r[3] for r in mine} - {None}), 3)
+            assert (x.top_volume, x.top_cards) == (max(map(len, by.values())), max(len({r[3] for r in b} - {None}) for b in by.values()))
