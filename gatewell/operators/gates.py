@@ -112,8 +112,31 @@ def halves(tx: DataFrame, grain: list[str]) -> DataFrame:
     return each.groupBy(*grain, "by_card", "merchant", "card").agg(F.sum("n").alias("n"), F.count("c").alias("cards"), F.count("*").alias("rows"), F.min("m").alias("lone"))
 
 
+def counted(tx: DataFrame, grain: list[str]) -> DataFrame:
+    """What each transaction adds: volume; cards, if it is the first of its card and merchant in the cell; n_cards, if the first of its card there; exclusive, if the card has no other merchant there.
+
+    Transactions of a cell and card meet in a part, those of an unknown card by their merchants. They are sorted there, which takes less memory than groups by merchant and by card, and no second shuffle by card.
+    """
+    rows = tx.select(*grain, "merchant", "card", (F.col("n") if "n" in tx.columns else F.lit(1)).cast("long").alias("volume"), F.when(F.col("card").isNull(), F.col("merchant")).alias("__of"))
+    w = Window.partitionBy(*grain, "card", "__of").orderBy("merchant")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known, first = F.col("card").isNotNull(), F.row_number().over(w) == 1
+    another = ~F.col("merchant").eqNullSafe(F.lag("merchant").over(w))
+    lone = F.first("merchant").over(whole).eqNullSafe(F.last("merchant").over(whole))
+    adds = {"cards": known & (first | another), "n_cards": known & first, "exclusive": known & first & lone}
+    return dealt(rows, *grain, "card", "__of").select(*grain, "merchant", "volume", *[c.cast("long").alias(k) for k, c in adds.items()])
+
+
 def cell_totals(tx: DataFrame, grain: list[str]) -> DataFrame:
     """Transactions, cards and merchants of each cell, and its largest merchant's volume and cards; no join, and cards counted by themselves at this grain."""
+    if set(tx.columns) != {*grain, "merchant", "card", "n"}:
+        each = counted(tx, grain).groupBy(*grain, "merchant").agg(*[F.sum(c).alias(c) for c in ("volume", "cards", "n_cards")])
+        return each.groupBy(*grain).agg(
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in (("n_cards", "n_cards"), ("volume", "n_tx"))],
+            F.count("merchant").alias("n_merchants"),
+            *[F.max(c).alias(a) for c, a in (("volume", "top_volume"), ("cards", "top_cards"))],
+            F.sum("cards").alias("sum_cards"),
+        )
     card, merchant = F.col("by_card"), ~F.col("by_card")
     return halves(tx, grain).groupBy(*grain).agg(
         F.count_if(card & F.col("card").isNotNull()).alias("n_cards"),
@@ -129,11 +152,15 @@ def merchant_profile(tx: DataFrame, grain: list[str]) -> DataFrame:
     """A row for each cell and merchant (volume, cards, exclusive: cards that it alone has there) and one for each cell (whole: n_cards, n_tx). It is as small as the cells' merchants are few; what needs it more than once stores it."""
     none = F.lit(0).cast("long")
     slot = lambda whole, merchant, **have: F.struct(F.lit(whole).alias("whole"), merchant.alias("merchant"), *[have.get(c, none).alias(c) for c in ("volume", "cards", "exclusive", "n_cards", "n_tx")])
-    both = halves(tx, grain)
-    no_one = F.when(F.lit(False), F.col("lone"))
-    known = F.col("card").isNotNull()
-    by_card_slots = F.array(slot(True, no_one, n_cards=known.cast("long"), n_tx=F.col("n")), F.when(known & (F.col("rows") == 1), slot(False, F.col("lone"), exclusive=none + 1)))
-    slots = F.when(F.col("by_card"), by_card_slots).otherwise(F.array(slot(False, F.col("merchant"), volume=F.col("n"), cards=F.col("cards"))))
+    no_one = lambda c: F.when(F.lit(False), F.col(c))
+    if set(tx.columns) != {*grain, "merchant", "card", "n"}:
+        both = counted(tx, grain)
+        slots = F.array(slot(True, no_one("merchant"), n_cards=F.col("n_cards"), n_tx=F.col("volume")), slot(False, F.col("merchant"), **{c: F.col(c) for c in ("volume", "cards", "exclusive")}))
+    else:
+        both = halves(tx, grain)
+        known = F.col("card").isNotNull()
+        by_card_slots = F.array(slot(True, no_one("lone"), n_cards=known.cast("long"), n_tx=F.col("n")), F.when(known & (F.col("rows") == 1), slot(False, F.col("lone"), exclusive=none + 1)))
+        slots = F.when(F.col("by_card"), by_card_slots).otherwise(F.array(slot(False, F.col("merchant"), volume=F.col("n"), cards=F.col("cards"))))
     each = both.select(*grain, F.explode(slots).alias("s")).filter("s is not null").select(*grain, "s.*")
     return each.groupBy(*grain, "whole", "merchant").agg(*[F.sum(c).alias(c) for c in ("volume", "cards", "exclusive", "n_cards", "n_tx")])
 

@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from gatewell.operators import sample
-from gatewell.operators.gates import by_card, halves
+from gatewell.operators.gates import by_card, cell_totals, halves, merchant_profile
 from gatewell.session import dealt
 
 
@@ -60,3 +60,31 @@ def test_a_sample_deals_each_transaction_once(spark, monkeypatch):
             by = {m: [r for r in mine if r[2] == m] for m in (1, 2, 3, None)}
             assert (x.n_tx, x.n_cards, x.n_merchants) == (len(mine), len({r[3] for r in mine} - {None}), 3)
             assert (x.top_volume, x.top_cards) == (max(map(len, by.values())), max(len({r[3] for r in b} - {None}) for b in by.values()))
+
+
+def _odd(spark):
+    """Unknown areas, merchants and cards; cards of one merchant, of several, and of one besides an unknown one; repeated rows."""
+    rows = [(a, m, c) for a in (1, 2, None) for m, c in ((1, 10), (1, 10), (1, 11), (2, 11), (None, 12), (3, 12), (None, 13), (3, None), (3, None), (None, None), (2, 14))] + [(4, 9, None)]
+    return spark.createDataFrame(rows, "area long, merchant long, card long")
+
+
+def test_cells_count_cards_without_a_second_shuffle_by_card(spark, capsys):
+    """The step of month_gates, gate_report, privacy_funnel, cell_violations and residual_maps; cards went through two shuffles before, doubled in the second."""
+    for f in (cell_totals, merchant_profile):
+        f(_odd(spark), ["area"]).explain()
+        dealt = [x for x in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning(" in x and "card" in x.split("hashpartitioning(")[1].split(")")[0]]
+        assert len(dealt) == 1, dealt
+
+
+def test_cells_equal_those_of_rows_by_card(spark):
+    tx = _odd(spark)
+    for grain in (["area"], []):
+        for f in (cell_totals, merchant_profile):
+            found, wanted = (f(x, grain) for x in (tx, by_card(tx, grain)))
+            assert sorted(map(str, found.select(*wanted.columns).collect())) == sorted(map(str, wanted.collect()))
+    one = cell_totals(tx, ["area"]).filter("area = 1").first()
+    assert (one["n_tx"], one["n_cards"], one["n_merchants"], one["top_volume"], one["top_cards"], one["sum_cards"]) == (11, 5, 3, 3, 2, 7)
+    alone = merchant_profile(tx, ["area"]).filter("area = 1 and not whole and exclusive > 0")
+    assert {(r["merchant"], r["exclusive"]) for r in alone.collect()} == {(1, 1), (2, 1), (None, 1)}
+    none = cell_totals(tx.limit(0), []).first()
+    assert (none["n_tx"], none["n_cards"], none["n_merchants"], none["top_volume"]) == (0, 0, 0, None)
